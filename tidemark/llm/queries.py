@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, html, language, pieces, quotations, syncmers, toxicity
+from tidemark.llm import decontamination, html, jaccard, language, pieces, pitman_yor, quality, quotations, syncmers, toxicity
 from tidemark.llm.texts import fold
 
 #: The model file's place; set it to where every executor has the file.
@@ -25,6 +25,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", F.col("r.score").alias("score"), (F.col("r.score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.language_model(table(spark, sf_dir, "documents").select("doc_id", "text", (fold(7) == 2).alias("held_out")))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = table(spark, sf_dir, "documents").select("doc_id", pieces.round_trip(F.col("text"), PIECES).alias("r"))
     return coded.select("doc_id", "r.n_pieces", "r.ids", F.sha2("r.decoded", 256).alias("decoded_sha256"), F.col("r.exact").alias("exact"))
@@ -35,6 +39,10 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "r.text", "r.n_chars", "r.n_lines", "r.n_kept")
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train(docs.where(fold(4) != 2))
@@ -42,6 +50,11 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "r.lang_pred", "r.score", "r.rejected")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "lang", "_quality.n_tokens", "_quality.log10_probability", "_quality.perplexity", "_quality.limit", "_quality.keep")
+
+
 def op8_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = syncmers.with_next(docs, ["text"], {"anchors": syncmers.values(syncmers.anchors(F.col("text")))})
@@ -65,9 +78,12 @@ def op10_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_pitman_yor": op2_pitman_yor,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_html": op4_html,
+    "op5_jaccard": op5_jaccard,
     "op6_language": op6_language,
+    "op7_quality": op7_quality,
     "op8_syncmers": op8_syncmers,
     "op9_decontamination": op9_decontamination,
     "op10_quotations": op10_quotations,
