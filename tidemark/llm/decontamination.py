@@ -84,8 +84,9 @@ def scan(texts: list[str | None], before: list, windows: Windows) -> pd.DataFram
     return pd.DataFrame(out, columns=["n_words", "n_hit", "spans", "item_ids"])
 
 
-def _in_slices(values: list, known: list, windows: Windows) -> pd.DataFrame:
-    return pd.concat([scan(values[k : k + SLICE], known[k : k + SLICE], windows) for k in range(0, max(1, len(values)), SLICE)], ignore_index=True)
+def _in_slices(values: list, known: list, windows: Windows) -> Iterator[pd.DataFrame]:
+    for k in range(0, max(1, len(values)), SLICE):
+        yield scan(values[k : k + SLICE], known[k : k + SLICE], windows)
 
 
 def _first(shared, size: int):
@@ -93,7 +94,7 @@ def _first(shared, size: int):
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         windows = Windows(shared.value, size)
         for texts in batches:
-            yield _in_slices(texts.tolist(), [], windows)
+            yield from _in_slices(texts.tolist(), [], windows)
 
     return apply.asNondeterministic()
 
@@ -103,7 +104,7 @@ def _later(shared, size: int):
     def apply(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
         windows = Windows(shared.value, size)
         for texts, before in batches:
-            yield _in_slices(texts.tolist(), before.to_dict("records"), windows)
+            yield from _in_slices(texts.tolist(), before.to_dict("records"), windows)
 
     return apply.asNondeterministic()
 

@@ -33,7 +33,7 @@ SPACE = "▁"
 #: Units longer than this are encoded one by one, in time that grows as n log n.
 LONG = 64
 #: Texts whose units are encoded together.
-TOGETHER = 1024
+TOGETHER = 512
 SCHEMA = "ids array<int>, n_pieces int"
 
 
@@ -205,7 +205,7 @@ class Vocabulary:
             return tuple(self.bytes_at[b] for b in unit.encode())
         return (self.unknown,) * len(unit)
 
-    CACHE = 500_000
+    CACHE = 200_000
 
     def encode_units(self, units: set[str]) -> None:
         """Makes the cache hold these units; it is emptied when it would grow beyond its size, never in between."""

@@ -47,7 +47,7 @@ def over_texts(column: Column, start: Callable[[], Callable[[list[str | None]],
     """A struct column computed from texts in Arrow batches.
 
     ``start`` runs once for each task and returns a function from a list of texts to a frame with the
-    schema's columns. The column counts as non-deterministic only so that a filter on it never makes
+    schema's columns; a task holds the results of ``together`` texts at most. The column counts as non-deterministic only so that a filter on it never makes
     Spark compute it twice.
     """
 
@@ -56,8 +56,8 @@ def over_texts(column: Column, start: Callable[[], Callable[[list[str | None]],
         score = start()
         for texts in batches:
             values = [None if x is None or x != x else x for x in texts.tolist()]
-            parts = [score(values[k : k + together]) for k in range(0, len(values), together)]
-            yield pd.concat(parts, ignore_index=True) if parts else score([])
+            for k in range(0, max(1, len(values)), together):
+                yield score(values[k : k + together])
 
     return apply.asNondeterministic()(column)
 
