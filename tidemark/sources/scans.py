@@ -52,9 +52,11 @@ def _pdf_pages(content: pd.Series) -> pd.Series:
     return pd.Series([None if b is None else pages(bytes(b)) for b in content], dtype=object)
 
 
-def _positioned(rows: DataFrame) -> DataFrame:
-    """doc_pos by path and page; files are sorted so that the order doesn't depend on the file system."""
-    return rows.withColumn("doc_pos", (F.row_number().over(Window.orderBy("source", F.coalesce("page", F.lit(0)))) - 1).cast("long")).select("doc_pos", "source", "source_name", "source_type", "page", "page_content")
+def _positioned(rows: DataFrame, paths: DataFrame) -> DataFrame:
+    """doc_pos by path, then page: sorted, so that the order doesn't depend on the file system. Only ``paths`` (source) are numbered in one place; contents stay where they were read."""
+    number = paths.withColumn("_file", (F.row_number().over(Window.orderBy("source")) - 1).cast("long"))
+    placed = rows.join(number, "source").withColumn("doc_pos", F.shiftleft("_file", 20) + F.coalesce("page", F.lit(0)))
+    return placed.select("doc_pos", "source", "source_name", "source_type", "page", "page_content")
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -65,7 +67,7 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     docx = rows.where("suffix = '.docx'").select(F.col("path").alias("source"), F.col("name").alias("source_name"), kind.alias("source_type"), F.lit(None).cast("int").alias("page"), t.docx_text(_document_part("content")).alias("page_content"))
     pdf = rows.where("suffix = '.pdf'").select("path", "name", kind.alias("kind"), F.inline(_pdf_pages("content"))).where(t.filled(F.col("text"))).select(F.col("path").alias("source"), F.col("name").alias("source_name"), F.col("kind").alias("source_type"), "page", F.col("text").alias("page_content"))
     odd = rows.where(~F.col("suffix").isin(*FILE_SUFFIXES)).select(F.raise_error(F.concat(F.lit("unsupported file: "), "path")).cast("string").alias("source"), F.col("name").alias("source_name"), kind.alias("source_type"), F.lit(None).cast("int").alias("page"), F.lit("").alias("page_content"))
-    return _positioned(texts.unionByName(docx).unionByName(pdf).unionByName(odd))
+    return _positioned(texts.unionByName(docx).unionByName(pdf).unionByName(odd), rows.select(F.col("path").alias("source")))
 
 
 def code_folder(spark: SparkSession, path: str) -> DataFrame:
@@ -75,7 +77,7 @@ def code_folder(spark: SparkSession, path: str) -> DataFrame:
     relative = F.regexp_extract("path", f"{''.join(f'[{c}]' if c in '.+()[]{}' else c for c in root.removeprefix('file:'))}(.*)$", 1)
     rows = rows.withColumn("rel", relative).where(~F.arrays_overlap(F.split("rel", "/"), F.array(*map(F.lit, SKIPPED_FOLDERS))))
     body = rows.select(F.col("path").alias("source"), F.col("rel").alias("source_name"), F.lit("code").alias("source_type"), F.lit(None).cast("int").alias("page"), _decoded("content").alias("body")).where(t.filled(F.col("body")))
-    return _positioned(body.select("source", "source_name", "source_type", "page", F.concat(F.lit("文件: "), "source_name", F.lit("\n\n"), "body").alias("page_content")))
+    return _positioned(body.select("source", "source_name", "source_type", "page", F.concat(F.lit("文件: "), "source_name", F.lit("\n\n"), "body").alias("page_content")), rows.select(F.col("path").alias("source")))
 
 
 def pages(fetched: DataFrame) -> DataFrame:
