@@ -4,8 +4,8 @@ A document's set holds its distinct word shingles. In one order of all shingles
 last), two sets of Jaccard similarity t or more share a shingle among the first n - ceil(t n) + 1 of each: its prefix.
 
 1. Documents with equal sets are one class; classes with equal prefix and size are one group.
-2. Groups are indexed by the shingles of their prefix. Where groups share one, each is paired with the first and the
-   one before it by size, and likewise the classes inside a group: linear in the index, however large a group of copies.
+2. Groups are indexed by the shingles of their prefix. Where groups share one, each is paired with the smallest of them,
+   and each class of a group with its first: linear in the index, however large a group of copies.
 3. Pairs are expanded to classes and verified on the whole sets; verified links are closed to components.
 4. What remains are classes of different components that share a prefix shingle. All those pairs that pass the size and
    position filters are verified too, so no link is lost; pairs already connected need no check.
@@ -38,6 +38,8 @@ LEAST = 4
 BLOCK = 4096
 #: Ids of documents to verify are broadcast up to this number, and joined with a shuffle beyond.
 BROADCAST_IDS = 1_000_000
+#: Pairs that one set is held for in a task.
+STAR = 2000
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -102,34 +104,54 @@ def described(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(describe, "doc_id long, n int, sig binary, gid long, prefix array<long>")
 
 
+def packed(hashes: np.ndarray) -> bytes:
+    """The low six bytes of each hash, sorted: two different shingles of a pair of sets meet in them once in 10**9 pairs."""
+    low = np.sort(hashes & np.uint64(0xFFFFFFFFFFFF)).astype("<u8")
+    return low.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: ids) whose sets are similar enough."""
+    """Those of ``pairs`` (a, b: ids, a the one that more pairs share) whose sets are similar enough.
+
+    Each document sends its set to the first ends it is paired with, once each; an end with more than ``STAR`` pairs is
+    repeated, so that its pairs are dealt to several tasks. A task holds one set and reads the others as a stream.
+    """
     pairs = stored(pairs)
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    chosen = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
+    ends = salts.select(F.col("a").alias("doc_id"), F.lit(0).alias("kind"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    others = pairs.join(salts, "a").select(F.col("b").alias("doc_id"), F.lit(1).alias("kind"), "a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"))
+    wanted = stored(ends.union(others).groupBy("doc_id").agg(F.collect_list(F.struct("a", "salt", "kind")).alias("to")))
+    chosen = docs.select("doc_id", "text").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            yield pd.DataFrame({"doc_id": part.doc_id, "own": [shingles(t, size).tobytes() for t in part.text]})
-
-    own = chosen.mapInPandas(sets, "doc_id long, own binary")
-    left = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("own").alias("x")), "a")
-    both = left.join(own.select(F.col("doc_id").alias("b"), F.col("own").alias("y")), "b")
+            for k in range(0, len(part), 256):
+                some = part.iloc[k : k + 256]
+                rows = [(x["a"], x["salt"], x["kind"], i, own) for i, text, to in zip(some.doc_id, some.text, some.to, strict=True) for own in (packed(shingles(text, size)),) for x in to]
+                yield pd.DataFrame(rows, columns=["a", "salt", "kind", "b", "own"])
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, None
         for part in batches:
             ok = []
-            for x, y in zip(part.x, part.y, strict=True):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                ok.append(100 * shared >= percent * (len(a) + len(b) - shared) and shared > 0)
-            yield part.loc[ok, ["a", "b"]]
-
-    return stored(both.mapInPandas(check, "a long, b long").distinct())
-
+            for a, salt, kind, b, raw in zip(part.a, part.salt, part.kind, part.b, part.own, strict=True):
+                own = unpacked(raw)
+                if kind == 0:
+                    at, held = (a, salt), own
+                elif at == (a, salt):
+                    shared = len(np.intersect1d(held, own, assume_unique=True))
+                    if shared and 100 * shared >= percent * (len(held) + len(own) - shared):
+                        ok.append((a, b))
+            yield pd.DataFrame(ok, columns=["a", "b"])
 
-def ordered_pair(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    sent = chosen.mapInPandas(sets, "a long, salt int, kind int, b long, own binary").repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
+    return stored(sent.mapInPandas(check, "a long, b long").distinct())
 
 
 def similar_size(n: str, m: str, percent: int):
@@ -143,23 +165,26 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     full = rows.where("n > 0 and doc_id is not null")
     classes = stored(full.groupBy("sig", "gid", "n").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies")))
     groups = classes.groupBy("gid").agg(F.min("cid").alias("rep"))
-    prefixes = full.select("doc_id", "gid", "n", "prefix").join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    index = prefixes.select(F.col("doc_id").alias("rep"), "gid", "n", F.posexplode("prefix").alias("pos", "key"))
-    # pairs of groups that share a prefix shingle, and of classes inside a group
+    reps = stored(groups.select(F.col("rep").alias("doc_id")))
+    prefixes = full.select("doc_id", "n", "prefix").join(F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps, "doc_id", "left_semi")
+    # the index row of a shingle: size and place in the prefix share one number, which also orders the sizes
+    index = prefixes.select(F.col("doc_id").alias("rep"), "n", F.posexplode("prefix").alias("pos", "key")).select("key", "rep", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("place"))
     by = Window.partitionBy("key")
-    shared = stored(index.withColumn("m", F.count("*").over(by)).where("m > 1").drop("m"))
+    n, pos = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(0xFFFFFFFF).cast("int")
+    shared = stored(index.withColumn("m", F.count("*").over(by)).where("m > 1").select("key", "rep", n.alias("n"), pos.alias("pos")))
+    # pairs of each group with the first, by size, of those that share a prefix shingle, and of classes inside a group
     ordered = Window.partitionBy("key").orderBy("n", "rep")
-    w = shared.withColumn("a", F.first("rep").over(ordered)).withColumn("an", F.first("n").over(ordered)).withColumn("c", F.lag("rep").over(ordered)).withColumn("cn", F.lag("n").over(ordered))
-    near = w.select(F.explode(F.array(F.struct("rep", F.col("a").alias("other"), "n", F.col("an").alias("m")), F.struct("rep", F.col("c").alias("other"), "n", F.col("cn").alias("m")))).alias("p")).select("p.*")
-    near = near.where("other is not null and other <> rep").where(similar_size("n", "m", percent)).select(*ordered_pair("rep", "other"))
+    near = shared.withColumn("a", F.first("rep").over(ordered)).withColumn("an", F.first("n").over(ordered))
+    near = near.where("a <> rep").where(similar_size("n", "an", percent)).select("a", F.col("rep").alias("b"))
     inside = Window.partitionBy("gid").orderBy("cid")
-    within = classes.select(F.col("cid"), F.first("cid").over(inside).alias("other")).where("cid <> other").select(*ordered_pair("cid", "other"))
+    within = classes.select(F.first("cid").over(inside).alias("a"), F.col("cid").alias("b")).where("a <> b")
     tried = stored(near.union(within).distinct())
     links = verified(tried, docs, size, percent)
     roots = components(links)
     # what is left: classes of different components under one prefix shingle, or in one group
     labelled = stored(classes.join(roots, classes.cid == roots.id, "left").select("cid", "gid", "n", F.coalesce("root", "cid").alias("root")))
-    members = shared.select("key", "gid", "pos").join(labelled, "gid")
+    gids = groups.select("rep", "gid")
+    members = shared.select("key", "rep", "pos").join(gids, "rep").select("key", "gid", "pos").join(labelled, "gid")
     split = members.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
     members = stored(members.join(split, "key"))
     sizes = members.groupBy("key", "root").count()
@@ -170,9 +195,12 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     reach = F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2"))
     enough = reach * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent
     once = (F.col("r2") == F.col("main")) | (F.col("c1") < F.col("c2"))
-    rest = strays.join(others, "key").where((F.col("r1") != F.col("r2")) & once & similar_size("n1", "n2", percent) & enough).select(*ordered_pair("c1", "c2"))
+    # the smaller set first, as above, so that no pair is tried twice
+    first = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("c1") < F.col("c2")))
+    by_size = [F.when(first, F.col("c1")).otherwise(F.col("c2")).alias("a"), F.when(first, F.col("c2")).otherwise(F.col("c1")).alias("b")]
+    rest = strays.join(others, "key").where((F.col("r1") != F.col("r2")) & once & similar_size("n1", "n2", percent) & enough).select(*by_size)
     apart = labelled.alias("x").join(labelled.groupBy("gid").agg(F.min("root").alias("g1"), F.max("root").alias("g2")).where("g1 <> g2"), "gid")
-    inner = apart.select("gid", F.col("cid").alias("c1"), F.col("root").alias("r1")).join(apart.select("gid", F.col("cid").alias("c2"), F.col("root").alias("r2")), "gid").where("r1 <> r2 and c1 < c2").select(*ordered_pair("c1", "c2"))
+    inner = apart.select("gid", F.col("cid").alias("c1"), F.col("root").alias("r1")).join(apart.select("gid", F.col("cid").alias("c2"), F.col("root").alias("r2")), "gid").where("r1 <> r2 and c1 < c2").select(F.col("c1").alias("a"), F.col("c2").alias("b"))
     more = verified(rest.union(inner).distinct().join(tried, ["a", "b"], "left_anti"), docs, size, percent)
     final = components(links.union(more)) if not more.isEmpty() else roots
     named = classes.join(final, classes.cid == final.id, "left").select("sig", F.coalesce("root", "cid").alias("component"), "copies")
