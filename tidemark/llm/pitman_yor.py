@@ -195,7 +195,7 @@ class Model:
     novel: float
 
     def base(self, known: bool) -> float:
-        return (1 - self.novel) / self.types if known else self.novel if self.types else 1.0
+        return (1.0 - known) if not self.types else (1 - self.novel) / self.types if known else self.novel
 
     def parent(self, sweep: Sweep, customers: np.ndarray | float, tables: np.ndarray | float, known: bool = True):
         free = self.parent_strength + self.parent_discount * sweep.parent_tables
