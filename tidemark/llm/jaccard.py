@@ -8,7 +8,8 @@ last), two sets of Jaccard similarity t or more share a shingle among the first
    and each class of a group with its first: linear in the index, however large a group of copies.
 3. Pairs are expanded to classes and verified on the whole sets; verified links are closed to components.
 4. What remains are classes of different components that share a prefix shingle. All those pairs that pass the size and
-   position filters are verified too, so no link is lost; pairs already connected need no check.
+   position filters, and a bound from how their hashes spread over 256 ranges, are verified too, so no link is lost; pairs
+   already connected need no check.
 
 The frequent shingles only shape the order, and any order gives the same links. They come from counts over all
 documents: each block of documents reports those that a small share of it has, so every shingle with that share of
@@ -79,7 +80,7 @@ def frequent(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), sig (of the set), gid (of prefix and size), prefix (hashes in order)."""
+    """doc_id, n (set size), sig (of the set), gid (of prefix and size), prefix (hashes in order), spread (how many hashes fall into each of 256 ranges, up to 255)."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, size))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,12 +97,33 @@ def described(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     first, late = own, np.isin(own, often, assume_unique=True) if len(often) else np.zeros(n, bool)
                 prefix = np.concatenate((first[~late], first[late]))[:length]
                 sig = xxh3_128_digest(own.tobytes()) if n else None
-                rows.append((n, sig, np.uint64(xxh3_64_intdigest(prefix.tobytes(), n)).astype(np.int64), prefix.view(np.int64)))
-            out = pd.DataFrame(rows, columns=["n", "sig", "gid", "prefix"])
+                rows.append((n, sig, np.uint64(xxh3_64_intdigest(prefix.tobytes(), n)).astype(np.int64), prefix.view(np.int64), spread(own)))
+            out = pd.DataFrame(rows, columns=["n", "sig", "gid", "prefix", "spread"])
             out.insert(0, "doc_id", part.doc_id.to_numpy())
             yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(describe, "doc_id long, n int, sig binary, gid long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(describe, "doc_id long, n int, sig binary, gid long, prefix array<long>, spread binary")
+
+
+def spread(own: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
+
+def possible(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) that may be similar enough: two sets share at most the smaller count of each range. A range with 255 or more on both sides says nothing, and such pairs stay."""
+    side = lambda end, n, x: rows.select(F.col("doc_id").alias(end), F.col("n").alias(n), F.col("spread").alias(x))
+    both = pairs.join(side("a", "an", "ax"), "a").join(side("b", "bn", "bx"), "b")
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            if len(part):
+                x, y = (np.frombuffer(b"".join(part[c]), np.uint8).reshape(-1, 256) for c in ("ax", "bx"))
+                low = np.minimum(x, y)
+                total = low.sum(1, dtype=np.int64)
+                n = part.an.to_numpy(np.int64) + part.bn.to_numpy(np.int64)
+                yield part.loc[(total * (100 + percent) >= percent * n) | (low == 255).any(1), ["a", "b"]]
+
+    return both.mapInPandas(check, "a long, b long")
 
 
 def packed(hashes: np.ndarray) -> bytes:
@@ -201,7 +223,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     rest = strays.join(others, "key").where((F.col("r1") != F.col("r2")) & once & similar_size("n1", "n2", percent) & enough).select(*by_size)
     apart = labelled.alias("x").join(labelled.groupBy("gid").agg(F.min("root").alias("g1"), F.max("root").alias("g2")).where("g1 <> g2"), "gid")
     inner = apart.select("gid", F.col("cid").alias("c1"), F.col("root").alias("r1")).join(apart.select("gid", F.col("cid").alias("c2"), F.col("root").alias("r2")), "gid").where("r1 <> r2 and c1 < c2").select(F.col("c1").alias("a"), F.col("c2").alias("b"))
-    more = verified(rest.union(inner).distinct().join(tried, ["a", "b"], "left_anti"), docs, size, percent)
+    left = rest.union(inner).distinct().join(tried, ["a", "b"], "left_anti")
+    more = verified(possible(left, full.select("doc_id", "n", "spread"), percent).distinct(), docs, size, percent)
     final = components(links.union(more)) if not more.isEmpty() else roots
     named = classes.join(final, classes.cid == final.id, "left").select("sig", F.coalesce("root", "cid").alias("component"), "copies")
     out = rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("sig")).alias("sig")).join(named, "sig", "left")
