@@ -269,6 +269,21 @@ def test_quality_of_odd_rows_without_labels(spark):
     assert all(r.keep == bool((r.text or "").strip()) for r in got)
 
 
+def test_quality_counts_all_trusted_texts_and_words(spark):
+    """Every trusted row is counted, however many there are, and every word keeps its identity."""
+    rows = spark.range(24_000).selectExpr("id as doc_id", "concat('w', translate(id, '0123456789', 'abcdefghij'), ' stands here') as text", "'en' as lang")
+    fold = F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")
+    tables = quality.counted(rows.select("text", fold.alias("f")))
+    assert tables.uni.select("z").distinct().count() == 24_000 + 3
+    total = tables.uni.groupBy("f").agg(F.sum(F.pow(F.lit(10.0), "p1")).alias("p")).collect()
+    assert all(abs(r.p + sum(10**x for x in tables.unseen[r.f]) - 1) < 1e-6 for r in total)
+    # a context's probabilities sum to one over seen and unseen words
+    edge = int(quality.EDGE)
+    seen = tables.uni.join(tables.bi.where(F.col("b") == edge), ["f", "z"], "left").join(tables.bi_rest.where(F.col("b") == edge).drop("b"), "f")
+    sums = seen.groupBy("f").agg(F.sum(F.pow(F.lit(10.0), F.coalesce("p2", F.col("rest2") + F.col("p1")))).alias("p"), F.max("rest2").alias("rest2")).collect()
+    assert len(sums) == 2 and all(abs(r.p + 10**r.rest2 * sum(10**x for x in tables.unseen[r.f]) - 1) < 1e-6 for r in sums)
+
+
 # --- syncmers ----------------------------------------------------------------------------------------------------------
 def test_syncmers_are_chosen_by_their_edges_alone(spark):
     text = " ".join(f"w{i * 7919 % 97}x{i}" for i in range(120))

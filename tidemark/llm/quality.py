@@ -1,12 +1,14 @@
 """Quality classification by an interpolated modified Kneser-Ney trigram model of trusted text.
 
-Tokens are runs of letters, digits or marks. The vocabulary holds the ``MAX_TYPES`` most frequent tokens of the trusted
-sample; any other token is its shape (case or kind), so junk that never stands in trusted text (shouted words, marks
-between words) is as unlikely as its shape is there. Counts are summed and joined in shards by n-gram: trigrams with their
-contexts, with the continuation counts of bigrams, and those with unigrams; the joins give each n-gram's interpolated
-probability and each context's share for shorter n-grams. The tables are bounded by the sample, so the executors hold
-them as sorted arrays that a document's n-grams probe. A document is rejected where its perplexity is above the
-quantile, for its language, of trusted documents outside of the sample.
+Tokens are runs of letters, digits or marks, known by their 64-bit hash; every token of trusted text keeps its identity. A
+token that never stands there has the probability of its shape (case or kind) among tokens that stand there once. All
+trusted texts are counted: the hash of a text deals it to one of two folds, each with a model of its own, and every text
+is scored with the model of the other fold, so none with its own n-grams or those of its copies. Counts are summed and
+joined in shards by n-gram: trigrams with their contexts, with the continuation counts of bigrams, and those with unigrams; the
+joins give each n-gram's interpolated probability and each context's share for shorter n-grams. The n-grams of documents
+join these tables, which grow with the trusted text and never meet in one place. A document is rejected where its
+perplexity is above the quantile, for its language, of all trusted documents. ``train`` fits the same model on a small
+sample in memory (``MAX_TYPES`` tokens, the others as their shapes); no query uses it.
 
 Defined results: null and empty texts (and those of white space only) have no perplexity and are rejected; a null language is
 a language of its own ("und"); a language with under ``least`` trusted documents takes the quantile over all; without
@@ -24,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.texts import over_texts, stored
+from tidemark.llm.texts import hashes, mixed, stored
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
 MAX_TYPES = 20_000
@@ -32,6 +34,9 @@ SHAPES = ("<lower>", "<title>", "<upper>", "<mixed>", "<other>", "<number>", "<m
 BOUNDARY = len(SHAPES)
 FIRST = BOUNDARY + 1
 BITS = 20
+#: The hash of a text's boundaries, and characters that a task works on together.
+EDGE = np.uint64(0x45444745)
+CHARS = 1_500_000
 
 
 def shape(token: str) -> int:
@@ -176,32 +181,119 @@ def train(trusted: DataFrame) -> Model:
     return Model(vocabulary, _arrays(tri, F.shiftleft("a", 2 * BITS) + pair("b", "z"), F.log10("p3")), _arrays(tri_rest, pair("a", "b"), F.log10("rest")), _arrays(bi, pair("b", "z"), F.log10("p2")), rest, np.log10(uni))
 
 
-def perplexity(column: Column, shared) -> Column:
-    """A struct (n_tokens, log10_probability, perplexity) for each text; ``shared`` is the broadcast model."""
-    return over_texts(column, lambda: shared.value.scorer(), "n_tokens long, log10_probability double, perplexity double")
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in batches:
+        yield from (piece for _, piece in part.groupby(part.text.str.len().cumsum() // CHARS, sort=False))
+
+
+def hashed(texts: list[str], group: np.ndarray) -> pd.DataFrame:
+    """The distinct trigrams of each group of texts: its number ``g``, the hashes ``a``, ``b``, ``z``, the shape ``s`` of the last and the count ``c``."""
+    tokens = [TOKEN.findall(t) for t in texts]
+    flat = [t for x in tokens for t in x]
+    h = hashes([t.encode() for t in flat])
+    _, first, of = np.unique(h, return_index=True, return_inverse=True)
+    lengths = np.array([len(x) + 1 for x in tokens])
+    ends = np.cumsum(lengths + 2)
+    inner = np.ones(int(ends[-1]), bool)
+    inner[ends - lengths - 2] = inner[ends - lengths - 1] = inner[ends - 1] = False
+    codes, kinds = np.full(len(inner), EDGE), np.full(len(inner), BOUNDARY, np.int8)
+    codes[inner] = h
+    kinds[inner] = np.array([shape(flat[i]) for i in first], np.int8)[of]
+    inner[ends - 1] = True
+    at = np.flatnonzero(inner)
+    a, b, z, g = codes[at - 2], codes[at - 1], codes[at], np.repeat(group, lengths)
+    key = mixed(mixed(mixed(mixed(g.astype(np.uint64)) + a) + b) + z)
+    _, at_key, c = np.unique(key, return_index=True, return_counts=True)
+    signed = {k: v[at_key].view(np.int64) for k, v in (("a", a), ("b", b), ("z", z))}
+    return pd.DataFrame({"g": g[at_key]} | signed | {"s": kinds[at][at_key], "c": c})
+
+
+@dataclass
+class Tables:
+    """Both folds' models, in shards: log10 probabilities of seen n-grams, log10 shares that contexts leave to shorter n-grams, and those of unseen words by fold and shape."""
 
+    tri: DataFrame  # f, a, b, z, p3
+    tri_rest: DataFrame  # f, a, b, rest3
+    bi: DataFrame  # f, b, z, p2
+    bi_rest: DataFrame  # f, b, rest2
+    uni: DataFrame  # f, z, p1
+    unseen: list[list[float]]
 
-def classify(docs: DataFrame, labels: DataFrame, max_train_docs: int = 3000, max_limit_docs: int = 20_000, quantile: float = 0.995, slack: float = 2.0, least: int = 30) -> DataFrame:
+
+def counted(trusted: DataFrame) -> Tables:
+    """The models of the two folds over all texts of ``trusted`` (f, text)."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in _slices(batches):
+            yield hashed(part.text.tolist(), part.f.to_numpy()).rename(columns={"g": "f"})
+
+    rows = trusted.select("f", "text").mapInPandas(count, "f int, a long, b long, z long, s tinyint, c long")
+    three = stored(rows.groupBy("f", "a", "b", "z").agg(F.sum("c").alias("c"), F.min("s").alias("s")))
+    two = stored(three.groupBy("f", "b", "z").agg(F.count("*").alias("c"), F.sum("c").alias("n"), F.min("s").alias("s")))
+    one = stored(two.groupBy("f", "z").agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.min("s").alias("s")))
+    # unigrams: continuation counts, unseen words as many as words seen once, with a part of the mass spread evenly
+    sums = {r.f: r for r in one.groupBy("f").agg(F.count("*").alias("size"), F.sum("c").alias("c")).collect()}
+    once = {(r.f, r.s): r["count"] for r in one.where("n = 1").groupBy("f", "s").count().collect()}
+    total = [(sums[f].c if f in sums else 0) + sum(n for (g, _), n in once.items() if g == f) for f in (0, 1)]
+    size = [(sums[f].size if f in sums else 0) + len(SHAPES) for f in (0, 1)]
+    share = lambda f, c: 0.98 * c / total[f] + 0.02 / size[f]
+    unseen = [[float(np.log10(share(f, once.get((f, k), 0)) if total[f] else 1 / size[f])) for k in range(len(SHAPES))] for f in (0, 1)]
+    of = lambda x: F.when(F.col("f") == 0, float(x[0])).otherwise(float(x[1]))
+    uni = one.select("f", "z", (0.98 * F.col("c") / of(total) + 0.02 / of(size)).alias("p1"))
+    tri, tri_rest = _discounted(three.drop("s"), ["f", "a", "b"])
+    bi, bi_rest = _discounted(two.select("f", "b", "z", "c"), ["f", "b"])
+    bi = stored(bi.join(uni, ["f", "z"]).select("f", "b", "z", (F.col("own") + F.col("rest") * F.col("p1")).alias("p2")))
+    tri = tri.join(bi, ["f", "b", "z"]).select("f", "a", "b", "z", F.log10(F.col("own") + F.col("rest") * F.col("p2")).alias("p3"))
+    log = lambda table, name, value, *keys: table.select("f", *keys, F.log10(value).alias(name))
+    return Tables(tri, log(tri_rest, "rest3", "rest", "a", "b"), log(bi, "p2", "p2", "b", "z"), log(bi_rest, "rest2", "rest", "b"), log(uni, "p1", "p1", "z"), unseen)
+
+
+def perplexity(texts: DataFrame, tables: Tables) -> DataFrame:
+    """h, n_tokens, log10_probability, perplexity of each distinct text of ``texts`` (h, f, text), with the model of fold ``f``."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done: set[int] = set()  # a task sends a text once; copies in other tasks are divided out
+        for part in _slices(batches):
+            part = part[~part.h.duplicated() & ~part.h.isin(done)]
+            if len(part):
+                done.update(part.h.tolist())
+                rows = hashed(part.text.tolist(), np.arange(len(part)))
+                yield rows.assign(h=part.h.to_numpy()[rows.g], f=part.f.to_numpy()[rows.g]).drop(columns="g")
+
+    rows = texts.select("h", "f", "text").mapInPandas(split, "a long, b long, z long, s tinyint, c long, h long, f int")
+    probed = stored(rows.join(tables.tri, ["f", "a", "b", "z"], "left"))
+    lower = probed.where("p3 is null").join(tables.tri_rest, ["f", "a", "b"], "left").join(tables.bi, ["f", "b", "z"], "left")
+    lower = lower.join(tables.bi_rest, ["f", "b"], "left").join(tables.uni, ["f", "z"], "left")
+    # the end of a text is unseen only where its fold has no text
+    new = F.get(F.get(F.array(*(F.array(*map(F.lit, x)) for x in tables.unseen)), F.col("f")), F.least(F.col("s").cast("int"), F.lit(len(SHAPES) - 1)))
+    p2 = F.coalesce("p2", F.coalesce("rest2", F.lit(0.0)) + F.coalesce(F.col("p1"), new))
+    parts = probed.where("p3 is not null").select("h", "z", "c", F.col("p3").alias("p")).union(lower.select("h", "z", "c", F.coalesce("rest3", F.lit(0.0)) + p2))
+    copies = F.sum(F.when(F.col("z") == int(EDGE), F.col("c")).otherwise(0))
+    sums = parts.groupBy("h").agg((F.sum("c") / copies).cast("long").alias("n_tokens"), (F.sum(F.col("c") * F.col("p")) / copies).alias("log10_probability"))
+    return sums.withColumn("perplexity", F.when(F.col("n_tokens") > 1, F.pow(F.lit(10.0), F.least(F.lit(300.0), -F.col("log10_probability") / F.col("n_tokens")))))
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: float = 2.0, least: int = 30) -> DataFrame:
     """``docs`` with a struct ``_quality`` (n_tokens, log10_probability, perplexity, limit, keep).
 
-    Trusted are documents of quality 1. By the hash of the id, up to ``max_train_docs`` of them are the sample the model is
-    fitted on and up to ``max_limit_docs`` further ones, scored with it, give the quantiles; ``slack`` is a factor on these.
+    Trusted are documents of quality 1. All of them are counted and all of them, scored with the other fold's model, give the
+    quantiles; ``slack`` is a factor on these.
     """
-    spark = docs.sparkSession
-    ids = labels.where("quality = 1").select("doc_id").distinct().withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(max_train_docs + max_limit_docs)
-    # an even share of few trusted documents, the first ``max_train_docs`` of many
-    ids = stored(ids)
-    n = ids.count()
-    edge = ids.orderBy("order", "doc_id").limit(max(1, min(max_train_docs, n // 2))).agg(F.max("order")).first()[0]
-    chosen = docs.select("doc_id", "text", F.coalesce("lang", F.lit("und")).alias("lang")).join(F.broadcast(ids), "doc_id")
-    shared = spark.sparkContext.broadcast(train(stored(chosen.where(F.col("order") <= F.lit(edge)).select("text"))))
-    scores = stored(chosen.where(F.col("order") > F.lit(edge)).select("lang", perplexity(F.col("text"), shared).alias("q")).select("lang", "q.perplexity").where("not isnan(perplexity)"))
+    text = F.coalesce("text", F.lit(""))
+    h = F.xxhash64(text)
+    ids = labels.where("quality = 1").select("doc_id").distinct()
+    fold = F.pmod(h, F.lit(2)).cast("int")
+    trusted = docs.select("doc_id", text.alias("text"), fold.alias("f")).join(ids, "doc_id", "left_semi")
+    scores = stored(perplexity(docs.select(h.alias("h"), (1 - fold).alias("f"), text.alias("text")), counted(trusted)))
+    known = docs.select("doc_id", h.alias("h"), F.coalesce("lang", F.lit("und")).alias("lang")).join(ids, "doc_id", "left_semi").join(scores.where("perplexity is not null"), "h")
     at = F.percentile_approx("perplexity", quantile, 10_000) * slack
-    overall = scores.agg(at).first()[0]
-    # as many rows as there are languages in the sample
-    limits = {r.lang: r.limit for r in scores.groupBy("lang").agg(F.count("*").alias("n"), at.alias("limit")).collect() if r.n >= least}
+    known = stored(known.select("lang", "perplexity"))
+    overall = known.agg(at).first()[0]
+    # as many rows as there are languages
+    limits = {r.lang: r.limit for r in known.groupBy("lang").agg(F.count("*").alias("n"), at.alias("limit")).collect() if r.n >= least}
     table = F.create_map(*(F.lit(x) for kv in limits.items() for x in kv)) if limits else F.create_map().cast("map<string,double>")
-    limit = F.coalesce(F.get(F.array(table[F.coalesce(docs["lang"], F.lit("und"))]), F.lit(0)), F.lit(overall), F.lit(float("inf")))
-    q = docs.withColumn("_quality", perplexity(F.col("text"), shared)).withColumn("_limit", limit)
-    keep = F.col("_quality.perplexity").isNotNull() & ~F.isnan("_quality.perplexity") & (F.col("_quality.perplexity") <= F.col("_limit"))
+    limit = F.coalesce(F.get(F.array(table[F.coalesce(F.col("lang"), F.lit("und"))]), F.lit(0)), F.lit(overall), F.lit(float("inf")))
+    found = scores.select(F.col("h").alias("_h"), F.struct("n_tokens", "log10_probability", "perplexity").alias("_quality"))
+    q = docs.withColumn("_h", h).join(found, "_h", "left").drop("_h").withColumn("_limit", limit)
+    keep = F.col("_quality.perplexity").isNotNull() & (F.col("_quality.perplexity") <= F.col("_limit"))
     return q.withColumn("_quality", F.struct("_quality.*", F.col("_limit").alias("limit"), keep.alias("keep"))).drop("_limit")
