@@ -170,6 +170,25 @@ def test_main_text(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_main_text_keeps_sections_of_unequal_size():
+    words = lambda n, w: " ".join(f"{w}{k}" for k in range(n))
+    for outer in ("article", "main", "div"):
+        for inner in ("section", "div", "blockquote"):
+            parts = [words(40, "intro"), words(400, "large"), words(60, "middle"), words(50, "last")]
+            body = "".join(f"<{inner}><h2>Heading {k}</h2><p>{p}</p></{inner}>" for k, p in enumerate(parts))
+            text = html.extract(f"<body><nav><a href=x>Home</a></nav><{outer}><h1>Title</h1>{body}</{outer}><footer>f</footer></body>")[0]
+            assert text.split("\n\n") == ["Title", *(y for k, p in enumerate(parts) for y in (f"Heading {k}", p))], (outer, inner)
+    many = "".join(f"<article><p>{words(n, 'w')}</p></article>" for n in (30, 400, 30))
+    assert html.extract(f"<body>{many}</body>")[0].split().count("w29") == 3
+
+
+def test_main_text_with_one_huge_paragraph():
+    plain = "".join(f"<section><h2>Part {k}</h2><p>An ordinary paragraph of part {k} that says something in a sentence of usual length, as texts do.</p></section>" for k in range(6))
+    for outer in ("article", "div"):
+        text = html.extract(f"<body><{outer}>{plain}<section><p>{'word ' * 5000}</p></section></{outer}></body>")[0]
+        assert all(f"paragraph of part {k} " in text and f"Part {k}" in text for k in range(6))
+
+
 # --- Jaccard -----------------------------------------------------------------------------------------------------------
 def brute(rows, size, percent):
     sets = {}

@@ -2,9 +2,10 @@
 
 The standard library's parser streams events; block elements part the page into lines. A line has its text, its
 number of tags and its chain of containers. The ratios of text to tags are smoothed along the page with a Gaussian, two
-means of the smoothed ratios give the threshold, and lines above it are content. The region is the innermost container that
-holds most of the content's text; its lines are the result, without those in menus, headers, footers, sidebars, notices,
-adverts, forms, comments or hidden elements, which are known by element, role, class or id.
+means of the smoothed ratios give the threshold, and lines above it are content. The region is the page's only article or main
+element if that holds most of the content's text, else the innermost container that holds most of it and has no prose beside it;
+its lines are the result (outside of article and main: those of children with prose), without those in menus, headers,
+footers, sidebars, notices, adverts, forms, comments or hidden elements, which are known by element, role, class or id.
 
 Defined results: a null, empty or text-free page gives the empty text; broken markup is parsed as far as it goes (open
 elements end where an enclosing one ends); each page is worked on by itself, so repeated pages give repeated rows.
@@ -27,6 +28,9 @@ ASIDE = frozenset("nav header footer aside form menu dialog fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = frozenset("article main section div td body html blockquote".split())
+#: Elements by which a page itself marks its content, and characters from which a line counts as prose.
+MARKED = frozenset(("article", "main"))
+PROSE = 80
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|sidebar|side|aside|footer|header|masthead|cookies?|consent|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommended|comments?|disqus|replies|respond|widget|toolbar|pagination|pager|skip)(?:$|[\s_-])", re.I)
 #: An open element on the left is closed by the start of one on the right.
@@ -41,6 +45,7 @@ class Lines(HTMLParser):
         self.open: list[tuple[str, bool, bool, int]] = []  # element, silent, boilerplate, number of its container
         self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
         self.parent = {0: -1}
+        self.names = {0: ""}  # of each container: its element
         self.text: list[str] = []
         self.tags = 0
 
@@ -86,6 +91,7 @@ class Lines(HTMLParser):
         aside = aside or tag in ASIDE or bool(hidden) or a.get("role", "").lower() in ROLES or (tag not in ("html", "body", "main", "article") and bool(BOILERPLATE.search(names))) or (tag == "article" and bool(re.search(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies))(?:$|[\s_-])", names, re.I)))
         if tag in CONTAINER or tag in ASIDE:
             self.parent[n := len(self.parent)] = own
+            self.names[n] = tag
             own = n
         self.open.append((tag, silent or tag in SILENT, aside, own))
 
@@ -103,6 +109,16 @@ class Lines(HTMLParser):
             self.text.append(data)
 
 
+    def marked(self, prose: np.ndarray, weight: np.ndarray, least: float) -> int | None:
+        """The outermost article or main element with prose, if it is the only one and holds so much weight."""
+        held: dict[int, float] = {}
+        for k in np.flatnonzero(prose):
+            outer = next((c for c in self.lines[k][3] if self.names[c] in MARKED), None)
+            if outer is not None:
+                held[outer] = held.get(outer, 0.0) + weight[k]
+        return next(iter(held)) if len(held) == 1 and sum(held.values()) >= least else None
+
+
 def smoothed(ratio: np.ndarray, sigma: float) -> np.ndarray:
     reach = max(1, int(3 * sigma))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
@@ -141,8 +157,12 @@ def extract(html: str | None, sigma: float = 1.0, share: float = 0.6) -> tuple[s
     content = kept & (smooth >= limit)
     if not content.any():
         content = kept
-    at, total = 0, float(length[content].sum())
-    while total:  # into the container that holds most of the content
+    total = float(length[content].sum())
+    # the two means may lie above ordinary paragraphs where one is huge, so any long line counts as text of the article
+    prose = content | (kept & (length >= PROSE))
+    at = parser.marked(prose, length * content, share * total)
+    while at is None or parser.names[at] not in MARKED:  # into the container that holds most of the content, while no text of the article lies beside it
+        at = at or 0
         inner: dict[int, float] = {}
         for k in np.flatnonzero(content):
             chain = lines[k][3]
@@ -150,11 +170,12 @@ def extract(html: str | None, sigma: float = 1.0, share: float = 0.6) -> tuple[s
                 child = chain[chain.index(at) + 1]
                 inner[child] = inner.get(child, 0.0) + length[k]
         best = max(inner, key=lambda c: (inner[c], -c), default=None)
-        if best is None or inner[best] < share * total:
+        if best is None or inner[best] < share * total or any(at in lines[k][3] and best not in lines[k][3] for k in np.flatnonzero(prose)):
             break
         at = best
-    good = {lines[k][3][lines[k][3].index(at) + 1] for k in np.flatnonzero(content) if at in lines[k][3][:-1]}
-    chosen = [x[0] for x in lines if x[2] and at in x[3] and (x[3][-1] == at or x[3][x[3].index(at) + 1] in good)]
+    whole = parser.names[at] in MARKED
+    good = {lines[k][3][lines[k][3].index(at) + 1] for k in np.flatnonzero(prose) if at in lines[k][3][:-1]}
+    chosen = [x[0] for x in lines if x[2] and at in x[3] and (whole or x[3][-1] == at or x[3][x[3].index(at) + 1] in good)]
     return "\n\n".join(chosen), len(lines), len(chosen), float(limit)
 
 
