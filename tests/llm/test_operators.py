@@ -260,6 +260,15 @@ def test_language_of_odd_rows(spark, docs):
     assert {r.p.lang_pred for r in odd(spark).select(language.language(F.col("text"), none, spark).alias("p")).collect()} == {"und"}
 
 
+def test_language_learns_from_distinct_texts_however_often_copied(spark):
+    texts = [(f"l{k}", " ".join(chr(97 + 3 * k + (i + j) % 3) * (1 + j % 3) for j in range(20 + i))) for k in range(8) for i in range(3)]
+    rows = one(spark, texts, "lang string, text string")
+    copied = rows.crossJoin(spark.range(4000)).select("lang", "text")
+    model, plain = language.train(copied), language.train(rows)
+    assert model.languages == [f"l{k}" for k in range(8)] == plain.languages
+    assert np.array_equal(model.idf, plain.idf) and np.array_equal(model.centroids, plain.centroids)
+
+
 # --- quality -----------------------------------------------------------------------------------------------------------
 def test_quality_keeps_trusted_text_and_drops_junk(spark):
     sf = "/root/testdata/sf0.01"

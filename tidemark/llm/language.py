@@ -111,12 +111,13 @@ class Model:
 def train(docs: DataFrame, per_language: int = 400, centroids: int = 4, reject_quantile: float = 0.002) -> Model:
     """Fit on ``docs`` (text, lang; other columns are ignored): ``per_language`` texts of each language, by lowest text hash, at most.
 
-    Languages are counted over all rows; a hash threshold that follows from the count picks some more texts than are
-    needed, evenly over the whole table, so no language meets in one task; the exact cut is made in the small group.
+    A language's distinct texts are counted over all rows; a hash threshold that follows from the count picks some more texts
+    than are needed (all of them, where they are few), evenly over the whole table, so no language meets in one task; the exact cut
+    is made in the small group. Copies change nothing.
     """
     spark = docs.sparkSession
     rows = docs.select("text", "lang").where("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").count()
+    sizes = rows.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").count()
     share = F.least(F.lit(1.0), F.lit(2.0 * per_language + 50) / F.col("count"))
     order = (F.xxhash64("text") % 1_000_003 + 1_000_003) % 1_000_003 / 1_000_003.0
     sample = stored(rows.join(F.broadcast(sizes), "lang").withColumn("order", order).where(F.col("order") < share).select("lang", "text", "order").distinct())
