@@ -26,10 +26,18 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component of near duplicates (five-word shingles, Jaccard 0.8 or more) the document with the smallest id."""
-    found = jaccard.jaccard_components(docs, size=5, percent=80)
-    dropped = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each component of near duplicates (five-word shingles, Jaccard 0.8 or more): that with the smallest id.
+
+    Rows are told apart by id and text, so rows that repeat an id with other text are documents of their own, and rows without an
+    id, which come last, are compared like others. Of rows with equal id and text the one with the smallest other columns stays.
+    """
+    row = F.xxhash64("doc_id", "text")
+    found = jaccard.jaccard_components(docs.select(row.alias("doc_id"), "text"), size=5, percent=80)
+    ids = docs.select(row.alias("_row"), "doc_id").distinct()
+    ranked = ids.join(found.select(F.col("doc_id").alias("_row"), "component_id").distinct(), "_row")
+    first = ranked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("x")).select("x._row")
+    kept = docs.withColumn("_row", row).join(first, "_row", "left_semi")
+    return kept.groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("x")).select("x.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

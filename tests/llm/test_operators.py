@@ -423,3 +423,14 @@ def test_pipeline_on_the_small_tables(spark):
             assert out.columns == docs.columns and left.where("n > 0").count() == 0
         at, kept = out, now
     assert at.where("not exact").count() == 0
+
+
+def test_near_duplicate_stage_keeps_one_row_of_each_component(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(3, a), (3, a), (3, b), (5, a), (None, a), (None, c), (None, c), (7, b + " more"), (4, None), (9, "one")]
+    given = spark.createDataFrame([(i, text, "en", "s", 1) for i, text in rows], DOC)
+    got = corpus_pipeline.near_duplicate_stage(spark, given, "")
+    assert got.columns == given.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(3, a), (3, b), (None, c), (4, None), (9, "one")], key=str)
