@@ -227,6 +227,23 @@ def test_jaccard_loses_no_link(spark, size, percent):
     assert got == brute(rows, size, percent)
 
 
+def test_jaccard_loses_no_link_in_a_large_group_of_near_copies(spark):
+    """Copies that differ from the one they come from by more than the limit, but not from one another, beside texts that share a long line."""
+    rnd = random.Random(9)
+    base = [f"b{k}" for k in range(120)]
+    line = [f"l{k}" for k in range(40)]
+    rows = []
+    for i in range(170):
+        w = list(base)
+        for _ in range(rnd.randrange(1, 7)):
+            w[rnd.choice(range(0, 120, 9))] = rnd.choice(["", "x", f"u{i}"])
+        rows.append((i, " ".join(w)))
+    rows += [(200 + i, " ".join([*line, *(f"o{rnd.randrange(4000)}" for _ in range(rnd.randrange(3, 60)))])) for i in range(110)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(one(spark, rows), 4, 85).collect()}
+    want = brute(rows, 4, 85)
+    assert got == want and 1 < len({c for i, (_, c) in want.items() if i < 200}) < 100
+
+
 def test_jaccard_of_odd_and_no_rows(spark):
     got = jaccard.jaccard_components(odd(spark)).collect()
     assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted([(1, 1), (2, 2), (3, 3), (4, 4), (4, 4), (None, None), (5, 5), (6, 6), (7, 7)], key=str)

@@ -1,22 +1,24 @@
 """N-gram Jaccard join by grouped prefixes.
 
-A document's set holds its distinct word shingles. In one order of all shingles (rare ones by hash, frequent ones
-last), two sets of Jaccard similarity t or more share a shingle among the first n - ceil(t n) + 1 of each: its prefix.
+A document's set holds its distinct word shingles. In one order of all shingles, two sets of Jaccard similarity t or more
+share a shingle among the first n - ceil(t n) + 1 of each: its prefix. The order puts rare shingles first, by a counting
+sketch of fixed size that is summed over all documents; what it gets wrong changes candidates, never links.
 
 1. Documents with equal sets are one class; classes with equal prefix and size are one group.
-2. Groups are indexed by the shingles of their prefix. Where groups share one, each is paired with the smallest of them,
-   and each class of a group with its first: linear in the index, however large a group of copies.
-3. Pairs are expanded to classes and verified on the whole sets; verified links are closed to components.
-4. What remains are classes of different components that share a prefix shingle. All those pairs that pass the size and
-   position filters, and a bound from how their hashes spread over 256 ranges, are verified too, so no link is lost; pairs
-   already connected need no check.
-
-The frequent shingles only shape the order, and any order gives the same links. They come from counts over all
-documents: each block of documents reports those that a small share of it has, so every shingle with that share of
-all documents is reported, and there are at most (mean set size / share) of them.
+2. Groups are listed under each shingle of their prefix and their size band (pairs of similar size share a list), classes of
+   one group under the group. In each list the class of the commonest shingles is the hub, and each class is paired with it.
+3. Pairs are verified on the whole sets of 64-bit hashes; verified links are closed to components.
+4. Pairs that share a list, neither of them the hub, are searched by their differences from it. Let D be what a set has
+   and the hub lacks or the other way round. Of a linked pair of which one isn't linked to the hub, the two D
+   share more than half of what |D1| + |D2| exceeds (1 - t) / (1 + t) * (n1 + n2), which is above 0, so they meet in a
+   prefix of each D (shingles that the hub lacks first). These prefixes make the next lists, in which a text that all members
+   share no longer counts, and step 2 is repeated.
+5. When the lists hold few pairs of different components, or after ``LEVELS`` rounds, all pairs that are left and pass the
+   place and size filters are verified. Nothing is capped: each round costs work in proportion to its lists.
 
 Defined results: without words, or with null text, a set is empty and linked with nothing; with fewer words than a
 shingle the whole sequence is the one element; a null id is its own component; rows that repeat an id are each reported.
+Shingles are compared by 64-bit hashes, so two different ones count as equal once in 10**19 comparisons.
 """
 
 from __future__ import annotations
@@ -27,20 +29,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from tidemark.llm.components import components
-from tidemark.llm.texts import hashes, rolled, stored, words
-
-#: A shingle that this share of a block's documents has, and at least LEAST of them, is ordered last.
-FREQUENT = 1 / 1000
-LEAST = 4
-BLOCK = 4096
-#: Ids of documents to verify are broadcast up to this number, and joined with a shuffle beyond.
-BROADCAST_IDS = 1_000_000
+from tidemark.llm.texts import hashes, rolled, sliced, stored, words
+
+#: Counters of the sketch (a power of two) and the parts in which they are summed.
+SKETCH = 20
+PARTS = 64
+#: Rows to look up are broadcast up to this number (some tens of MB), and joined with a shuffle beyond.
+BROADCAST_ROWS = 500_000
 #: Pairs that one set is held for in a task.
 STAR = 2000
+LEVELS = 5
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -53,179 +54,165 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(rolled(h, size))
 
 
-def frequent(docs: DataFrame, size: int) -> np.ndarray:
-    """Sorted hashes of the frequent shingles."""
+def slot(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - SKETCH)).astype(np.int64)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets: list[np.ndarray] = []
 
-        def reported() -> pd.DataFrame:
-            h, n = np.unique(np.concatenate(sets), return_counts=True)
-            often = n >= max(LEAST, FREQUENT * len(sets))
-            out = pd.DataFrame({"h": h[often].view(np.int64), "n": n[often]})
-            sets.clear()
-            return out
+def sketched(docs: DataFrame, size: int) -> np.ndarray:
+    """How often the shingles of each counter occur over all documents, as twice the binary logarithm.
+
+    A task counts all its documents into one array of fixed size; the arrays are summed in ``PARTS`` parts on the executors.
+    """
+    width = (1 << SKETCH) // PARTS
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(1 << SKETCH, np.uint32)
+        for part in sliced(batches):
+            some = [shingles(text, size) for text in part.text]
+            total += np.bincount(slot(np.concatenate(some)), minlength=1 << SKETCH).astype(np.uint32)
+        if total.any():
+            yield pd.DataFrame({"part": np.arange(PARTS), "n": [x.tobytes() for x in total.reshape(PARTS, width)]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
         for part in batches:
-            for text in part.text:
-                sets.append(shingles(text, size))
-                if len(sets) == BLOCK:
-                    yield reported()
-        if sets:
-            yield reported()
+            for k, raw in zip(part.part, part.n, strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(raw, np.uint32).astype(np.uint64)
+        if sums:
+            yield pd.DataFrame({"part": list(sums), "n": [np.floor(2 * np.log2(x + 1.0)).astype(np.uint8).tobytes() for x in sums.values()]})
 
-    total = docs.count()
-    found = docs.select("text").mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(LEAST, FREQUENT * total / 2))
-    return np.sort(found.select("h").toPandas().h.to_numpy(np.int64).view(np.uint64))
+    parts = docs.select("text").mapInPandas(count, "part int, n binary").repartition("part").mapInPandas(add, "part int, n binary").collect()
+    out = np.zeros(1 << SKETCH, np.uint8)
+    for r in parts:
+        out[r.part * width : (r.part + 1) * width] = np.frombuffer(r.n, np.uint8)
+    return out
 
 
-def described(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), sig (of the set), gid (of prefix and size), prefix (hashes in order), spread (how many hashes fall into each of 256 ranges, up to 255)."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, size))
+def described(docs: DataFrame, size: int, percent: int, sketch) -> DataFrame:
+    """doc_id, n (set size), sig (of the set), gid (of prefix and size), common (how common its shingles are), prefix (hashes in order)."""
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        often = shared.value
-        for part in batches:
+        rare = sketch.value
+        for part in sliced(batches):
             rows = []
             for text in part.text:
                 own = shingles(text, size)
                 n = len(own)
                 length = n - -(-percent * n // 100) + 1 if n else 0
-                first = own[: 2 * length + 64]
-                late = np.isin(first, often, assume_unique=True) if len(often) else np.zeros(len(first), bool)
-                if (~late).sum() < length:  # more of the set is needed
-                    first, late = own, np.isin(own, often, assume_unique=True) if len(often) else np.zeros(n, bool)
-                prefix = np.concatenate((first[~late], first[late]))[:length]
+                often = rare[slot(own)]
+                prefix = own[np.argsort(often, kind="stable")[:length]]
                 sig = xxh3_128_digest(own.tobytes()) if n else None
-                rows.append((n, sig, np.uint64(xxh3_64_intdigest(prefix.tobytes(), n)).astype(np.int64), prefix.view(np.int64), spread(own)))
-            out = pd.DataFrame(rows, columns=["n", "sig", "gid", "prefix", "spread"])
+                rows.append((n, sig, np.uint64(xxh3_64_intdigest(prefix.tobytes(), n)).astype(np.int64), int(1000 * often.mean()) if n else 0, prefix.view(np.int64)))
+            out = pd.DataFrame(rows, columns=["n", "sig", "gid", "common", "prefix"])
             out.insert(0, "doc_id", part.doc_id.to_numpy())
             yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(describe, "doc_id long, n int, sig binary, gid long, prefix array<long>, spread binary")
+    return docs.mapInPandas(describe, "doc_id long, n int, sig binary, gid long, common int, prefix array<long>")
 
 
-def spread(own: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+def differences(held: np.ndarray, own: np.ndarray, linked: bool, percent: int, rare: np.ndarray) -> np.ndarray:
+    """The prefix of the difference of a set from its hub's, long enough to meet that of any set it could be linked with."""
+    new = np.setdiff1d(own, held, assume_unique=True)
+    gone = np.setdiff1d(held, own, assume_unique=True)
+    d, n, m, less, more = len(new) + len(gone), len(own), len(held), 100 - percent, 100 + percent
+    if linked:  # the other one is not, so they share more than half of d + less / more * (m - n)
+        length = d - max(1, (d * more + less * (m - n)) // (2 * more) + 1) + 1
+    else:  # they share at least d - less / more * (n + the other's size)
+        length = less * (n + 100 * n // percent) // more + 1
+    new = new[np.argsort(rare[slot(new)], kind="stable")]
+    return np.concatenate((new, gone))[: max(0, min(d, length))]
 
 
-def possible(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b) that may be similar enough: two sets share at most the smaller count of each range. A range with 255 or more on both sides says nothing, and such pairs stay."""
-    side = lambda end, n, x: rows.select(F.col("doc_id").alias(end), F.col("n").alias(n), F.col("spread").alias(x))
-    both = pairs.join(side("a", "an", "ax"), "a").join(side("b", "bn", "bx"), "b")
+def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, sketch) -> DataFrame:
+    """a, b, linked, n (size of b's set), d and z (size and prefix of its difference from a's; none where a has one pair) for ``pairs`` (a, b: ids, a the hub).
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            if len(part):
-                x, y = (np.frombuffer(b"".join(part[c]), np.uint8).reshape(-1, 256) for c in ("ax", "bx"))
-                low = np.minimum(x, y)
-                total = low.sum(1, dtype=np.int64)
-                n = part.an.to_numpy(np.int64) + part.bn.to_numpy(np.int64)
-                yield part.loc[(total * (100 + percent) >= percent * n) | (low == 255).any(1), ["a", "b"]]
-
-    return both.mapInPandas(check, "a long, b long")
-
-
-def packed(hashes: np.ndarray) -> bytes:
-    """The low six bytes of each hash, sorted: two different shingles of a pair of sets meet in them once in 10**9 pairs."""
-    low = np.sort(hashes & np.uint64(0xFFFFFFFFFFFF)).astype("<u8")
-    return low.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view("<u8")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: ids, a the one that more pairs share) whose sets are similar enough.
-
-    Each document sends its set to the first ends it is paired with, once each; an end with more than ``STAR`` pairs is
+    Each document sends its set to the hubs it is paired with, once each; a hub with more than ``STAR`` pairs is
     repeated, so that its pairs are dealt to several tasks. A task holds one set and reads the others as a stream.
     """
     pairs = stored(pairs)
-    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
-    ends = salts.select(F.col("a").alias("doc_id"), F.lit(0).alias("kind"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    others = pairs.join(salts, "a").select(F.col("b").alias("doc_id"), F.lit(1).alias("kind"), "a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"))
-    wanted = stored(ends.union(others).groupBy("doc_id").agg(F.collect_list(F.struct("a", "salt", "kind")).alias("to")))
-    chosen = docs.select("doc_id", "text").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id")
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"), (F.count("*") > 1).alias("many"))
+    ends = salts.select(F.col("a").alias("doc_id"), F.lit(0).alias("kind"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "many")
+    others = pairs.join(salts, "a").select(F.col("b").alias("doc_id"), F.lit(1).alias("kind"), "a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), "many")
+    # a class is paired with the hubs of its lists, so at most two a shingle of its prefix meet in one row; a hub has one row a salt
+    wanted = stored(ends.union(others).groupBy("doc_id").agg(F.collect_list(F.struct("a", "salt", "kind", "many")).alias("to")))
+    chosen = docs.join(F.broadcast(wanted) if pairs.count() <= BROADCAST_ROWS else wanted, "doc_id")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            for k in range(0, len(part), 256):
-                some = part.iloc[k : k + 256]
-                rows = [(x["a"], x["salt"], x["kind"], i, own) for i, text, to in zip(some.doc_id, some.text, some.to, strict=True) for own in (packed(shingles(text, size)),) for x in to]
-                yield pd.DataFrame(rows, columns=["a", "salt", "kind", "b", "own"])
+        for part in sliced(batches):
+            rows = [(x["a"], x["salt"], x["kind"], x["many"], i, raw) for i, text, to in zip(part.doc_id, part.text, part.to, strict=True) for raw in (shingles(text, size).tobytes(),) for x in to]
+            for k in range(0, len(rows), 256):
+                yield pd.DataFrame(rows[k : k + 256], columns=["a", "salt", "kind", "many", "b", "own"])
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held = None, None
         for part in batches:
-            ok = []
-            for a, salt, kind, b, raw in zip(part.a, part.salt, part.kind, part.b, part.own, strict=True):
-                own = unpacked(raw)
+            out = []
+            for a, salt, kind, many, b, raw in zip(part.a, part.salt, part.kind, part.many, part.b, part.own, strict=True):
+                own = np.frombuffer(raw, np.uint64)
                 if kind == 0:
                     at, held = (a, salt), own
                 elif at == (a, salt):
                     shared = len(np.intersect1d(held, own, assume_unique=True))
-                    if shared and 100 * shared >= percent * (len(held) + len(own) - shared):
-                        ok.append((a, b))
-            yield pd.DataFrame(ok, columns=["a", "b"])
+                    linked = 100 * shared >= percent * (len(held) + len(own) - shared)
+                    z = differences(held, own, linked, percent, sketch.value) if many else own[:0]
+                    out.append((a, b, linked, len(own), len(held) + len(own) - 2 * shared, z.view(np.int64)))
+            yield pd.DataFrame(out, columns=["a", "b", "linked", "n", "d", "z"])
 
-    sent = chosen.mapInPandas(sets, "a long, salt int, kind int, b long, own binary").repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
-    return stored(sent.mapInPandas(check, "a long, b long").distinct())
+    sent = chosen.mapInPandas(sets, "a long, salt int, kind int, many boolean, b long, own binary").repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
+    return stored(sent.mapInPandas(check, "a long, b long, linked boolean, n int, d int, z array<long>"))
 
 
-def similar_size(n: str, m: str, percent: int):
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+def looked_up(table: DataFrame) -> DataFrame:
+    """A side of a join: broadcast if it is small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable by links), n_copies (rows with an equal set), for each row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stored(described(docs, size, percent))
+    sketch = docs.sparkSession.sparkContext.broadcast(sketched(docs, size))
+    rows = stored(described(docs, size, percent, sketch))
     full = rows.where("n > 0 and doc_id is not null")
-    classes = stored(full.groupBy("sig", "gid", "n").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies")))
-    groups = classes.groupBy("gid").agg(F.min("cid").alias("rep"))
-    reps = stored(groups.select(F.col("rep").alias("doc_id")))
-    prefixes = full.select("doc_id", "n", "prefix").join(F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps, "doc_id", "left_semi")
-    # the index row of a shingle: size and place in the prefix share one number, which also orders the sizes
-    index = prefixes.select(F.col("doc_id").alias("rep"), "n", F.posexplode("prefix").alias("pos", "key")).select("key", "rep", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("place"))
-    by = Window.partitionBy("key")
-    n, pos = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(0xFFFFFFFF).cast("int")
-    shared = stored(index.withColumn("m", F.count("*").over(by)).where("m > 1").select("key", "rep", n.alias("n"), pos.alias("pos")))
-    # pairs of each group with the first, by size, of those that share a prefix shingle, and of classes inside a group
-    ordered = Window.partitionBy("key").orderBy("n", "rep")
-    near = shared.withColumn("a", F.first("rep").over(ordered)).withColumn("an", F.first("n").over(ordered))
-    near = near.where("a <> rep").where(similar_size("n", "an", percent)).select("a", F.col("rep").alias("b"))
-    inside = Window.partitionBy("gid").orderBy("cid")
-    within = classes.select(F.first("cid").over(inside).alias("a"), F.col("cid").alias("b")).where("a <> b")
-    tried = stored(near.union(within).distinct())
-    links = verified(tried, docs, size, percent)
-    roots = components(links)
-    # what is left: classes of different components under one prefix shingle, or in one group
-    labelled = stored(classes.join(roots, classes.cid == roots.id, "left").select("cid", "gid", "n", F.coalesce("root", "cid").alias("root")))
-    gids = groups.select("rep", "gid")
-    members = shared.select("key", "rep", "pos").join(gids, "rep").select("key", "gid", "pos").join(labelled, "gid")
-    split = members.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
-    members = stored(members.join(split, "key"))
-    sizes = members.groupBy("key", "root").count()
-    largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-    strays = members.join(largest, "key").where("root <> main").select("key", F.col("cid").alias("c1"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("root").alias("r1"), "main")
-    others = members.select("key", F.col("cid").alias("c2"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("root").alias("r2"))
-    # linked sets share ceil(t / (1 + t) * (n1 + n2)) shingles, and under the first of them none stands before this key's places
-    reach = F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2"))
-    enough = reach * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent
-    once = (F.col("r2") == F.col("main")) | (F.col("c1") < F.col("c2"))
-    # the smaller set first, as above, so that no pair is tried twice
-    first = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("c1") < F.col("c2")))
-    by_size = [F.when(first, F.col("c1")).otherwise(F.col("c2")).alias("a"), F.when(first, F.col("c2")).otherwise(F.col("c1")).alias("b")]
-    rest = strays.join(others, "key").where((F.col("r1") != F.col("r2")) & once & similar_size("n1", "n2", percent) & enough).select(*by_size)
-    apart = labelled.alias("x").join(labelled.groupBy("gid").agg(F.min("root").alias("g1"), F.max("root").alias("g2")).where("g1 <> g2"), "gid")
-    inner = apart.select("gid", F.col("cid").alias("c1"), F.col("root").alias("r1")).join(apart.select("gid", F.col("cid").alias("c2"), F.col("root").alias("r2")), "gid").where("r1 <> r2 and c1 < c2").select(F.col("c1").alias("a"), F.col("c2").alias("b"))
-    left = rest.union(inner).distinct().join(tried, ["a", "b"], "left_anti")
-    more = verified(possible(left, full.select("doc_id", "n", "spread"), percent).distinct(), docs, size, percent)
-    final = components(links.union(more)) if not more.isEmpty() else roots
-    named = classes.join(final, classes.cid == final.id, "left").select("sig", F.coalesce("root", "cid").alias("component"), "copies")
+    classes = stored(full.groupBy("sig", "gid", "n", "common").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies")))
+    # lists of groups by prefix shingle and size band: a class stands in its band's list and in that of the band before
+    reps = stored(classes.groupBy("gid").agg(F.min("cid").alias("doc_id")))
+    index = full.select("doc_id", "gid", "n", F.explode("prefix").alias("key")).join(looked_up(reps), ["doc_id", "gid"], "left_semi")
+    keys = stored(index.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"))
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * 1.001) + 1e-9).cast("int")
+    shared = index.join(looked_up(keys), "key").select("key", "gid", F.explode(F.array(band, band - 1)).alias("band"))
+    single = classes.select(F.col("gid").alias("key"), "gid", F.lit(-9).alias("band")).distinct()
+    lists = stored(shared.union(single).join(classes.select("gid", "cid", "common"), "gid").select("key", "band", "cid", "common"))
+    links = roots = None
+    for level in range(LEVELS):
+        hubs = lists.groupBy("key", "band").agg(F.count("*").alias("m"), F.max_by("cid", F.struct("common", "cid")).alias("a")).where("m > 1").select("key", "band", "a")
+        found = verified(lists.join(hubs, ["key", "band"]).where("cid <> a").select("a", F.col("cid").alias("b")).distinct(), docs, size, percent, sketch)
+        new = found.where("linked").select("a", "b")
+        links = new if links is None else links.union(new)
+        roots = components(links)
+        # the members of a hub's lists, under each shingle of their difference's prefix
+        root = lambda c: roots.select(F.col("id").alias(c), "root")
+        members = found.where("size(z) > 0").join(root("b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+        split = members.groupBy("a").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("a")
+        members = stored(members.join(looked_up(split), "a").select("a", F.posexplode("z").alias("pos", "key"), F.col("b").alias("cid"), "n", "d", "root"))
+        sums = members.groupBy("a", "key", "root").agg(F.count("*").alias("c")).groupBy("a", "key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max_by("root", F.struct("c", "root")).alias("main")).where("m * m > same")
+        sums = stored(sums)
+        open_rows, open_pairs = sums.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("same")) / 2)).first()
+        if not open_rows or open_pairs <= 4 * open_rows or level == LEVELS - 1:
+            break
+        lists = stored(members.join(looked_up(sums.select("a", "key")), ["a", "key"]).join(classes.select("cid", "common"), "cid").select(F.xxhash64("a", "key").alias("key"), F.lit(level).alias("band"), "cid", "common"))
+    if open_rows:
+        side = members.join(looked_up(sums.select("a", "key", "main")), ["a", "key"])
+        one = side.where("root <> main").select("a", "key", "main", *(F.col(c).alias(f"{c}1") for c in ("cid", "n", "d", "pos", "root")))
+        two = side.select("a", "key", *(F.col(c).alias(f"{c}2") for c in ("cid", "n", "d", "pos", "root")))
+        once = (F.col("root2") == F.col("main")) | (F.col("cid1") < F.col("cid2"))
+        # linked sets share half of what their differences exceed the allowance by, and none of it stands before this place
+        reach = F.least(F.col("d1") - F.col("pos1"), F.col("d2") - F.col("pos2"))
+        total = F.col("n1") + F.col("n2")
+        enough = 2 * reach * (100 + percent) + total * (100 - percent) >= (F.col("d1") + F.col("d2")) * (100 + percent)
+        similar = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent
+        rest = one.join(two, ["a", "key"]).where((F.col("root1") != F.col("root2")) & once & enough & similar)
+        more = verified(rest.select(F.greatest("cid1", "cid2").alias("a"), F.least("cid1", "cid2").alias("b")).distinct(), docs, size, percent, sketch).where("linked")
+        roots = components(links.union(more.select("a", "b"))) if not more.isEmpty() else roots
+    named = classes.join(roots, classes.cid == roots.id, "left").select("sig", F.coalesce("root", "cid").alias("component"), "copies")
     out = rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("sig")).alias("sig")).join(named, "sig", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("copies", F.lit(1)).alias("n_copies"))

@@ -13,6 +13,8 @@ from xxhash import xxh3_64_intdigest
 
 #: A row of this table is worked on together with so many others at most, so that memory is bounded by a few texts.
 SLICE = 256
+#: And with texts of so many characters in all, unless it is longer itself.
+CHARS = 1_500_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -43,6 +45,19 @@ def rolled(h: np.ndarray, size: int) -> np.ndarray:
     return mixed(total)
 
 
+def cuts(values: list[str | None], together: int = SLICE, chars: int = CHARS) -> Iterator[tuple[int, int]]:
+    """(from, until) of runs of so many texts and characters at most; a longer text is a run of its own."""
+    start = size = 0
+    for k, x in enumerate(values):
+        n = len(x or "")
+        if k > start and (k - start == together or size + n > chars):
+            yield start, k
+            start, size = k, 0
+        size += n
+    if start < len(values):
+        yield start, len(values)
+
+
 def over_texts(column: Column, start: Callable[[], Callable[[list[str | None]], pd.DataFrame]], schema: str, together: int = SLICE) -> Column:
     """A struct column computed from texts in Arrow batches.
 
@@ -56,20 +71,34 @@ def over_texts(column: Column, start: Callable[[], Callable[[list[str | None]],
         score = start()
         for texts in batches:
             values = [None if x is None or x != x else x for x in texts.tolist()]
-            for k in range(0, max(1, len(values)), together):
-                yield score(values[k : k + together])
+            if not values:
+                yield score(values)
+            for a, b in cuts(values, together):
+                yield score(values[a:b])
 
     return apply.asNondeterministic()(column)
 
 
+def sliced(batches: Iterator[pd.DataFrame], chars: int = CHARS, rows: int = SLICE) -> Iterator[pd.DataFrame]:
+    """The rows of the batches (text and others) in pieces of so many characters and rows at most; a longer text is a piece of its own."""
+    for part in batches:
+        if len(part):
+            size = part.text.str.len().fillna(0).to_numpy(np.int64)
+            at = np.cumsum(size) // chars + np.arange(len(part)) // rows
+            yield from (piece for _, piece in part.groupby(at, sort=False))
+
+
 def fold(n: int, id_column: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % n
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The frame written to the checkpoint folder that all executors share; one is made only where none is set, as in tests."""
+    """The frame written to the checkpoint folder that all executors share; one is made only where none is set, as in tests. On a cluster one must be set."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
