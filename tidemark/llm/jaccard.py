@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
@@ -34,9 +35,9 @@ from xxhash import xxh3_64_intdigest, xxh3_128_digest
 from tidemark.llm.components import components
 from tidemark.llm.texts import hashes, rolled, sliced, stored, words
 
-#: Counters of the sketch (a power of two) and the parts in which they are summed.
-SKETCH = 20
-PARTS = 64
+#: Counters of the sketch (the power of two; a byte each where it is used) and the parts in which they are summed.
+SKETCH = 24
+PARTS = 256
 #: Rows to look up are broadcast up to this number (some tens of MB), and joined with a shuffle beyond.
 BROADCAST_ROWS = 500_000
 #: Pairs that one set is held for in a task.
@@ -68,16 +69,16 @@ def sketched(docs: DataFrame, size: int) -> np.ndarray:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << SKETCH, np.uint32)
         for part in sliced(batches):
-            some = [shingles(text, size) for text in part.text]
-            total += np.bincount(slot(np.concatenate(some)), minlength=1 << SKETCH).astype(np.uint32)
-        if total.any():
-            yield pd.DataFrame({"part": np.arange(PARTS), "n": [x.tobytes() for x in total.reshape(PARTS, width)]})
+            at, n = np.unique(slot(np.concatenate([shingles(text, size) for text in part.text])), return_counts=True)
+            total[at] += n.astype(np.uint32)
+        for k in range(0, PARTS, 16):
+            yield pd.DataFrame({"part": np.arange(k, k + 16), "n": [zstandard.compress(x.tobytes(), 1) for x in total[k * width : (k + 16) * width].reshape(16, width)]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for part in batches:
             for k, raw in zip(part.part, part.n, strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(raw, np.uint32).astype(np.uint64)
+                sums[k] = sums.get(k, 0) + np.frombuffer(zstandard.decompress(raw), np.uint32).astype(np.uint64)
         if sums:
             yield pd.DataFrame({"part": list(sums), "n": [np.floor(2 * np.log2(x + 1.0)).astype(np.uint8).tobytes() for x in sums.values()]})
 
