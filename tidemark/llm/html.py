@@ -1,11 +1,15 @@
 """HTML extraction: parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
-The standard library's parser streams events; block elements part the page into lines. A line has its text, its
-number of tags and its chain of containers. The ratios of text to tags are smoothed along the page with a Gaussian, two
-means of the smoothed ratios give the threshold, and lines above it are content. The region is the page's only article or main
-element if that holds most of the content's text, else the innermost container that holds most of it and has no prose beside it;
-its lines are the result (outside of article and main: those of children with prose), without those in menus, headers,
-footers, sidebars, notices, adverts, forms, comments or hidden elements, which are known by element, role, class or id.
+The standard library's parser streams events; block elements part the page into lines. A line has its text, its number of
+tags, what of it is in links, and its chain of containers. The logarithms of the ratios of text to tags (from ``FULL`` on all
+alike) are smoothed along the page with a Gaussian, two means of the smoothed values give the threshold, and lines above it (lines of full text: above three quarters of it) that aren't mostly links are content. The region
+is the page's only article or main element if that holds most of the content's text, else the innermost container that holds
+most of it and has no content beside it. A region grows by elements: its result is the lines that stand in it directly or in
+one of its containers that has content or that lies between content and is not mostly links.
+
+Lists of elements, roles and class names only correct this. Menus, footers, asides, hidden elements and reader comments are left
+out; forms, headers and elements whose class or id has a boilerplate word as a name of its own or as the first or last part of
+one (not "has-sidebar" and the like) are left out unless they hold half of the page's text.
 
 Defined results: a null, empty or text-free page gives the empty text; broken markup is parsed as far as it goes (open
 elements end where an enclosing one ends); each page is worked on by itself, so repeated pages give repeated rows.
@@ -15,6 +19,7 @@ from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -24,48 +29,81 @@ from tidemark.llm.texts import over_texts
 
 #: Elements by their role in a page.
 SILENT = frozenset("script style noscript template head title svg math canvas object embed iframe audio video select option textarea button".split())
-ASIDE = frozenset("nav header footer aside form menu dialog fieldset".split())
+OUT = frozenset("nav footer aside menu dialog".split())
+DOUBTFUL = frozenset("header form fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = frozenset("article main section div td body html blockquote".split())
-#: Elements by which a page itself marks its content, and characters from which a line counts as prose.
+#: Elements by which a page itself marks its content, and the ratio from which a line is full text.
 MARKED = frozenset(("article", "main"))
-PROSE = 80
+FULL = 100.0
+#: The ratio above which smoothed lines are content however the two means lie, as on a page of nothing but text.
+ENOUGH = 8.0
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|sidebar|side|aside|footer|header|masthead|cookies?|consent|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommended|comments?|disqus|replies|respond|widget|toolbar|pagination|pager|skip)(?:$|[\s_-])", re.I)
+WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsors sponsored promo promos promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer header masthead cookie cookies consent notice alert popup modal overlay newsletter subscribe signup login search share sharing social related recommended widget toolbar pagination pager skip".split())
+COMMENTS = frozenset("comment comments disqus reply replies respond".split())
+#: Parts of names that say something about a page, not what an element is.
+ABOUT = frozenset("has with without no is layout open closed enabled disabled".split())
 #: An open element on the left is closed by the start of one on the right.
 CLOSED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
 
+class Line(NamedTuple):
+    text: str
+    tags: int
+    linked: int  # characters in links
+    out: bool
+    doubtful: tuple[int, ...]  # elements around it that are left out unless they hold most of the text
+    chain: tuple[int, ...]  # containers
+
+
+class Open(NamedTuple):
+    tag: str
+    silent: bool
+    out: bool
+    doubtful: tuple[int, ...]
+    container: int
+    link: bool
+
+
+def named(names: str, among: frozenset[str]) -> bool:
+    """Whether a class or id is one of these words, or has one as its first or last part."""
+    for name in names.lower().split():
+        parts = re.split(r"[-_]+", name.strip("-_"))
+        if (parts[0] in among or parts[-1] in among) and ABOUT.isdisjoint(parts):
+            return True
+    return False
+
+
 class Lines(HTMLParser):
-    """Collects (text, tags, kept, containers) for each line of a page."""
+    """Collects the lines of a page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool, int]] = []  # element, silent, boilerplate, number of its container
-        self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
+        self.open: list[Open] = []
+        self.lines: list[Line] = []
         self.parent = {0: -1}
         self.names = {0: ""}  # of each container: its element
         self.text: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = self.elements = 0
 
-    def state(self) -> tuple[bool, bool, int]:
-        return self.open[-1][1:] if self.open else (False, False, 0)
+    def state(self) -> Open:
+        return self.open[-1] if self.open else Open("", False, False, (), 0, False)
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
-        _, aside, own = self.state()
+        at = self.state()
         if text:
-            chain = []
+            chain, own = [], at.container
             while own >= 0:
                 chain.append(own)
                 own = self.parent[own]
-            self.lines.append((text, self.tags, not aside, tuple(chain[::-1])))
+            self.lines.append(Line(text, self.tags, min(self.linked, len(text)), at.out, at.doubtful, tuple(chain[::-1])))
             self.tags = 0
-        self.text = []
+        self.text, self.linked = [], 0
 
     def close_to(self, k: int) -> None:
-        if any(x[0] in BLOCK for x in self.open[k:]):
+        if any(x.tag in BLOCK for x in self.open[k:]):
             self.flush()
         del self.open[k:]
 
@@ -77,43 +115,58 @@ class Lines(HTMLParser):
         if tag in BLOCK:
             self.flush()
         for k in range(len(self.open) - 1, -1, -1):
-            if tag in CLOSED_BY.get(self.open[k][0], ()):
+            if tag in CLOSED_BY.get(self.open[k].tag, ()):
                 self.close_to(k)
                 break
-            if self.open[k][0] in CONTAINER or self.open[k][0] in ("table", "ul", "ol", "dl", "select"):
+            if self.open[k].tag in CONTAINER or self.open[k].tag in ("table", "ul", "ol", "dl", "select"):
                 break
         if tag in VOID:
             return
-        silent, aside, own = self.state()
+        at, own = self.state(), self.state().container
         a = {k: v or "" for k, v in attrs}
-        names = f"{a.get('class', '')} {a.get('id', '')}"
-        hidden = "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", ""))
-        aside = aside or tag in ASIDE or bool(hidden) or a.get("role", "").lower() in ROLES or (tag not in ("html", "body", "main", "article") and bool(BOILERPLATE.search(names))) or (tag == "article" and bool(re.search(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies))(?:$|[\s_-])", names, re.I)))
-        if tag in CONTAINER or tag in ASIDE:
+        names, page = f"{a.get('class', '')} {a.get('id', '')}", tag in ("html", "body")
+        hidden = "hidden" in a or a.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", a.get("style", "")))
+        out = tag in OUT or hidden or a.get("role", "").lower() in ROLES or (not page and tag != "main" and named(names, COMMENTS))
+        doubtful = tag in DOUBTFUL or (not page and tag not in MARKED and named(names, WORDS))
+        self.elements += 1
+        if tag in CONTAINER or tag in OUT or tag in DOUBTFUL:
             self.parent[n := len(self.parent)] = own
             self.names[n] = tag
             own = n
-        self.open.append((tag, silent or tag in SILENT, aside, own))
+        self.open.append(Open(tag, at.silent or tag in SILENT, at.out or out, (*at.doubtful, self.elements) if doubtful else at.doubtful, own, at.link or tag == "a"))
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
+            if self.open[k].tag == tag:
                 self.close_to(k)
                 return
         if tag in BLOCK:
             self.flush()
 
     def handle_data(self, data: str) -> None:
-        if not self.state()[0]:
+        if not self.state().silent:
             self.text.append(data)
-
-
-    def marked(self, prose: np.ndarray, weight: np.ndarray, least: float) -> int | None:
-        """The outermost article or main element with prose, if it is the only one and holds so much weight."""
+            self.linked += len(data) if self.state().link else 0
+
+    def corrected(self) -> np.ndarray:
+        """Which lines the lists leave: a doubtful element of several lines that holds half of the text, and any article there is, is no boilerplate."""
+        rows = [x for x in self.lines if not x.out]
+        total = sum(len(x.text) for x in rows)
+        inside: dict[int, list[Line]] = {}
+        for x in rows:
+            for k in x.doubtful:
+                inside.setdefault(k, []).append(x)
+        article = lambda x: any(self.names[c] in MARKED for c in x.chain)
+        articles = sum(map(article, rows))
+        kept = {k for k, own in inside.items() if len(own) > 1 and 2 * sum(len(x.text) for x in own) >= total and sum(map(article, own)) == articles}
+        return np.array([not x.out and kept.issuperset(x.doubtful) for x in self.lines])
+
+    def marked(self, content: np.ndarray, weight: np.ndarray, least: float) -> int | None:
+        """The outermost article or main element with content, if it is the only one and holds so much weight."""
         held: dict[int, float] = {}
-        for k in np.flatnonzero(prose):
-            outer = next((c for c in self.lines[k][3] if self.names[c] in MARKED), None)
+        for k in np.flatnonzero(content):
+            outer = next((c for c in self.lines[k].chain if self.names[c] in MARKED), None)
             if outer is not None:
                 held[outer] = held.get(outer, 0.0) + weight[k]
         return next(iter(held)) if len(held) == 1 and sum(held.values()) >= least else None
@@ -150,33 +203,42 @@ def extract(html: str | None, sigma: float = 1.0, share: float = 0.6) -> tuple[s
     lines = parser.lines
     if not lines:
         return "", 0, 0, 0.0
-    length = np.array([len(x[0]) for x in lines], float)
-    smooth = smoothed(length / np.array([max(1, x[1]) for x in lines]), sigma)
-    limit = threshold(smooth)
-    kept = np.array([x[2] for x in lines])
-    content = kept & (smooth >= limit)
+    length = np.array([len(x.text) for x in lines], float)
+    ratio = np.log1p(np.minimum(FULL, length / np.array([max(1, x.tags) for x in lines])))
+    smooth = smoothed(ratio, sigma)
+    limit = min(threshold(smooth), float(np.log1p(ENOUGH)))
+    left = parser.corrected()
+    # one line of full text between two short ones is smoothed to under the threshold, but not far
+    links = 2 * np.array([x.linked for x in lines]) >= length
+    content = left & ~links & ((smooth >= limit) | ((ratio >= np.log1p(FULL)) & (smooth >= 0.75 * limit)))
     if not content.any():
-        content = kept
+        content = left
+    places = np.flatnonzero(content)
     total = float(length[content].sum())
-    # the two means may lie above ordinary paragraphs where one is huge, so any long line counts as text of the article
-    prose = content | (kept & (length >= PROSE))
-    at = parser.marked(prose, length * content, share * total)
-    while at is None or parser.names[at] not in MARKED:  # into the container that holds most of the content, while no text of the article lies beside it
+    at = parser.marked(content, length, share * total)
+    while at is None or parser.names[at] not in MARKED:  # into the container that holds most of the content, while none lies beside it
         at = at or 0
         inner: dict[int, float] = {}
-        for k in np.flatnonzero(content):
-            chain = lines[k][3]
+        for k in places:
+            chain = lines[k].chain
             if at in chain[:-1]:
                 child = chain[chain.index(at) + 1]
                 inner[child] = inner.get(child, 0.0) + length[k]
         best = max(inner, key=lambda c: (inner[c], -c), default=None)
-        if best is None or inner[best] < share * total or any(at in lines[k][3] and best not in lines[k][3] for k in np.flatnonzero(prose)):
+        if best is None or inner[best] < share * total or any(at in lines[k].chain and best not in lines[k].chain for k in places):
             break
         at = best
-    whole = parser.names[at] in MARKED
-    good = {lines[k][3][lines[k][3].index(at) + 1] for k in np.flatnonzero(prose) if at in lines[k][3][:-1]}
-    chosen = [x[0] for x in lines if x[2] and at in x[3] and (whole or x[3][-1] == at or x[3][x[3].index(at) + 1] in good)]
-    return "\n\n".join(chosen), len(lines), len(chosen), float(limit)
+    inside = [k for k in places if at in lines[k].chain]
+    units: dict[int, list[int]] = {}
+    for k, x in enumerate(lines):
+        if left[k] and at in x.chain:
+            units.setdefault(x.chain[x.chain.index(at) + 1] if x.chain[-1] != at else at, []).append(k)
+    chosen: list[int] = []
+    for unit, own in units.items():
+        between = bool(inside) and inside[0] < own[0] and own[-1] < inside[-1]
+        if unit == at or content[own].any() or (between and 2 * sum(lines[k].linked for k in own) < length[own].sum()):
+            chosen += own
+    return "\n\n".join(lines[k].text for k in sorted(chosen)), len(lines), len(chosen), float(limit)
 
 
 def main_text(column: Column, sigma: float = 1.0, share: float = 0.6) -> Column:
