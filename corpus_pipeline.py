@@ -14,8 +14,8 @@ from tidemark.llm.texts import stored
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose perplexity under the model of trusted text is above their language's limit, and empty ones."""
-    judged = quality.classify(docs, table(spark, sf_dir, "labels"))
-    return judged.where("_quality.keep").select(*docs.columns)
+    name = quality.fresh("quality", docs)
+    return quality.classify(docs, table(spark, sf_dir, "labels"), output=name).where(F.col(name)["keep"]).select(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
