@@ -82,20 +82,94 @@ def test_pitman_yor_counts_are_exact_and_better_than_the_base(spark, docs):
 
 def test_pitman_yor_sums_to_one_and_repeats(spark, docs):
     rows = docs.select("doc_id", "text", F.lit(False).alias("held_out")).limit(40)
-    counts = pitman_yor.counted(rows, 3)
+    table = spark.sparkContext.broadcast(pitman_yor.spelling(rows))
+    counts = pitman_yor.counted(rows, 3, table)
     model = pitman_yor.trained(counts)
     shards = [(r.shard, pitman_yor.Counts.of(r)) for r in counts.collect()]
+    everything = np.arange(pitman_yor.SPELLINGS, dtype=np.uint8)
     for k in (5, int(pitman_yor.context_of(np.array([pitman_yor.START]))[0])):
         total = 0.0
         for s, own in shards:
-            p, _ = pitman_yor.Scorer(model, s, own).score(own.words, np.ones(len(own.words), np.int64), np.full(len(own.words), k, np.uint16))
+            p, _ = pitman_yor.Scorer(model, s, own).score(own.words, np.ones(len(own.words), np.int64), np.full(len(own.words), k, np.uint16), own.spelled)
             total += p.sum()
-        unknown, _ = pitman_yor.Scorer(model, *shards[0]).score(np.array([3], np.uint64), np.ones(1, np.int64), np.array([k], np.uint16))
-        assert abs(total + unknown[0] - 1) < 1e-9
-    a, b = (pitman_yor.scored(rows, counts, model, 3).orderBy("doc_id").toPandas().score for _ in range(2))
+        unknown, _ = pitman_yor.Scorer(model, *shards[0]).score(np.arange(3, 3 + len(everything), dtype=np.uint64), np.ones(len(everything), np.int64), np.full(len(everything), k, np.uint16), everything)
+        assert abs(total + unknown.sum() - 1) < 1e-9
+    a, b = (pitman_yor.scored(rows, counts, model, 3, table).orderBy("doc_id").toPandas().score for _ in range(2))
     assert (a == b).all()
 
 
+def test_pitman_yor_prefers_text_to_random_letters(spark):
+    rnd = random.Random(3)
+    junk = [(-1 - i, " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(60)), True) for i in range(20)]
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", (fold(7) == 2).alias("held_out"))
+    got = pitman_yor.language_model(real.union(spark.createDataFrame(junk, real.schema))).where("held_out").toPandas()
+    token = got.score / got.n_tokens
+    assert token[got.doc_id < 0].max() < token[got.doc_id >= 0].median() - 1 and got.score[got.doc_id >= 0].sum() > got.base_score[got.doc_id >= 0].sum()
+
+
+def test_pitman_yor_agrees_with_a_sampler_of_one_customer_at_a_time(spark):
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choice(["aa", "bb", "cc", "dd", "ee", "ff", f"n{rnd.randrange(40)}"]) for _ in range(rnd.randrange(3, 12))) for _ in range(60)]
+    rows = spark.createDataFrame([(i, x, False) for i, x in enumerate(texts)], "doc_id long, text string, held_out boolean")
+    table = spark.sparkContext.broadcast(pitman_yor.spelling(rows))
+    counts = pitman_yor.counted(rows, 1, table)
+    model = pitman_yor.trained(counts, samples=30)
+    own = pitman_yor.Counts.of(counts.first())
+    of = np.repeat(np.arange(len(own.words)), own.width)
+    fast, _ = pitman_yor.Scorer(model, 0, own).score(own.words, own.width, own.contexts, own.spelled)
+    # the same model, with each customer taken out and seated again by itself
+    d, e, theta, top = model.discount, model.parent_discount, model.strength, model.parent_strength
+    seats, parents, at, up = [[] for _ in of], [[] for _ in own.words], Counter(), Counter()
+
+    def base():
+        tables = sum(map(len, parents))
+        return (top + e * tables) * (1 - min(0.99, len(parents) / max(1, tables))) / len(parents)
+
+    def parent(w):
+        return (sum(parents[w]) - e * len(parents[w]) + base()) / (top + up["all"])
+
+    def seat(tables, new, discount):
+        weights = [c - discount for c in tables] + [new]
+        k = rnd.choices(range(len(weights)), weights)[0]
+        tables[k:k + 1] = [tables[k] + 1] if k < len(tables) else [1]
+        return k == len(weights) - 1
+
+    def add(i):
+        w, k = of[i], own.contexts[i]
+        at[k, "n"] += 1
+        if seat(seats[i], (theta + d * at[k]) * max(parent(w), 1e-12), d):
+            at[k] += 1
+            up["all"] += 1
+            seat(parents[w], max(base(), 1e-12), e)
+
+    def leave(i):
+        w, k = of[i], own.contexts[i]
+        j = rnd.choices(range(len(seats[i])), seats[i])[0]
+        at[k, "n"] -= 1
+        seats[i][j] -= 1
+        if not seats[i][j]:
+            del seats[i][j]
+            at[k] -= 1
+            up["all"] -= 1
+            j = rnd.choices(range(len(parents[w])), parents[w])[0]
+            parents[w][j] -= 1
+            if not parents[w][j]:
+                del parents[w][j]
+
+    for i, c in enumerate(own.customers):
+        for _ in range(c):
+            add(i)
+    slow = np.zeros(len(of))
+    for sweep in range(60):
+        for i, c in enumerate(own.customers):
+            for _ in range(c):
+                leave(i)
+                add(i)
+        if sweep >= 20:
+            slow += [(sum(seats[i]) - d * len(seats[i]) + (theta + d * at[own.contexts[i]]) * parent(of[i])) / (theta + at[own.contexts[i], "n"]) / 40 for i in range(len(of))]
+    assert np.abs(np.log10(fast) - np.log10(slow)).max() < 0.25 and abs((own.customers * (np.log10(fast) - np.log10(slow))).sum() / own.customers.sum()) < 0.03
+
+
 def test_pitman_yor_without_training_text(spark):
     assert pitman_yor.language_model(one(spark, [], "doc_id long, text string, held_out boolean")).count() == 0
     got = pitman_yor.language_model(one(spark, [(1, "a b", True)], "doc_id long, text string, held_out boolean")).first()
