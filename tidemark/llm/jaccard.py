@@ -10,11 +10,11 @@ sketch of fixed size that is summed over all documents; what it gets wrong chang
 3. Pairs are verified on the whole sets of 64-bit hashes; verified links are closed to components.
 4. Pairs that share a list, neither of them the hub, are searched by their differences from it. Let D be what a set has
    and the hub lacks or the other way round. Of a linked pair of which one isn't linked to the hub, the two D
-   share more than half of what |D1| + |D2| exceeds (1 - t) / (1 + t) * (n1 + n2), which is above 0, so they meet in a
-   prefix of each D (shingles that the hub lacks first). These prefixes make the next lists, in which a text that all members
-   share no longer counts, and step 2 is repeated.
-5. When the lists hold few pairs of different components, or after ``LEVELS`` rounds, all pairs that are left and pass the
-   place and size filters are verified. Nothing is capped: each round costs work in proportion to its lists.
+   share half of what |D1| + |D2| exceeds (1 - t) / (1 + t) * (n1 + n2), which is above 0, so they meet in a
+   prefix of each D (shingles that the hub lacks first): under half of D, but longer for one that isn't linked to the hub
+   beside one that is. Pairs that meet so and pass the place and size filters are verified too; a text that all members of a
+   list share makes none. Should they be many more than the members, the prefixes make lists of their own, and step 2 is
+   repeated with them, up to ``LEVELS`` times. Nothing is capped.
 
 Defined results: without words, or with null text, a set is empty and linked with nothing; with fewer words than a
 shingle the whole sequence is the one element; a null id is its own component; rows that repeat an id are each reported.
@@ -41,8 +41,8 @@ PARTS = 256
 #: Rows to look up are broadcast up to this number (some tens of MB), and joined with a shuffle beyond.
 BROADCAST_ROWS = 500_000
 #: Pairs that one set is held for in a task.
-STAR = 2000
-LEVELS = 5
+STAR = 500
+LEVELS = 4
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -111,21 +111,21 @@ def described(docs: DataFrame, size: int, percent: int, sketch) -> DataFrame:
     return docs.mapInPandas(describe, "doc_id long, n int, sig binary, gid long, common int, prefix array<long>")
 
 
-def differences(held: np.ndarray, own: np.ndarray, linked: bool, percent: int, rare: np.ndarray) -> np.ndarray:
-    """The prefix of the difference of a set from its hub's, long enough to meet that of any set it could be linked with."""
+def differences(held: np.ndarray, own: np.ndarray, linked: bool, percent: int, rare: np.ndarray) -> tuple[int, np.ndarray]:
+    """(length of the short prefix, prefix) of the difference of a set from its hub's, long enough to meet that of any set it could be linked with."""
     new = np.setdiff1d(own, held, assume_unique=True)
     gone = np.setdiff1d(held, own, assume_unique=True)
     d, n, m, less, more = len(new) + len(gone), len(own), len(held), 100 - percent, 100 + percent
-    if linked:  # the other one is not, so they share more than half of d + less / more * (m - n)
-        length = d - max(1, (d * more + less * (m - n)) // (2 * more) + 1) + 1
-    else:  # they share at least d - less / more * (n + the other's size)
-        length = less * (n + 100 * n // percent) // more + 1
+    # beside one that the hub isn't linked with: they share more than half of d + less / more * (m - n)
+    short = d - max(1, (d * more + less * (m - n)) // (2 * more) + 1) + 1
+    # an unlinked one beside a linked one: they share d - less / more * (n + the other's size) at least
+    length = short if linked else max(short, less * (n + 100 * n // percent) // more + 1)
     new = new[np.argsort(rare[slot(new)], kind="stable")]
-    return np.concatenate((new, gone))[: max(0, min(d, length))]
+    return max(0, min(d, short)), np.concatenate((new, gone))[: max(0, min(d, length))]
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, sketch) -> DataFrame:
-    """a, b, linked, n (size of b's set), d and z (size and prefix of its difference from a's; none where a has one pair) for ``pairs`` (a, b: ids, a the hub).
+    """a, b, linked, n (size of b's set), d, short and z (size, length of the short prefix and prefix of its difference from a's; none where a has one pair) for ``pairs`` (a, b: ids, a the hub).
 
     Each document sends its set to the hubs it is paired with, once each; a hub with more than ``STAR`` pairs is
     repeated, so that its pairs are dealt to several tasks. A task holds one set and reads the others as a stream.
@@ -155,12 +155,12 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, sketch)
                 elif at == (a, salt):
                     shared = len(np.intersect1d(held, own, assume_unique=True))
                     linked = 100 * shared >= percent * (len(held) + len(own) - shared)
-                    z = differences(held, own, linked, percent, sketch.value) if many else own[:0]
-                    out.append((a, b, linked, len(own), len(held) + len(own) - 2 * shared, z.view(np.int64)))
-            yield pd.DataFrame(out, columns=["a", "b", "linked", "n", "d", "z"])
+                    short, z = differences(held, own, linked, percent, sketch.value) if many else (0, own[:0])
+                    out.append((a, b, linked, len(own), len(held) + len(own) - 2 * shared, short, z.view(np.int64)))
+            yield pd.DataFrame(out, columns=["a", "b", "linked", "n", "d", "short", "z"])
 
     sent = chosen.mapInPandas(sets, "a long, salt int, kind int, many boolean, b long, own binary").repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
-    return stored(sent.mapInPandas(check, "a long, b long, linked boolean, n int, d int, z array<long>"))
+    return stored(sent.mapInPandas(check, "a long, b long, linked boolean, n int, d int, short int, z array<long>"))
 
 
 def looked_up(table: DataFrame) -> DataFrame:
@@ -194,24 +194,27 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
         root = lambda c: roots.select(F.col("id").alias(c), "root")
         members = found.where("size(z) > 0").join(root("b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
         split = members.groupBy("a").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("a")
-        members = stored(members.join(looked_up(split), "a").select("a", F.posexplode("z").alias("pos", "key"), F.col("b").alias("cid"), "n", "d", "root"))
-        sums = members.groupBy("a", "key", "root").agg(F.count("*").alias("c")).groupBy("a", "key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max_by("root", F.struct("c", "root")).alias("main")).where("m * m > same")
-        sums = stored(sums)
-        open_rows, open_pairs = sums.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("same")) / 2)).first()
-        if not open_rows or open_pairs <= 4 * open_rows or level == LEVELS - 1:
+        members = members.join(looked_up(split), "a").select("a", F.posexplode("z").alias("pos", "key"), F.col("b").alias("cid"), "n", "d", "root", "linked", "short")
+        members = stored(members.withColumn("near", ~F.col("linked") & (F.col("pos") < F.col("short"))).drop("short"))
+        # pairs of unlinked ones in their short prefixes, and of an unlinked with a linked one, if of different components
+        many = lambda c: F.sum(c.cast("long"))
+        sums = members.groupBy("a", "key", "root").agg(many(F.col("near")).alias("u"), many(~F.col("linked")).alias("v"), many(F.col("linked")).alias("l")).groupBy("a", "key")
+        sums = sums.agg(F.sum(F.col("u") + F.col("v") + F.col("l")).alias("m"), F.sum("u").alias("su"), F.sum("v").alias("sv"), F.sum("l").alias("sl"), F.sum(F.col("u") * F.col("u") + 2 * F.col("v") * F.col("l")).alias("same"))
+        sums = stored(sums.select("a", "key", "m", ((F.col("su") * F.col("su") + 2 * F.col("sv") * F.col("sl") - F.col("same")) / 2).alias("pairs")).where("pairs > 0"))
+        open_rows, open_pairs = sums.agg(F.sum("m"), F.sum("pairs")).first()
+        if not open_rows or open_pairs <= 8 * open_rows or level == LEVELS - 1:
             break
         lists = stored(members.join(looked_up(sums.select("a", "key")), ["a", "key"]).join(classes.select("cid", "common"), "cid").select(F.xxhash64("a", "key").alias("key"), F.lit(level).alias("band"), "cid", "common"))
     if open_rows:
-        side = members.join(looked_up(sums.select("a", "key", "main")), ["a", "key"])
-        one = side.where("root <> main").select("a", "key", "main", *(F.col(c).alias(f"{c}1") for c in ("cid", "n", "d", "pos", "root")))
-        two = side.select("a", "key", *(F.col(c).alias(f"{c}2") for c in ("cid", "n", "d", "pos", "root")))
-        once = (F.col("root2") == F.col("main")) | (F.col("cid1") < F.col("cid2"))
+        side = members.join(looked_up(sums.select("a", "key")), ["a", "key"])
+        one, two = (side.select("a", "key", *(F.col(c).alias(f"{c}{k}") for c in ("cid", "n", "d", "pos", "root", "linked", "near"))) for k in (1, 2))
+        kinds = (F.col("near1") & F.col("near2") & (F.col("cid1") < F.col("cid2"))) | (~F.col("linked1") & F.col("linked2"))
         # linked sets share half of what their differences exceed the allowance by, and none of it stands before this place
         reach = F.least(F.col("d1") - F.col("pos1"), F.col("d2") - F.col("pos2"))
         total = F.col("n1") + F.col("n2")
         enough = 2 * reach * (100 + percent) + total * (100 - percent) >= (F.col("d1") + F.col("d2")) * (100 + percent)
         similar = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent
-        rest = one.join(two, ["a", "key"]).where((F.col("root1") != F.col("root2")) & once & enough & similar)
+        rest = one.where("not linked1").join(two.where("near2 or linked2"), ["a", "key"]).where((F.col("root1") != F.col("root2")) & kinds & enough & similar)
         more = verified(rest.select(F.greatest("cid1", "cid2").alias("a"), F.least("cid1", "cid2").alias("b")).distinct(), docs, size, percent, sketch).where("linked")
         roots = components(links.union(more.select("a", "b"))) if not more.isEmpty() else roots
     named = classes.join(roots, classes.cid == roots.id, "left").select("sig", F.coalesce("root", "cid").alias("component"), "copies")
