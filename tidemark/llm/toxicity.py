@@ -4,7 +4,7 @@ The features are densities of a lexicon (learned from the training rows, by docu
 and of word beginnings, beside a short list of common insults), nearness of its hits to second-person
 pronouns, and rates of capitals, punctuation, digits, repeated letters and obfuscated words. Trees are
 fitted to the logistic loss on histograms of the features; scores are calibrated by pool-adjacent-violators
-on out-of-fold predictions.
+on out-of-fold predictions, for which each fold has a lexicon and trees that are learned without it.
 
 Defined results: a null text counts as empty; an empty text gets the score of its (all zero) features;
 without labelled rows every score is 0, with rows of one label only it is that label. Rows that repeat an id
@@ -43,7 +43,7 @@ def plain(word: str) -> str:
 class Words:
     """What a word contributes to the features, remembered for the words seen most recently."""
 
-    LIMIT = 400_000
+    LIMIT = 100_000
 
     def __init__(self, lexicon: dict[str, float]) -> None:
         self.lexicon, self.known = lexicon, {}
@@ -178,50 +178,58 @@ class Model:
         return score
 
 
-def learned_lexicon(train: DataFrame, max_terms: int = 2000, least: int = 6, ratio: float = 8.0) -> dict[str, float]:
-    """Words and beginnings of words ("abcd*") that ``ratio`` times as many toxic as other documents contain, with their log ratio.
+def learned_lexicons(train: DataFrame, folds: int, max_terms: int = 2000, least: int = 6, ratio: float = 8.0) -> list[dict[str, float]]:
+    """Words and beginnings of words ("abcd*") that ``ratio`` times as many toxic as other documents contain, with their log ratio: learned from all rows, and without each fold.
 
-    ``train``: text, label. One aggregation with map-side sums; at most ``max_terms`` terms, by how many toxic documents hold them, come back.
+    ``train``: text, label, fold. One aggregation with map-side sums; for each lexicon at most ``max_terms`` terms, by how many toxic documents hold them, come back.
     """
     word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))))
-    once = train.where("text is not null").select("label", word.alias("word"))
+    once = train.where("text is not null").select("label", "fold", word.alias("word"))
     forms = F.array(F.col("word"), *(F.when(F.length("word") >= n, F.concat(F.substring("word", 1, n), F.lit("*"))) for n in BEGINNINGS))
     # a document that holds a beginning in several words counts once for each: the ratio is one of word types
-    terms = once.select("label", F.explode(forms).alias("term")).where("term is not null")
-    counts = terms.groupBy("term").agg(F.sum("label").alias("toxic"), F.count("*").alias("n"))
-    totals = train.agg(F.sum("label"), F.count("*")).first()
-    toxic, clean = float(totals[0] or 0), float(totals[1] - (totals[0] or 0))
-    if not toxic or not clean:
-        return {}
-    rate = ((F.col("toxic") + 0.5) / toxic) / ((F.col("n") - F.col("toxic") + 0.5) / clean)
-    rows = counts.where(F.col("toxic") >= least).withColumn("ratio", rate).where(F.col("ratio") >= ratio).orderBy(F.desc("toxic"), "term").limit(max_terms).select("term", F.log("ratio")).collect()
-    return {t: float(w) for t, w in rows}
-
-
-def train(labelled: DataFrame, max_train_rows: int = 8000, folds: int = 5) -> Model:
-    """Fit on ``labelled`` (text, label 0 or 1, order: a hash that decides which rows are taken if there are more than ``max_train_rows``)."""
+    terms = once.select("label", "fold", F.explode(forms).alias("term")).where("term is not null")
+    use = [F.lit(True), *(F.col("fold") != k for k in range(folds))]
+    sums = [x for k, u in enumerate(use) for x in (F.sum(F.when(u, F.col("label")).otherwise(0)).alias(f"toxic{k}"), F.sum(u.cast("int")).alias(f"n{k}"))]
+    totals = train.agg(*sums).first()
+    counts = stored(terms.groupBy("term").agg(*sums).where(F.col("toxic0") >= least))
+    out = []
+    for k in range(folds + 1):
+        toxic, clean = float(totals[f"toxic{k}"] or 0), float((totals[f"n{k}"] or 0) - (totals[f"toxic{k}"] or 0))
+        if not toxic or not clean:
+            out.append({})
+            continue
+        rate = ((F.col(f"toxic{k}") + 0.5) / toxic) / ((F.col(f"n{k}") - F.col(f"toxic{k}") + 0.5) / clean)
+        rows = counts.where(F.col(f"toxic{k}") >= least).withColumn("ratio", rate).where(F.col("ratio") >= ratio).orderBy(F.desc(f"toxic{k}"), "term").limit(max_terms).select("term", F.log("ratio")).collect()
+        out.append({t: float(w) for t, w in rows})
+    return out
+
+
+def train(labelled: DataFrame, folds: int = 3) -> Model:
+    """Fit on ``labelled`` (text, label 0 or 1, order: a hash that deals rows to folds)."""
     spark = labelled.sparkSession
-    lexicon = learned_lexicon(labelled)
-    shared = spark.sparkContext.broadcast(lexicon)
+    labelled = labelled.withColumn("fold", F.pmod("order", F.lit(folds)).cast("int"))
+    lexicons = learned_lexicons(labelled, folds)
+    shared = spark.sparkContext.broadcast(lexicons)
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        look = Words(shared.value)
+        looks = [Words(x) for x in shared.value]
         for part in batches:
-            yield pd.DataFrame({"label": part.label, "order": part.order, "x": [look.features(t) for t in part.text]})
+            yield pd.DataFrame({"label": part.label, "order": part.order, "fold": part.fold, "x": [[v for look in looks for v in look.features(t)] for t in part.text]})
 
-    rows = labelled.mapInPandas(featured, "label int, order long, x array<double>").collect()
+    rows = labelled.mapInPandas(featured, "label int, order long, fold int, x array<double>").collect()
     rows.sort(key=lambda r: (r.order, r.label, r.x))
+    lexicon, none = lexicons[0], (np.zeros(1), np.zeros(1))
     if not rows:
-        return Model(lexicon, None, (np.zeros(1), np.zeros(1)), 0.0)
-    x, y = np.array([r.x for r in rows]), np.array([r.label for r in rows], float)
+        return Model(lexicon, None, none, 0.0)
+    x, y = np.array([r.x for r in rows]).reshape(len(rows), folds + 1, -1), np.array([r.label for r in rows], float)
     if len(set(y.tolist())) < 2:
-        return Model(lexicon, None, (np.zeros(1), np.zeros(1)), float(y[0]))
-    part = np.arange(len(y)) % folds
-    out = np.zeros(len(y))
+        return Model(lexicon, None, none, float(y[0]))
+    part, out = np.array([r.fold for r in rows]), np.zeros(len(y))
     for k in range(folds):
-        if (part == k).any() and (part != k).any():
-            out[part == k] = boost(x[part != k], y[part != k]).raw(x[part == k])
-    return Model(lexicon, boost(x, y), isotonic(out, y), 0.0)
+        own = part == k
+        if own.any() and (~own).any():
+            out[own] = boost(x[~own, k + 1], y[~own]).raw(x[own, k + 1])
+    return Model(lexicon, boost(x[:, 0], y), isotonic(out, y), 0.0)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column | None = None, max_train_rows: int = 8000) -> DataFrame:
