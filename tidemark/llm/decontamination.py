@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.texts import SLICE, hashes, rolled
+from tidemark.llm.texts import cuts, hashes, rolled
 
 #: A-Z to a-z; every other ASCII character that is no letter or digit to a space.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -85,8 +85,10 @@ def scan(texts: list[str | None], before: list, windows: Windows) -> pd.DataFram
 
 
 def _in_slices(values: list, known: list, windows: Windows) -> Iterator[pd.DataFrame]:
-    for k in range(0, max(1, len(values)), SLICE):
-        yield scan(values[k : k + SLICE], known[k : k + SLICE], windows)
+    if not values:
+        yield scan(values, known, windows)
+    for a, b in cuts(values):
+        yield scan(values[a:b], known[a:b], windows)
 
 
 def _first(shared, size: int):

@@ -52,15 +52,20 @@ def counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 def _add(clean: list[str], flat: np.ndarray, first: int) -> None:
     for start in range(0, len(clean), 64):
         group = clean[start : start + 64]
-        padded = [f" {c}   " for c in group]  # an n-gram never holds letters of two texts
+        padded = [f" {c} " for c in group]
         codes = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32).astype(np.uint64)
-        row = np.repeat(np.arange(len(group)), [len(p) for p in padded])
+        sizes = [len(p) for p in padded]
+        row, ends = np.repeat(np.arange(len(group)), sizes), np.cumsum(sizes)
         h, size = np.zeros(len(codes), np.uint64), len(group) * DIMS
         total = np.zeros(size, np.int64)
         for n in ORDERS:
             h = h[: len(codes) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :]
             slot = ((h + np.uint64(n)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - 13)).astype(np.int64)
-            total += np.bincount(row[: len(slot)] * DIMS + slot, minlength=size)[:size]
+            slot += row[: len(slot)] * DIMS
+            for k in range(1, n):  # an n-gram that would reach over the end of its text is none
+                over = ends - k
+                slot[over[(over >= 0) & (over < len(slot))]] = size
+            total += np.bincount(slot, minlength=size + 1)[:size]
         flat[(first + start) * DIMS : (first + start) * DIMS + size] += total
 
 

@@ -243,6 +243,8 @@ class Vocabulary:
     def decode(self, ids: list[int] | None) -> str | None:
         if ids is None:
             return None
+        if len(ids) and not 0 <= min(ids) <= max(ids) < len(self.raw):
+            raise ValueError("a piece number that the model lacks")
         text = b"".join(map(self.raw.__getitem__, ids)).decode(errors="replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
