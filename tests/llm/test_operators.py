@@ -13,7 +13,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import components, decontamination, html, jaccard, language, pieces, pitman_yor, quality, queries, quotations, syncmers, toxicity
+from tidemark.llm import blocks, components, decontamination, html, jaccard, language, pieces, pitman_yor, quality, queries, quotations, syncmers, toxicity
 from tidemark.llm.texts import fold, words
 
 SF = "/root/testdata/sf0.001"
@@ -493,7 +493,7 @@ def test_quality_splits_texts_and_blocks_without_a_difference(spark, docs, monke
     monkeypatch.setattr(quality, "CHARS", 50)
     assert np.array_equal(np.concatenate(list(quality.windows(text))), pieces_of) and len(pieces_of) == len(text) + 1
     assert [len(list(quality.windows("x" * n))) for n in (0, 1, 49, 50, 51)] == [1, 1, 1, 2, 2]
-    monkeypatch.setattr(quality, "BLOCK", 20_000)
+    monkeypatch.setattr(blocks, "BLOCK", 20_000)
     monkeypatch.setattr(quality, "SHARD", 9_000)
     parts = {r.doc_id: r.q for r in quality.classify(some, labels).select("doc_id", F.col("_quality.log10_probability").alias("q")).collect()}
     assert all(abs(parts[i] - q) < 1e-3 for i, q in whole.items() if q is not None)
@@ -593,6 +593,101 @@ def test_quotes_link_to_what_they_answer(spark):
     assert all(r.reply_to is None or order.index(r.turn) > order.index(r.reply_to - 1) for r in got.values() if r.conv_id == 1)
 
 
+def plain_conversations(rows):
+    """The same by loops over each conversation; ``rows``: (conversation, turn, role, text)."""
+    import re
+
+    def lines(text):
+        out = []
+        for x in re.sub(r"\r\n?", "\n", text or "").split("\n"):
+            mark = re.match(r"[ \t]*((?:>[ \t]*)+)", x)
+            out.append((mark[1].count(">") if mark else 0, x[mark.end() :] if mark else x))
+        keep = []
+        for i, (level, x) in enumerate(out):
+            after = out[i + 1] if i + 1 < len(out) else None
+            if after and not after[1].strip(" ") and after[0] == level:
+                after = out[i + 2] if i + 2 < len(out) else None
+            if not (re.search(r"(?i)\b(wrote|schrieb|a écrit|escribió)\s*:\s*$", x) and after and after[0] > level):
+                keep.append((level, x))
+        return keep
+
+    def passages(text):
+        out = []
+        for level, x in lines(text):
+            if out and out[-1][0] == level:
+                out[-1][1].append(x)
+            else:
+                out.append((level, [x]))
+        return [(level, "\n".join(x)) for level, x in out]
+
+    norm = lambda x: re.sub(r"[\s>]+", " ", x.lower()).strip(" ")
+    result, by = {}, {}
+    for r in set(rows):
+        by.setdefault(r[0] if r[0] is not None else r, []).append(r)
+    for key, own in by.items():
+        own.sort(key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3] is not None, r[3] or ""))
+        first, answers, children = {}, {}, {}
+        for k, r in enumerate(own, 1):
+            found = []
+            for level, x in passages(r[3]):
+                if level:
+                    for q in dict.fromkeys([x, *x.split("\n")]):
+                        if norm(q) in first:
+                            found.append((-level, len(norm(q)), first[norm(q)]))
+            answers[k] = (max(found)[2] if found else k - 1 or None, len(found))
+            children.setdefault(answers[k][0], []).append((bool(found) and answers[k][0] < k - 1, k))
+            for level, x in passages(r[3]):
+                if not level:
+                    for s in [x, *re.split(r"\n\s*\n", x), *x.split("\n")]:
+                        if norm(s):
+                            first.setdefault(norm(s), k)
+        order, todo = [], [1]
+        while todo:
+            k = todo.pop()
+            order.append(k)
+            todo += [c for _, c in sorted(children.get(k, []), reverse=True)]
+        for position, k in enumerate(order, 1):
+            text = "\n".join(x for level, x in passages(own[k - 1][3]) if not level)
+            result[own[k - 1]] = (position, *answers[k], re.sub(r"^\s+|\s+$", "", re.sub(r"\n{3,}", "\n\n", text)))
+    return result
+
+
+def test_conversations_equal_a_plain_version(spark):
+    rnd = random.Random(12)
+    rows = []
+    for conv in [*range(30), None]:
+        said = []
+        for turn in range(rnd.randrange(1, 14)):
+            parts = []
+            for _ in range(rnd.randrange(3)):
+                if said and rnd.random() < 0.7:
+                    quote = rnd.choice(said).split("\n")
+                    quote = quote[: rnd.randrange(1, len(quote) + 1)]
+                    if rnd.random() < 0.3:
+                        parts.append("Ann wrote:" + rnd.choice(["", "\n"]))
+                    parts.append("\n".join(rnd.choice(["> ", ">", ">> "]) * 1 + x.upper() for x in quote))
+            parts.append("\n".join(f"line {rnd.randrange(6)} of {turn}" for _ in range(rnd.randrange(1, 4))))
+            said.append(parts[-1])
+            rows.append((conv, rnd.choice([turn, turn, turn, None]), rnd.choice(["user", "assistant"]), rnd.choice([None, ""]) if rnd.random() < 0.05 else "\n".join(parts)))
+    rows += rows[:5]
+    got = quotations.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"conv": F.lit(1), "run": F.lit(2), "path": F.lit(3)})).collect()
+    want = plain_conversations(rows)
+    mine = sorted(((r.conv_id, r.turn, r.role, r.position, r.reply_to, r.quotes, r.text) for r in got), key=str)
+    assert mine == sorted(((*key[:3], p, reply, n, text) for key, (p, reply, n, text) in want.items()), key=str)
+    assert sum(r.quotes > 0 for r in got) > 60
+
+
+def test_threads_stay_together_and_announcements_need_a_quote(spark):
+    rows = [(1, 0, "u", "first"), (1, 1, "a", "second"), (1, 2, "u", "third"), (1, 3, "a", "fourth"), (1, 4, "u", "> first\nfifth"), (1, 5, "a", "> fifth\nsixth"), (1, 6, "u", "> second\nseventh"), (2, 0, "u", "My aunt wrote:\nDear all, hello.")]
+    schema = "conv_id long, turn long, role string, text string"
+    got = sorted(quotations.conversations(spark.createDataFrame(rows, schema)).collect(), key=lambda r: (r.conv_id, r.position))
+    assert [r.turn for r in got if r.conv_id == 1] == [0, 1, 2, 3, 6, 4, 5] and got[-1].text == "My aunt wrote:\nDear all, hello."
+    assert quotations.conversations(spark.createDataFrame([], schema)).count() == 0
+    long = "word " * 100_000
+    got = quotations.conversations(spark.createDataFrame([(1, 0, "u", long), (1, 1, "a", f"> {long}\nyes")], schema)).collect()
+    assert {(r.quotes, r.text) for r in got} == {(0, long.strip()), (1, "yes")}
+
+
 # --- pipeline ----------------------------------------------------------------------------------------------------------
 def test_pipeline_on_the_small_tables(spark):
     import corpus_pipeline
@@ -627,3 +722,68 @@ def test_near_duplicate_stage_keeps_one_row_of_each_component(spark):
     got = corpus_pipeline.near_duplicate_stage(spark, given, "")
     assert got.columns == given.columns
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(3, a), (3, b), (None, c), (4, None), (9, "one")], key=str)
+
+
+def test_stages_of_odd_rows_and_empty_tables(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, names that clash, and empty tables."""
+    import corpus_pipeline
+
+    rows = odd(spark).withColumns({c: F.lit(9) for c in ("quality", "toxicity", "row", "hit", "_quality", "h", "f", "p", "component_id")})
+    text = "this passage of the test has ten words and more"
+    rows = rows.union(rows.where("doc_id = 3").withColumns({"doc_id": F.lit(8).cast("long"), "text": F.lit(f"before {text} after")}))
+    for name, frame in (("labels", one(spark, [], "doc_id long, quality int, toxic int")), ("benchmark", one(spark, [("i", text), (None, None), ("e", "")], "item_id string, text string"))):
+        frame.write.parquet(f"{tmp_path}/{name}.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, rows, str(tmp_path))
+        kept[name] = sorted(str(r.doc_id) for r in got.collect())
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert got.columns == rows.columns and got.where("quality <> 9 or hit <> 9").count() == 0
+        assert stage(spark, rows.where("false"), str(tmp_path)).count() == 0
+    everything = ["1", "2", "3", "4", "4", "5", "6", "7", "8", "None"]
+    assert kept["quality classifier"] == ["4", "4", "5", "6", "7", "8", "None"]
+    assert kept["toxicity"] == kept["benchmark decontamination"] == kept["SentencePiece encoding and decoding"] == everything
+    assert kept["n-gram Jaccard join"] == ["1", "2", "3", "4", "5", "6", "7", "8"]
+    cut = corpus_pipeline.decontamination_stage(spark, rows, str(tmp_path)).where("doc_id = 8").first()
+    assert cut.text == "before  after" and cut.n_chars == 13
+
+
+def test_operators_of_empty_tables_and_clashing_names(spark, docs):
+    """What the tests above leave out."""
+    none = one(spark, [], DOC)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.train(toxicity.labelled_sample(none, labels, "toxic"))
+    assert none.select(toxicity.toxicity(F.col("text"), model, spark).alias("r")).count() == 0 and model.trees is None
+    languages = language.train(docs)
+    assert none.select(language.language(F.col("text"), languages, spark).alias("r")).count() == 0
+    both = language.Model(["a", "b"], languages.idf, np.concatenate([languages.centroids[:1]] * 2), np.array([0, 1]), np.zeros(2))
+    assert both.predict(["some text"]).lang_pred[0] == "a"  # a tie goes to the first by name
+    assert none.select(pieces.round_trip(F.col("text"), queries.PIECES).alias("r")).count() == 0
+    with pytest.raises(ValueError):
+        pieces.vocabulary(queries.PIECES).decode([-1])
+    items = one(spark, [], "item_id string, text string")
+    found = odd(spark).withColumns({"n_words": F.lit(1), "spans": F.lit(2)}).select("spans", decontamination.contamination(F.col("text"), items).alias("c")).collect()
+    assert len(found) == 9 and all(r.c.n_hit == 0 and r.spans == 2 for r in found)
+    assert none.select(decontamination.contamination(F.col("text"), spark.read.parquet(f"{SF}/benchmark.parquet")).alias("c")).count() == 0
+    assert jaccard.jaccard_components(odd(spark).withColumns({"cid": F.lit(1), "gid": F.lit(2), "sig": F.lit(3)})).count() == 9
+
+
+def test_language_equals_a_plain_version(spark, docs):
+    """Counts of n-grams, weights and cosines by dictionaries."""
+    model = language.train(docs.where(fold(4) != 2))
+    texts = [r.text for r in docs.limit(25).collect()]
+    got = model.predict(texts)
+    for i, text in enumerate(texts):
+        s, count = f" {language.letters(text)} ", Counter()
+        for n in language.ORDERS:
+            for k in range(len(s) - n + 1):
+                h = 0
+                for c in s[k : k + n]:
+                    h = (h * 0x9E3779B97F4A7C15 + ord(c)) % 2**64
+                count[((h + n) * 0xBF58476D1CE4E5B9 % 2**64) >> 51] += 1
+        v = {k: math.log1p(c) * model.idf[k] for k, c in count.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cosine = [sum(x * centre[k] for k, x in v.items()) / norm for centre in model.centroids]
+        best = max(range(len(cosine)), key=lambda j: cosine[j])
+        assert got.lang_pred[i] == model.languages[model.owner[best]] and abs(got.score[i] - cosine[best]) < 1e-4
+    assert (model.predict(texts[::-1]).score[::-1].to_numpy() - got.score.to_numpy()).max() < 1e-6

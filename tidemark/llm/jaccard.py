@@ -1,8 +1,9 @@
 """N-gram Jaccard join by grouped prefixes.
 
 A document's set holds its distinct word shingles. In one order of all shingles, two sets of Jaccard similarity t or more
-share a shingle among the first n - ceil(t n) + 1 of each: its prefix. The order puts rare shingles first, by a counting
-sketch of fixed size that is summed over all documents; what it gets wrong changes candidates, never links.
+share a shingle among the first n - ceil(t n) + 1 of each: its prefix. The order puts rare shingles first, by how many documents
+have a shingle of the same 32-bit slot: blocks of documents ask the shards of this table of counters for their distinct slots.
+What slots shared by chance get wrong changes candidates, never links.
 
 1. Documents with equal sets are one class; classes with equal prefix and size are one group.
 2. Groups are listed under each shingle of their prefix and their size band (pairs of similar size share a list), classes of
@@ -17,7 +18,8 @@ sketch of fixed size that is summed over all documents; what it gets wrong chang
    repeated with them, up to ``LEVELS`` times. Nothing is capped.
 
 Defined results: without words, or with null text, a set is empty and linked with nothing; with fewer words than a
-shingle the whole sequence is the one element; a null id is its own component; rows that repeat an id are each reported.
+shingle the whole sequence is the one element; a null id is its own component; rows that repeat an id are each reported. ``docs`` is
+read more than once and must give the same rows in the same order, as a table or a stored frame does.
 Shingles are compared by 64-bit hashes, so two different ones count as equal once in 10**19 comparisons.
 """
 
@@ -32,12 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
+from tidemark.llm.blocks import answered, blocks, ids_of, only, ranges, unpacked
 from tidemark.llm.components import components
 from tidemark.llm.texts import hashes, rolled, sliced, stored, words
 
-#: Counters of the sketch (the power of two; a byte each where it is used) and the parts in which they are summed.
-SKETCH = 24
-PARTS = 256
+#: Characters of the corpus for each shard of counters.
+SHARD = 40_000_000
 #: Rows to look up are broadcast up to this number (some tens of MB), and joined with a shuffle beyond.
 BROADCAST_ROWS = 500_000
 #: Pairs that one set is held for in a task.
@@ -55,63 +57,60 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(rolled(h, size))
 
 
-def slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - SKETCH)).astype(np.int64)
+def slots(h: np.ndarray) -> np.ndarray:
+    """The counters of sorted hashes, sorted too."""
+    return h >> np.uint64(32)
 
 
-def sketched(docs: DataFrame, size: int) -> np.ndarray:
-    """How often the shingles of each counter occur over all documents, as twice the binary logarithm.
+def described(docs: DataFrame, size: int, percent: int, chars: int) -> DataFrame:
+    """doc_id, n (set size), sig (of the set), gid (of prefix and size), common (how common its shingles are), prefix (hashes in order)."""
+    shards = max(6, -(-chars // SHARD))
+    held = blocks(docs.select(F.col("doc_id").alias("id"), F.lit(0).alias("f"), "text"))
 
-    A task counts all its documents into one array of fixed size; the arrays are summed in ``PARTS`` parts on the executors.
-    """
-    width = (1 << SKETCH) // PARTS
+    def sets(row) -> Iterator[np.ndarray]:
+        return (shingles(text, size) for text in unpacked(row))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << SKETCH, np.uint32)
-        for part in sliced(batches):
-            at, n = np.unique(slot(np.concatenate([shingles(text, size) for text in part.text])), return_counts=True)
-            total[at] += n.astype(np.uint32)
-        for k in range(0, PARTS, 16):
-            yield pd.DataFrame({"part": np.arange(k, k + 16), "n": [zstandard.compress(x.tobytes(), 1) for x in total[k * width : (k + 16) * width].reshape(16, width)]})
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            for k, raw in zip(part.part, part.n, strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(zstandard.decompress(raw), np.uint32).astype(np.uint64)
-        if sums:
-            yield pd.DataFrame({"part": list(sums), "n": [np.floor(2 * np.log2(x + 1.0)).astype(np.uint8).tobytes() for x in sums.values()]})
-
-    parts = docs.select("text").mapInPandas(count, "part int, n binary").repartition("part").mapInPandas(add, "part int, n binary").collect()
-    out = np.zeros(1 << SKETCH, np.uint8)
-    for r in parts:
-        out[r.part * width : (r.part + 1) * width] = np.frombuffer(r.n, np.uint8)
-    return out
-
-
-def described(docs: DataFrame, size: int, percent: int, sketch) -> DataFrame:
-    """doc_id, n (set size), sig (of the set), gid (of prefix and size), common (how common its shingles are), prefix (hashes in order)."""
-
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rare = sketch.value
-        for part in sliced(batches):
-            rows = []
-            for text in part.text:
-                own = shingles(text, size)
-                n = len(own)
-                length = n - -(-percent * n // 100) + 1 if n else 0
-                often = rare[slot(own)]
-                prefix = own[np.argsort(often, kind="stable")[:length]]
-                sig = xxh3_128_digest(own.tobytes()) if n else None
-                rows.append((n, sig, np.uint64(xxh3_64_intdigest(prefix.tobytes(), n)).astype(np.int64), int(1000 * often.mean()) if n else 0, prefix.view(np.int64)))
-            out = pd.DataFrame(rows, columns=["n", "sig", "gid", "common", "prefix"])
-            out.insert(0, "doc_id", part.doc_id.to_numpy())
-            yield out
-
-    return docs.mapInPandas(describe, "doc_id long, n int, sig binary, gid long, common int, prefix array<long>")
-
-
-def differences(held: np.ndarray, own: np.ndarray, linked: bool, percent: int, rare: np.ndarray) -> tuple[int, np.ndarray]:
+            for row in part.itertuples():
+                at, n = np.unique(slots(np.concatenate(list(sets(row)))), return_counts=True)
+                # steps between slots are small numbers; as columns of bytes most are zeros
+                rows = []
+                for k, a, b in ranges(at, 32, shards):
+                    steps = np.diff(at[a:b], prepend=np.uint64(0)).astype("<u4").view(np.uint8).reshape(-1, 4)
+                    rows.append((k, row.block, zstandard.compress(steps.T.tobytes(), 1), zstandard.compress(n[a:b].astype("<u4").tobytes(), 1)))
+                yield pd.DataFrame(rows, columns=["shard", "block", "slots", "n"])
+
+    def answer(asked: pd.DataFrame) -> pd.DataFrame:
+        rows = [np.cumsum(np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(4, -1).T).view("<u4").ravel(), dtype=np.uint64) for x in asked.slots]
+        known, of = np.unique(np.concatenate(rows), return_inverse=True)
+        total = np.bincount(of, np.concatenate([np.frombuffer(zstandard.decompress(x), "<u4") for x in asked.n]), len(known))
+        often = np.minimum(255, np.floor(4 * np.log2(total))).astype(np.uint8)[of]
+        parts = np.split(often, np.cumsum([len(x) for x in rows])[:-1])
+        return pd.DataFrame({"block": asked.block, "shard": asked.shard, "often": [zstandard.compress(x.tobytes(), 1) for x in parts]})
+
+    def describe(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        row, rows = only(block), []
+        own_sets = list(sets(row))
+        known = np.unique(slots(np.concatenate(own_sets)))
+        counted = answered(answers, "often", np.uint8, len(known))
+        for own in own_sets:
+            n = len(own)
+            length = n - -(-percent * n // 100) + 1 if n else 0
+            often = counted[np.searchsorted(known, slots(own))]
+            prefix = own[np.argsort(often, kind="stable")[:length]]
+            sig = xxh3_128_digest(own.tobytes()) if n else None
+            rows.append((n, sig, np.uint64(xxh3_64_intdigest(prefix.tobytes(), n)).astype(np.int64), int(1000 * often.mean()) if n else 0, prefix.view(np.int64)))
+        out = pd.DataFrame(rows, columns=["n", "sig", "gid", "common", "prefix"])
+        out.insert(0, "doc_id", ids_of(row))
+        return out
+
+    asked = held.mapInPandas(ask, "shard int, block string, slots binary, n binary")
+    answers = asked.groupBy("shard").applyInPandas(answer, "block string, shard int, often binary")
+    return held.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(describe, "doc_id long, n int, sig binary, gid long, common int, prefix array<long>")
+
+
+def differences(held: np.ndarray, own: np.ndarray, linked: bool, percent: int) -> tuple[int, np.ndarray]:
     """(length of the short prefix, prefix) of the difference of a set from its hub's, long enough to meet that of any set it could be linked with."""
     new = np.setdiff1d(own, held, assume_unique=True)
     gone = np.setdiff1d(held, own, assume_unique=True)
@@ -120,11 +119,10 @@ def differences(held: np.ndarray, own: np.ndarray, linked: bool, percent: int, r
     short = d - max(1, (d * more + less * (m - n)) // (2 * more) + 1) + 1
     # an unlinked one beside a linked one: they share d - less / more * (n + the other's size) at least
     length = short if linked else max(short, less * (n + 100 * n // percent) // more + 1)
-    new = new[np.argsort(rare[slot(new)], kind="stable")]
     return max(0, min(d, short)), np.concatenate((new, gone))[: max(0, min(d, length))]
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, sketch) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """a, b, linked, n (size of b's set), d, short and z (size, length of the short prefix and prefix of its difference from a's; none where a has one pair) for ``pairs`` (a, b: ids, a the hub).
 
     Each document sends its set to the hubs it is paired with, once each; a hub with more than ``STAR`` pairs is
@@ -155,7 +153,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, sketch)
                 elif at == (a, salt):
                     shared = len(np.intersect1d(held, own, assume_unique=True))
                     linked = 100 * shared >= percent * (len(held) + len(own) - shared)
-                    short, z = differences(held, own, linked, percent, sketch.value) if many else (0, own[:0])
+                    short, z = differences(held, own, linked, percent) if many else (0, own[:0])
                     out.append((a, b, linked, len(own), len(held) + len(own) - 2 * shared, short, z.view(np.int64)))
             yield pd.DataFrame(out, columns=["a", "b", "linked", "n", "d", "short", "z"])
 
@@ -171,8 +169,8 @@ def looked_up(table: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable by links), n_copies (rows with an equal set), for each row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = docs.sparkSession.sparkContext.broadcast(sketched(docs, size))
-    rows = stored(described(docs, size, percent, sketch))
+    chars = docs.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    rows = stored(described(docs, size, percent, chars))
     full = rows.where("n > 0 and doc_id is not null")
     classes = stored(full.groupBy("sig", "gid", "n", "common").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies")))
     # lists of groups by prefix shingle and size band: a class stands in its band's list and in that of the band before
@@ -186,7 +184,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     links = roots = None
     for level in range(LEVELS):
         hubs = lists.groupBy("key", "band").agg(F.count("*").alias("m"), F.max_by("cid", F.struct("common", "cid")).alias("a")).where("m > 1").select("key", "band", "a")
-        found = verified(lists.join(hubs, ["key", "band"]).where("cid <> a").select("a", F.col("cid").alias("b")).distinct(), docs, size, percent, sketch)
+        found = verified(lists.join(hubs, ["key", "band"]).where("cid <> a").select("a", F.col("cid").alias("b")).distinct(), docs, size, percent)
         new = found.where("linked").select("a", "b")
         links = new if links is None else links.union(new)
         roots = components(links)
@@ -215,7 +213,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
         enough = 2 * reach * (100 + percent) + total * (100 - percent) >= (F.col("d1") + F.col("d2")) * (100 + percent)
         similar = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent
         rest = one.where("not linked1").join(two.where("near2 or linked2"), ["a", "key"]).where((F.col("root1") != F.col("root2")) & kinds & enough & similar)
-        more = verified(rest.select(F.greatest("cid1", "cid2").alias("a"), F.least("cid1", "cid2").alias("b")).distinct(), docs, size, percent, sketch).where("linked")
+        more = verified(rest.select(F.greatest("cid1", "cid2").alias("a"), F.least("cid1", "cid2").alias("b")).distinct(), docs, size, percent).where("linked")
         roots = components(links.union(more.select("a", "b"))) if not more.isEmpty() else roots
     named = classes.join(roots, classes.cid == roots.id, "left").select("sig", F.coalesce("root", "cid").alias("component"), "copies")
     out = rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("sig")).alias("sig")).join(named, "sig", "left")

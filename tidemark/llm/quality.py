@@ -16,8 +16,8 @@ characters under 1.5 times, and labels are told apart no worse (README).
 Defined results: null and empty texts (and those of white space only) have no perplexity and are rejected; a null language is
 a language of its own ("und"); a language with under ``least`` trusted documents takes the quantile over all; without
 trusted documents nothing but empty texts is rejected; a character that no trusted text has takes the unigrams' share for
-unknown ones. Rows that repeat an id are judged each by itself. ``docs`` is read twice and must give the same rows in the same order,
-as a table or a stored frame does; the blocks are named by what they hold, so that anything else raises an error.
+unknown ones. Rows that repeat an id are judged each by itself. ``docs`` is read twice and must give the same rows in the same order, as
+a table or a stored frame does.
 """
 
 from __future__ import annotations
@@ -27,17 +27,16 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.texts import CHARS, mixed, sliced, stored
+from tidemark.llm.blocks import answered, blocks, only, ranges, unpacked
+from tidemark.llm.texts import CHARS, fresh, mixed, sliced, stored
 
 ORDER = 5
 #: Private-use characters that stand for what is before a text, its end, and the null character.
 BEFORE, END, NULL = 0xE001, 0xE002, 0xE000
-#: Characters of a block, and of the corpus for each shard of questions.
-BLOCK = 14_000_000
+#: Characters of the corpus for each shard of questions.
 SHARD = 60_000_000
 #: Ids of trusted documents are broadcast up to this number; beyond it documents are joined with a shuffle.
 BROADCAST_IDS = 500_000
@@ -161,68 +160,19 @@ def probabilities(asked: DataFrame, tables: list[DataFrame]) -> DataFrame:
     return lower.withColumnRenamed("gram", "g")
 
 
-def blocks(texts: DataFrame) -> DataFrame:
-    """block, f, texts (compressed), sizes (bytes of each), h for the distinct texts of each task of ``texts`` (h, f, text), up to ``BLOCK`` characters a block."""
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, number, seen = TaskContext.get().partitionId(), 0, set()
-        waiting: dict[int, tuple[list, list, list]] = {0: ([], [], []), 1: ([], [], [])}
-        chars = {0: 0, 1: 0}
-        writer = {f: zstandard.ZstdCompressor(level=3).compressobj() for f in waiting}
-
-        def done(f: int) -> pd.DataFrame:
-            raw, sizes, hs = waiting[f]
-            h = np.array(hs, np.int64)
-            name = f"{task}-{number}-{f}-{np.bitwise_xor.reduce(mixed(h.view(np.uint64) + np.arange(len(h), dtype=np.uint64))):016x}"
-            out = pd.DataFrame([(name, f, b"".join([*raw, writer[f].flush()]), np.array(sizes, np.int64).tobytes(), h.tobytes())], columns=["block", "f", "texts", "sizes", "h"])
-            waiting[f], chars[f], writer[f] = ([], [], []), 0, zstandard.ZstdCompressor(level=3).compressobj()
-            return out
-
-        for part in sliced(batches):
-            for h, f, text in zip(part.h, part.f, part.text, strict=True):
-                if h in seen:
-                    continue
-                seen.add(h)
-                if chars[f] and chars[f] + len(text) > BLOCK:
-                    yield done(f)
-                    number += 1
-                body = text.encode()
-                waiting[f][0].append(writer[f].compress(body))
-                waiting[f][1].append(len(body))
-                waiting[f][2].append(h)
-                chars[f] += len(text)
-        for f in waiting:
-            if waiting[f][2]:
-                yield done(f)
-
-    return texts.select("h", "f", "text").mapInPandas(pack, "block string, f int, texts binary, sizes binary, h binary")
-
-
-def unpacked(texts: bytes, sizes: bytes) -> Iterator[str]:
-    with zstandard.ZstdDecompressor().stream_reader(texts) as reader:
-        for n in np.frombuffer(sizes, np.int64).tolist():
-            yield reader.read(n).decode()
-
-
 def perplexity(texts: DataFrame, tables: list[DataFrame], chars: int) -> DataFrame:
     """h and log10_probability of each distinct text of ``texts`` (h, f, text; ``chars`` characters in all), with the model of fold ``f``."""
-    ranges = max(6, -(-chars // SHARD))
-    held = blocks(texts)
-
-    def cuts(h: np.ndarray) -> np.ndarray:
-        """Where each range of hashes begins among sorted ones, and their end."""
-        of = ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-        return np.searchsorted(of, np.arange(ranges + 1, dtype=np.uint64))
+    shards = max(6, -(-chars // SHARD))
+    held = blocks(texts.withColumnRenamed("h", "id"), once=True, folds=2)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             for row in part.itertuples():
                 own = Distinct()
-                for h, grams, _ in texts_together(unpacked(row.texts, row.sizes)):
+                for h, grams, _ in texts_together(unpacked(row)):
                     own.add(h, grams)
                 own.merge()
-                at = cuts(own.h)
-                rows = [(row.f * ranges + k, row.block, zstandard.compress(np.ascontiguousarray(own.grams[a:b].T).tobytes(), 3)) for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if a < b]
+                rows = [(row.f * shards + k, row.block, zstandard.compress(np.ascontiguousarray(own.grams[a:b].T).tobytes(), 3)) for k, a, b in ranges(own.h, 64, shards)]
                 yield pd.DataFrame(rows, columns=["shard", "block", "grams"])
 
     def opened(raw: bytes) -> np.ndarray:
@@ -233,7 +183,7 @@ def perplexity(texts: DataFrame, tables: list[DataFrame], chars: int) -> DataFra
 
         def done() -> pd.DataFrame:
             own.merge()
-            return pd.DataFrame({"shard": shard, "f": shard // ranges, "g": own.strings().astype(object)})
+            return pd.DataFrame({"shard": shard, "f": shard // shards, "g": own.strings().astype(object)})
 
         for part in batches:
             for row in part.itertuples():
@@ -251,27 +201,23 @@ def perplexity(texts: DataFrame, tables: list[DataFrame], chars: int) -> DataFra
         h = hashed(grams)
         order = np.argsort(h)
         h, p = h[order], known.p.to_numpy(np.float32)[order]
-        return pd.DataFrame([(row.block, row.shard, p[np.searchsorted(h, hashed(opened(row.grams)))].tobytes()) for row in asked.itertuples()], columns=["block", "shard", "p"])
+        return pd.DataFrame([(row.block, row.shard, zstandard.compress(p[np.searchsorted(h, hashed(opened(row.grams)))].tobytes(), 1)) for row in asked.itertuples()], columns=["block", "shard", "p"])
 
     def score(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        if not len(block):
-            raise RuntimeError("the documents came in another order; store them first")
-        row = block.iloc[0]
-        p = np.frombuffer(b"".join(answers.sort_values("shard").p), np.float32)
-        total = np.zeros(len(row.h) // 8)
+        row = only(block)
+        total = np.zeros(len(row.ids) // 8)
         parts, everything = [], []
-        for h, _, of in texts_together(unpacked(row.texts, row.sizes)):
+        for h, _, of in texts_together(unpacked(row)):
             u, at = np.unique(h, return_inverse=True)
             parts.append((u, at.astype(np.uint32), of))
             everything.append(u)
         known = np.unique(np.concatenate(everything))
-        if len(known) != len(p):
-            raise RuntimeError("the documents came in another order; store them first")
+        p = answered(answers, "p", np.float32, len(known))
         for u, at, of in parts:
             own = p[np.searchsorted(known, u)].astype(float)
             texts_of, n = np.array(of).T
             total += np.bincount(np.repeat(texts_of, n), own[at], len(total))
-        return pd.DataFrame({"h": np.frombuffer(row.h, np.int64), "log10_probability": total})
+        return pd.DataFrame({"h": np.frombuffer(row.ids, np.int64), "log10_probability": total})
 
     questions = held.mapInPandas(ask, "shard int, block string, grams binary")
     distinct = stored(questions.repartition("shard").sortWithinPartitions("shard").mapInPandas(once, "shard int, f int, g string"))
@@ -311,10 +257,3 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, least:
     perplexed = F.when(F.col(value).isNotNull(), F.pow(F.lit(10.0), F.least(F.lit(300.0), -F.col(value) / n)))
     judged = F.struct(n.alias("n_tokens"), F.col(value).alias("log10_probability"), perplexed.alias("perplexity"), limit.alias("limit"), F.coalesce(perplexed <= limit, F.lit(False)).alias("keep"))
     return q.withColumn(output, judged).drop(key, value)
-
-
-def fresh(name: str, docs: DataFrame) -> str:
-    """A column name that ``docs`` lacks."""
-    while name.lower() in {c.lower() for c in docs.columns}:
-        name = f"_{name}"
-    return name
