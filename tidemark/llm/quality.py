@@ -4,10 +4,11 @@ All trusted texts are counted: the hash of a text deals it to one of two folds,
 is scored with the model of the other fold, so none with its own n-grams or those of its copies. The counts of the longest
 n-grams are summed over all texts; those of shorter ones are the numbers of different n-grams that they end.
 
-No document's n-grams travel. Documents stay in blocks of one fold; a block asks for its distinct n-grams once each, by ranges of
+No document's n-grams travel. Documents are taken in blocks of one fold; a block asks for its distinct n-grams once each, by ranges of
 their hashes; the distinct ones of all blocks are joined, in shards, to the counts of n-grams and of their contexts, order
-after order; and the log probabilities return to the blocks, in the order they were asked for, where each document's
-perplexity is summed up. A block's questions are far fewer than its characters, and what a task holds is bounded by a block or a shard.
+after order. Up to ``KNOWN`` of them (48 MB) their log probabilities are broadcast; if there are more, each block gets those it asked for, in
+the order of its questions, and its texts travel once, compressed. Either way each document's perplexity is summed up where its text is.
+A block's questions are far fewer than its characters, and what a task holds is bounded by a block, a shard or that broadcast.
 A document is rejected where its perplexity is above the quantile, for its language, of all trusted documents.
 
 Characters are the tokens because word trigrams are nearly all distinct: their joins took 59 times the input of disk, those of
@@ -23,6 +24,7 @@ a table or a stored frame does.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -38,30 +40,73 @@ ORDER = 5
 BEFORE, END, NULL = 0xE001, 0xE002, 0xE000
 #: Characters of the corpus for each shard of questions.
 SHARD = 60_000_000
+#: Distinct n-grams whose probabilities (twelve bytes each) are broadcast; more of them go to the blocks that asked.
+KNOWN = 4_000_000
 #: Ids of trusted documents are broadcast up to this number; beyond it documents are joined with a shuffle.
 BROADCAST_IDS = 500_000
 
 
-def windows(text: str) -> Iterator[np.ndarray]:
-    """The n-grams that end in each character of a text and in its end, ``ORDER`` codes a row, in pieces of ``CHARS`` characters."""
+def symbols(text: str) -> Iterator[np.ndarray]:
+    """The codes of a text's characters and its end, in pieces of ``CHARS`` characters, each with the ``ORDER - 1`` codes before it."""
     for k in range(0, len(text) + 1, CHARS):
         some = text[max(0, k - ORDER + 1) : k + CHARS]
         codes = np.frombuffer(some.encode("utf-32-le"), np.uint32)
-        codes = np.where(codes == 0, np.uint32(NULL), codes)
         first = np.full(max(0, ORDER - 1 - k), BEFORE, np.uint32)
         last = np.full(1 if k + CHARS > len(text) else 0, END, np.uint32)
         codes = np.concatenate((first, codes, last))
         if len(codes) >= ORDER:
-            yield np.lib.stride_tricks.sliding_window_view(codes, ORDER)
+            codes[codes == 0] = NULL
+            yield codes
 
 
-def hashed(grams: np.ndarray) -> np.ndarray:
-    h = np.zeros(len(grams), np.uint64)
-    for k in range(ORDER):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + grams[:, k] + np.uint64(1)
+def hashed(columns: Iterable[np.ndarray]) -> np.ndarray:
+    """Hashes of n-grams, given the codes of their first, second, ... characters."""
+    h: np.ndarray | np.uint64 = np.uint64(0)
+    for codes in columns:
+        h = h * np.uint64(0x9E3779B97F4A7C15) + codes + np.uint64(1)
     return mixed(h)
 
 
+@dataclass
+class Run:
+    """The n-grams of some texts: the distinct hashes, an n-gram for each, which of them stands at each place, and (text, number of places) in order."""
+
+    h: np.ndarray
+    grams: np.ndarray
+    of: np.ndarray
+    places: list[tuple[int, int]]
+
+
+def runs(texts: Iterable[str]) -> Iterator[Run]:
+    """The n-grams that end in each character of each text and in its end, for ``CHARS`` characters or so at a time."""
+    pieces: list[np.ndarray] = []
+    places: list[tuple[int, int]] = []
+    size = 0
+
+    def done() -> Run:
+        codes = np.concatenate(pieces).astype(np.uint64)
+        n = len(codes) - ORDER + 1
+        inside = np.ones(n, bool)
+        ends = np.cumsum([len(x) for x in pieces])[:-1]
+        for k in range(1, ORDER):  # no n-gram reaches over two pieces
+            inside[ends - k] = False
+        of, h = pd.factorize(hashed(codes[k : k + n] for k in range(ORDER))[inside])
+        first = np.empty(len(h), np.int64)
+        first[of[::-1]] = np.flatnonzero(inside)[::-1]
+        return Run(h, np.stack([codes[first + k] for k in range(ORDER)], 1).astype(np.uint32), of, list(places))
+
+    for i, text in enumerate(texts):
+        for codes in symbols(text):
+            pieces.append(codes)
+            places.append((i, len(codes) - ORDER + 1))
+            size += len(codes)
+            if size >= CHARS:
+                yield done()
+                pieces, places, size = [], [], 0
+    if pieces:
+        yield done()
+
+
 class Distinct:
     """The distinct n-grams of many texts, in order of their hashes, with their numbers."""
 
@@ -69,10 +114,9 @@ class Distinct:
         self.h, self.grams, self.n = np.zeros(0, np.uint64), np.zeros((0, ORDER), np.uint32), np.zeros(0, np.int64)
         self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def add(self, h: np.ndarray, grams: np.ndarray) -> None:
-        u, first, n = np.unique(h, return_index=True, return_counts=True)
-        self.waiting.append((u, grams[first], n))
-        if sum(len(x[0]) for x in self.waiting) > 2_000_000:
+    def add(self, h: np.ndarray, grams: np.ndarray, n: np.ndarray) -> None:
+        self.waiting.append((h, grams, n))
+        if sum(len(x[0]) for x in self.waiting) > 1_000_000:
             self.merge()
 
     def merge(self) -> None:
@@ -86,23 +130,6 @@ class Distinct:
         return np.ascontiguousarray(self.grams).view(f"<U{ORDER}").ravel()
 
 
-def texts_together(texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]]:
-    """(hashes, n-grams, numbers of their texts with how many each has) for runs of texts with ``CHARS`` characters or so."""
-    grams, of, size = [], [], 0
-    for i, text in enumerate(texts):
-        for w in windows(text):
-            grams.append(w)
-            of.append((i, len(w)))
-            size += len(w)
-            if size >= CHARS:
-                g = np.concatenate(grams)
-                yield hashed(g), g, of
-                grams, of, size = [], [], 0
-    if grams:
-        g = np.concatenate(grams)
-        yield hashed(g), g, of
-
-
 def counted(trusted: DataFrame) -> list[DataFrame]:
     """(f, g, c) for the n-grams of orders 1 to ``ORDER`` of all texts of ``trusted`` (f, text): how often the longest occur, and how many different n-grams the shorter ones end."""
 
@@ -117,8 +144,8 @@ def counted(trusted: DataFrame) -> list[DataFrame]:
 
         for part in sliced(batches):
             for f, own in found.items():
-                for h, grams, _ in texts_together(part.text[part.f == f].tolist()):
-                    own.add(h, grams)
+                for r in runs(part.text[part.f == f].tolist()):
+                    own.add(r.h, r.grams, np.bincount(r.of, minlength=len(r.h)))
                 if len(own.h) > 4_000_000:
                     yield done(f)
         for f in found:
@@ -160,23 +187,38 @@ def probabilities(asked: DataFrame, tables: list[DataFrame]) -> DataFrame:
     return lower.withColumnRenamed("gram", "g")
 
 
+def summed(texts: Iterable[str], n: int, known: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The sum of ``p`` (of each of the sorted hashes ``known``) over the n-grams of each of ``n`` texts."""
+    total = np.zeros(n)
+    for r in runs(texts):
+        own = p[np.searchsorted(known, r.h)].astype(float)
+        of, places = np.array(r.places).T
+        total += np.bincount(np.repeat(of, places), own[r.of], n)
+    return total
+
+
 def perplexity(texts: DataFrame, tables: list[DataFrame], chars: int) -> DataFrame:
     """h and log10_probability of each distinct text of ``texts`` (h, f, text; ``chars`` characters in all), with the model of fold ``f``."""
     shards = max(6, -(-chars // SHARD))
-    held = blocks(texts.withColumnRenamed("h", "id"), once=True, folds=2)
+    texts = texts.withColumnRenamed("h", "id")
+    held = blocks(texts, once=True, folds=2)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             for row in part.itertuples():
-                own = Distinct()
-                for h, grams, _ in texts_together(unpacked(row)):
-                    own.add(h, grams)
-                own.merge()
+                own = asked_by(row)
                 rows = [(row.f * shards + k, row.block, zstandard.compress(np.ascontiguousarray(own.grams[a:b].T).tobytes(), 3)) for k, a, b in ranges(own.h, 64, shards)]
                 yield pd.DataFrame(rows, columns=["shard", "block", "grams"])
 
+    def asked_by(row) -> Distinct:
+        own = Distinct()
+        for r in runs(unpacked(row)):
+            own.add(r.h, r.grams, np.ones(len(r.h), np.int64))
+        own.merge()
+        return own
+
     def opened(raw: bytes) -> np.ndarray:
-        return np.frombuffer(zstandard.decompress(raw), np.uint32).reshape(ORDER, -1).T
+        return np.frombuffer(zstandard.decompress(raw), np.uint32).reshape(ORDER, -1)
 
     def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, own = None, Distinct()
@@ -192,38 +234,56 @@ def perplexity(texts: DataFrame, tables: list[DataFrame], chars: int) -> DataFra
                     own = Distinct()
                 shard = row.shard
                 grams = opened(row.grams)
-                own.add(hashed(grams), grams)
+                own.add(hashed(grams), grams.T, np.ones(grams.shape[1], np.int64))
         if shard is not None:
             yield done()
 
-    def answer(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        grams = np.array(known.g.tolist(), f"<U{ORDER}").view(np.uint32).reshape(-1, ORDER)
-        h = hashed(grams)
-        order = np.argsort(h)
-        h, p = h[order], known.p.to_numpy(np.float32)[order]
-        return pd.DataFrame([(row.block, row.shard, zstandard.compress(p[np.searchsorted(h, hashed(opened(row.grams)))].tobytes(), 1)) for row in asked.itertuples()], columns=["block", "shard", "p"])
-
-    def score(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        row = only(block)
-        total = np.zeros(len(row.ids) // 8)
-        parts, everything = [], []
-        for h, _, of in texts_together(unpacked(row)):
-            u, at = np.unique(h, return_inverse=True)
-            parts.append((u, at.astype(np.uint32), of))
-            everything.append(u)
-        known = np.unique(np.concatenate(everything))
-        p = answered(answers, "p", np.float32, len(known))
-        for u, at, of in parts:
-            own = p[np.searchsorted(known, u)].astype(float)
-            texts_of, n = np.array(of).T
-            total += np.bincount(np.repeat(texts_of, n), own[at], len(total))
-        return pd.DataFrame({"h": np.frombuffer(row.ids, np.int64), "log10_probability": total})
+    def codes_of(g: pd.Series) -> np.ndarray:
+        return np.array(g.tolist(), f"<U{ORDER}").view(np.uint32).reshape(-1, ORDER).T
 
     questions = held.mapInPandas(ask, "shard int, block string, grams binary")
     distinct = stored(questions.repartition("shard").sortWithinPartitions("shard").mapInPandas(once, "shard int, f int, g string"))
-    found = probabilities(distinct, tables).select("shard", "g", F.log10("p").cast("float").alias("p"))
-    answers = questions.groupBy("shard").cogroup(found.groupBy("shard")).applyInPandas(answer, "block string, shard int, p binary")
-    scores = held.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, "h long, log10_probability double")
+    found = probabilities(distinct, tables).select("shard", "f", "g", F.log10("p").cast("float").alias("p"))
+    if distinct.count() <= KNOWN:
+
+        def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in batches:
+                h = hashed(codes_of(part.g)) if len(part) else np.zeros(0, np.uint64)
+                yield pd.DataFrame([(k, h[own].tobytes(), part.p[own].to_numpy(np.float32).tobytes()) for k in (0, 1) for own in [(part.f == k).to_numpy()]], columns=["f", "h", "p"])
+
+        rows = found.mapInPandas(pack, "f int, h binary, p binary").collect()
+        model = {}
+        for k in (0, 1):
+            h, p = (np.concatenate([np.frombuffer(r[c], kind) for r in rows if r.f == k] or [np.zeros(0, kind)]) for c, kind in (("h", np.uint64), ("p", np.float32)))
+            order = np.argsort(h)
+            model[k] = h[order], p[order]
+        shared = texts.sparkSession.sparkContext.broadcast(model)
+
+        def here(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            seen: set[int] = set()
+            for part in sliced(batches):
+                part = part[~part.id.duplicated() & ~part.id.isin(seen)]
+                seen.update(part.id.tolist())
+                for k, own in part.groupby("f"):
+                    yield pd.DataFrame({"h": own.id, "log10_probability": summed(own.text.tolist(), len(own), *shared.value[k])})
+
+        scores = texts.select("id", "f", "text").mapInPandas(here, "h long, log10_probability double")
+    else:
+
+        def answer(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+            h = hashed(codes_of(known.g))
+            order = np.argsort(h)
+            h, p = h[order], known.p.to_numpy(np.float32)[order]
+            return pd.DataFrame([(row.block, row.shard, zstandard.compress(p[np.searchsorted(h, hashed(opened(row.grams)))].tobytes(), 1)) for row in asked.itertuples()], columns=["block", "shard", "p"])
+
+        def score(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+            row = only(block)
+            known = asked_by(row).h
+            p = answered(answers, "p", np.float32, len(known))
+            return pd.DataFrame({"h": np.frombuffer(row.ids, np.int64), "log10_probability": summed(unpacked(row), len(row.ids) // 8, known, p)})
+
+        answers = questions.groupBy("shard").cogroup(found.groupBy("shard")).applyInPandas(answer, "block string, shard int, p binary")
+        scores = held.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, "h long, log10_probability double")
     return scores.groupBy("h").agg(F.max("log10_probability").alias("log10_probability"))
 
 
@@ -252,8 +312,9 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, least:
     limits = {r.lang: r.limit for r in trusted.groupBy("lang").agg(F.count("*").alias("n"), at.alias("limit")).collect() if r.n >= least}
     table = F.create_map(*(F.lit(x) for kv in limits.items() for x in kv)) if limits else F.create_map().cast("map<string,double>")
     limit = F.coalesce(F.get(F.array(table[F.coalesce(F.col("lang"), F.lit("und"))]), F.lit(0)), F.lit(overall), F.lit(float("inf")))
-    key, value = fresh("h", docs), fresh("p", docs)
-    q = docs.withColumn(key, h).join(scores.select(F.col("h").alias(key), F.col("log10_probability").alias(value)), key, "left")
-    perplexed = F.when(F.col(value).isNotNull(), F.pow(F.lit(10.0), F.least(F.lit(300.0), -F.col(value) / n)))
-    judged = F.struct(n.alias("n_tokens"), F.col(value).alias("log10_probability"), perplexed.alias("perplexity"), limit.alias("limit"), F.coalesce(perplexed <= limit, F.lit(False)).alias("keep"))
-    return q.withColumn(output, judged).drop(key, value)
+    # what the join needs of the text is taken before it, so that texts travel only if the caller keeps them
+    key, value, size = (fresh(c, docs) for c in ("h", "p", "n"))
+    q = docs.withColumns({key: h, size: n}).join(scores.select(F.col("h").alias(key), F.col("log10_probability").alias(value)), key, "left")
+    perplexed = F.when(F.col(value).isNotNull(), F.pow(F.lit(10.0), F.least(F.lit(300.0), -F.col(value) / F.col(size))))
+    judged = F.struct(F.col(size).alias("n_tokens"), F.col(value).alias("log10_probability"), perplexed.alias("perplexity"), limit.alias("limit"), F.coalesce(perplexed <= limit, F.lit(False)).alias("keep"))
+    return q.withColumn(output, judged).drop(key, value, size)
