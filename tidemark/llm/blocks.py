@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm.texts import mixed, sliced
 
-#: Characters of a block.
+#: Bytes of a block's texts.
 BLOCK = 14_000_000
 SCHEMA = "block string, f int, texts binary, sizes binary, ids binary, known binary"
 
 
-def blocks(docs: DataFrame, once: bool = False, folds: int = 1) -> DataFrame:
-    """SCHEMA rows of ``docs`` (id long, f int below ``folds``, text); a null text is empty. With ``once`` a task's rows of equal ids count as one."""
-    limit = BLOCK
+def blocks(docs: DataFrame, once: bool = False, folds: int = 1, size: int | None = None) -> DataFrame:
+    """SCHEMA rows of ``docs`` (id long, f int below ``folds``, text); a null text is empty. With ``once`` a task's rows of equal ids count as one. ``size``: bytes of a block's texts, unless one is longer."""
+    limit = size or BLOCK
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task, number, seen = TaskContext.get().partitionId(), 0, set()

@@ -40,6 +40,8 @@ from tidemark.llm.texts import hashes, rolled, sliced, stored, words
 
 #: Characters of the corpus for each shard of counters.
 SHARD = 40_000_000
+#: Bytes of the texts of a block, whose sets a task holds together.
+BLOCK = 6_000_000
 #: Rows to look up are broadcast up to this number (some tens of MB), and joined with a shuffle beyond.
 BROADCAST_ROWS = 500_000
 #: Pairs that one set is held for in a task.
@@ -65,7 +67,7 @@ def slots(h: np.ndarray) -> np.ndarray:
 def described(docs: DataFrame, size: int, percent: int, chars: int) -> DataFrame:
     """doc_id, n (set size), sig (of the set), gid (of prefix and size), common (how common its shingles are), prefix (hashes in order)."""
     shards = max(6, -(-chars // SHARD))
-    held = blocks(docs.select(F.col("doc_id").alias("id"), F.lit(0).alias("f"), "text"))
+    held = blocks(docs.select(F.col("doc_id").alias("id"), F.lit(0).alias("f"), "text"), size=BLOCK)
 
     def sets(row) -> Iterator[np.ndarray]:
         return (shingles(text, size) for text in unpacked(row))

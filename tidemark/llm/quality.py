@@ -116,7 +116,7 @@ class Distinct:
 
     def add(self, h: np.ndarray, grams: np.ndarray, n: np.ndarray) -> None:
         self.waiting.append((h, grams, n))
-        if sum(len(x[0]) for x in self.waiting) > 1_000_000:
+        if sum(len(x[0]) for x in self.waiting) > 600_000:
             self.merge()
 
     def merge(self) -> None:

@@ -14,7 +14,7 @@ from xxhash import xxh3_64_intdigest
 #: A row of this table is worked on together with so many others at most, so that memory is bounded by a few texts.
 SLICE = 256
 #: And with texts of so many characters in all, unless it is longer itself.
-CHARS = 1_500_000
+CHARS = 600_000
 
 
 def words(text: str | None) -> list[bytes]:
