@@ -25,6 +25,10 @@ CJK = "㐀-䶿一-鿿"
 BLANKS = r"\s\x1c-\x1f\x85\xa0  -     　"
 
 
+#: Decimal digits of other scripts that people write numbers with, in the order of 0 to 9.
+DIGITS = "０１２３４５６７８９٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹०१२३४५६७८९"
+
+
 def strip(x: Column) -> Column:
     return F.regexp_replace(x, f"^[{BLANKS}]+|[{BLANKS}]+$", "")
 
@@ -45,6 +49,12 @@ def nfkc_casefold(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).casefold())
 
 
+@F.pandas_udf(T.StringType())
+def nfkc(x: pd.Series) -> pd.Series:
+    """Compatibility characters in one form: meant for catalogs."""
+    return x.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+
+
 def latin_fold(x: Column) -> Column:
     """The same as nfkc_casefold for texts of ASCII letters and accented Latin-1 letters, without leaving the JVM."""
     return F.replace(F.lower(x), F.lit("ß"), F.lit("ss"))
@@ -75,8 +85,8 @@ def docx_text(xml: Column) -> Column:
 
 
 def normalized_name(x: Column) -> Column:
-    folded = nfkc_casefold(F.trim(x))
-    return F.regexp_replace(F.regexp_replace(folded, rf"{KNOWN_SUFFIXES}\s*$", ""), r"[^\p{L}\p{N}]", "")
+    folded = nfkc_casefold(strip(x))
+    return F.regexp_replace(F.regexp_replace(folded, rf"{KNOWN_SUFFIXES}[{BLANKS}]*$", ""), r"[^\p{L}\p{N}]", "")
 
 
 def latin_name(x: Column) -> Column:
@@ -156,7 +166,8 @@ def lacks_evidence(answer: Column) -> Column:
 
 
 def chinese_number(x: Column) -> Column:
-    """Digits, or Chinese numerals below one hundred; null for others."""
+    """Digits of any script in ``DIGITS``, or Chinese numerals below one hundred; null for others."""
+    x = F.translate(x, DIGITS, "0123456789" * 4)
     digits = F.create_map(*(F.lit(v) for kv in {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}.items() for v in kv))
     tens, ones = F.substring_index(x, "十", 1), F.regexp_replace(x, "^[^十]*十", "")
     digit = lambda c, default: F.coalesce(F.try_element_at(digits, c), F.lit(default))

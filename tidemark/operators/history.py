@@ -10,11 +10,15 @@ from tidemark.config import SETTINGS
 from tidemark.functions import text as t
 
 
-def title(turns: DataFrame, key: str = "conv_id") -> DataFrame:
-    """key, title, message_count, has_user_message of ``turns`` (key, turn, role, text): the first user message with text, on one line, cut to 60 characters."""
+def title(turns: DataFrame, key: str = "conv_id", first_source: str | None = None) -> DataFrame:
+    """key, title, message_count, has_user_message of ``turns`` (key, turn, role, text): the first user message with text, on one line, cut to 60 characters.
+
+    ``first_source``: a column with the name of a conversation's first source, which is the title where no user said anything.
+    """
+    named = F.substring(F.max(first_source), 1, 60) if first_source else F.lit(None).cast("string")
     said = (F.col("role") == "user") & t.filled(F.col("text"))
     first = F.min_by(F.when(said, F.substring(F.replace(t.strip(F.col("text")), F.lit("\n"), F.lit(" ")), 1, 60)), F.when(said, F.col("turn")))
-    return turns.groupBy(key).agg(F.coalesce(first, F.lit(t.NEW_CHAT)).alias("title"), F.count("*").alias("message_count"), F.coalesce(F.bool_or(F.col("role") == "user"), F.lit(False)).alias("has_user_message"))
+    return turns.groupBy(key).agg(F.coalesce(first, named, F.lit(t.NEW_CHAT)).alias("title"), F.count("*").alias("message_count"), F.coalesce(F.bool_or(F.col("role") == "user"), F.lit(False)).alias("has_user_message"))
 
 
 def version(saved: DataFrame) -> Column:

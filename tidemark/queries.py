@@ -35,7 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 FIXTURES: dict[str, tuple[str, list[tuple]]] = {
     "questions": ("question_id int, question string", [
         (1, "请总结 1 基础篇-机器视觉系统.pdf"), (2, "复习大纲主要考哪些内容"), (3, "复习大钢主要考哪些内容"), (4, "第二个文件说了什么"), (5, "看一下第3份资料"),
-        (6, "它里面还有哪些题目"), (7, "基础篇的内容"), (8, "你好，今天天气怎么样"), (9, "有哪些文件？"), (10, "请 输出 全文"), (11, "这些资料主要讲什么"),
+        (19, "看一下第３份资料"), (20, "第　２　个文件"), (6, "它里面还有哪些题目"), (7, "基础篇的内容"), (8, "你好，今天天气怎么样"), (9, "有哪些文件？"), (10, "请 输出 全文"), (11, "这些资料主要讲什么"),
         (12, "第十二个文件"), (13, ""), (14, "把文档里的内容全部给我，不要省略"), (15, "上传的资料名称"), (16, "文件内容有什么"), (17, "第二十一份"), (18, "一个图像增强的文件里讲了什么")]),
     "catalog": ("source_pos int, source_id string, source_name string", [
         (0, "s1", "0 入门篇.pdf"), (1, "s2", "1 基础篇-机器视觉系统.pdf"), (2, "s3", "2025-2026-2复习大纲.pdf"), (3, "s4", "图像复原练习.pdf"), (4, "s5", "1 基础篇-图像增强.pdf")]),
@@ -53,12 +53,12 @@ FIXTURES: dict[str, tuple[str, list[tuple]]] = {
     "markdown": ("doc_id int, text string", [
         (1, "# 安装\npip install\n\n## 使用\nrun it\n## 测试\npytest"), (2, "lead text\n\n# One\nbody\n### Two\nmore\n"), (3, "no headings here\n#notone"), (4, "#  Only\n")]),
     "outline": ("doc_id int, text string", [
-        (1, "复习大纲\n1. 第一项复习内容\n2、 第二项\n 3) 第三项\n续行"), (2, "第 1．甲\n第2.乙\n10.丙"), (3, "no markers")]),
+        (1, "复习大纲\n1. 第一项复习内容\n2、 第二项\n 3) 第三项\n续行"), (2, "第 1．甲\n第2.乙\n10.丙"), (3, "no markers"), (4, "前言\n　1、甲\n　２、 乙\n　第　3．丙　")]),
     "paged": ("source_key string, doc_pos int, page int, page_content string", [
         *(("deck.pdf", i, i, f"slide {i} text") for i in (1, 2, 3, 4)), ("two.pdf", 5, 1, "first page"), ("two.pdf", 6, 2, "second page")]),
     "routed": ("source_key string, doc_pos int, source_name string, source_type string, page int, page_content string", [
         ("k1", 0, "a.pdf", "pdf", 1, "1. x\n2. y\n3. z"), *(("k2", i, "b.pdf", "pdf", i, "1. a\n2. b\n3. c") for i in range(1, 7)), ("k3", 20, "README.md", "md", None, "# t"),
-        ("k4", 21, "m.py", "code", None, "x = 1"), ("k5", 22, "c.YAML", "code", None, "a: 1"), ("k6", 23, "notes.txt", "txt", None, "plain"), ("k7", 24, "p.pdf", "pdf", 1, "just prose"), ("k8", 25, "x.bin", "json", None, "{}")]),
+        ("k4", 21, "m.py", "code", None, "x = 1"), ("k5", 22, "c.YAML", "code", None, "a: 1"), ("k6", 23, "notes.txt", "txt", None, "plain"), ("k7", 24, "p.pdf", "pdf", 1, "just prose"), ("k9", 30, "u.pdf", "pdf", 1, "前言\n　1、甲\n　２、乙\n　第 3．丙"), ("k8", 25, "x.bin", "json", None, "{}")]),
     "code": ("doc_id int, text string", [
         (1, "文件: sample.py\n\nimport os\n\n@dec\nclass A:\n    x = 1\n\ndef f():\n    return 1\n\nprint(f())\n"), (2, "def broken(:\n"), (3, "x = 1\n")]),
     "urls": ("url_id int, url string", [
@@ -75,7 +75,14 @@ FIXTURES: dict[str, tuple[str, list[tuple]]] = {
         (1, "q1", ["a", "b", "c"], ["b"], [], ["a"], "search", "selected", ["b", "x", "b"], " rewritten ", None, "0.8", "r"), (2, "q2", ["a", "b"], [], [], ["a"], "search", "all", [], "", None, "7", ""), (3, "q3", ["a", "b"], [], [], ["b", "z"], "read_source", "active", None, "ignored", "full_text", "bad", None),
         (4, "q4", ["a", "b"], ["a", "b"], [], [], "search", "auto", ["x"], "", None, "-1", ""), (5, "q5", ["a", "b"], ["a"], ["a"], [], "read_source", "nonsense", [], "", "odd", None, ""), (6, "q6", ["a"], ["a"], [], [], "chat", "all", ["a"], "x", "overview", "1", ""),
         (7, "q7", ["a"], [], [], [], "delete", "all", [], "", None, "1", ""), (8, "q8", ["a", "b"], [], [], [], "search", "weird", [], None, None, "0.5", None), (9, "q9", [], [], [], [], "list_sources", "active", [], "", None, "0.1", "")]),
-    "answers_json": ("id int, answer string", [(1, 'Sure: ```json\n{"operation": "search", "n": 1}\n``` done'), (2, "no object"), (3, '{"a": {"b": 2}} tail'), (4, "{broken")]),
+    "proposed": ("seq int, subject string, predicate string, object string, source_name string, evidence string", [
+        (0, " 直方图 ", "描述", "灰度分布", "a.md", "quote"), (1, "直方图", "描述", "灰度分布", "a.md", "again"), (2, "", "描述", "x", "a.md", ""), (3, "a", "is", "b", "other.md", "not one of the sources"), (4, "镜头", "包括", "镜头", "b.md", "itself"), (5, "镜头", "", "光", "b.md", "no predicate"), (6, "相机", "包括", "镜头", "b.md", None)]),
+    "wide_names": ("source_id string, source_name string", [
+        ("w1", "１２ 基础篇-图像增强.pdf"), ("w2", "3. 前沿技术篇_深度学习 2.docx"), ("w3", "　ＡＢＣ．pdf"), ("w4", "复习.PDF"), ("w5", "x.md")]),
+    "ids": ("id int, chunk_id string, content string", [(1, " chunk-1 ", "x"), (2, "", "some text"), (3, None, "some text"), (4, "\t", "镜头")]),
+    "files": ("id int, name string", [(1, "a b/c.txt"), (2, "镜头-1_x.PDF"), (3, ""), (4, "../..\\x")]),
+    "turns": ("conv_id int, turn int, role string, text string, first_source string", [(1, 0, "assistant", "hi", "notes.pdf"), (2, 0, "user", "hello there", "notes.pdf"), (3, 0, "assistant", "x", None), (4, 1, "user", " ", "b.md"), (4, 2, "user", "late", "b.md")]),
+    "answers_json": ("id int, answer string", [(1, 'Sure: ```json\n{"operation": "search", "n": 1}\n``` done'), (2, "no object"), (3, '{"a": {"b": 2}} tail'), (4, "{broken"), (5, "[1, 2]"), (7, '```\n{"deep": [{"y": null}]}\n```')]),
     "mixed_text": ("id int, text string", [(1, "Dm距离、PSNR与图像评价"), (2, "图像"), (3, "单"), (4, "CAFÉ_1 straße"), (5, ""), (6, "abc图像复原x")]),
 }
 # -------------------------------------------------------------------------------------------------------------------------
@@ -105,6 +112,13 @@ def values(name: str) -> str:
     return f"(select {cast} from (values {body}) as v({', '.join(f'c{i}' for i in range(len(columns)))}))"
 
 
+def hand_worked(rows: list[tuple], columns: str) -> str:
+    """A query that gives these rows; ``columns``: names with DuckDB types."""
+    names, kinds = zip(*(c.split() for c in columns.split(", ")), strict=True)
+    body = ", ".join("(" + ", ".join(repr(x) if isinstance(x, float) else _literal(x) for x in r) + ")" for r in rows)
+    return f"select {', '.join(f'c{i}::{k} as {n}' for i, (n, k) in enumerate(zip(names, kinds, strict=True)))} from (values {body}) as v({', '.join(f'c{i}' for i in range(len(names)))})"
+
+
 def as_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table as pages of sources: doc_id is the position, source the name."""
     d = table(spark, sf_dir, "documents")
@@ -150,6 +164,17 @@ def doc_frequency(spark, sf_dir):
     return retrieval.document_frequency(as_chunks(spark, sf_dir), latin=True)
 
 
+@query(BM25_ALL + "select * from bm25")
+def bm25_indexed(spark, sf_dir):
+    chunks = as_chunks(spark, sf_dir)
+    return retrieval.bm25_indexed(as_questions(spark, sf_dir), retrieval.postings(chunks, True), retrieval.totals(retrieval.lengths(chunks, True)), latin=True)
+
+
+@query(BM25_ALL.replace("regexp_extract_all(replace(lower(text), 'ß', 'ss')", "regexp_extract_all(replace(lower(nfc_normalize(text)), 'ß', 'ss')") + "select * from bm25")
+def bm25_default_folding(spark, sf_dir):
+    return retrieval.bm25(as_questions(spark, sf_dir), as_chunks(spark, sf_dir))
+
+
 @query(BM25_ALL + "select * from bm25")
 def bm25_topk(spark, sf_dir):
     return retrieval.bm25(as_questions(spark, sf_dir), as_chunks(spark, sf_dir), latin=True)
@@ -162,7 +187,7 @@ def bm25_topk_scoped(spark, sf_dir):
 
 
 DENSE = """
-dq as (select vec_id as query_id, embedding::double[] as q from embeddings where vec_id < 10),
+dq as (select vec_id as query_id, embedding::double[] as q from embeddings where vec_id % 100 = 0),
 dense as (select query_id, chunk_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from (
   select query_id, vec_id as chunk_id, round(list_cosine_similarity(q, embedding::double[]), 6) as score from dq, embeddings)) where rank <= 20)
 """
@@ -170,7 +195,7 @@ dense as (select query_id, chunk_id, score, rank from (select *, row_number() ov
 
 def _dense(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    return retrieval.dense(vectors.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding"), vectors.select(F.col("vec_id").alias("chunk_id"), "embedding"))
+    return retrieval.dense(vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), vectors.select(F.col("vec_id").alias("chunk_id"), "embedding"))
 
 
 @query(f"with {DENSE} select * from dense")
@@ -200,7 +225,7 @@ def rerank_identity(spark, sf_dir):
 
 @query()
 def hybrid_context(spark, sf_dir):
-    chunks = chunking.chunked(as_documents(spark, sf_dir).withColumn("source_key", F.col("source"))).withColumn("source_id", F.col("source_key")).persist()
+    chunks = chunking.chunked(as_documents(spark, sf_dir).withColumn("source_key", F.col("source"))).withColumn("source_id", F.col("source_key"))
     hits = retrieval.reranked(retrieval.fused(retrieval.bm25(as_questions(spark, sf_dir), chunks.select("chunk_id", "text"), latin=True).select("query_id", F.lit(1).alias("ranking"), "rank", "chunk_id")))
     return retrieval.expanded(hits, chunks)
 
@@ -210,12 +235,27 @@ def context_token_cost(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", retrieval.context_cost(F.col("text"), F.lit(None).cast("int")).alias("cost"))
 
 
-RELEVANT = "rel as (select distinct item_id as query_id, doc_id as chunk_id from benchmark b join documents d on contains(d.text, left(b.text, 60)))"
+RELEVANT = "rel as (select distinct item_id as query_id, doc_id as chunk_id from benchmark b join documents d on contains(d.text, b.text))"
+
+
+def _containing(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """query_id, chunk_id of the items (item_id, text) that a document (doc_id, text) contains whole.
+
+    A word inside an item, neither its first nor its last, is a word of each text that contains the item: documents are joined by an item's
+    longest such word, and the few that have it are searched. Items of up to two words are compared with all documents.
+    """
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9]+"), F.lit(0))
+    inner = F.slice(words(F.col("text")), F.lit(2), F.greatest(F.size(words(F.col("text"))) - 2, F.lit(0)))
+    keyed = items.where("text is not null").select("item_id", F.col("text").alias("item"), F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("word"))
+    wanted = F.broadcast(keyed.where("word is not null"))
+    found = docs.select("doc_id", "text", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).join(wanted, "word")
+    short = docs.join(F.broadcast(keyed.where("word is null").drop("word")), F.contains(docs["text"], F.col("item")))
+    rows = found.where(F.contains("text", F.col("item"))).select("item_id", "doc_id").union(short.select("item_id", "doc_id"))
+    return rows.select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("chunk_id")).distinct()
 
 
 def _metrics(spark, sf_dir):
-    d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    relevant = d.join(F.broadcast(b.select("item_id", F.substring("text", 1, 60).alias("head"))), F.contains(d["text"], F.col("head"))).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("chunk_id")).distinct()
+    relevant = _containing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return retrieval.known_item_metrics(bm25_topk(spark, sf_dir).select("query_id", "chunk_id", "rank"), relevant)
 
 
@@ -297,10 +337,12 @@ def source_overview(spark, sf_dir):
 
 
 @query(f"""select source_key, rank, section, case when section = 0 then chr(10) || '# ' || source_key || chr(10) else '' end || case when n > 1 then chr(10) || '## 第 ' || (section + 1) || ' 部分' || chr(10) else '' end || chr(10) || content as text
-from (select *, count(*) over (partition by source_key) as n from {SECTIONS}) join (select * from (values ('src3', 0), ('src1', 1)) v(source_key, rank)) using (source_key)""")
+from (select *, count(*) over (partition by source_key) as n from {SECTIONS}) join (select source as source_key, (row_number() over (order by min(doc_id)) - 1)::int as rank from documents group by 1) using (source_key)""")
 def source_full_text(spark, sf_dir):
-    chosen = spark.createDataFrame([("src3", 0), ("src1", 1)], "source_key string, rank int")
-    return sources.full_text_blocks(as_documents(spark, sf_dir), chosen)
+    docs = as_documents(spark, sf_dir)
+    first = sources.source_names(docs)
+    chosen = first.select(F.col("name").alias("source_key"), (F.row_number().over(retrieval.Window.orderBy("first_pos")) - 1).alias("rank"))
+    return sources.full_text_blocks(docs, chosen)
 
 
 @query(f"""select source_key, section, unit::int as unit, 'Source: ' || source_key || '; Page: ' || (section + 1) || chr(10) || substr(content, unit * 6000 + 1, 6000) as text
@@ -346,7 +388,7 @@ def remove_links(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", t.remove_links(F.col("text")).alias("text"))
 
 
-@query(f"""select id, case when id in (1, 3) then regexp_extract(answer, '(?s)\\{{.*\\}}') end as payload from {values("answers_json")}""")
+@query(f"""select id, case when json_valid(x) then x end as payload from (select id, nullif(regexp_extract(regexp_replace(answer, '```(?:json)?', '', 'g'), '(?s)\\{{.*\\}}'), '') as x from {values("answers_json")})""")
 def json_payload(spark, sf_dir):
     return fixture(spark, "answers_json").select("id", t.json_payload(F.col("answer")).alias("payload"))
 
@@ -381,7 +423,7 @@ def slide_windows(spark, sf_dir):
     return chunking.slides(docs).select("source_key", "doc_pos", "text", "parent_content", "parent_page_start", "parent_page_end")
 
 
-SPLIT = r"""(select doc_id, [regexp_replace(x, '^\s+|\s+$', '', 'g') for x in string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '({pattern})', chr(2) || '\1', 'g'), chr(2))] as p from {source})"""
+SPLIT = r"""(select doc_id, [regexp_replace(x, '^[BLANK]+|[BLANK]+$', '', 'g') for x in string_split(regexp_replace(regexp_replace(text, '^[BLANK]+|[BLANK]+$', '', 'g'), '({pattern})', chr(2) || '\1', 'g'), chr(2))] as p from {source})""".replace("BLANK", t.BLANKS)
 GLUED = "case when len(p) = 1 then p else list_concat([case when p[1] <> '' then p[1] || {glue} || p[2] else p[2] end], p[3:]) end"
 
 
@@ -390,7 +432,11 @@ def outline_items(spark, sf_dir):
     return fixture(spark, "outline").select("doc_id", F.posexplode(chunking.numbered_items(F.col("text"))).alias("pos", "item"))
 
 
-@query()
+@query(rf"""with recursive n as (select unnest([1, 2, 3]) as doc_id), it as (select doc_id, unnest(range(1, doc_id * 20 + 1)) as i from n),
+d as (select doc_id, i, i || '. 第' || i || '项复习内容 words of an item that take some room' as item from it),
+r as (select doc_id, i, 0 as pos, item as now from d where i = 1
+ union all select d.doc_id, d.i, case when len(regexp_extract_all(r.now || chr(10) || d.item, '{TOKEN_SQL}')) + 2 > 360 then r.pos + 1 else r.pos end, case when len(regexp_extract_all(r.now || chr(10) || d.item, '{TOKEN_SQL}')) + 2 > 360 then d.item else r.now || chr(10) || d.item end from r join d on d.doc_id = r.doc_id and d.i = r.i + 1)
+select doc_id, pos::int as pos, arg_max(now, i) as item from r group by 1, 2""")
 def outline_packing(spark, sf_dir):
     long = spark.range(1, 4).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.col("id") * 20), lambda i: F.concat(i, F.lit(". 第"), i, F.lit("项复习内容 words of an item that take some room"))), "\n").alias("text"))
     return long.select("doc_id", F.posexplode(chunking.packed_items(chunking.numbered_items(F.col("text")))).alias("pos", "item"))
@@ -401,9 +447,19 @@ def markdown_sections(spark, sf_dir):
     return fixture(spark, "markdown").select("doc_id", F.posexplode(chunking.markdown_sections(F.col("text"))).alias("pos", "section"))
 
 
-@query(f"select doc_id, k as key_path from (select doc_id, unnest(json_keys(text)) as k from {values('json')})")
+#: Rows worked out by hand: a JSON text's entries, each an indented object of one key.
+ENTRIES = [
+    (1, "alpha", "{\n  \"alpha\": 1\n}"),
+    (1, "model", "{\n  \"model\": {\n    \"name\": \"x\"\n  }\n}"),
+    (1, "retrieval", "{\n  \"retrieval\": {\n    \"k\": 20\n  }\n}"),
+    (2, "a", "{\n  \"a\": \"t\"\n}"),
+    (2, "b", "{\n  \"b\": [\n    1,\n    2\n  ]\n}"),
+]
+
+
+@query(hand_worked(ENTRIES, "doc_id integer, key_path varchar, entry varchar"))
 def structured_entries(spark, sf_dir):
-    return fixture(spark, "json").select("doc_id", F.inline(chunking.structured_entries(F.col("text"), F.lit(False)))).select("doc_id", "key_path")
+    return fixture(spark, "json").select("doc_id", F.inline(chunking.structured_entries(F.col("text"), F.lit(False))))
 
 
 @query(rf"""with s as (select doc_id, text, string_split(regexp_replace(text, '(?m)^([A-Za-z_][\w.-]*:)(\s|$)', chr(2) || '\1\2', 'g'), chr(2)) as p from {values('yaml')})
@@ -412,7 +468,18 @@ def yaml_entries(spark, sf_dir):
     return fixture(spark, "yaml").select("doc_id", F.inline(chunking.yaml_entries(F.col("text"))))
 
 
-@query()
+#: Rows worked out by hand.
+BLOCKS = [
+    (1, 0, "python_module", "import os"),
+    (1, 1, "python_class", "@dec\nclass A:\n    x = 1"),
+    (1, 2, "python_function", "def f():\n    return 1"),
+    (1, 3, "python_module", "print(f())"),
+    (2, 0, "python_code", "def broken(:"),
+    (3, 0, "python_module", "x = 1"),
+]
+
+
+@query(hand_worked(BLOCKS, "doc_id integer, pos integer, element_type varchar, block varchar"))
 def python_blocks(spark, sf_dir):
     return fixture(spark, "code").select("doc_id", F.posexplode(chunking.python_blocks(t.without_code_header(F.col("text")))).alias("pos", "b")).select("doc_id", "pos", "b.element_type", "b.block")
 
@@ -423,7 +490,23 @@ def chunk_router(spark, sf_dir):
     return chunking.strategies(fixture(spark, "routed"))
 
 
-@query()
+#: Rows worked out by hand for the sources whose chunks are their own parents; slides have their neighbours' texts.
+CHUNKS = [
+    ("k1", 0, "numbered_item", "1. x\n2. y\n3. z"),
+    ("k3", 0, "markdown_section", "# t"),
+    ("k4", 0, "python_module", "x = 1"),
+    ("k5", 0, "structured_object", "a: 1"),
+    ("k6", 0, "prose", "plain"),
+    ("k7", 0, "prose", "just prose"),
+    ("k9", 0, "numbered_item", "前言\n1、甲\n２、乙\n第 3．丙"),
+]
+
+
+@query(rf"""with c as (select source_key, chunk_index, element_type, text, case when element_type = 'numbered_item' then page_content else text end as parent from ({hand_worked(CHUNKS, "source_key varchar, chunk_index bigint, element_type varchar, text varchar")}) h join {values("routed")} using (source_key) union all
+ select source_key, chunk_index, element_type, text, parent from (select source_key, row_number() over (partition by source_key order by doc_pos) - 1 as chunk_index, 'slide' as element_type, page_content as text, array_to_string(list('[Page ' || page || ']' || chr(10) || page_content) over (partition by source_key order by doc_pos rows between 1 preceding and 1 following), chr(10) || chr(10)) as parent from {values("routed")} where source_key = 'k2')),
+p as (select *, case when element_type = 'slide' then chunk_index + 1 else 1 end as page from c),
+i as (select *, 'parent-' || left(sha256(source_key || chr(0) || element_type || chr(0) || page || chr(0) || page || chr(0) || parent), 24) as parent_id from p)
+select source_key, chunk_index, element_type, page as page_start, page as page_end, len(regexp_extract_all(text, '{TOKEN_SQL}')) + 2 as token_count, 'chunk-' || left(sha256(parent_id || chr(0) || chunk_index || chr(0) || text), 24) as chunk_id, parent_id, text from i""")
 def chunk_all(spark, sf_dir):
     return chunking.chunked(fixture(spark, "routed")).select("source_key", "chunk_index", "element_type", "page_start", "page_end", "token_count", "chunk_id", "parent_id", "text")
 
@@ -433,7 +516,11 @@ def split_bounded(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(t.pieces(F.col("text"), 1000)).alias("unit", "piece"))
 
 
-@query()
+@query(r"""with recursive d as (select source as key, regexp_replace(text, '^\s+|\s+$', '', 'g') as text, row_number() over (partition by source order by doc_id) as i from documents where regexp_matches(text, '\S')),
+r as (select key, i, text, 0 as batch, length(text) as size from d where i = 1
+ union all select d.key, d.i, d.text, case when r.size + 7 + length(d.text) > 12000 then r.batch + 1 else r.batch end, case when r.size + 7 + length(d.text) > 12000 then length(d.text) else r.size + 7 + length(d.text) end from r join d on d.key = r.key and d.i = r.i + 1),
+b as (select key, batch, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by i) as text from r group by 1, 2)
+select key, batch::int as batch, length(text)::int as n_chars, sha256(text) as text_sha256 from b""")
 def bounded_batches(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("key"), F.col("doc_id").alias("pos"), "text")
     return chunking.bounded_batches(docs).select("key", "batch", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
@@ -470,12 +557,116 @@ def chat_tail(spark, sf_dir):
     return history.chat_tail(table(spark, sf_dir, "conversations"))
 
 
+@query(f"""select conv_id, coalesce(arg_min(left(replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10), ' '), 60), turn) filter (where role = 'user' and regexp_matches(text, '\\S')), left(max(first_source), 60), '新对话') as title from {values("turns")} group by 1""")
+def source_titles(spark, sf_dir):
+    return history.title(fixture(spark, "turns"), first_source="first_source").select("conv_id", "title")
+
+
 # --- questions --------------------------------------------------------------------------------------------------------------
 def _contains_any(column: str, terms: list[str]) -> str:
     return "(" + " or ".join(f"contains({column}, '{w}')" for w in terms) + ")"
 
 
 R = resolver
+#: Rows worked out by hand: names with full-width characters folded, without their numbers, and topics.
+ALIASES = [
+    ("w1", "12基础篇图像增强|基础篇图像增强|图像增强"),
+    ("w2", "3前沿技术篇深度学习2|前沿技术篇深度学习2|前沿技术篇深度学习"),
+    ("w3", "abc"),
+    ("w4", "复习"),
+    ("w5", ""),
+]
+
+
+@query(hand_worked(ALIASES, "source_id varchar, aliases varchar"))
+def source_aliases(spark, sf_dir):
+    found = resolver.aliases(F.col("source_name"), t.normalized_name(F.col("source_name")))
+    return fixture(spark, "wide_names").select("source_id", F.array_join(found, "|").alias("aliases"))
+
+
+#: Rows worked out by hand: half of the length of both texts is shared (3 of 4 and 3 characters: 6/7), or 0.55 and 0.06 a shared character.
+SCORES = [
+    (2, "s1", 0.0, "无匹配"),
+    (2, "s2", 0.0, "无匹配"),
+    (2, "s3", 0.98, "名称匹配"),
+    (2, "s4", 0.0, "无匹配"),
+    (2, "s5", 0.0, "无匹配"),
+    (3, "s1", 0.0, "无匹配"),
+    (3, "s2", 0.0, "无匹配"),
+    (3, "s3", 0.8571, "相似名称"),
+    (3, "s4", 0.0, "无匹配"),
+    (3, "s5", 0.0, "无匹配"),
+    (7, "s1", 0.0, "无匹配"),
+    (7, "s2", 0.73, "部分名称匹配"),
+    (7, "s3", 0.0, "无匹配"),
+    (7, "s4", 0.0, "无匹配"),
+    (7, "s5", 0.73, "部分名称匹配"),
+    (18, "s1", 0.0, "无匹配"),
+    (18, "s2", 0.0, "无匹配"),
+    (18, "s3", 0.0, "无匹配"),
+    (18, "s4", 0.67, "部分名称匹配"),
+    (18, "s5", 0.98, "名称匹配"),
+]
+
+
+@query(hand_worked(SCORES, "question_id integer, source_id varchar, score double, reason varchar"))
+def resolver_scores(spark, sf_dir):
+    """Similar names and parts of names (R5, R6)."""
+    rows = resolver.scored(fixture(spark, "questions").where("question_id in (2, 3, 7, 18)").withColumn("active", F.array().cast("array<string>")), fixture(spark, "catalog"))
+    return rows.select("question_id", "source_id", "score", "reason")
+
+
+#: Rows worked out by hand: ordinals, one clear name, two equal parts of names, a pronoun, nothing.
+RESOLVED = [
+    (1, "s2", 1.0, "s2,s5"),
+    (2, "s3", 0.98, "s3"),
+    (3, "s3", 0.8571, "s3"),
+    (4, "s2", 1.0, "s2"),
+    (5, "s3", 1.0, "s3"),
+    (6, "s3", 0.95, "s3"),
+    (7, "", 0.65, "s2,s5"),
+    (8, "", 0.0, ""),
+    (9, "", 0.0, ""),
+    (10, "", 0.0, ""),
+    (11, "", 0.0, ""),
+    (12, "", 0.0, ""),
+    (13, "", 0.0, ""),
+    (14, "", 0.0, ""),
+    (15, "", 0.0, ""),
+    (16, "", 0.0, ""),
+    (17, "", 0.0, ""),
+    (18, "s1", 1.0, "s1"),
+    (19, "s3", 1.0, "s3"),
+    (20, "s2", 1.0, "s2"),
+]
+
+
+@query(hand_worked(RESOLVED, "question_id integer, source_ids varchar, confidence double, candidates varchar"))
+def resolver_full(spark, sf_dir):
+    asked = fixture(spark, "questions").withColumn("active", F.array(F.lit("s3")))
+    found = resolver.resolved(asked, fixture(spark, "catalog"))
+    return found.select("question_id", F.array_join("source_ids", ",").alias("source_ids"), "confidence", F.array_join("candidates", ",").alias("candidates"))
+
+
+@query(f"select id, coalesce(nullif(regexp_replace(coalesce(chunk_id, ''), '^\\s+|\\s+$', '', 'g'), ''), 'content-' || left(sha256(content), 24)) as document_id from {values('ids')}")
+def document_ids(spark, sf_dir):
+    return fixture(spark, "ids").select("id", t.document_id(F.col("chunk_id"), F.col("content")).alias("document_id"))
+
+
+@query(f"select id, regexp_replace(name, '[^A-Za-z0-9._-]', '_', 'g') as file_id from {values('files')}")
+def safe_file_ids(spark, sf_dir):
+    return fixture(spark, "files").select("id", t.safe_file_id(F.col("name")).alias("file_id"))
+
+
+@query(f"""with p as (select question_id, catalog, [x for x in coalesce(source_ids, []::varchar[]) if list_contains(catalog, x)] as a, [x for x in active if list_contains(catalog, x)] as b from {values("plans")})
+select question_id, array_to_string(list_distinct_in_order, ',') as source_ids from (select question_id, [u[i] for i in range(1, len(u) + 1) if list_position(u, u[i]) = i] as list_distinct_in_order from (select question_id, case when len(a) > 0 then a when len(b) > 0 then b else catalog end as u from p))""")
+def sources_in_use(spark, sf_dir):
+    return fixture(spark, "plans").select("question_id", F.array_join(planner.sources_in_use(F.col("source_ids"), F.col("active"), F.col("catalog")), ",").alias("source_ids"))
+
+
+@query(f"""select question_id, case when len(candidates) = 0 then '{planner.UNCLEAR}' else '{planner.CHOOSE}' || array_to_string(['- ' || x for x in candidates], chr(10)) end as answer from {values("plans")}""")
+def selection_answers(spark, sf_dir):
+    return fixture(spark, "plans").select("question_id", planner.selection_answer(F.col("candidates")).alias("answer"))
 
 
 @query(f"""select question_id, case when x = '' then null when {_contains_any("x", R.INVENTORY)} then 'inventory' when {_contains_any("x", R.FULL_TEXT)} then 'full_text' when {_contains_any("x", R.COMPLETE)} and {_contains_any("x", R.SCOPE)} then 'full_text' when {_contains_any("x", R.OVERVIEW)} then 'overview'
@@ -487,8 +678,9 @@ def route_keywords(spark, sf_dir):
 DIGIT = "(case {} when '' then {} when '零' then 0 when '〇' then 0 when '一' then 1 when '二' then 2 when '两' then 2 when '三' then 3 when '四' then 4 when '五' then 5 when '六' then 6 when '七' then 7 when '八' then 8 when '九' then 9 else {} end)"
 
 
-@query(rf"""with m as (select question_id, coalesce(nullif(regexp_extract(question, '(?:{R.ORDINALS[0]}|{R.ORDINALS[1]})', 1), ''), nullif(regexp_extract(question, '(?:{R.ORDINALS[0]}|{R.ORDINALS[1]})', 2), '')) as x from {values("questions")}),
-n as (select question_id, case when regexp_matches(x, '^\d+$') then try_cast(x as integer) when x = '十' then 10 when contains(x, '十') then {DIGIT.format("split_part(x, '十', 1)", 1, 1)} * 10 + {DIGIT.format("split_part(x, '十', 2)", 0, 0)} else {DIGIT.format("x", "null", "null")} end as v from m)
+@query(rf"""with m as (select question_id, coalesce(nullif(regexp_extract(question, '(?:{R.ORDINALS[0]}|{R.ORDINALS[1]})', 1), ''), nullif(regexp_extract(question, '(?:{R.ORDINALS[0]}|{R.ORDINALS[1]})', 2), '')) as y from {values("questions")}),
+o as (select question_id, translate(y, '{t.DIGITS}', '{"0123456789" * 4}') as x from m),
+n as (select question_id, case when regexp_matches(x, '^\d+$') then try_cast(x as integer) when x = '十' then 10 when contains(x, '十') then {DIGIT.format("split_part(x, '十', 1)", 1, 1)} * 10 + {DIGIT.format("split_part(x, '十', 2)", 0, 0)} else {DIGIT.format("x", "null", "null")} end as v from o)
 select question_id, coalesce(case when v > 0 then v - 1 end, -1) as place from n""")
 def ordinal_refs(spark, sf_dir):
     return fixture(spark, "questions").select("question_id", F.coalesce(resolver.ordinal(F.col("question")), F.lit(-1)).alias("place"))
@@ -499,7 +691,8 @@ def source_hints(spark, sf_dir):
     return fixture(spark, "questions").select("question_id", resolver.hint(F.col("question")).alias("hint"), resolver.has_pronoun(F.col("question")).alias("pronoun"))
 
 
-QN = rf"regexp_replace(regexp_replace({FOLD.format('question')}, '\.(pdf|docx?|md|txt|html?|json|ya?ml|toml|py|sql)\b', '', 'g'), '[^\p{{L}}\p{{N}}]', '', 'g')"
+WIDE = f"translate(question, '{t.DIGITS}', '{'0123456789' * 4}')"
+QN = rf"regexp_replace(regexp_replace({FOLD.format(WIDE)}, '\.(pdf|docx?|md|txt|html?|json|ya?ml|toml|py|sql)\b', '', 'g'), '[^\p{{L}}\p{{N}}]', '', 'g')"
 CN = rf"regexp_replace(regexp_replace({FOLD.format('trim(source_name)')}, '\.(pdf|docx?|md|txt|html?|json|ya?ml|toml|py|sql)\s*$', ''), '[^\p{{L}}\p{{N}}]', '', 'g')"
 
 
@@ -517,12 +710,6 @@ def resolver_lcs(spark, sf_dir):
     return named.select("question_id", "source_id", resolver.longest_common(F.col("q"), F.col("a")).alias("common"))
 
 
-@query()
-def resolver_full(spark, sf_dir):
-    asked = fixture(spark, "questions").withColumn("active", F.array(F.lit("s3")))
-    return resolver.resolved(asked, fixture(spark, "catalog"))
-
-
 @query(f"""with p as (select *, trim(coalesce(operation, '')) as op, trim(coalesce(scope, '')) as sc, [x for x in coalesce(source_ids, []::varchar[]) if list_contains(candidates, x)] as ch, [x for x in resolved if list_contains(catalog, x)] as rs, [x for x in active if list_contains(catalog, x)] as ac from {values("plans")}),
 d as (select *, case when len(rs) > 0 then rs else [ch[i] for i in range(1, len(ch) + 1) if list_position(ch, ch[i]) = i] end as pick, op in ('read_source', 'search') as reads from p),
 e as (select *, case when not reads then 'none' when len(rs) > 0 or (len(candidates) > 0 and len(ch) = 0) then 'selected' when sc in ('auto', 'none', 'selected', 'active', 'all') then sc else 'auto' end as sc2, len(pick) = 0 and len(candidates) = 0 as unset from d)
@@ -562,6 +749,12 @@ def kg_triples(spark, sf_dir):
     return graph.triples(graph.statements(fixture(spark, "notes")))
 
 
+@query(f"""select seq, subject, predicate, object, source_name, evidence from {values("proposed")} where trim(subject) <> '' and trim(predicate) <> '' and trim(object) <> '' and source_name in ('a.md', 'b.md') order by seq limit 3""")
+def kg_validation(spark, sf_dir):
+    names = spark.createDataFrame([("a.md",), ("b.md",)], "source_name string")
+    return graph.validated(fixture(spark, "proposed"), names, limit=3)
+
+
 NODES = f"""(with e as (select triple_index, unnest([trim(subject), trim(object)]) as label from {values("triples")} where trim(subject) <> '' and trim(object) <> ''), g as (select label, count(*) as degree, min(triple_index) as first_seen from e group by 1),
 i as (select *, row_number() over (order by degree desc, first_seen, label) - 1 as i, greatest(2, least(14, ceil(sqrt(count(*) over () * 1.8))::int)) as cols from g)
 select 'n' || i as id, label, degree, 150 + 280 * (i % cols) + 70 * ((i // cols) % 2) as x, 110 + 170 * (i // cols) as y, least(36, 20 + 3 * degree) as radius, ['#2563eb', '#059669', '#dc2626', '#7c3aed', '#ea580c', '#0891b2', '#be123c'][(i % 7 + 1)::int] as color from i)"""

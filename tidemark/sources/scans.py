@@ -19,6 +19,8 @@ from tidemark.functions import text as t
 CODE_SUFFIXES = ".py .js .jsx .ts .tsx .java .go .rs .cpp .c .h .cs .php .rb .md .txt .json .yaml .yml .toml .html .css .sql".split()
 SKIPPED_FOLDERS = ".git .venv venv __pycache__ node_modules dist build docs-db tmp".split()
 FILE_SUFFIXES = (".pdf", ".docx", ".md", ".txt")
+#: Positions that one file has for its pages, and one part of a mixed scan for its documents: 2**23 parts of 2**40.
+PAGES, PART = 1 << 16, 1 << 40
 DOCUMENT = "doc_pos long, source string, source_name string, source_type string, page int, page_content string"
 
 
@@ -55,7 +57,7 @@ def _pdf_pages(content: pd.Series) -> pd.Series:
 def _positioned(rows: DataFrame, paths: DataFrame) -> DataFrame:
     """doc_pos by path, then page: sorted, so that the order doesn't depend on the file system. Only ``paths`` (source) are numbered in one place; contents stay where they were read."""
     number = paths.withColumn("_file", (F.row_number().over(Window.orderBy("source")) - 1).cast("long"))
-    placed = rows.join(number, "source").withColumn("doc_pos", F.shiftleft("_file", 20) + F.coalesce("page", F.lit(0)))
+    placed = rows.join(number, "source").withColumn("doc_pos", F.col("_file") * PAGES + F.coalesce("page", F.lit(0)))
     return placed.select("doc_pos", "source", "source_name", "source_type", "page", "page_content")
 
 
@@ -118,14 +120,32 @@ def addresses(spark: SparkSession, urls: list[str], fetch: Callable[[str], str])
 
 
 def mixed(parts: list[DataFrame]) -> DataFrame:
-    """Documents of several scans, one after the other; positions are (part, doc_pos) folded into one number."""
+    """Documents of several scans, one after the other; positions are (part, doc_pos) folded into one number. A part with a position of ``PART`` or more (16 million files, or a file of over 65535 pages) raises an error."""
     out = None
     for i, part in enumerate(parts):
-        moved = part.withColumn("doc_pos", F.lit(i) * F.lit(1 << 40) + F.col("doc_pos"))
+        inside = F.when(F.col("doc_pos") < PART, F.col("doc_pos")).otherwise(F.raise_error(F.lit("a part has too many positions")))
+        moved = part.withColumn("doc_pos", F.lit(i) * F.lit(PART) + inside)
         out = moved if out is None else out.unionByName(moved, allowMissingColumns=True)
     return out
 
 
+def items(spark: SparkSession, given: list[str], fetch: Callable[[str], str]) -> DataFrame:
+    """Documents of addresses, files and code folders in the order given; blank items are passed over, and one that is neither raises an error."""
+    parts = []
+    for item in filter(None, (x.strip() for x in given)):
+        if item.startswith(("http://", "https://")):
+            parts.append(addresses(spark, [item], fetch))
+            continue
+        path = spark._jvm.org.apache.hadoop.fs.Path(item)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not system.exists(path):
+            raise ValueError(f"neither an address nor a file or folder: {item}")
+        parts.append(code_folder(spark, item) if system.getFileStatus(path).isDirectory() else files(spark, item))
+    if not parts:
+        raise ValueError("nothing to read")
+    return mixed(parts)
+
+
 SAVED = "session_id string, title string, created_at string, updated_at string, saved_at string, source_names array<string>, messages array<struct<role:string,content:string>>"
 
 

@@ -22,18 +22,77 @@ def write_index(docs: DataFrame, path: str, embed=None) -> dict[str, str]:
         raise ValueError("there is no text to index")
     spark = docs.sparkSession
     chunks, parents = chunking.index_tables(chunking.chunked(full))
-    places = {name: f"{path.rstrip('/')}/{name}" for name in ("chunks", "parents", "postings", "vectors")}
-    chunks.write.mode("overwrite").parquet(places["chunks"])
-    parents.write.mode("overwrite").parquet(places["parents"])
-    written = spark.read.parquet(places["chunks"])
-    retrieval.postings(written).write.mode("overwrite").parquet(places["postings"])
+    staged = _staged(path)
+    places = {name: f"{path.rstrip('/')}/{name}" for name in ("chunks", "parents", "postings", "lengths", *(["vectors"] if embed is not None else []))}
+    chunks.write.mode("overwrite").parquet(f"{staged}/chunks")
+    written = spark.read.parquet(f"{staged}/chunks")
+    parents.write.mode("overwrite").parquet(f"{staged}/parents")
+    place = ("source_key", "doc_pos", "chunk_index")
+    # sorted by term, so that a query's terms are looked for in few row groups
+    retrieval.postings(written, False, *place).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{staged}/postings")
+    retrieval.lengths(written, False, *place).write.mode("overwrite").parquet(f"{staged}/lengths")
     if embed is not None:
-        written.select("chunk_id", "source_key", embed(F.col("text")).alias("embedding")).write.mode("overwrite").parquet(places["vectors"])
+        written.select("chunk_id", "source_key", embed(F.col("text")).alias("embedding")).write.mode("overwrite").parquet(f"{staged}/vectors")
+    _swapped(spark, staged, path)
     return places
 
 
+def _staged(path: str) -> str:
+    return f"{path.rstrip('/')}.new"
+
+
+def _swapped(spark: SparkSession, staged: str, path: str) -> None:
+    """Puts a written folder in another's place by renames; what was there is kept aside until then, and a crash leaves one of the two whole (``recovered`` finds it)."""
+    jvm, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    new, now, old = (jvm.Path(x) for x in (staged, path.rstrip("/"), f"{path.rstrip('/')}.old"))
+    system = now.getFileSystem(conf)
+    system.delete(old, True)
+    if system.exists(now) and not system.rename(now, old):
+        raise OSError(f"{path} can't be moved")
+    if not system.rename(new, now):
+        raise OSError(f"{staged} can't be moved")
+    system.delete(old, True)
+
+
+def recovered(spark: SparkSession, path: str) -> None:
+    """After a crash between two renames: what was set aside goes back."""
+    jvm, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    now, old = jvm.Path(path.rstrip("/")), jvm.Path(f"{path.rstrip('/')}.old")
+    system = now.getFileSystem(conf)
+    if system.exists(old) and not system.exists(now):
+        system.rename(old, now)
+
+
+def reset_index(spark: SparkSession, path: str) -> None:
+    """Remove an index with all its tables, and leave an empty folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.delete(folder, True)
+    system.mkdirs(folder)
+
+
+def land_files(spark: SparkSession, given: dict[str, bytes], path: str, index: str | None = None, replace: bool = True) -> list[str]:
+    """Write uploaded files (name, bytes) into a folder, by default in place of all that was there and of the ``index``; returns their paths."""
+    jvm, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    folder = jvm.Path(path)
+    system = folder.getFileSystem(conf)
+    if replace:
+        system.delete(folder, True)
+        if index is not None:
+            system.delete(jvm.Path(index), True)
+    system.mkdirs(folder)
+    for name, raw in given.items():
+        out = system.create(jvm.Path(folder, name), True)
+        try:
+            out.write(bytearray(raw))
+        finally:
+            out.close()
+    return [f"{path.rstrip('/')}/{name}" for name in given]
+
+
 def save_conversations(spark: SparkSession, new: DataFrame, path: str) -> None:
-    """Upsert into one Parquet table of the latest versions; what was there is read whole before it is replaced by a new version folder."""
+    """Upsert into one Parquet table of the latest versions; the new table is written whole before it takes the old one's place."""
+    recovered(spark, path)
     try:
         old = spark.read.parquet(path)
     except Exception as e:  # noqa: BLE001 - only a missing table counts as empty
@@ -41,9 +100,8 @@ def save_conversations(spark: SparkSession, new: DataFrame, path: str) -> None:
             raise
         old = new.limit(0)
     merged = history.upserted(old, new)
-    staged = f"{path.rstrip('/')}.new"
-    merged.write.mode("overwrite").parquet(staged)
-    spark.read.parquet(staged).write.mode("overwrite").parquet(path)
+    merged.write.mode("overwrite").parquet(_staged(path))
+    _swapped(spark, _staged(path), path)
 
 
 def archive_conversations(saved: DataFrame, path: str) -> None:
@@ -57,9 +115,8 @@ def delete_conversation(spark: SparkSession, path: str, session: str) -> int:
     rest, gone = history.without(spark.read.parquet(path), session)
     n = gone.first().n
     if n:
-        staged = f"{path.rstrip('/')}.new"
-        rest.write.mode("overwrite").parquet(staged)
-        spark.read.parquet(staged).write.mode("overwrite").parquet(path)
+        rest.write.mode("overwrite").parquet(_staged(path))
+        _swapped(spark, _staged(path), path)
     return n
 
 
