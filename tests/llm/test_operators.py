@@ -520,18 +520,52 @@ def test_syncmers_are_chosen_by_their_edges_alone(spark):
     assert (len(got[3].a), len(got[4].a), len(got[5].a)) == (0, 1, 0)
 
 
+def anchors_by(h):
+    """Places of the closed syncmers of inner values, by a loop."""
+    r = syncmers.REACH
+    if len(h) <= r:
+        return [0] if h else []
+    return [i for i in range(len(h) - r) if min(h[i], h[i + r]) <= min(h[i + 1 : i + r])]
+
+
+def test_next_rows_of_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(syncmers, "CUTS", 2)
+    rnd = random.Random(6)
+    for ids in ([rnd.randrange(1000) for _ in range(300)], [k * k * k for k in range(200)], [7] * 50, [-(2**62), 2**62, 5, None]):
+        rows = [(i, f"t{k}") for k, i in enumerate(ids)]
+        got = sorted((((r.doc_id is not None, r.doc_id or 0), r.text, r.next.text) for r in syncmers.with_next(one(spark, rows), ["text"], {"v": F.length("text")}, rows_per_range=10).collect()))
+        order = sorted(((i is not None, i or 0), x) for i, x in rows)
+        assert got == sorted((*a, b[1]) for a, b in zip(order, order[1:] + order[:1], strict=True))
+
+
 def test_fingerprints_of_edited_and_next_documents(spark, docs):
     import hashlib
 
     got = {r.doc_id: r for r in queries.op8_syncmers(spark, SF).collect()}
     source = sorted((r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect())
     assert len(got) == len(source)
+    cut = lambda x, y: x[: len(x) - len(x) // 2] + y[: len(x) // 2]
+    texts = sorted({x for _, x in source} | {cut(x, y) for (_, x), (_, y) in zip(source, source[1:] + source[:1], strict=True)})
+    found = one(spark, list(enumerate(texts))).select("text", syncmers.inner_values(F.col("text")).alias("h"), syncmers.anchors(F.col("text")).alias("a")).collect()
+    assert all([x["at"] for x in r.a] == anchors_by(r.h) for r in found)
+    known = {r.text: r.a for r in found}
+    anchors_of = known.__getitem__
+
+    def plain_fingerprint(x):
+        values = list(dict.fromkeys(a["hash"] & 0xFFFFFFFF for a in known[x]))
+        return values, "".join(f"{v:08X}" for v in values)
+
     for k, (i, text) in enumerate(source):
         after = source[(k + 1) % len(source)][1]
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
         r = got[i]
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert plain_fingerprint(edited)[1] == r.edited_fingerprint and plain_fingerprint(text)[1] == r.fingerprint
+        a, b, c = (set(plain_fingerprint(x)[0]) for x in (text, edited, after))
+        like = lambda x, y: 2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0
+        assert abs(r.near_edited - like(a, b)) < 1e-12 and abs(r.near_next - like(a, c)) < 1e-12
+        assert r.aligned_edited <= len(anchors_of(text)) and (edited != text or r.aligned_edited == len(anchors_of(text)))
         if edited == text:
             assert r.edited_fingerprint == r.fingerprint and r.near_edited == 1
     long = [r for r in got.values() if r.n_chars > 500]

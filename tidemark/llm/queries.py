@@ -57,12 +57,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = syncmers.with_next(docs, ["text"], {"anchors": syncmers.values(syncmers.anchors(F.col("text")))})
+    rows = syncmers.with_next(docs, ["text"], {"found": syncmers.anchors(F.col("text"))})
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next.text", F.lit(1), half))
-    rows = rows.withColumn("edited", edited).withColumn("edited_anchors", syncmers.values(syncmers.anchors(F.col("edited"))))
-    return rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), syncmers.printed(F.col("anchors")).alias("fingerprint"), syncmers.printed(F.col("edited_anchors")).alias("edited_fingerprint"), syncmers.likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"), syncmers.likeness(F.col("anchors"), F.col("next.anchors")).alias("near_next"))
+    rows = rows.withColumn("edited", edited).withColumn("edited_found", syncmers.anchors(F.col("edited")))
+    rows = rows.withColumns({"a": syncmers.values(F.col("found")), "b": syncmers.values(F.col("edited_found")), "c": syncmers.values(F.col("next.found"))})
+    return rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), syncmers.printed(F.col("a")).alias("fingerprint"), syncmers.printed(F.col("b")).alias("edited_fingerprint"), syncmers.likeness(F.col("a"), F.col("b")).alias("near_edited"), syncmers.likeness(F.col("a"), F.col("c")).alias("near_next"), syncmers.aligned(F.col("found"), F.col("edited_found")).alias("aligned_edited"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

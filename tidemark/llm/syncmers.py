@@ -68,39 +68,68 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(total == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / total)
 
 
+def aligned(a: Column, b: Column) -> Column:
+    """How many anchors two texts have in common at the same place."""
+    at = lambda x: F.transform(x, lambda v: F.struct(v["at"].alias("at"), v["hash"].alias("hash")))
+    return F.size(F.array_intersect(at(a), at(b))).cast("long")
+
+
 def matches(left: DataFrame, right: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Positional matching: (id, other_id, shift, n) for documents that share anchors, by the shift that most shared anchors agree on.
 
-    Each side's anchors are first counted per hash; a hash that two documents share once gives one row. Meant for a set
-    of queries against a corpus, not for all pairs of a corpus.
+    Meant for a set of queries against a corpus, not for all pairs of a corpus. The queries' anchors are counted first, and the
+    corpus is cut down to them before the join, which is an equi-join whose large partitions adaptive execution splits.
     """
     a = left.select(F.col(id_column).alias("id"), F.inline(anchors(F.col(text))))
     b = right.select(F.col(id_column).alias("other_id"), F.inline(anchors(F.col(text)))).withColumnRenamed("at", "other_at")
+    b = b.join(a.select("hash").distinct(), "hash", "left_semi")
     shifts = a.join(b, "hash").groupBy("id", "other_id", (F.col("at") - F.col("other_at")).alias("shift")).agg(F.count("*").alias("n"))
     best = F.max_by(F.struct("shift", "n"), F.struct("n", -F.abs("shift"), "shift"))
     return shifts.groupBy("id", "other_id").agg(best.alias("best")).select("id", "other_id", "best.*")
 
 
-def with_next(docs: DataFrame, keep: list[str], derive: dict[str, Column], id_column: str = "doc_id", rows_per_range: int = 4000, max_ranges: int = 4096) -> DataFrame:
+#: Cuts of the id ranges that stand in the plan, as so many lists of so many; ranges between two cuts are of equal width.
+CUTS = 32
+
+
+def with_next(docs: DataFrame, keep: list[str], derive: dict[str, Column], id_column: str = "doc_id", rows_per_range: int = 1000) -> DataFrame:
     """The id, ``keep`` and the ``derive`` columns of each row, and ``next``: the same of the row that follows by id (after the last: the first).
 
-    Cuts of an approximate quantile summary part the ids into ranges of about equal size; a cut is an id that occurs, so the
-    first rows of all ranges are known beforehand and are repeated at the end of the range before. Ranges are dealt
+    Cuts of an approximate quantile summary part the ids into up to ``CUTS`` * ``CUTS`` ranges of about equal size, each of which is parted
+    evenly into as many as it takes to hold ``rows_per_range`` rows or so. The first id of each range that has one is found by an aggregate of ids, and the
+    first rows are repeated at the end of the range before. Ranges are dealt
     out in one shuffle and sorted each by itself. Null ids come first; ties are ordered by the kept columns.
     """
     key = F.coalesce(F.col(id_column).cast("long"), F.lit(-(2**63)))
     rows = docs.select(key.alias("_key"), id_column, *keep)
-    least, total = rows.agg(F.min("_key"), F.count("*")).first()
+    least, most, total = rows.agg(F.min("_key"), F.max("_key"), F.count("*")).first()
     if not total:
-        least = 0
-    ranges = max(1, min(max_ranges, -(-total // rows_per_range)))
-    found = rows.agg(F.percentile_approx("_key", [k / ranges for k in range(1, ranges)], 50 * ranges)).first()[0] if ranges > 1 else []
+        least = most = 0
+    cuts = max(1, min(CUTS * CUTS, -(-total // rows_per_range)))
+    found = rows.agg(F.percentile_approx("_key", [k / cuts for k in range(1, cuts)], 50 * cuts)).first()[0] if cuts > 1 else []
     firsts = sorted({least, *found})
-    bounds = F.array(*(F.lit(x).cast("long") for x in firsts))
-    part = F.size(F.filter(bounds, lambda x: x <= F.col("_key"))) - 1
-    heads = rows.where(F.col("_key").isin(firsts)).groupBy("_key").agg(F.min(F.struct(id_column, *keep)).alias("head"))
-    repeated = heads.select((part + len(firsts) - 1) % len(firsts), F.lit(1).alias("_last"), "_key", "head.*")
-    both = rows.select(part.alias("_range"), F.lit(0).alias("_last"), "_key", id_column, *keep).union(repeated).repartition("_range")
+    parts = max(1, -(-total // (len(firsts) * rows_per_range)))
+    lists = [firsts[k : k + CUTS] for k in range(0, len(firsts), CUTS)]
+    longs = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
+    up_to = lambda xs: F.size(F.filter(xs, lambda x: x <= F.col("_key"))) - 1
+    outer = up_to(longs([x[0] for x in lists]))
+    cut = outer * CUTS + up_to(F.get(F.array(*map(longs, lists)), outer))
+    rows = rows.withColumn("_cut", cut)
+    if parts > 1:
+        low, high = F.get(longs(firsts), F.col("_cut")).cast("double"), F.get(longs([*firsts[1:], most + 1 if most < 2**63 - 1 else most]), F.col("_cut")).cast("double")
+        step = F.least(F.lit(parts - 1), F.floor((F.col("_key").cast("double") - low) * parts / F.greatest(F.lit(1.0), high - low)))
+    else:
+        step = F.lit(0)
+    rows = rows.withColumn("_range", (F.col("_cut").cast("long") * parts + step).cast("long")).drop("_cut")
+    if parts > 1:
+        own = rows.groupBy("_range").agg(F.min("_key").alias("_key"))
+        before = F.coalesce(F.lag("_range").over(Window.orderBy("_range")), F.last("_range").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        heads = rows.join(own.select("_key", before.alias("_to")), "_key")
+    else:
+        last = len(firsts)
+        heads = rows.where(F.col("_key").isin(firsts)).withColumn("_to", (F.col("_range") + last - 1) % last)
+    heads = heads.groupBy("_key", "_to").agg(F.min(F.struct(id_column, *keep)).alias("head"))
+    both = rows.select("_range", F.lit(0).alias("_last"), "_key", id_column, *keep).union(heads.select("_to", F.lit(1), "_key", "head.*")).repartition("_range")
     both = both.withColumns(derive)
     by = Window.partitionBy("_range").orderBy("_last", "_key", *keep)
     return both.withColumn("next", F.lead(F.struct(*keep, *derive)).over(by)).where("_last = 0").select(id_column, *keep, *derive, "next")
