@@ -140,6 +140,36 @@ def test_a_crash_between_renames_loses_nothing(spark, tmp_path):
     assert {r.session_id for r in spark.read.parquet(table).collect()} == {"s", "t"} and not (tmp_path / "t.old").exists() and not (tmp_path / "t.new").exists()
 
 
+def test_models_by_environment_and_their_answers():
+    import http.server
+    import threading
+
+    from tidemark.plans import models
+
+    assert models.message_text("a") == "a" and models.message_text({"content": [{"text": "x"}, "y", {"z": 1}]}) == "xy" and models.message_text(3) == "3"
+    names = {"openai": "m1", "local": "m2", "groq": "m3"}
+    assert models.chat_model(names, env={"OPENAI_API_KEY": "k"}).model == "m1"
+    assert (models.chat_model(names, True, {}).model, models.chat_model(names, False, {"GROQ_API_KEY": "g"}).key) == ("m2", "g")
+    asked = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"choices": [{"message": {"content": 'so: {"operation": "chat"} '}}]}).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    chat = models.chat_model(names, True, {"OLLAMA_BASE_URL": f"http://127.0.0.1:{server.server_port}/v1"})
+    assert models.planner_of(chat)("hi", ["s1"], [("user", "before")]) == {"operation": "chat"}
+    assert [m["role"] for m in asked[0]["messages"]] == ["system", "user", "user"] and "s1" in asked[0]["messages"][0]["content"]
+    server.shutdown()
+
+
 def test_graph_by_rules(engine):
     got = {(r.predicate, r.object) for r in engine.graph(["菜汤.txt"]).collect()}
     assert ("包括", "洋葱") in got and ("包括", "水") in got

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,3 +63,28 @@ def windows(text: Column, limit: int = SETTINGS.target_tokens, overlap: int = SE
         return F.flatten(F.transform(F.array(marked), pieces))
 
     return F.flatten(F.transform(F.array(strip(F.coalesce(text, F.lit("")))), cut))
+
+
+def character_parts(text: str | None, limit: int, overlap: int) -> list[str]:
+    """The longest parts of up to ``limit`` tokens (special ones counted), cut at any character; each begins ``overlap`` characters before the end of the one before."""
+    text, payload = text or "", max(1, limit - SETTINGS.special_tokens)
+    token, out, start = re.compile(TOKEN), [], 0
+    while start < len(text):
+        begins = [m.start() for _, m in zip(range(payload + 1), token.finditer(text, start), strict=False)]
+        end = len(text) if len(begins) <= payload else begins[payload]
+        if part := text[start:end].strip():
+            out.append(part)
+        if end == len(text):
+            break
+        start = max(start + 1, end - max(0, overlap))
+    return out
+
+
+def character_windows(text: Column, limit: int, overlap: int) -> Column:
+    """``character_parts`` as a column: for tokenizers that don't say where their tokens stand."""
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series([character_parts(x, limit, overlap) for x in texts], dtype=object)
+
+    return cut(text)

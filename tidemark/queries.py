@@ -409,6 +409,15 @@ def prose_chunks(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tokens.windows(F.col("text"))).alias("unit", "text"))
 
 
+PARTS = [(1, 0, "aa bb"), (1, 1, "b cc"), (1, 2, "c dd"), (2, 0, "甲乙"), (2, 1, "甲乙丙"[1:]), (3, 0, "x")]
+
+
+@query(hand_worked(PARTS, "id integer, part integer, text varchar"))
+def character_windows(spark, sf_dir):
+    rows = spark.createDataFrame([(1, "aa bb cc dd"), (2, "甲乙丙"), (3, " x "), (4, ""), (5, None)], "id int, text string")
+    return rows.select("id", F.posexplode(tokens.character_windows(F.col("text"), 4, 2)).alias("part", "text"))
+
+
 @query(rf"""with c as (select d.source as source_key, w.doc_id, w.unit, w.text, regexp_replace(coalesce(d.text, ''), '^\s+|\s+$', '', 'g') as parent from {WINDOWS} w join documents d using (doc_id)),
 i as (select *, row_number() over (partition by source_key order by doc_id, unit) - 1 as chunk_index, 'parent-' || left(sha256(source_key || chr(0) || 'prose' || chr(0) || '1' || chr(0) || '1' || chr(0) || parent), 24) as parent_id from c)
 select source_key, chunk_index, parent_id, 'chunk-' || left(sha256(parent_id || chr(0) || chunk_index || chr(0) || text), 24) as chunk_id, len(regexp_extract_all(text, '{TOKEN_SQL}')) + 2 as token_count from i""")
