@@ -8,7 +8,7 @@ ask and once to go on, and if they don't come in the same order both times, as a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,8 +23,12 @@ BLOCK = 14_000_000
 SCHEMA = "block string, f int, texts binary, sizes binary, ids binary, known binary"
 
 
-def blocks(docs: DataFrame, once: bool = False, folds: int = 1, size: int | None = None) -> DataFrame:
-    """SCHEMA rows of ``docs`` (id long, f int below ``folds``, text); a null text is empty. With ``once`` a task's rows of equal ids count as one. ``size``: bytes of a block's texts, unless one is longer."""
+def blocks(docs: DataFrame, once: bool = False, folds: int = 1, size: int | None = None, each: tuple[Callable, str] | None = None) -> DataFrame:
+    """SCHEMA rows of ``docs`` (id long, f int below ``folds``, text); a null text is empty. With ``once`` a task's rows of equal ids count as one.
+
+    ``size``: bytes of a block's texts, unless one is longer. ``each``: a function from a block's row to a frame, and its schema; it gives the result
+    instead, in the same Python worker.
+    """
     limit = size or BLOCK
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,7 +66,11 @@ def blocks(docs: DataFrame, once: bool = False, folds: int = 1, size: int | None
             if waiting[f][2]:
                 yield done(f)
 
-    return docs.select("id", "f", "text").mapInPandas(pack, SCHEMA)
+    rows = docs.select("id", "f", "text")
+    if each is None:
+        return rows.mapInPandas(pack, SCHEMA)
+    f, schema = each
+    return rows.mapInPandas(lambda batches: (f(row) for frame in pack(batches) for row in frame.itertuples()), schema)
 
 
 def unpacked(row) -> Iterator[str]:

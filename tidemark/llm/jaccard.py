@@ -67,21 +67,19 @@ def slots(h: np.ndarray) -> np.ndarray:
 def described(docs: DataFrame, size: int, percent: int, chars: int) -> DataFrame:
     """doc_id, n (set size), sig (of the set), gid (of prefix and size), common (how common its shingles are), prefix (hashes in order)."""
     shards = max(6, -(-chars // SHARD))
-    held = blocks(docs.select(F.col("doc_id").alias("id"), F.lit(0).alias("f"), "text"), size=BLOCK)
+    rows = docs.select(F.col("doc_id").alias("id"), F.lit(0).alias("f"), "text")
 
     def sets(row) -> Iterator[np.ndarray]:
         return (shingles(text, size) for text in unpacked(row))
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            for row in part.itertuples():
-                at, n = np.unique(slots(np.concatenate(list(sets(row)))), return_counts=True)
-                # steps between slots are small numbers; as columns of bytes most are zeros
-                rows = []
-                for k, a, b in ranges(at, 32, shards):
-                    steps = np.diff(at[a:b], prepend=np.uint64(0)).astype("<u4").view(np.uint8).reshape(-1, 4)
-                    rows.append((k, row.block, zstandard.compress(steps.T.tobytes(), 1), zstandard.compress(n[a:b].astype("<u4").tobytes(), 1)))
-                yield pd.DataFrame(rows, columns=["shard", "block", "slots", "n"])
+    def ask(row) -> pd.DataFrame:
+        at, n = np.unique(slots(np.concatenate(list(sets(row)))), return_counts=True)
+        # steps between slots are small numbers; as columns of bytes most are zeros
+        out = []
+        for k, a, b in ranges(at, 32, shards):
+            steps = np.diff(at[a:b], prepend=np.uint64(0)).astype("<u4").view(np.uint8).reshape(-1, 4)
+            out.append((k, row.block, zstandard.compress(steps.T.tobytes(), 1), zstandard.compress(n[a:b].astype("<u4").tobytes(), 1)))
+        return pd.DataFrame(out, columns=["shard", "block", "slots", "n"])
 
     def answer(asked: pd.DataFrame) -> pd.DataFrame:
         rows = [np.cumsum(np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(4, -1).T).view("<u4").ravel(), dtype=np.uint64) for x in asked.slots]
@@ -107,9 +105,9 @@ def described(docs: DataFrame, size: int, percent: int, chars: int) -> DataFrame
         out.insert(0, "doc_id", ids_of(row))
         return out
 
-    asked = held.mapInPandas(ask, "shard int, block string, slots binary, n binary")
+    asked = blocks(rows, size=BLOCK, each=(ask, "shard int, block string, slots binary, n binary"))
     answers = asked.groupBy("shard").applyInPandas(answer, "block string, shard int, often binary")
-    return held.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(describe, "doc_id long, n int, sig binary, gid long, common int, prefix array<long>")
+    return blocks(rows, size=BLOCK).groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(describe, "doc_id long, n int, sig binary, gid long, common int, prefix array<long>")
 
 
 def differences(held: np.ndarray, own: np.ndarray, linked: bool, percent: int) -> tuple[int, np.ndarray]:

@@ -23,17 +23,18 @@ a table or a stored frame does.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import BLANKS
 from tidemark.llm.blocks import answered, blocks, only, ranges, unpacked
-from tidemark.llm.texts import CHARS, fresh, mixed, sliced, stored
+from tidemark.llm.texts import CHARS, cuts, fresh, mixed, sliced, stored
 
 ORDER = 5
 #: Private-use characters that stand for what is before a text, its end, and the null character.
@@ -197,25 +198,36 @@ def summed(texts: Iterable[str], n: int, known: np.ndarray, p: np.ndarray) -> np
     return total
 
 
-def perplexity(texts: DataFrame, tables: list[DataFrame], chars: int) -> DataFrame:
-    """h and log10_probability of each distinct text of ``texts`` (h, f, text; ``chars`` characters in all), with the model of fold ``f``."""
+def scorer(texts: DataFrame, tables: list[DataFrame], chars: int) -> Callable[[DataFrame, str], DataFrame]:
+    """A function that adds a column with the log10 probability of each text to a frame, given that column's name; a text without a character that isn't white space has none.
+
+    ``texts`` (h, f, text; ``chars`` characters in all): the texts that will be scored, ``f`` the fold whose model scores them.
+    """
     shards = max(6, -(-chars // SHARD))
     texts = texts.withColumnRenamed("h", "id")
-    held = blocks(texts, once=True, folds=2)
+    spark = texts.sparkSession
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            for row in part.itertuples():
-                own = asked_by(row)
-                rows = [(row.f * shards + k, row.block, zstandard.compress(np.ascontiguousarray(own.grams[a:b].T).tobytes(), 3)) for k, a, b in ranges(own.h, 64, shards)]
-                yield pd.DataFrame(rows, columns=["shard", "block", "grams"])
+    def packed(f: int, own: Distinct) -> list[tuple[int, bytes]]:
+        return [(f * shards + k, zstandard.compress(np.ascontiguousarray(own.grams[a:b].T).tobytes(), 3)) for k, a, b in ranges(own.h, 64, shards)]
 
-    def asked_by(row) -> Distinct:
-        own = Distinct()
-        for r in runs(unpacked(row)):
-            own.add(r.h, r.grams, np.ones(len(r.h), np.int64))
-        own.merge()
-        return own
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found, seen = [Distinct(), Distinct()], set()
+
+        def done(f: int) -> pd.DataFrame:
+            found[f].merge()
+            rows, found[f] = packed(f, found[f]), Distinct()
+            return pd.DataFrame(rows, columns=["shard", "grams"])
+
+        for part in sliced(batches):
+            part = part[~part.id.duplicated() & ~part.id.isin(seen)]
+            seen.update(part.id.tolist())
+            for f in (0, 1):
+                for r in runs(part.text[part.f == f].tolist()):
+                    found[f].add(r.h, r.grams, np.ones(len(r.h), np.int64))
+                if len(found[f].h) > 3_000_000:
+                    yield done(f)
+        for f in (0, 1):
+            yield done(f)
 
     def opened(raw: bytes) -> np.ndarray:
         return np.frombuffer(zstandard.decompress(raw), np.uint32).reshape(ORDER, -1)
@@ -241,8 +253,8 @@ def perplexity(texts: DataFrame, tables: list[DataFrame], chars: int) -> DataFra
     def codes_of(g: pd.Series) -> np.ndarray:
         return np.array(g.tolist(), f"<U{ORDER}").view(np.uint32).reshape(-1, ORDER).T
 
-    questions = held.mapInPandas(ask, "shard int, block string, grams binary")
-    distinct = stored(questions.repartition("shard").sortWithinPartitions("shard").mapInPandas(once, "shard int, f int, g string"))
+    gathered = texts.select("id", "f", "text").mapInPandas(gather, "shard int, grams binary")
+    distinct = stored(gathered.repartition("shard").sortWithinPartitions("shard").mapInPandas(once, "shard int, f int, g string"))
     found = probabilities(distinct, tables).select("shard", "f", "g", F.log10("p").cast("float").alias("p"))
     if distinct.count() <= KNOWN:
 
@@ -257,34 +269,65 @@ def perplexity(texts: DataFrame, tables: list[DataFrame], chars: int) -> DataFra
             h, p = (np.concatenate([np.frombuffer(r[c], kind) for r in rows if r.f == k] or [np.zeros(0, kind)]) for c, kind in (("h", np.uint64), ("p", np.float32)))
             order = np.argsort(h)
             model[k] = h[order], p[order]
-        shared = texts.sparkSession.sparkContext.broadcast(model)
+        shared = spark.sparkContext.broadcast(model)
+
+        @F.pandas_udf("double")
+        def here(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            for column, folds in batches:
+                values, out = [x if isinstance(x, str) and not x.isspace() else "" for x in column.tolist()], np.full(len(column), np.nan)
+                for a, b in cuts(values):
+                    for k in (0, 1):
+                        own = [i for i in range(a, b) if values[i] and folds.iat[i] == k]
+                        if own:
+                            out[own] = summed((values[i] for i in own), len(own), *shared.value[k])
+                yield pd.Series(out)
+
+        def add(docs: DataFrame, name: str) -> DataFrame:
+            score = here.asNondeterministic()(F.col("text"), 1 - fold_of(F.col("text")))
+            return docs.withColumn(name, F.nanvl(score, F.lit(None).cast("double")))
+
+        return add
+
+    def ask(row) -> pd.DataFrame:
+        return pd.DataFrame([(k, row.block, raw) for k, raw in packed(row.f, asked_by(row))], columns=["shard", "block", "grams"])
+
+    def answer(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        h = hashed(codes_of(known.g))
+        order = np.argsort(h)
+        h, p = h[order], known.p.to_numpy(np.float32)[order]
+        return pd.DataFrame([(row.block, row.shard, zstandard.compress(p[np.searchsorted(h, hashed(opened(row.grams)))].tobytes(), 1)) for row in asked.itertuples()], columns=["block", "shard", "p"])
+
+    def asked_by(row) -> Distinct:
+        own = Distinct()
+        for r in runs(unpacked(row)):
+            own.add(r.h, r.grams, np.ones(len(r.h), np.int64))
+        own.merge()
+        return own
 
-        def here(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            seen: set[int] = set()
-            for part in sliced(batches):
-                part = part[~part.id.duplicated() & ~part.id.isin(seen)]
-                seen.update(part.id.tolist())
-                for k, own in part.groupby("f"):
-                    yield pd.DataFrame({"h": own.id, "log10_probability": summed(own.text.tolist(), len(own), *shared.value[k])})
+    def score(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        row = only(block)
+        known = asked_by(row).h
+        p = answered(answers, "p", np.float32, len(known))
+        return pd.DataFrame({"h": np.frombuffer(row.ids, np.int64), "p": summed(unpacked(row), len(row.ids) // 8, known, p)})
 
-        scores = texts.select("id", "f", "text").mapInPandas(here, "h long, log10_probability double")
-    else:
+    questions = blocks(texts, once=True, folds=2, each=(ask, "shard int, block string, grams binary"))
+    answers = questions.groupBy("shard").cogroup(found.groupBy("shard")).applyInPandas(answer, "block string, shard int, p binary")
+    scores = blocks(texts, once=True, folds=2).groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, "h long, p double")
+    scores = stored(scores.groupBy("h").agg(F.max("p").alias("p")))
 
-        def answer(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-            h = hashed(codes_of(known.g))
-            order = np.argsort(h)
-            h, p = h[order], known.p.to_numpy(np.float32)[order]
-            return pd.DataFrame([(row.block, row.shard, zstandard.compress(p[np.searchsorted(h, hashed(opened(row.grams)))].tobytes(), 1)) for row in asked.itertuples()], columns=["block", "shard", "p"])
+    def join(docs: DataFrame, name: str) -> DataFrame:
+        key = fresh("h", docs)
+        return docs.withColumn(key, hash_of(F.col("text"))).join(scores.select(F.col("h").alias(key), F.col("p").alias(name)), key, "left").drop(key)
+
+    return join
+
+
+def hash_of(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
-        def score(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-            row = only(block)
-            known = asked_by(row).h
-            p = answered(answers, "p", np.float32, len(known))
-            return pd.DataFrame({"h": np.frombuffer(row.ids, np.int64), "log10_probability": summed(unpacked(row), len(row.ids) // 8, known, p)})
 
-        answers = questions.groupBy("shard").cogroup(found.groupBy("shard")).applyInPandas(answer, "block string, shard int, p binary")
-        scores = held.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, "h long, log10_probability double")
-    return scores.groupBy("h").agg(F.max("log10_probability").alias("log10_probability"))
+def fold_of(text: Column) -> Column:
+    return F.pmod(hash_of(text), F.lit(2)).cast("int")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, least: int = 30, output: str = "_quality") -> DataFrame:
@@ -294,27 +337,23 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, least:
     quantiles.
     """
     text = F.coalesce("text", F.lit(""))
-    h = F.xxhash64(text)
-    fold = F.pmod(h, F.lit(2)).cast("int")
     ids = stored(labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct())
     known_ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    rows = docs.select("doc_id", h.alias("h"), fold.alias("f"), text.alias("text"), F.coalesce("lang", F.lit("und")).alias("lang")).where(F.col("text").rlike(r"\S"))
+    rows = docs.select("doc_id", hash_of(text).alias("h"), fold_of(text).alias("f"), text.alias("text"), F.coalesce("lang", F.lit("und")).alias("lang")).where(F.col("text").rlike(f"[^{BLANKS}]"))
     chars = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    tables = counted(rows.select("doc_id", "f", "text").join(known_ids, "doc_id", "left_semi"))
-    scores = stored(perplexity(rows.select("h", (1 - F.col("f")).alias("f"), "text"), tables, chars))
-    n = F.char_length(text).cast("long") + 1
-    per_token = lambda n: F.pow(F.lit(10.0), F.least(F.lit(300.0), -F.col("log10_probability") / n))
-    trusted = rows.select("doc_id", "h", "lang", (F.char_length("text") + 1).alias("n")).join(known_ids, "doc_id", "left_semi")
-    trusted = stored(trusted.join(scores, "h").select("lang", per_token(F.col("n")).alias("perplexity")))
+    trusted = rows.join(known_ids, "doc_id", "left_semi")
+    add = scorer(rows.select("h", (1 - F.col("f")).alias("f"), "text"), counted(trusted.select("f", "text")), chars)
+    per_token = lambda p, n: F.pow(F.lit(10.0), F.least(F.lit(300.0), -p / n))
+    scored = add(trusted.select("lang", "text", (F.char_length("text") + 1).alias("n")), "p")
+    scored = stored(scored.select("lang", per_token(F.col("p"), F.col("n")).alias("perplexity")))
     at = F.percentile_approx("perplexity", quantile, 10_000)
-    overall = trusted.agg(at).first()[0]
+    overall = scored.agg(at).first()[0]
     # as many rows as there are languages
-    limits = {r.lang: r.limit for r in trusted.groupBy("lang").agg(F.count("*").alias("n"), at.alias("limit")).collect() if r.n >= least}
+    limits = {r.lang: r.limit for r in scored.groupBy("lang").agg(F.count("*").alias("n"), at.alias("limit")).collect() if r.n >= least}
     table = F.create_map(*(F.lit(x) for kv in limits.items() for x in kv)) if limits else F.create_map().cast("map<string,double>")
     limit = F.coalesce(F.get(F.array(table[F.coalesce(F.col("lang"), F.lit("und"))]), F.lit(0)), F.lit(overall), F.lit(float("inf")))
-    # what the join needs of the text is taken before it, so that texts travel only if the caller keeps them
-    key, value, size = (fresh(c, docs) for c in ("h", "p", "n"))
-    q = docs.withColumns({key: h, size: n}).join(scores.select(F.col("h").alias(key), F.col("log10_probability").alias(value)), key, "left")
-    perplexed = F.when(F.col(value).isNotNull(), F.pow(F.lit(10.0), F.least(F.lit(300.0), -F.col(value) / F.col(size))))
+    value, size = fresh("p", docs), fresh("n", docs)
+    q = add(docs.withColumn(size, F.char_length(text).cast("long") + 1), value)
+    perplexed = F.when(F.col(value).isNotNull(), per_token(F.col(value), F.col(size)))
     judged = F.struct(F.col(size).alias("n_tokens"), F.col(value).alias("log10_probability"), perplexed.alias("perplexity"), limit.alias("limit"), F.coalesce(perplexed <= limit, F.lit(False)).alias("keep"))
-    return q.withColumn(output, judged).drop(key, value, size)
+    return q.withColumn(output, judged).drop(value, size)
