@@ -16,7 +16,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tidemark.llm.texts import mixed, sliced
+from tidemark.llm.texts import mixed, sliced, small_batches
 
 #: Bytes of a block's texts.
 BLOCK = 14_000_000
@@ -30,6 +30,7 @@ def blocks(docs: DataFrame, once: bool = False, folds: int = 1, size: int | None
     instead, in the same Python worker.
     """
     limit = size or BLOCK
+    small_batches(docs.sparkSession)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task, number, seen = TaskContext.get().partitionId(), 0, set()

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.texts import cuts, hashes, rolled
+from tidemark.llm.texts import cuts, hashes, rolled, small_batches
 
 #: A-Z to a-z; every other ASCII character that is no letter or digit to a space.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -119,6 +119,7 @@ def contamination(column: Column, benchmark: DataFrame, size: int = 10, block_wo
     costs one pass over the texts and no shuffle; a larger one costs a further pass per block, each adding to
     what the passes before have found, so no broadcast grows with the benchmark.
     """
+    small_batches(benchmark.sparkSession)
     context = benchmark.sparkSession.sparkContext
     rows = benchmark.select(F.col("item_id").cast("string"), "text").where("text is not null")
     blocks, block, n = [], [], 0

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -58,6 +58,18 @@ def cuts(values: list[str | None], together: int = SLICE, chars: int = CHARS) ->
         yield start, len(values)
 
 
+#: What a batch between Spark and a Python worker holds at most: ten thousand whole texts, Spark's default, can be gigabytes.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits of batches to ``ARROW`` where they are higher or none. Batches shape memory, never results."""
+    for key, most in ARROW.items():
+        now = str(spark.conf.get(key))
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, most)
+
+
 def over_texts(column: Column, start: Callable[[], Callable[[list[str | None]], pd.DataFrame]], schema: str, together: int = SLICE) -> Column:
     """A struct column computed from texts in Arrow batches.
 
@@ -66,6 +78,9 @@ def over_texts(column: Column, start: Callable[[], Callable[[list[str | None]],
     Spark compute it twice.
     """
 
+    if (spark := SparkSession.getActiveSession()) is not None:
+        small_batches(spark)
+
     @F.pandas_udf(schema)
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         score = start()
@@ -95,6 +110,7 @@ def fold(n: int, id_column: str = "doc_id") -> Column:
 
 def stored(df: DataFrame) -> DataFrame:
     """The frame written to the checkpoint folder that all executors share; one is made only where none is set, as in tests. On a cluster one must be set."""
+    small_batches(df.sparkSession)
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
