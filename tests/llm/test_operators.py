@@ -491,7 +491,7 @@ def test_quality_splits_texts_and_blocks_without_a_difference(spark, docs, monke
     text = "é" * 7 + "abc def\n\0" * 40
     grams = lambda x: [tuple(r.grams[k]) for r in quality.runs([x]) for k in r.of]
     whole_text = grams(text)
-    monkeypatch.setattr(quality, "CHARS", 50)
+    monkeypatch.setattr(quality, "RUN", 50)
     assert grams(text) == whole_text and len(whole_text) == len(text) + 1
     assert [len(list(quality.symbols("x" * n))) for n in (0, 1, 49, 50, 51)] == [1, 1, 1, 2, 2]
     monkeypatch.setattr(blocks, "BLOCK", 20_000)

@@ -16,7 +16,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tidemark.llm.texts import mixed, sliced, small_batches
+from tidemark.llm.texts import mixed, sliced, small_batches, tidied
 
 #: Bytes of a block's texts.
 BLOCK = 14_000_000
@@ -32,6 +32,7 @@ def blocks(docs: DataFrame, once: bool = False, folds: int = 1, size: int | None
     limit = size or BLOCK
     small_batches(docs.sparkSession)
 
+    @tidied
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task, number, seen = TaskContext.get().partitionId(), 0, set()
         waiting = {f: ([], [], []) for f in range(folds)}
@@ -71,7 +72,12 @@ def blocks(docs: DataFrame, once: bool = False, folds: int = 1, size: int | None
     if each is None:
         return rows.mapInPandas(pack, SCHEMA)
     f, schema = each
-    return rows.mapInPandas(lambda batches: (f(row) for frame in pack(batches) for row in frame.itertuples()), schema)
+
+    @tidied
+    def both(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return (f(row) for frame in pack(batches) for row in frame.itertuples())
+
+    return rows.mapInPandas(both, schema)
 
 
 def unpacked(row) -> Iterator[str]:

@@ -36,7 +36,7 @@ from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from tidemark.llm.blocks import answered, blocks, ids_of, only, ranges, unpacked
 from tidemark.llm.components import components
-from tidemark.llm.texts import hashes, rolled, sliced, stored, words
+from tidemark.llm.texts import hashes, rolled, sliced, stored, tidied, words
 
 #: Characters of the corpus for each shard of counters.
 SHARD = 40_000_000
@@ -136,12 +136,14 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     wanted = stored(ends.union(others).groupBy("doc_id").agg(F.collect_list(F.struct("a", "salt", "kind", "many")).alias("to")))
     chosen = docs.join(F.broadcast(wanted) if pairs.count() <= BROADCAST_ROWS else wanted, "doc_id")
 
+    @tidied
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in sliced(batches):
             rows = [(x["a"], x["salt"], x["kind"], x["many"], i, raw) for i, text, to in zip(part.doc_id, part.text, part.to, strict=True) for raw in (shingles(text, size).tobytes(),) for x in to]
             for k in range(0, len(rows), 256):
                 yield pd.DataFrame(rows[k : k + 256], columns=["a", "salt", "kind", "many", "b", "own"])
 
+    @tidied
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held = None, None
         for part in batches:

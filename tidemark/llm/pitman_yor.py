@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.texts import hashes, mixed, stored
+from tidemark.llm.texts import hashes, mixed, stored, tidied
 
 CONTEXTS = 1 << 16
 #: Occurrences that a shard is meant for, and tokens that a block is cut at.
@@ -97,6 +97,7 @@ def in_parts(x: np.ndarray) -> pd.DataFrame:
 def spelling(docs: DataFrame) -> np.ndarray:
     """Decimal logarithms of the probability of each byte after each byte, over all training rows of ``docs``: a table of fixed size."""
 
+    @tidied
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << 16)
         for part in batches:
@@ -190,6 +191,7 @@ COUNTS = "shard int, w binary, s binary, width binary, k binary, c binary, narro
 def counted(docs: DataFrame, shards: int, table) -> DataFrame:
     """The shards' counts over the training rows of ``docs`` (doc_id, text, held_out)."""
 
+    @tidied
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, _, _, w, k, _, spelled in blocks(batches, table.value):
             rows = []
@@ -201,6 +203,7 @@ def counted(docs: DataFrame, shards: int, table) -> DataFrame:
                 rows.append({"shard": s} | own.row())
             yield pd.DataFrame(rows)
 
+    @tidied
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, held, waiting = None, [], 0
         for part in batches:
@@ -330,6 +333,7 @@ def trained(counts: DataFrame, burn_in: int = 4, samples: int = 3, strength: flo
     while len(model.sweeps) <= model.burn_in + samples:
         shared = spark.sparkContext.broadcast(model)
 
+        @tidied
         def sweep(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             total = np.zeros(CONTEXTS + 1)
             for part in batches:
@@ -399,6 +403,7 @@ def scored(docs: DataFrame, counts: DataFrame, model: Model, shards: int, table)
     repeats = [max(1, -(-int(load.get(s, 0) / whole * sizes / 6) // (2 * SHARD))) for s in range(shards)]
     copies = spark.sparkContext.broadcast(repeats)
 
+    @tidied
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
         for number, (ids, flags, lengths, w, k, doc, spelled) in enumerate(blocks(batches, table.value)):
@@ -417,6 +422,7 @@ def scored(docs: DataFrame, counts: DataFrame, model: Model, shards: int, table)
     models = copied.join(counts, "shard", "left").select("shard", "salt", F.lit(0).alias("kind"), F.lit("").alias("block"), "w", "s", "width", "k", F.lit(None).cast("binary").alias("doc"), "c", "narrow")
     rows = docs.mapInPandas(send, SENT).union(models).repartitionById(int(sum(repeats)), place).sortWithinPartitions("shard", "salt", "kind")
 
+    @tidied
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = None
         for part in batches:
@@ -439,6 +445,7 @@ def scored(docs: DataFrame, counts: DataFrame, model: Model, shards: int, table)
 
     sums = rows.mapInPandas(score, SUMS)
 
+    @tidied
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         per_token = np.log10(m.tokens + m.types + 1.0)

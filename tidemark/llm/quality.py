@@ -34,11 +34,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import BLANKS
 from tidemark.llm.blocks import answered, blocks, only, ranges, unpacked
-from tidemark.llm.texts import CHARS, cuts, fresh, mixed, sliced, stored
+from tidemark.llm.texts import cuts, fresh, mixed, sliced, stored, tidied, tidy
 
 ORDER = 5
 #: Private-use characters that stand for what is before a text, its end, and the null character.
 BEFORE, END, NULL = 0xE001, 0xE002, 0xE000
+#: N-grams that are looked at together.
+RUN = 300_000
 #: Characters of the corpus for each shard of questions.
 SHARD = 60_000_000
 #: Distinct n-grams whose probabilities (twelve bytes each) are broadcast; more of them go to the blocks that asked.
@@ -48,12 +50,12 @@ BROADCAST_IDS = 500_000
 
 
 def symbols(text: str) -> Iterator[np.ndarray]:
-    """The codes of a text's characters and its end, in pieces of ``CHARS`` characters, each with the ``ORDER - 1`` codes before it."""
-    for k in range(0, len(text) + 1, CHARS):
-        some = text[max(0, k - ORDER + 1) : k + CHARS]
+    """The codes of a text's characters and its end, in pieces of ``RUN`` characters, each with the ``ORDER - 1`` codes before it."""
+    for k in range(0, len(text) + 1, RUN):
+        some = text[max(0, k - ORDER + 1) : k + RUN]
         codes = np.frombuffer(some.encode("utf-32-le"), np.uint32)
         first = np.full(max(0, ORDER - 1 - k), BEFORE, np.uint32)
-        last = np.full(1 if k + CHARS > len(text) else 0, END, np.uint32)
+        last = np.full(1 if k + RUN > len(text) else 0, END, np.uint32)
         codes = np.concatenate((first, codes, last))
         if len(codes) >= ORDER:
             codes[codes == 0] = NULL
@@ -79,7 +81,7 @@ class Run:
 
 
 def runs(texts: Iterable[str]) -> Iterator[Run]:
-    """The n-grams that end in each character of each text and in its end, for ``CHARS`` characters or so at a time."""
+    """The n-grams that end in each character of each text and in its end, for ``RUN`` characters or so at a time."""
     pieces: list[np.ndarray] = []
     places: list[tuple[int, int]] = []
     size = 0
@@ -101,7 +103,7 @@ def runs(texts: Iterable[str]) -> Iterator[Run]:
             pieces.append(codes)
             places.append((i, len(codes) - ORDER + 1))
             size += len(codes)
-            if size >= CHARS:
+            if size >= RUN:
                 yield done()
                 pieces, places, size = [], [], 0
     if pieces:
@@ -117,7 +119,7 @@ class Distinct:
 
     def add(self, h: np.ndarray, grams: np.ndarray, n: np.ndarray) -> None:
         self.waiting.append((h, grams, n))
-        if sum(len(x[0]) for x in self.waiting) > 600_000:
+        if sum(len(x[0]) for x in self.waiting) > 300_000:
             self.merge()
 
     def merge(self) -> None:
@@ -134,6 +136,7 @@ class Distinct:
 def counted(trusted: DataFrame) -> list[DataFrame]:
     """(f, g, c) for the n-grams of orders 1 to ``ORDER`` of all texts of ``trusted`` (f, text): how often the longest occur, and how many different n-grams the shorter ones end."""
 
+    @tidied
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = {0: Distinct(), 1: Distinct()}
 
@@ -210,6 +213,7 @@ def scorer(texts: DataFrame, tables: list[DataFrame], chars: int) -> Callable[[D
     def packed(f: int, own: Distinct) -> list[tuple[int, bytes]]:
         return [(f * shards + k, zstandard.compress(np.ascontiguousarray(own.grams[a:b].T).tobytes(), 3)) for k, a, b in ranges(own.h, 64, shards)]
 
+    @tidied
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found, seen = [Distinct(), Distinct()], set()
 
@@ -232,6 +236,7 @@ def scorer(texts: DataFrame, tables: list[DataFrame], chars: int) -> Callable[[D
     def opened(raw: bytes) -> np.ndarray:
         return np.frombuffer(zstandard.decompress(raw), np.uint32).reshape(ORDER, -1)
 
+    @tidied
     def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, own = None, Distinct()
 
@@ -258,6 +263,7 @@ def scorer(texts: DataFrame, tables: list[DataFrame], chars: int) -> Callable[[D
     found = probabilities(distinct, tables).select("shard", "f", "g", F.log10("p").cast("float").alias("p"))
     if distinct.count() <= KNOWN:
 
+        @tidied
         def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in batches:
                 h = hashed(codes_of(part.g)) if len(part) else np.zeros(0, np.uint64)
@@ -281,6 +287,7 @@ def scorer(texts: DataFrame, tables: list[DataFrame], chars: int) -> Callable[[D
                         if own:
                             out[own] = summed((values[i] for i in own), len(own), *shared.value[k])
                 yield pd.Series(out)
+            tidy()
 
         def add(docs: DataFrame, name: str) -> DataFrame:
             score = here.asNondeterministic()(F.col("text"), 1 - fold_of(F.col("text")))

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: A row of this table is worked on together with so many others at most, so that memory is bounded by a few texts.
 SLICE = 256
 #: And with texts of so many characters in all, unless it is longer itself.
@@ -62,6 +67,27 @@ def cuts(values: list[str | None], together: int = SLICE, chars: int = CHARS) ->
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
+def tidy() -> None:
+    """Gives back what a worker has freed. Spark keeps finished workers for other tasks, and beside their peaks an executor has no room."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if TRIM is not None:
+        TRIM(0)
+
+
+def tidied(f: Callable) -> Callable:
+    """A generator function of a Python worker that tidies up after it."""
+
+    @wraps(f)
+    def run(*args):
+        try:
+            yield from f(*args)
+        finally:
+            tidy()
+
+    return run
+
+
 def small_batches(spark: SparkSession) -> None:
     """Lowers the session's limits of batches to ``ARROW`` where they are higher or none. Batches shape memory, never results."""
     for key, most in ARROW.items():
@@ -83,6 +109,10 @@ def over_texts(column: Column, start: Callable[[], Callable[[list[str | None]],
 
     @F.pandas_udf(schema)
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from scored(batches)
+
+    @tidied
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         score = start()
         for texts in batches:
             values = [None if x is None or x != x else x for x in texts.tolist()]

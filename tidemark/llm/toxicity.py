@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.texts import over_texts, stored
+from tidemark.llm.texts import over_texts, stored, tidied
 
 #: Insults and second-person pronouns of the languages in use, as plain text.
 INSULTS = "idiot idiots moron morons stupid dumb loser losers scum trash pathetic worthless disgusting clown fool bastard asshole bitch shit fuck imbecile retard".split()
@@ -211,6 +211,7 @@ def train(labelled: DataFrame, folds: int = 3) -> Model:
     lexicons = learned_lexicons(labelled, folds)
     shared = spark.sparkContext.broadcast(lexicons)
 
+    @tidied
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         looks = [Words(x) for x in shared.value]
         for part in batches:
