@@ -286,27 +286,28 @@ class Model:
         """The parent's probability of all unknown words together."""
         return (self.parent_strength + self.parent_discount * sweep.parent_tables) * self.novel(sweep) / (self.parent_strength + sweep.customers)
 
-    def chain(self, shard: int, own: Counts, sweeps: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(tables, parent's customers, parent's tables) after each of the first sweeps; the same for the same shard at any time."""
-        of = np.repeat(np.arange(len(own.words)), own.width)
-        first = np.cumsum(own.width) - own.width
-        tables = np.ones(len(own.contexts))
+    def chain(self, shard: int, own: Counts, sweeps: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """(pairs of more than one customer, and after each of the first sweeps: their tables, the parent's customers and its tables); the same for the same shard at any time.
+
+        A pair of one customer has one table whatever is drawn, so only the others, some eighth of all, are seated.
+        """
+        live = np.flatnonzero(own.customers > 1)
+        of = np.repeat(np.arange(len(own.words)), own.width)[live]
+        customers, contexts = own.customers[live], own.contexts[live]
+        alone = own.width - np.bincount(of, minlength=len(own.words))
+        tables, m, s = np.ones(len(live)), own.width.astype(float), np.ones(len(own.words))
         out = []
         for r in range(sweeps):
             rng = np.random.default_rng([shard, r, 20240229])
             before = self.sweeps[r]
-            if out:
-                _, m, s = out[-1]
-            else:
-                m = own.width.astype(float)
-                s = np.ones(len(m))
             # a dish's own tables are taken out of its restaurant and of the parent before its customers are seated again
-            weight = (self.strength + self.discount * (before.tables[own.contexts] - tables)) * self.parent(before, m[of], s[of], tables)
-            tables = seated(own.customers, weight, self.discount, rng)
-            m = np.add.reduceat(tables, first) if len(first) else tables
+            weight = (self.strength + self.discount * (before.tables[contexts] - tables)) * self.parent(before, m[of], s[of], tables)
+            tables = seated(customers, weight, self.discount, rng)
+            m = alone + np.bincount(of, tables, len(own.words))
             fresh = (self.parent_strength + self.parent_discount * (before.parent_tables - s)) * self.base(before)
-            out.append((tables, m, seated(m.astype(np.int64), fresh, self.parent_discount, rng)))
-        return out
+            s = seated(m.astype(np.int64), fresh, self.parent_discount, rng)
+            out.append((tables, m, s))
+        return live, out
 
 
 def trained(counts: DataFrame, burn_in: int = 4, samples: int = 3, strength: float = 1.0, parent_strength: float = 10.0) -> Model:
@@ -339,8 +340,9 @@ def trained(counts: DataFrame, burn_in: int = 4, samples: int = 3, strength: flo
             for part in batches:
                 for row in part.itertuples():
                     own = Counts.of(row)
-                    tables, _, s = shared.value.chain(row.shard, own, len(shared.value.sweeps))[-1]
-                    total += np.append(np.bincount(own.contexts, tables, CONTEXTS), s.sum())
+                    live, chain = shared.value.chain(row.shard, own, len(shared.value.sweeps))
+                    tables, _, s = chain[-1]
+                    total += np.append(np.bincount(own.contexts, minlength=CONTEXTS) + np.bincount(own.contexts[live], tables - 1, CONTEXTS), s.sum())
             yield in_parts(total)
 
         x = summed(counts.mapInPandas(sweep, "part int, x binary"))
@@ -359,13 +361,16 @@ class Scorer:
 
     def __init__(self, model: Model, shard: int, own: Counts) -> None:
         self.model, self.own = model, own
-        chain = model.chain(shard, own, len(model.sweeps) - 1)[model.burn_in :]
+        live, chain = model.chain(shard, own, len(model.sweeps) - 1)
+        chain = chain[model.burn_in :]
         sweeps = model.sweeps[model.burn_in + 1 :]  # the totals after each of those seatings
         self.first = np.cumsum(own.width) - own.width
         of = np.repeat(np.arange(len(own.words)), own.width)
         size = model.strength + model.context_customers
         # averages over sweeps: of what a seen pair has by itself, and of a restaurant's share for its parent times the parent's probability
-        self.seen = sum((own.customers - model.discount * t) / size[own.contexts] for t, _, _ in chain) / max(1, len(chain)) if len(of) else np.zeros(0)
+        tables = np.ones(len(of))
+        tables[live] = sum(t for t, _, _ in chain) / max(1, len(chain)) if len(chain) else 1.0
+        self.seen = (own.customers - model.discount * tables) / size[own.contexts]
         self.share = [(model.strength + model.discount * w.tables) / size for w in sweeps]
         self.parents = [model.parent(w, m, s) for w, (_, m, s) in zip(sweeps, chain, strict=True)]
         self.unknown = [float(model.unknown(w)) for w in sweeps]
