@@ -36,10 +36,10 @@ from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from tidemark.llm.blocks import answered, blocks, ids_of, only, ranges, unpacked
 from tidemark.llm.components import components
-from tidemark.llm.texts import hashes, rolled, sliced, stored, tidied, words
+from tidemark.llm.texts import hashes, rolled, sliced, stored, tidied, tidy, words
 
 #: Characters of the corpus for each shard of counters.
-SHARD = 40_000_000
+SHARD = 10_000_000
 #: Bytes of the texts of a block, whose sets a task holds together.
 BLOCK = 6_000_000
 #: Rows to look up are broadcast up to this number (some tens of MB), and joined with a shuffle beyond.
@@ -87,7 +87,10 @@ def described(docs: DataFrame, size: int, percent: int, chars: int) -> DataFrame
         total = np.bincount(of, np.concatenate([np.frombuffer(zstandard.decompress(x), "<u4") for x in asked.n]), len(known))
         often = np.minimum(255, np.floor(4 * np.log2(total))).astype(np.uint8)[of]
         parts = np.split(often, np.cumsum([len(x) for x in rows])[:-1])
-        return pd.DataFrame({"block": asked.block, "shard": asked.shard, "often": [zstandard.compress(x.tobytes(), 1) for x in parts]})
+        out = pd.DataFrame({"block": asked.block, "shard": asked.shard, "often": [zstandard.compress(x.tobytes(), 1) for x in parts]})
+        del rows, known, of, total, often, parts
+        tidy()
+        return out
 
     def describe(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         row, rows = only(block), []
@@ -103,6 +106,8 @@ def described(docs: DataFrame, size: int, percent: int, chars: int) -> DataFrame
             rows.append((n, sig, np.uint64(xxh3_64_intdigest(prefix.tobytes(), n)).astype(np.int64), int(1000 * often.mean()) if n else 0, prefix.view(np.int64)))
         out = pd.DataFrame(rows, columns=["n", "sig", "gid", "common", "prefix"])
         out.insert(0, "doc_id", ids_of(row))
+        del rows, own_sets, known, counted
+        tidy()
         return out
 
     asked = blocks(rows, size=BLOCK, each=(ask, "shard int, block string, slots binary, n binary"))
