@@ -9,13 +9,13 @@ their hashes; the distinct ones of all blocks are joined, in shards, to the coun
 after order. Up to ``KNOWN`` of them (48 MB) their log probabilities are broadcast; if there are more, each block gets those it asked for, in
 the order of its questions, and its texts travel once, compressed. Either way each document's perplexity is summed up where its text is.
 A block's questions are far fewer than its characters, and what a task holds is bounded by a block, a shard or that broadcast.
-A document is rejected where its perplexity is above the quantile, for its language, of all trusted documents.
+A document is rejected where its perplexity is above the quantile, for its language and kind of length (up to ``SHORT`` tokens, or more), of all trusted documents.
 
 Characters are the tokens because word trigrams are nearly all distinct: their joins took 59 times the input of disk, those of
 characters under 1.5 times, and labels are told apart no worse (README).
 
 Defined results: null and empty texts (and those of white space only) have no perplexity and are rejected; a null language is
-a language of its own ("und"); a language with under ``least`` trusted documents takes the quantile over all; without
+a language of its own ("und"); a language with under ``least`` trusted documents of a kind takes the quantile over all of the kind; without
 trusted documents nothing but empty texts is rejected; a character that no trusted text has takes the unigrams' share for
 unknown ones. Rows that repeat an id are judged each by itself. ``docs`` is read twice and must give the same rows in the same order, as
 a table or a stored frame does.
@@ -39,6 +39,8 @@ from tidemark.llm.texts import cuts, fresh, mixed, sliced, stored, tidied, tidy
 ORDER = 5
 #: Private-use characters that stand for what is before a text, its end, and the null character.
 BEFORE, END, NULL = 0xE001, 0xE002, 0xE000
+#: Texts of up to so many tokens are held against the short trusted texts: their perplexities vary much more.
+SHORT = 200
 #: N-grams that are looked at together.
 RUN = 300_000
 #: Characters of the corpus for each shard of questions.
@@ -352,15 +354,21 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, least:
     add = scorer(rows.select("h", (1 - F.col("f")).alias("f"), "text"), counted(trusted.select("f", "text")), chars)
     per_token = lambda p, n: F.pow(F.lit(10.0), F.least(F.lit(300.0), -p / n))
     scored = add(trusted.select("lang", "text", (F.char_length("text") + 1).alias("n")), "p")
-    scored = stored(scored.select("lang", per_token(F.col("p"), F.col("n")).alias("perplexity")))
+    scored = stored(scored.select("lang", (F.col("n") > SHORT).alias("long"), per_token(F.col("p"), F.col("n")).alias("perplexity")))
     at = F.percentile_approx("perplexity", quantile, 10_000)
-    overall = scored.agg(at).first()[0]
-    # as many rows as there are languages
-    limits = {r.lang: r.limit for r in scored.groupBy("lang").agg(F.count("*").alias("n"), at.alias("limit")).collect() if r.n >= least}
-    table = F.create_map(*(F.lit(x) for kv in limits.items() for x in kv)) if limits else F.create_map().cast("map<string,double>")
-    limit = F.coalesce(F.get(F.array(table[F.coalesce(F.col("lang"), F.lit("und"))]), F.lit(0)), F.lit(overall), F.lit(float("inf")))
+    # as many rows as there are languages, for short and for long texts
+    own = {(r.lang, r.long): r.limit for r in scored.groupBy("lang", "long").agg(F.count("*").alias("n"), at.alias("limit")).collect() if r.n >= least}
+    overall = {r.long: r.limit for r in scored.groupBy("long").agg(at.alias("limit")).collect()}
+    whole = scored.agg(at).first()[0]
+
+    def limit_of(long: bool) -> Column:
+        pairs = [F.lit(x) for (lang, kind), v in own.items() if kind == long for x in (lang, v)]
+        table = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,double>")
+        return F.coalesce(F.get(F.array(table[F.coalesce(F.col("lang"), F.lit("und"))]), F.lit(0)), F.lit(overall.get(long, whole)).cast("double"), F.lit(float("inf")))
+
     value, size = fresh("p", docs), fresh("n", docs)
     q = add(docs.withColumn(size, F.char_length(text).cast("long") + 1), value)
+    limit = F.when(F.col(size) > SHORT, limit_of(True)).otherwise(limit_of(False))
     perplexed = F.when(F.col(value).isNotNull(), per_token(F.col(value), F.col(size)))
     judged = F.struct(F.col(size).alias("n_tokens"), F.col(value).alias("log10_probability"), perplexed.alias("perplexity"), limit.alias("limit"), F.coalesce(perplexed <= limit, F.lit(False)).alias("keep"))
     return q.withColumn(output, judged).drop(value, size)

@@ -204,7 +204,7 @@ def learned_lexicons(train: DataFrame, folds: int, max_terms: int = 2000, least:
     return out
 
 
-def train(labelled: DataFrame, folds: int = 3) -> Model:
+def train(labelled: DataFrame, folds: int = 5) -> Model:
     """Fit on ``labelled`` (text, label 0 or 1, order: a hash that deals rows to folds)."""
     spark = labelled.sparkSession
     labelled = labelled.withColumn("fold", F.pmod("order", F.lit(folds)).cast("int"))
