@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, html, jaccard, language, pieces, pitman_yor, quality, quotations, syncmers, toxicity
+from tidemark.llm import decontamination, html, jaccard, language, pieces, pitman_yor, quality, quotations, survivorship, syncmers, toxicity
 from tidemark.llm.texts import fold
 
 #: The model file's place; set it to where every executor has the file.
@@ -77,6 +77,12 @@ def op10_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotations.conversations(table(spark, sf_dir, "conversations"))
 
 
+def op13_survivorship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = survivorship.golden_records(table(spark, sf_dir, "clients"))
+    cents = F.floor(100 * F.col("balance") + 0.5).cast("long")
+    return found.select("cluster_id", "n_records", "n_stale", "name", "email", "segment", "city", "nation_id", cents.alias("balance_cents"), "name_from", "email_from", "segment_from", "balance_from", "address_from")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_pitman_yor": op2_pitman_yor,
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_syncmers": op8_syncmers,
     "op9_decontamination": op9_decontamination,
     "op10_quotations": op10_quotations,
+    "op13_survivorship": op13_survivorship,
 }
 
 LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -103,4 +110,20 @@ hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(ra
 its as (select doc_id, count(*) as n_items, string_agg(x, ',' order by x) as ids from (select distinct doc_id, cast(item_id as varchar) as x from h) group by 1)
 select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join hit using (doc_id) left join its using (doc_id)""",
+    "op13_survivorship": r"""
+with c as (select coalesce(master_id, client_id) as cluster_id, client_id, updated_at, case source when 'partner' then 0 when 'store' then 1 when 'web' then 2 when 'crm' then 3 else 4 end as trust, nation_id, balance,
+    case when regexp_matches(name, '[^\x20\x09-\x0D]') then name end as name, case when regexp_matches(email, '[^\x20\x09-\x0D]') then email end as email,
+    case when regexp_matches(city, '[^\x20\x09-\x0D]') then city end as city, case when regexp_matches(segment, '[^\x20\x09-\x0D]') then segment end as segment from clients),
+s as (select *, coalesce(updated_at < max(updated_at) over (partition by cluster_id) - interval 720 hours, true) as stale,
+    row_number() over (partition by cluster_id order by updated_at desc nulls last, trust, client_id nulls last, name nulls first, email nulls first, city nulls first, nation_id nulls first, segment nulls first, balance nulls first) as recent from c),
+t as (select *, arg_min(segment, recent) over (partition by cluster_id) as chosen,
+    row_number() over (partition by cluster_id order by stale, trust, recent) as trusted from s),
+r as (select *, row_number() over (partition by cluster_id order by name is null, length(name) desc, trusted) as by_name, row_number() over (partition by cluster_id order by email is null, trusted) as by_email,
+    row_number() over (partition by cluster_id order by segment is null, recent) as by_segment, row_number() over (partition by cluster_id order by balance is null, segment is distinct from chosen, recent) as by_balance,
+    row_number() over (partition by cluster_id order by (city is null)::int + (nation_id is null)::int, trusted) as by_address from t)
+select cluster_id, count(*) as n_records, count(*) filter (stale) as n_stale, max(name) filter (by_name = 1) as name, max(email) filter (by_email = 1) as email, max(segment) filter (by_segment = 1) as segment,
+    max(city) filter (by_address = 1) as city, max(nation_id) filter (by_address = 1) as nation_id, max(floor(100 * balance + 0.5)) filter (by_balance = 1)::bigint as balance_cents,
+    max(client_id) filter (by_name = 1 and name is not null) as name_from, max(client_id) filter (by_email = 1 and email is not null) as email_from, max(client_id) filter (by_segment = 1 and segment is not null) as segment_from,
+    max(client_id) filter (by_balance = 1 and balance is not null) as balance_from, max(client_id) filter (by_address = 1 and (city is not null or nation_id is not null)) as address_from
+from r group by 1""",
 }
