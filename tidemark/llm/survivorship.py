@@ -40,7 +40,7 @@ RESULT = "cluster_id long, n_records long, n_stale long, name string, email stri
 def micros(column: str) -> Column:
     """Microseconds since 1970 of a time without a zone, whatever the session's zone is."""
     c = F.col(column).cast("timestamp_ntz")
-    return F.unix_date(c.cast("date")).cast("long") * 86_400_000_000 + F.hour(c) * 3_600_000_000 + F.minute(c) * 60_000_000 + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("long")
+    return F.unix_date(c.cast("date")).cast("long") * 86_400_000_000 + F.hour(c).cast("long") * 3_600_000_000 + F.minute(c).cast("long") * 60_000_000 + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("long")
 
 
 def rows_of(clients: DataFrame) -> DataFrame:
