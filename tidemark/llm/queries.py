@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, html, jaccard, language, pieces, pitman_yor, quality, quotations, survivorship, syncmers, toxicity
+from tidemark.llm import decontamination, html, jaccard, language, pieces, pii, pitman_yor, quality, quotations, survivorship, syncmers, toxicity
 from tidemark.llm.texts import fold
 
 #: The model file's place; set it to where every executor has the file.
@@ -77,6 +77,15 @@ def op10_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotations.conversations(table(spark, sf_dir, "conversations"))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = pii.train(docs)
+    found = docs.select("doc_id", pii.personal_data(F.col("text"), model, spark)["spans"].alias("all"))
+    found = found.withColumn("own", F.filter("all", lambda s: s["base"]))
+    counts = [F.size(F.filter("own", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.printed(F.col("own")), 256).alias("base_sha256"), pii.printed(F.col("all")).alias("spans"), (F.size("all") - F.size("own")).cast("long").alias("n_added"))
+
+
 def op13_survivorship(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = survivorship.golden_records(table(spark, sf_dir, "clients"))
     cents = F.floor(100 * F.col("balance") + 0.5).cast("long")
@@ -94,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_syncmers": op8_syncmers,
     "op9_decontamination": op9_decontamination,
     "op10_quotations": op10_quotations,
+    "op12_pii": op12_pii,
     "op13_survivorship": op13_survivorship,
 }
 
