@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, html, jaccard, language, pieces, pii, pitman_yor, quality, quotations, survivorship, syncmers, toxicity
+from tidemark.llm import decontamination, html, jaccard, language, pieces, pii, pitman_yor, quality, quotations, survivorship, syncmers, toxicity, trie
 from tidemark.llm.texts import fold
 
 #: The model file's place; set it to where every executor has the file.
@@ -77,6 +77,13 @@ def op10_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotations.conversations(table(spark, sf_dir, "conversations"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = trie.turns(table(spark, sf_dir, "conversations"))
+    c = F.col("conv_id")
+    steps, lengths = trie.branched(placed, base=c - c % 20, shared=F.crc32(c.cast("string").cast("binary")) % 4, most=3)
+    return trie.trie(steps, lengths)
+
+
 def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = pii.train(docs)
@@ -104,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_syncmers": op8_syncmers,
     "op9_decontamination": op9_decontamination,
     "op10_quotations": op10_quotations,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_pii": op12_pii,
     "op13_survivorship": op13_survivorship,
 }
@@ -121,6 +129,25 @@ hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(ra
 its as (select doc_id, count(*) as n_items, string_agg(x, ',' order by x) as ids from (select distinct doc_id, cast(item_id as varchar) as x from h) group by 1)
 select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join hit using (doc_id) left join its using (doc_id)""",
+    # crc32 bit by bit: each byte is mixed in at the first of its eight steps
+    "op11_prefix_trie": r"""
+with t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, sign) as pos, sign, words from (select conv_id, turn,
+    md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as sign, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as words from conversations where conv_id is not null)),
+c as (select conv_id, conv_id - conv_id % 20 as base, count(*) as n, conv_id::varchar as s from t group by 1),
+h as (select conv_id, base, n, xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(range(1, length(s) + 1), lambda i: [ascii(s[i])::bigint, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295) % 4 as h from c),
+k as (select h.*, least(h.h, coalesce(b.n, 0)) as taken from h left join h b on b.conv_id = h.base),
+steps as (select k.conv_id as c, t.pos as p, sign, words from k join t on t.conv_id = k.base and t.pos <= k.taken
+    union all select k.conv_id, t.pos - k.h + k.taken, sign, words from k join t on t.conv_id = k.conv_id and t.pos > k.h),
+members as (select c, p, string_agg(sign, '') over (partition by c order by p) as id, words from steps union all select conv_id, 0, '', 0 from c),
+nodes as (select p as depth, id, min(c) as conv_id, count(*) as n_convs, max(words) as words from members group by 1, 2),
+kids as (select depth - 1 as depth, left(id, 32 * (depth - 1)::int) as id, count(*) as n from nodes where depth > 0 group by 1, 2),
+full_nodes as (select nodes.*, coalesce(kids.n, 0) as n_children from nodes left join kids using (depth, id)),
+sums as (select n.depth, n.id, count(*) filter (m.n_children = 0) as n_leaves, sum((m.n_convs - 1) * m.words) as saved_tokens from full_nodes n join full_nodes m on m.depth >= n.depth and left(m.id, 32 * n.depth::int) = n.id group by 1, 2),
+last as (select c, max(p) as depth from members group by 1),
+ends as (select depth, id, string_agg(c::varchar, ',' order by c) as ids from (select m.c, m.id, m.p as depth from members m join last on last.c = m.c and last.depth = m.p) group by 1, 2)
+select n.conv_id, n.depth::bigint as depth, p.conv_id as parent_conv_id, n.n_convs, n.n_children::bigint as n_children, s.n_leaves, s.saved_tokens::bigint as saved_tokens, sha256(coalesce(e.ids, '')) as ends_sha256
+from full_nodes n join sums s using (depth, id) left join nodes p on p.depth = n.depth - 1 and p.id = left(n.id, 32 * greatest(n.depth - 1, 0)::int) left join ends e on e.depth = n.depth and e.id = n.id""",
     "op13_survivorship": r"""
 with c as (select coalesce(master_id, client_id) as cluster_id, client_id, updated_at, case source when 'partner' then 0 when 'store' then 1 when 'web' then 2 when 'crm' then 3 else 4 end as trust, nation_id, balance,
     case when regexp_matches(name, '[^\x20\x09-\x0D]') then name end as name, case when regexp_matches(email, '[^\x20\x09-\x0D]') then email end as email,
