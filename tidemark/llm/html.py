@@ -48,24 +48,61 @@ ABOUT = frozenset("has with without no is layout open closed enabled disabled".s
 CLOSED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
 
+CLOSES = {tag: [x for x, by in CLOSED_BY.items() if tag in by] for tag in frozenset().union(*CLOSED_BY.values())}
+#: Nothing beyond these is closed by the start of an element.
+BOUNDS = CONTAINER | frozenset("table ul ol dl select".split())
+
+
 class Line(NamedTuple):
     text: str
     tags: int
     linked: int  # characters in links
     out: bool
-    doubtful: tuple[int, ...]  # elements around it that are left out unless they hold most of the text
-    chain: tuple[int, ...]  # containers
+    doubtful: int  # the innermost element around it that is left out unless it holds most of the text
+    container: int  # the innermost
 
 
 class Open(NamedTuple):
     tag: str
     silent: bool
     out: bool
-    doubtful: tuple[int, ...]
+    doubtful: int
     container: int
     link: bool
 
 
+class Tree:
+    """Elements numbered in the order in which they begin, each with the one around it; 0 is around all. So an element's descendants are the numbers up to its last one."""
+
+    def __init__(self) -> None:
+        self.parent = [-1]
+
+    def add(self, parent: int) -> int:
+        self.parent.append(parent)
+        return len(self.parent) - 1
+
+    def sums(self, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """For each element the weights of what stands in it, at any depth."""
+        out = np.bincount(at, weight, len(self.parent)).tolist()
+        for n in range(len(self.parent) - 1, 0, -1):
+            out[self.parent[n]] += out[n]
+        return np.array(out)
+
+    def last(self) -> list[int]:
+        out = list(range(len(self.parent)))
+        for n in range(len(out) - 1, 0, -1):
+            out[self.parent[n]] = max(out[self.parent[n]], out[n])
+        return out
+
+    def below(self, at: int) -> list[int]:
+        """For each element that child of ``at`` in which it stands; itself where it stands in none."""
+        out = list(range(len(self.parent)))
+        for n in range(at + 1, len(out)):
+            if self.parent[n] != at:
+                out[n] = out[self.parent[n]] if self.parent[n] > at else n
+        return out
+
+
 def named(names: str, among: frozenset[str]) -> bool:
     """Whether a class or id is one of these words, or has one as its first or last part."""
     for name in names.lower().split():
@@ -76,35 +113,46 @@ def named(names: str, among: frozenset[str]) -> bool:
 
 
 class Lines(HTMLParser):
-    """Collects the lines of a page."""
+    """Collects the lines of a page. What an open element says is kept with it, and the places of open elements by name, so each tag takes a constant time."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[Open] = []
+        self.places: dict[str, list[int]] = {}  # in ``open``, by element
+        self.bounds: list[int] = []
         self.lines: list[Line] = []
-        self.parent = {0: -1}
-        self.names = {0: ""}  # of each container: its element
+        self.containers, self.doubts = Tree(), Tree()
+        self.names = [""]  # of each container: its element
+        self.outer = [0]  # and the outermost article or main element that it is or stands in
         self.text: list[str] = []
-        self.tags = self.linked = self.elements = 0
+        self.tags = self.linked = 0
+        self.unended = False
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        """Once a comment has no end no later one has; so it isn't looked for again."""
+        end = -1 if self.unended else super().parse_comment(i, report)
+        self.unended = end < 0
+        return end
 
     def state(self) -> Open:
-        return self.open[-1] if self.open else Open("", False, False, (), 0, False)
+        return self.open[-1] if self.open else Open("", False, False, 0, 0, False)
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         at = self.state()
         if text:
-            chain, own = [], at.container
-            while own >= 0:
-                chain.append(own)
-                own = self.parent[own]
-            self.lines.append(Line(text, self.tags, min(self.linked, len(text)), at.out, at.doubtful, tuple(chain[::-1])))
+            self.lines.append(Line(text, self.tags, min(self.linked, len(text)), at.out, at.doubtful, at.container))
             self.tags = 0
         self.text, self.linked = [], 0
 
     def close_to(self, k: int) -> None:
-        if any(x.tag in BLOCK for x in self.open[k:]):
+        closed = self.open[k:]
+        if any(x.tag in BLOCK for x in closed):
             self.flush()
+        for x in closed:
+            self.places[x.tag].pop()
+            if x.tag in BOUNDS:
+                self.bounds.pop()
         del self.open[k:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -114,12 +162,9 @@ class Lines(HTMLParser):
             return
         if tag in BLOCK:
             self.flush()
-        for k in range(len(self.open) - 1, -1, -1):
-            if tag in CLOSED_BY.get(self.open[k].tag, ()):
-                self.close_to(k)
-                break
-            if self.open[k].tag in CONTAINER or self.open[k].tag in ("table", "ul", "ol", "dl", "select"):
-                break
+        place = max((self.places[x][-1] for x in CLOSES.get(tag, ()) if self.places.get(x)), default=-1)
+        if place >= (self.bounds[-1] if self.bounds else 0):
+            self.close_to(place)
         if tag in VOID:
             return
         at, own = self.state(), self.state().container
@@ -128,20 +173,20 @@ class Lines(HTMLParser):
         hidden = "hidden" in a or a.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", a.get("style", "")))
         out = tag in OUT or hidden or a.get("role", "").lower() in ROLES or (not page and tag != "main" and named(names, COMMENTS))
         doubtful = tag in DOUBTFUL or (not page and tag not in MARKED and named(names, WORDS))
-        self.elements += 1
         if tag in CONTAINER or tag in OUT or tag in DOUBTFUL:
-            self.parent[n := len(self.parent)] = own
-            self.names[n] = tag
-            own = n
-        self.open.append(Open(tag, at.silent or tag in SILENT, at.out or out, (*at.doubtful, self.elements) if doubtful else at.doubtful, own, at.link or tag == "a"))
+            own = self.containers.add(own)
+            self.names.append(tag)
+            self.outer.append(self.outer[at.container] or (own if tag in MARKED else 0))
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in BOUNDS:
+            self.bounds.append(len(self.open))
+        self.open.append(Open(tag, at.silent or tag in SILENT, at.out or out, self.doubts.add(at.doubtful) if doubtful else at.doubtful, own, at.link or tag == "a"))
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k].tag == tag:
-                self.close_to(k)
-                return
-        if tag in BLOCK:
+        if self.places.get(tag):
+            self.close_to(self.places[tag][-1])
+        elif tag in BLOCK:
             self.flush()
 
     def handle_data(self, data: str) -> None:
@@ -151,26 +196,36 @@ class Lines(HTMLParser):
 
     def corrected(self) -> np.ndarray:
         """Which lines the lists leave: a doubtful element of several lines that holds half of the text, and any article there is, is no boilerplate."""
-        rows = [x for x in self.lines if not x.out]
-        total = sum(len(x.text) for x in rows)
-        inside: dict[int, list[Line]] = {}
-        for x in rows:
-            for k in x.doubtful:
-                inside.setdefault(k, []).append(x)
-        article = lambda x: any(self.names[c] in MARKED for c in x.chain)
-        articles = sum(map(article, rows))
-        kept = {k for k, own in inside.items() if len(own) > 1 and 2 * sum(len(x.text) for x in own) >= total and sum(map(article, own)) == articles}
-        return np.array([not x.out and kept.issuperset(x.doubtful) for x in self.lines])
+        out = np.array([x.out for x in self.lines])
+        length = np.where(out, 0, [len(x.text) for x in self.lines])
+        article = ~out & np.array([self.outer[x.container] > 0 for x in self.lines])
+        at = np.array([x.doubtful for x in self.lines])
+        lines, held, articles = (self.doubts.sums(at, w) for w in (~out, length, article))
+        kept = ((lines > 1) & (2 * held >= length.sum()) & (articles == article.sum())).tolist()
+        kept[0] = True
+        for n in range(1, len(kept)):
+            kept[n] = kept[n] and kept[self.doubts.parent[n]]
+        return ~out & np.array(kept)[at]
 
     def marked(self, content: np.ndarray, weight: np.ndarray, least: float) -> int | None:
         """The outermost article or main element with content, if it is the only one and holds so much weight."""
         held: dict[int, float] = {}
         for k in np.flatnonzero(content):
-            outer = next((c for c in self.lines[k].chain if self.names[c] in MARKED), None)
-            if outer is not None:
+            if outer := self.outer[self.lines[k].container]:
                 held[outer] = held.get(outer, 0.0) + weight[k]
         return next(iter(held)) if len(held) == 1 and sum(held.values()) >= least else None
 
+    def region(self, content: np.ndarray) -> int:
+        """The container of all content that no inner one holds, or the first article or main element on the way to it."""
+        held = self.containers.sums(np.array([x.container for x in self.lines]), content)
+        at = 0
+        for n in range(1, len(held)):  # children come after their parents
+            if self.containers.parent[n] == at and held[n] == held[0]:
+                at = n
+                if self.names[n] in MARKED:
+                    break
+        return at
+
 
 def smoothed(ratio: np.ndarray, sigma: float) -> np.ndarray:
     reach = max(1, int(3 * sigma))
@@ -213,26 +268,14 @@ def extract(html: str | None, sigma: float = 1.0, share: float = 0.6) -> tuple[s
     content = left & ~links & ((smooth >= limit) | ((ratio >= np.log1p(FULL)) & (smooth >= 0.75 * limit)))
     if not content.any():
         content = left
-    places = np.flatnonzero(content)
-    total = float(length[content].sum())
-    at = parser.marked(content, length, share * total)
-    while at is None or parser.names[at] not in MARKED:  # into the container that holds most of the content, while none lies beside it
-        at = at or 0
-        inner: dict[int, float] = {}
-        for k in places:
-            chain = lines[k].chain
-            if at in chain[:-1]:
-                child = chain[chain.index(at) + 1]
-                inner[child] = inner.get(child, 0.0) + length[k]
-        best = max(inner, key=lambda c: (inner[c], -c), default=None)
-        if best is None or inner[best] < share * total or any(at in lines[k].chain and best not in lines[k].chain for k in places):
-            break
-        at = best
-    inside = [k for k in places if at in lines[k].chain]
+    at = parser.marked(content, length, share * float(length[content].sum()))
+    at = parser.region(content) if at is None else at
+    last, below = parser.containers.last()[at], parser.containers.below(at)
+    inside = [k for k in np.flatnonzero(content).tolist() if at <= lines[k].container <= last]
     units: dict[int, list[int]] = {}
     for k, x in enumerate(lines):
-        if left[k] and at in x.chain:
-            units.setdefault(x.chain[x.chain.index(at) + 1] if x.chain[-1] != at else at, []).append(k)
+        if left[k] and at <= x.container <= last:
+            units.setdefault(below[x.container], []).append(k)
     chosen: list[int] = []
     for unit, own in units.items():
         between = bool(inside) and inside[0] < own[0] and own[-1] < inside[-1]
