@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import SETTINGS
+from tidemark.functions.tokens import lexical_tokens
 from tidemark.operators.retrieval import top
 
 #: Rows to fit on, cells, and the rows and queries of a block at most.
@@ -38,6 +39,8 @@ class Cells:
 
     def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
         """The ``n`` nearest cells of each row, nearest first; ties by number."""
+        if len(self.centroids) == 1:
+            return np.zeros((len(x), 1), int)
         return np.argsort(-(unit(x) @ self.centroids.T), axis=1, kind="stable")[:, :n]
 
     def column(self, embedding: Column, n: int) -> Column:
@@ -110,6 +113,22 @@ def search(queries: DataFrame, index: DataFrame, cells: Cells, k: int = SETTINGS
     return top(pairs, k, F.desc("score"), F.col("chunk_id"))
 
 
+def exact(queries: DataFrame, vectors: DataFrame, k: int = SETTINGS.dense_k) -> DataFrame:
+    """query_id, chunk_id, score, rank: the best ``k`` of all rows by cosine, in blocks of rows and queries."""
+    one = Cells(np.zeros((1, 1)), 1)
+    index = vectors.where("embedding is not null").select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding"), F.lit(0).alias("cell"))
+    return search(queries, index, one, k)
+
+
+def hashed(texts: DataFrame, key: str, dims: int = 64, latin: bool = False) -> DataFrame:
+    """``key``, embedding: how often tokens of each text (``key``, text) fall into each of ``dims`` slots, by the MD5 of the token. A text without tokens has zeros."""
+    slot = (F.conv(F.substring(F.md5("term"), 1, 6), 16, 10).cast("int") % dims).alias("slot")
+    tokens = texts.select(key, F.explode_outer(lexical_tokens(F.col("text"), latin)).alias("term"))
+    counts = tokens.groupBy(key, slot).agg(F.count("term").cast("double").alias("n"))
+    held = counts.groupBy(key).agg(F.collect_list(F.when(F.col("slot").isNotNull(), F.struct("slot", "n"))).alias("x")).withColumn("x", F.map_from_entries("x"))
+    return held.select(key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("x", i), F.lit(0.0))).alias("embedding"))
+
+
 def found_of(exact: DataFrame, approximate: DataFrame) -> DataFrame:
     """query_id, n_exact, n_found: how many of each query's exact hits an approximate ranking has."""
     hit = approximate.select("query_id", "chunk_id", F.lit(1).alias("hit"))

@@ -223,13 +223,6 @@ def rerank_identity(spark, sf_dir):
     return retrieval.reranked(rrf_fusion(spark, sf_dir))
 
 
-@query()
-def hybrid_context(spark, sf_dir):
-    chunks = chunking.chunked(as_documents(spark, sf_dir).withColumn("source_key", F.col("source"))).withColumn("source_id", F.col("source_key"))
-    hits = retrieval.reranked(retrieval.fused(retrieval.bm25(as_questions(spark, sf_dir), chunks.select("chunk_id", "text"), latin=True).select("query_id", F.lit(1).alias("ranking"), "rank", "chunk_id")))
-    return retrieval.expanded(hits, chunks)
-
-
 @query(r"""select doc_id, greatest(1, len(regexp_extract_all(coalesce(text, ''), '[㐀-䶿一-鿿]')) + len(regexp_extract_all(coalesce(text, ''), '[a-zA-Z0-9_]+|[^\x00-\x7f]'))) as cost from documents""")
 def context_token_cost(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", retrieval.context_cost(F.col("text"), F.lit(None).cast("int")).alias("cost"))

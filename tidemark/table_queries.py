@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import pruned, retrieval, vectors
 from tidemark.operators.ranges import stored
-from tidemark.queries import BM25_ALL, as_chunks, as_questions, dense_topk, query, table
+from tidemark.operators import chunking
+from tidemark.queries import BM25_ALL, FUSED, LATIN, TOKEN_SQL, WINDOWS, as_chunks, as_documents, as_questions, dense_topk, query, table
 
 
 # --- vectors -------------------------------------------------------------------------------------------------------------
@@ -39,3 +40,42 @@ def bm25_pruned(spark, sf_dir):
 def bm25_pruned_reads(spark, sf_dir):
     """How many postings each question has and how many were read; the latter has no SQL, the tests hold it against the former."""
     return _pruned(spark, sf_dir)[1]
+
+
+# --- context of both rankings ---------------------------------------------------------------------------------------------
+SLOT = "('0x' || left(md5(term), 6))::int % 64"
+STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+COST = r"greatest(1, len(regexp_extract_all({0}, '[㐀-䶿一-鿿]')) + len(regexp_extract_all({0}, '[a-zA-Z0-9_]+|[^\x00-\x7f]')))"
+CHUNKS = rf"""ch as (select *, 'chunk-' || left(sha256(parent_id || chr(0) || chunk_index || chr(0) || text), 24) as chunk_id, len(regexp_extract_all(text, '{TOKEN_SQL}')) + 2 as token_count from (
+ select *, row_number() over (partition by source_key order by doc_id, unit) - 1 as chunk_index, 'parent-' || left(sha256(source_key || chr(0) || 'prose' || chr(0) || '1' || chr(0) || '1' || chr(0) || parent), 24) as parent_id from (
+ select d.source as source_key, w.doc_id, w.unit, w.text, {STRIP.format("coalesce(d.text, '')")} as parent from {WINDOWS} w join documents d using (doc_id))))"""
+HYBRID = f"""with recursive {CHUNKS}, {BM25_ALL.replace("with d as (select doc_id as chunk_id", "d as (select chunk_id", 1).replace("from documents", "from ch", 1)},
+cf as (select chunk_id, {SLOT} as slot, count(*) as c from (select chunk_id, unnest(w) as term from d) group by all),
+qf as (select query_id, {SLOT} as slot, count(*) as c from (select item_id as query_id, unnest({LATIN.format("text")}) as term from benchmark) group by all),
+cn as (select chunk_id, sqrt(sum(c * c)) as n from cf group by 1), qn as (select query_id, sqrt(sum(c * c)) as n from qf group by 1),
+dots as (select query_id, chunk_id, sum(qf.c * cf.c) as dot from qf join cf using (slot) group by 1, 2),
+cosines as (select b.item_id as query_id, ch.chunk_id, round(coalesce(dot / (qn.n * cn.n), 0), 6) as score from benchmark b cross join ch left join dots on dots.query_id = b.item_id and dots.chunk_id = ch.chunk_id left join qn on qn.query_id = b.item_id left join cn on cn.chunk_id = ch.chunk_id),
+near as (select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) as rank from cosines),
+r as (select query_id, 0 as ranking, rank, chunk_id from near where rank <= 20 union all select query_id, 1, rank, chunk_id from bm25){FUSED},
+own as (select f.query_id, f.rank, ch.* from fused f join ch using (chunk_id) where rank <= 5),
+cand as (select query_id, rank, 0 as step, chunk_id, 'parent' as role, {COST.format("parent")} as cost from own where parent <> '' and parent <> {STRIP.format("text")}
+ union all select query_id, rank, 1, chunk_id, 'hit', token_count from own
+ union all select o.query_id, o.rank, case when n.chunk_index < o.chunk_index then 2 else 3 end, n.chunk_id, 'neighbor', n.token_count from own o join ch n on n.source_key = o.source_key and abs(n.chunk_index - o.chunk_index) = 1),
+line as (select *, row_number() over (partition by query_id order by rank, step, chunk_id, role, cost) as n from cand),
+fold as (select query_id, 0::bigint as n, 6000::bigint as room, []::varchar[] as seen, -1::bigint as skip, ''::varchar as chunk_id, ''::varchar as role, 0::bigint as cost, false as ok from (select distinct query_id from line)
+ union all select query_id, n, case when ok then room - cost else room end, case when ok then list_append(seen, chunk_id) else seen end, case when ok and step = 0 then rank else skip end, chunk_id, role, cost, ok from (
+  select f.query_id, l.n, f.room, f.seen, f.skip, l.chunk_id, l.role, l.cost::bigint as cost, l.step, l.rank, l.rank <> f.skip and not list_contains(f.seen, l.chunk_id) and l.cost <= f.room as ok from fold f join line l on l.query_id = f.query_id and l.n = f.n + 1))
+select query_id, (row_number() over (partition by query_id order by n) - 1)::int as seq, chunk_id, role, cost from fold where ok"""
+
+
+@query(HYBRID)
+def hybrid_context(spark, sf_dir):
+    chunks = chunking.chunked(as_documents(spark, sf_dir).withColumn("source_key", F.col("source"))).withColumn("source_id", F.col("source_key"))
+    narrow = stored(chunks.select("chunk_id", "source_id", "chunk_index", "parent_id", "text", "token_count"))
+    texts, asked = narrow.select("chunk_id", "text"), as_questions(spark, sf_dir)
+    near = vectors.exact(vectors.hashed(asked, "query_id", latin=True), vectors.hashed(texts, "chunk_id", latin=True))
+    ranking = lambda df, k: df.select("query_id", F.lit(k).alias("ranking"), "rank", "chunk_id")
+    hits = stored(retrieval.reranked(retrieval.fused(ranking(near, 0).union(ranking(retrieval.bm25(asked, texts, latin=True), 1)))))
+    wanted = narrow.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi").select("parent_id").distinct()
+    parents = chunks.join(wanted, "parent_id", "left_semi").groupBy("parent_id").agg(F.min("parent_content").alias("parent_content"))
+    return retrieval.expanded(hits, narrow, parents=parents)
