@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from tidemark.config import SETTINGS
 from tidemark.functions import text as t
+from tidemark.operators.ranges import positions
+from tidemark.operators.small import small
 
 #: Patterns with their predicates, in order of precedence, and the colours of nodes.
 PATTERNS = (
@@ -54,10 +56,17 @@ def triples(found: DataFrame, limit: int = SETTINGS.graph_triples) -> DataFrame:
     return kept.select(index.alias("triple_index"), "subject", "predicate", "object", "source_name", F.col("at.evidence").alias("evidence"))
 
 
+def numbered_triples(found: DataFrame) -> DataFrame:
+    """triple_index, subject, predicate, object, source_name: all distinct triples of ``found`` (seq, part, subject, predicate, object, source_name) in order of first mention."""
+    first = found.groupBy("subject", "predicate", "object", "source_name").agg(F.min(F.struct("seq", "part")).alias("at"))
+    rows = first.select("subject", "predicate", "object", "source_name", F.col("at.seq").alias("seq"), F.col("at.part").alias("part"))
+    return positions(rows, ["seq", "part", "source_name", "subject", "predicate", "object"], "triple_index").select("triple_index", "subject", "predicate", "object", "source_name")
+
+
 def validated(candidates: DataFrame, names: DataFrame, limit: int = SETTINGS.graph_triples) -> DataFrame:
     """Triples (seq, subject, predicate, object, source_name, evidence) that are filled and whose source is asked for, up to ``limit``."""
     full = candidates.where(t.filled(F.col("subject")) & t.filled(F.col("predicate")) & t.filled(F.col("object")))
-    return full.join(F.broadcast(names), "source_name", "left_semi").orderBy("seq").limit(limit)
+    return full.join(small(names), "source_name", "left_semi").orderBy("seq").limit(limit)
 
 
 def nodes(graph: DataFrame) -> DataFrame:
@@ -65,9 +74,9 @@ def nodes(graph: DataFrame) -> DataFrame:
     full = graph.where(t.filled(F.col("subject")) & t.filled(F.col("object")))
     ends = full.select("triple_index", F.explode(F.array(t.strip(F.col("subject")), t.strip(F.col("object")))).alias("label"))
     per = ends.groupBy("label").agg(F.count("*").alias("degree"), F.min("triple_index").alias("first_seen"))
-    n = F.count("*").over(Window.partitionBy())
-    i = F.row_number().over(Window.orderBy(F.desc("degree"), "first_seen", "label")) - 1
-    placed = per.withColumns({"n": n, "i": i}).withColumn("cols", F.greatest(F.lit(2), F.least(F.lit(14), F.ceil(F.sqrt(F.col("n") * 1.8)))).cast("int"))
+    ranked = positions(per, [F.desc("degree"), "first_seen", "label"], "i")
+    n = F.lit(ranked.count())
+    placed = ranked.withColumn("cols", F.greatest(F.lit(2), F.least(F.lit(14), F.ceil(F.sqrt(n * 1.8)))).cast("int"))
     row, col = F.floor(F.col("i") / F.col("cols")), F.col("i") % F.col("cols")
     color = F.element_at(F.array(*map(F.lit, PALETTE)), (F.col("i") % len(PALETTE) + 1).cast("int"))
     return placed.select(F.concat(F.lit("n"), "i").alias("id"), "label", "degree", (150 + 280 * col + 70 * (row % 2)).cast("long").alias("x"), (110 + 170 * row).cast("long").alias("y"), F.least(F.lit(36), 20 + 3 * F.col("degree")).cast("long").alias("radius"), color.alias("color"))
@@ -78,7 +87,7 @@ def edges(graph: DataFrame, found: DataFrame) -> DataFrame:
     ids = found.select("id", F.col("label").alias("_label"))
     full = graph.where(t.filled(F.col("predicate"))).withColumns({"_s": t.strip(F.col("subject")), "_o": t.strip(F.col("object"))})
     a, b = ids.select(F.col("id").alias("source"), F.col("_label").alias("_s")), ids.select(F.col("id").alias("target"), F.col("_label").alias("_o"))
-    return full.join(F.broadcast(a), "_s").join(F.broadcast(b), "_o").select(F.concat(F.lit("e"), "triple_index").alias("id"), "source", "target", t.strip(F.col("predicate")).alias("label"), "source_name", "evidence")
+    return full.join(small(a), "_s").join(small(b), "_o").select(F.concat(F.lit("e"), "triple_index").alias("id"), "source", "target", t.strip(F.col("predicate")).alias("label"), "source_name", "evidence")
 
 
 def entity_counts(graph: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -78,3 +78,22 @@ def numbered(rows: DataFrame, key: str, order: list, name: str, parts: int | Non
     kind = rows.schema[key].dataType.simpleString()
     offsets = rows.sparkSession.createDataFrame(carried, f"_part int, {key} {kind}, _before long")  # one row a range
     return ranged.join(F.broadcast(offsets), ["_part", key], "left").withColumn(name, F.col("_at") + F.coalesce("_before", F.lit(0))).select(*rows.columns, name)
+
+
+def positions(rows: DataFrame, order: list, name: str, parts: int | None = None) -> DataFrame:
+    """``rows`` with ``name``: the place of each among all rows by ``order``, from 0, with no window over all of them."""
+    return numbered(rows.withColumn("_all", F.lit(0)), "_all", order, name, parts).drop("_all")
+
+
+def near(rows: DataFrame, key: str, order: str, by_block: int = 512) -> tuple[DataFrame, WindowSpec]:
+    """``rows`` (of a unique ``order`` in each ``key``) and a window over each row's neighbours in its key, in which a key of any size is many tasks.
+
+    Rows are numbered by key and order alone, dealt out in blocks of ``by_block`` places, and the first and the last row of a block are repeated in the block beside it. After the
+    window keep the rows where ``_own`` is true, and drop ``_own``, ``_block`` and ``_place``.
+    """
+    places = numbered(rows.select(F.col(key).alias("_key"), F.col(order).alias("_order")), "_key", ["_order"], "_place")
+    placed = rows.join(places, (rows[key] == places["_key"]) & rows[order].eqNullSafe(places["_order"])).drop("_key", "_order")
+    block, at = F.floor(F.col("_place") / by_block), F.col("_place") % by_block
+    blocks = F.array_compact(F.array(block, F.when(at == 0, block - 1), F.when(at == by_block - 1, block + 1)))
+    dealt = placed.withColumn("_block", F.explode(blocks)).withColumn("_own", F.col("_block") == block)
+    return dealt, Window.partitionBy(key, "_block").orderBy("_place")

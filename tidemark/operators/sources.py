@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 from tidemark.config import SETTINGS
 from tidemark.functions import text as t
+from tidemark.operators.ranges import positions
+from tidemark.operators.small import small
 
 
 def source_name(docs: DataFrame) -> Column:
@@ -57,8 +59,8 @@ def source_records(docs: DataFrame, session: str = "") -> DataFrame:
     hashed = renamed.repartition("path", "name", "kind").sortWithinPartitions("path", "name", "kind", "doc_pos").mapInPandas(digest, schema)
     identity = t.source_identity(F.col("_type"), F.col("_path"))
     id_ = F.concat(F.lit("src_"), F.substring(F.sha2(F.concat("file_hash", F.lit("\x1f"), identity), 256), 1, 20))
-    pos = F.row_number().over(Window.orderBy("first_pos")) - 1  # a catalog: one row per source
-    return hashed.select(pos.alias("source_pos"), id_.alias("source_id"), F.col("_name").alias("source_name"), F.col("_type").alias("source_type"), F.lit(session).alias("session_id"), "file_hash", F.col("_path").alias("source_path"), "n_pages")
+    placed = positions(hashed, ["first_pos", "_path", "_name", "_type"], "source_pos")
+    return placed.select("source_pos", id_.alias("source_id"), F.col("_name").alias("source_name"), F.col("_type").alias("source_type"), F.lit(session).alias("session_id"), "file_hash", F.col("_path").alias("source_path"), "n_pages")
 
 
 def attach_sources(docs: DataFrame, records: DataFrame) -> DataFrame:
@@ -112,7 +114,7 @@ def overview_lines(found: DataFrame, limit: int = SETTINGS.overview_line) -> Dat
 
 def full_text_blocks(docs: DataFrame, selected: DataFrame) -> DataFrame:
     """source_key, section, text: the headed sections of the selected sources (source_key, rank), in order of rank and section; never cut."""
-    parts = sections(docs).join(F.broadcast(selected), "source_key")
+    parts = sections(docs).join(small(selected), "source_key")
     n = F.count("*").over(Window.partitionBy("source_key"))
     head = F.when(F.col("page").isNotNull(), F.concat(F.lit("\n## 第 "), "page", F.lit(" 页\n"))).when(n > 1, F.concat(F.lit("\n## 第 "), F.col("section") + 1, F.lit(" 部分\n"))).otherwise("")
     title = F.when(F.col("section") == 0, F.concat(F.lit("\n# "), "name", F.lit("\n"))).otherwise("")
@@ -123,7 +125,7 @@ def matching_profiles(questions: DataFrame, catalog: DataFrame) -> DataFrame:
     """question_id, name: sources of which a part of the name stands in the question; all sources where none does."""
     stem = F.regexp_replace("name", r"\.[A-Za-z0-9]+$", "")
     parts = F.regexp_extract_all(stem, F.lit(r"[A-Za-z]+|[一-鿿]{2,}"), F.lit(0))
-    pairs = questions.join(F.broadcast(catalog.select("name", parts.alias("parts"))))
+    pairs = questions.join(small(catalog.select("name", parts.alias("parts"))))
     hit = F.exists("parts", lambda p: F.contains(F.col("_compact"), t.compact(p)))
     scored = pairs.withColumn("_compact", t.compact(F.col("question"))).withColumn("hit", hit)
     some = F.max("hit").over(Window.partitionBy("question_id"))

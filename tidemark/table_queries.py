@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from tidemark.operators import pruned, retrieval, vectors
+from tidemark.operators import graph, grams, pruned, retrieval, vectors
 from tidemark.operators.ranges import stored
+from tidemark.sources import store
 from tidemark.operators import chunking
 from tidemark.queries import BM25_ALL, FUSED, LATIN, TOKEN_SQL, WINDOWS, as_chunks, as_documents, as_questions, dense_topk, query, table
 
@@ -79,3 +82,87 @@ def hybrid_context(spark, sf_dir):
     wanted = narrow.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi").select("parent_id").distinct()
     parents = chunks.join(wanted, "parent_id", "left_semi").groupBy("parent_id").agg(F.min("parent_content").alias("parent_content"))
     return retrieval.expanded(hits, narrow, parents=parents)
+
+
+# --- a graph of the pages' links ---------------------------------------------------------------------------------------------
+LINKS = """l as (select page_id as seq, url, unnest(x) as path, generate_subscripts(x, 1) - 1 as part from (select page_id, url, regexp_extract_all(coalesce(html, ''), 'href="([^"]+)"', 1) as x from pages)),
+f as (select regexp_extract(url, '://([^/?#]+)', 1) as subject, path as object, url as source_name, min(seq * 1000000 + part) as first_at from l group by all),
+g as (select row_number() over (order by first_at, source_name, subject, object) - 1 as triple_index, subject, 'links' as predicate, object, source_name from f)"""
+NODES = LINKS + """, e as (select triple_index, trim(subject) as label from g where trim(subject) <> '' and trim(object) <> '' union all select triple_index, trim(object) from g where trim(subject) <> '' and trim(object) <> ''),
+p as (select label, count(*) as degree, min(triple_index) as seen from e group by 1),
+i as (select label, degree, row_number() over (order by degree desc, seen, label) - 1 as i, greatest(2, least(14, ceil(sqrt(count(*) over () * 1.8))))::bigint as cols from p)"""
+EDGES = NODES + ", edge as (select 'e' || triple_index as id, 'n' || a.i as source, 'n' || b.i as target, 'links' as label, source_name from g join i a on a.label = trim(subject) join i b on b.label = trim(object))"
+
+
+def _links(spark, sf_dir):
+    """The links of each page: its host links to a path."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), F.col("url").alias("source_name"), F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("part", "object"))
+    return graph.numbered_triples(pages.select("seq", "part", F.regexp_extract("source_name", "://([^/?#]+)", 1).alias("subject"), F.lit("links").alias("predicate"), "object", "source_name"))
+
+
+@query(f"with {LINKS} select * from g")
+def link_triples(spark, sf_dir):
+    return _links(spark, sf_dir)
+
+
+@query(f"with {NODES} select 'n' || i as id, label, degree, 150 + 280 * (i % cols) + 70 * ((i // cols) % 2) as x, 110 + 170 * (i // cols) as y, least(36, 20 + 3 * degree) as radius, (['#2563eb', '#059669', '#dc2626', '#7c3aed', '#ea580c', '#0891b2', '#be123c'])[(i % 7 + 1)::int] as color from i")
+def link_nodes(spark, sf_dir):
+    return graph.nodes(_links(spark, sf_dir))
+
+
+@query(f"with {EDGES} select * from edge")
+def link_edges(spark, sf_dir):
+    links = _links(spark, sf_dir)
+    return graph.edges(links.withColumn("evidence", F.lit("")), graph.nodes(links)).drop("evidence")
+
+
+@query(f"with {EDGES} select distinct id, neighbour from (select source as id, target as neighbour from edge union all select target, source from edge union all select source, source from edge union all select target, target from edge)")
+def link_neighbours(spark, sf_dir):
+    return graph.neighbours(link_edges(spark, sf_dir))
+
+
+# --- entries of JSON, neighbours, parts of words, a store -------------------------------------------------------------------------
+@query("""with p as (select click_id, props, try_cast(props as json) as j from clicks where props is not null),
+o as (select click_id, unnest(json_keys(j)) as key_path, j from p where json_type(j) = 'OBJECT'),
+v as (select click_id, key_path, json_extract(j, '$."' || key_path || '"') as v from o)
+select click_id, key_path, case when json_type(v) = 'ARRAY' and json_type(json_extract(v, '$[0]')) = 'OBJECT'
+ then '[' || array_to_string(list_transform(json_extract(v, '$[*]'), lambda x: '{' || array_to_string(list_transform(list_sort(json_keys(x)), lambda k: '"' || k || '":' || json(json_extract(x, '$."' || k || '"'))), ',') || '}'), ',') || ']'
+ else json(v)::varchar end as entry from v
+union all select click_id, 'root', props from p where j is null""")
+def json_entries(spark, sf_dir):
+    """VARIANT keeps an object's keys in alphabetical order, so the SQL sorts those of nested ones."""
+    return chunking.json_entries(table(spark, sf_dir, "clicks").select("click_id", "props"), "props").select("click_id", "key_path", "entry")
+
+
+@query(rf"""select doc_id as doc_pos, sha256(array_to_string(list('[Page 1]' || chr(10) || {STRIP.format("text")}) over w, chr(10) || chr(10))) as parent_sha256 from documents where regexp_matches(text, '\S')
+window w as (partition by source order by doc_id rows between 1 preceding and 1 following)""")
+def neighbour_parents(spark, sf_dir):
+    """Each document with those before and after it in its source, as the slides of a file have them."""
+    docs = as_documents(spark, sf_dir).withColumns({"source_key": F.col("source"), "page_end": F.lit(None).cast("int")}).where(r"page_content rlike '\\S'")
+    return chunking.slides(docs).where("part = 0").select("doc_pos", F.sha2("parent_content", 256).alias("parent_sha256"))
+
+
+LONGEST = r"(select item_id, list_reduce(regexp_extract_all(text, '\w+'), lambda a, b: case when length(b) > length(a) then b else a end) as needle from benchmark where regexp_matches(text, '\w'))"
+
+
+@query(f"select item_id as needle_id, needle, count(doc_id) as n_docs from {LONGEST} b left join documents d on contains(d.text, b.needle) group by 1, 2".replace("\\w", "[a-zA-Z0-9_]"))
+def part_search(spark, sf_dir):
+    """The documents that contain each question's longest word, as a word or within one."""
+    words = F.regexp_extract_all("text", F.lit("[a-zA-Z0-9_]+"), F.lit(0))
+    longest = F.reduce(words, F.lit(""), lambda a, b: F.when(F.length(b) > F.length(a), b).otherwise(a))
+    needles = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("needle_id"), longest.alias("needle")).where("needle <> ''")
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = grams.containing(needles, texts, stored(grams.postings(texts))).groupBy("needle_id").agg(F.count("*").alias("n_docs"))
+    return needles.join(found, "needle_id", "left").select("needle_id", "needle", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+
+
+@query("select conv_id, max(turn) as version, arg_max(role, turn) as role, sha256(arg_max(text, turn)) as text_sha256 from conversations where conv_id % 10 <> 3 group by 1")
+def stored_conversations(spark, sf_dir):
+    """The last turn of each conversation from a store: written as even turns, then as odd ones; then a tenth is deleted."""
+    stored(spark.range(1))  # makes a checkpoint folder where none is set
+    path = f"{spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4()}"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("version"), "role", "text")
+    for part in (0, 1):
+        store.put(turns.where(F.col("version") % 2 == part), path, "conv_id")
+    store.delete(turns.where("conv_id % 10 = 3").groupBy("conv_id").agg((F.max("version") + 1).alias("version")), path, "conv_id")
+    return store.rows(spark, path).select("conv_id", "version", "role", F.sha2("text", 256).alias("text_sha256"))
