@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as t
 from tidemark.functions import tokens
+from tidemark.given import given, given_sql
 from tidemark.operators import chunking, graph, history, resolver, retrieval, sources
 from tidemark.plans import planner
 
@@ -39,51 +40,15 @@ FIXTURES: dict[str, tuple[str, list[tuple]]] = {
         (12, "第十二个文件"), (13, ""), (14, "把文档里的内容全部给我，不要省略"), (15, "上传的资料名称"), (16, "文件内容有什么"), (17, "第二十一份"), (18, "一个图像增强的文件里讲了什么")]),
     "catalog": ("source_pos int, source_id string, source_name string", [
         (0, "s1", "0 入门篇.pdf"), (1, "s2", "1 基础篇-机器视觉系统.pdf"), (2, "s3", "2025-2026-2复习大纲.pdf"), (3, "s4", "图像复原练习.pdf"), (4, "s5", "1 基础篇-图像增强.pdf")]),
-    "notes": ("source_name string, text string", [
-        ("a.md", "• 图像增强主要包括灰度变换、直方图均衡和空间滤波。\n1. 中值滤波用于去除椒盐噪声；直方图的作用是描述灰度分布"),
-        ("b.md", "机器视觉系统包括光源、镜头，相机\n- 其中傅里叶变换可以产生频谱；短\n2) 采样的定义是离散化空间坐标。没有关系的句子在这里"),
-        ("c.md", "Dm距离是城市街区距离；PSNR为峰值信噪比\nplain words only here")]),
-    "triples": ("triple_index int, subject string, predicate string, object string, source_name string, evidence string", [
-        (0, "图像增强", "包括", "灰度变换", "a.md", "e0"), (1, "图像增强", "包括", "直方图", "a.md", "e1"), (2, "直方图", "用于", "图像 \"增强\"", "b.md", "e2"), (3, "图像增强", "是", "图像增强", "b.md", "self"),
-        (4, "", "是", "孤立", "b.md", "e4"), (5, "滤波", "", "直方图", "c.md", "e5"), (6, "A\\B", "是", "Edge Detection", "c.md", "e6")]),
-    "yaml": ("doc_id int, text string", [
-        (1, "preamble\nname: demo\nitems:\n  - a\n  - b\nnested.key: 1\n"), (2, "no keys at all\njust lines"), (3, "a:\nb: 2\n c: not top\nd-e: x")]),
     "json": ("doc_id int, text string", [
         (1, '{"model": {"name": "x"}, "retrieval": {"k": 20}, "alpha": 1}'), (2, '{"b": [1, 2], "a": "t"}'), (3, "{}")]),
-    "markdown": ("doc_id int, text string", [
-        (1, "# 安装\npip install\n\n## 使用\nrun it\n## 测试\npytest"), (2, "lead text\n\n# One\nbody\n### Two\nmore\n"), (3, "no headings here\n#notone"), (4, "#  Only\n")]),
-    "outline": ("doc_id int, text string", [
-        (1, "复习大纲\n1. 第一项复习内容\n2、 第二项\n 3) 第三项\n续行"), (2, "第 1．甲\n第2.乙\n10.丙"), (3, "no markers"), (4, "前言\n　1、甲\n　２、 乙\n　第　3．丙　")]),
-    "paged": ("source_key string, doc_pos int, page int, page_content string", [
-        *(("deck.pdf", i, i, f"slide {i} text") for i in (1, 2, 3, 4)), ("two.pdf", 5, 1, "first page"), ("two.pdf", 6, 2, "second page")]),
     "routed": ("source_key string, doc_pos int, source_name string, source_type string, page int, page_content string", [
         ("k1", 0, "a.pdf", "pdf", 1, "1. x\n2. y\n3. z"), *(("k2", i, "b.pdf", "pdf", i, "1. a\n2. b\n3. c") for i in range(1, 7)), ("k3", 20, "README.md", "md", None, "# t"),
         ("k4", 21, "m.py", "code", None, "x = 1"), ("k5", 22, "c.YAML", "code", None, "a: 1"), ("k6", 23, "notes.txt", "txt", None, "plain"), ("k7", 24, "p.pdf", "pdf", 1, "just prose"), ("k9", 30, "u.pdf", "pdf", 1, "前言\n　1、甲\n　２、乙\n　第 3．丙"), ("k8", 25, "x.bin", "json", None, "{}")]),
     "code": ("doc_id int, text string", [
         (1, "文件: sample.py\n\nimport os\n\n@dec\nclass A:\n    x = 1\n\ndef f():\n    return 1\n\nprint(f())\n"), (2, "def broken(:\n"), (3, "x = 1\n")]),
-    "urls": ("url_id int, url string", [
-        (1, "https://github.com/o/r"), (2, "https://www.GitHub.com/o/r/tree/main"), (3, "https://github.com/o/r/blob/dev/docs/a.md"), (4, "https://github.com/o"), (5, "https://example.com/o/r"), (6, "https://github.com//o//r/")]),
-    "saved": ("path string, session_id string, title string, created_at string, updated_at string, saved_at string, modified_at string", [
-        ("a.json", "s1", None, None, None, "2026-01-01T10:00:00+08:00", "2026-01-09T00:00:00+08:00"), ("b.json", "s1", "t", "2026-01-01T09:00:00+08:00", "2026-01-02T10:00:00+08:00", None, "2026-01-02T10:00:00+08:00"),
-        ("c.json", "s2", "u", "x", "2026-01-05T10:00:00+08:00", None, "m"), ("d.json", "s2", "v", "y", "2026-01-05T10:00:00+08:00", None, "m"), ("e.json", "", "blank", None, None, None, "m"), ("f.json", "s3", None, None, None, None, "2026-01-03T00:00:00+08:00")]),
-    "hits": ("query_id int, seq int, chunk_id string, source_id string, source_name string, source string, page int, page_start int, page_end int, text string", [
-        (1, 0, "chunk-2", "s1", "one.pdf", None, None, 3, 5, "body with https://x.y/z link"), (1, 1, "chunk-1", "s1", "one.pdf", None, 7, None, None, "second"), (1, 2, "chunk-2", "s1", "one.pdf", None, None, 3, 5, "again"),
-        (2, 0, None, None, None, "www.site.org/page", None, None, None, "text"), (2, 1, "", "s2", "", None, None, 4, 4, "same page")]),
-    "answers": ("query_id int, operation string, answer string, n_citations int", [
-        (1, "search", "fine", 2), (2, "search", "抱歉，当前资料依据不足。", 2), (3, "search", "ok", 0), (4, "chat", "hello", 0), (5, "search", "INSUFFICIENT Evidence here", 1)]),
-    "plans": ("question_id int, question string, catalog array<string>, candidates array<string>, resolved array<string>, active array<string>, operation string, scope string, source_ids array<string>, query string, read_mode string, confidence string, reason string", [
-        (1, "q1", ["a", "b", "c"], ["b"], [], ["a"], "search", "selected", ["b", "x", "b"], " rewritten ", None, "0.8", "r"), (2, "q2", ["a", "b"], [], [], ["a"], "search", "all", [], "", None, "7", ""), (3, "q3", ["a", "b"], [], [], ["b", "z"], "read_source", "active", None, "ignored", "full_text", "bad", None),
-        (4, "q4", ["a", "b"], ["a", "b"], [], [], "search", "auto", ["x"], "", None, "-1", ""), (5, "q5", ["a", "b"], ["a"], ["a"], [], "read_source", "nonsense", [], "", "odd", None, ""), (6, "q6", ["a"], ["a"], [], [], "chat", "all", ["a"], "x", "overview", "1", ""),
-        (7, "q7", ["a"], [], [], [], "delete", "all", [], "", None, "1", ""), (8, "q8", ["a", "b"], [], [], [], "search", "weird", [], None, None, "0.5", None), (9, "q9", [], [], [], [], "list_sources", "active", [], "", None, "0.1", "")]),
-    "proposed": ("seq int, subject string, predicate string, object string, source_name string, evidence string", [
-        (0, " 直方图 ", "描述", "灰度分布", "a.md", "quote"), (1, "直方图", "描述", "灰度分布", "a.md", "again"), (2, "", "描述", "x", "a.md", ""), (3, "a", "is", "b", "other.md", "not one of the sources"), (4, "镜头", "包括", "镜头", "b.md", "itself"), (5, "镜头", "", "光", "b.md", "no predicate"), (6, "相机", "包括", "镜头", "b.md", None)]),
     "wide_names": ("source_id string, source_name string", [
         ("w1", "１２ 基础篇-图像增强.pdf"), ("w2", "3. 前沿技术篇_深度学习 2.docx"), ("w3", "　ＡＢＣ．pdf"), ("w4", "复习.PDF"), ("w5", "x.md")]),
-    "ids": ("id int, chunk_id string, content string", [(1, " chunk-1 ", "x"), (2, "", "some text"), (3, None, "some text"), (4, "\t", "镜头")]),
-    "files": ("id int, name string", [(1, "a b/c.txt"), (2, "镜头-1_x.PDF"), (3, ""), (4, "../..\\x")]),
-    "turns": ("conv_id int, turn int, role string, text string, first_source string", [(1, 0, "assistant", "hi", "notes.pdf"), (2, 0, "user", "hello there", "notes.pdf"), (3, 0, "assistant", "x", None), (4, 1, "user", " ", "b.md"), (4, 2, "user", "late", "b.md")]),
-    "answers_json": ("id int, answer string", [(1, 'Sure: ```json\n{"operation": "search", "n": 1}\n``` done'), (2, "no object"), (3, '{"a": {"b": 2}} tail'), (4, "{broken"), (5, "[1, 2]"), (7, '```\n{"deep": [{"y": null}]}\n```')]),
-    "mixed_text": ("id int, text string", [(1, "Dm距离、PSNR与图像评价"), (2, "图像"), (3, "单"), (4, "CAFÉ_1 straße"), (5, ""), (6, "abc图像复原x")]),
 }
 # -------------------------------------------------------------------------------------------------------------------------
 
@@ -149,14 +114,14 @@ TOKEN_SQL = "[A-Za-z0-9_]+|[^\\sA-Za-z0-9_]"
 
 
 # --- lexical and dense retrieval -----------------------------------------------------------------------------------------
-@query(f"""with x as (select id, {FOLD.format("text")} as f from {values("mixed_text")})
+@query(f"""with x as (select id, {FOLD.format("text")} as f from {given_sql("mixed_text")})
 select id, coalesce(string_agg(tok, ' ' order by i, j), '') as terms from (
   select id, i, generate_subscripts(toks, 1) as j, unnest(toks) as tok from (
     select id, i, case when not regexp_matches(run, '^[㐀-䶿一-鿿]') then [run] else list_concat(list_concat([run[k] for k in range(1, len(run) + 1)], [run[k:k + 1] for k in range(1, len(run))]), case when len(run) > 2 then [run] else [] end) end as toks
     from (select id, generate_subscripts(r, 1) as i, unnest(r) as run from (select id, regexp_extract_all(f, '[a-z0-9_]+|[㐀-䶿一-鿿]+') as r from x)))
   union all select id, 0, 0, null from x) group by id""")
 def lexical_tokens(spark, sf_dir):
-    return fixture(spark, "mixed_text").select("id", F.array_join(tokens.lexical_tokens(F.col("text")), " ").alias("terms"))
+    return given(spark, sf_dir, "mixed_text").select("id", F.array_join(tokens.lexical_tokens(F.col("text")), " ").alias("terms"))
 
 
 @query(f"select term, count(*) as df from (select distinct doc_id, unnest({LATIN.format('text')}) as term from documents) group by 1")
@@ -265,27 +230,27 @@ def mrr(spark, sf_dir):
     return _metrics(spark, sf_dir).select("n_queries", "mrr")
 
 
-HIT = "(select *, coalesce(nullif(source_name, ''), nullif(source, ''), 'unknown') as nm, coalesce(nullif(chunk_id, ''), 'unknown') as ck from " + values("hits") + ")"
+HIT = "(select *, coalesce(nullif(source_name, ''), nullif(source, ''), 'unknown') as nm, coalesce(nullif(chunk_id, ''), 'unknown') as ck from " + given_sql("hits") + ")"
 
 
 @query(f"""select query_id, regexp_replace(string_agg('[Source: ' || nm || ' | ' || case when page_start is not null and page_end is not null and page_start <> page_end then 'Pages: ' || page_start || '-' || page_end else 'Page: ' || coalesce(coalesce(page, page_start)::varchar, 'unknown') end || ' | Chunk: ' || ck || ']' || chr(10) || text || chr(10) || '---', chr(10) order by seq), 'https?://\\S+|www\\.\\S+', '', 'g') as context from {HIT} group by 1""")
 def format_context(spark, sf_dir):
-    return retrieval.formatted(fixture(spark, "hits"))
+    return retrieval.formatted(given(spark, sf_dir, "hits"))
 
 
 @query(f"""select query_id, row_number() over (partition by query_id order by seq) as position, sid as source_id, nm as source_name, ps::varchar as page_start, pe::varchar as page_end, ck as chunk_id from (
 select query_id, min(seq) as seq, coalesce(source_id, '') as sid, nm, coalesce(page_start, page) as ps, coalesce(page_end, page_start, page) as pe, ck from {HIT} group by query_id, coalesce(source_id, ''), nm, coalesce(page_start, page), coalesce(page_end, page_start, page), ck)""")
 def citations(spark, sf_dir):
-    found = retrieval.citations(fixture(spark, "hits"))
+    found = retrieval.citations(given(spark, sf_dir, "hits"))
     return found.withColumns({c: F.col(c).cast("string") for c in ("page_start", "page_end")})
 
 
 LOW = "(contains(lower(answer), '资料依据不足') or contains(lower(answer), '未能生成有证据支持') or contains(lower(answer), 'insufficient evidence') or n_citations = 0)"
 
 
-@query(f"select query_id, case when operation <> 'search' then 'none' when {LOW} then 'low' else 'high' end as evidence_level, operation = 'search' and {LOW} as missing from {values('answers')}")
+@query(f"select query_id, case when operation <> 'search' then 'none' when {LOW} then 'low' else 'high' end as evidence_level, operation = 'search' and {LOW} as missing from {given_sql('answers')}")
 def evidence_level(spark, sf_dir):
-    return retrieval.evidence(fixture(spark, "answers"))
+    return retrieval.evidence(given(spark, sf_dir, "answers"))
 
 
 # --- sources -------------------------------------------------------------------------------------------------------------
@@ -348,10 +313,10 @@ STEM = r"regexp_replace(source_name, '\.[A-Za-z0-9]+$', '')"
 COMPACT = r"""lower(regexp_replace({}, '[\s？?。！!，,：:；;“”"''`]+', '', 'g'))"""
 
 
-@query(f"""with p as (select question_id, source_name as name, source_pos, coalesce(list_bool_or([contains({COMPACT.format('question')}, lower(x)) for x in regexp_extract_all({STEM}, '[A-Za-z]+|[一-鿿]{{2,}}')]), false) as hit from {values('questions')}, {values('catalog')})
+@query(f"""with p as (select question_id, source_name as name, source_pos, coalesce(list_bool_or([contains({COMPACT.format('question')}, lower(x)) for x in regexp_extract_all({STEM}, '[A-Za-z]+|[一-鿿]{{2,}}')]), false) as hit from {given_sql('questions')}, {given_sql('catalog')})
 select question_id, name from (select *, bool_or(hit) over (partition by question_id) as any_hit from p) where hit or not any_hit""")
 def matching_profiles(spark, sf_dir):
-    return sources.matching_profiles(fixture(spark, "questions"), fixture(spark, "catalog").withColumnRenamed("source_name", "name"))
+    return sources.matching_profiles(given(spark, sf_dir, "questions"), given(spark, sf_dir, "catalog").withColumnRenamed("source_name", "name"))
 
 
 HTML = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<br\s*/?>', chr(10), 'g'), '</(p|div|h[1-6]|li|tr)>', chr(10), 'g'), '<[^>]+>', ' ', 'g'), '&quot;', '"', 'g')"""
@@ -370,10 +335,10 @@ def strip_tags(spark, sf_dir):
 RAW_HOST = "'https://raw.githubusercontent.com/' || p[1] || '/' || p[2] || '/'"
 
 
-@query(f"""with u as (select url_id, url, lower(regexp_extract(url, '^https?://([^/]+)', 1)) as host, [x for x in string_split(regexp_extract(url, '^https?://[^/]+([^?#]*)', 1), '/') if x <> ''] as p from {values("urls")})
+@query(f"""with u as (select url_id, url, lower(regexp_extract(url, '^https?://([^/]+)', 1)) as host, [x for x in string_split(regexp_extract(url, '^https?://[^/]+([^?#]*)', 1), '/') if x <> ''] as p from {given_sql("urls")})
 select url_id, array_to_string(case when host not in ('github.com', 'www.github.com') or len(p) < 2 then []::varchar[] when len(p) >= 4 and p[3] = 'blob' then [{RAW_HOST} || p[4] || '/' || array_to_string(p[5:], '/')] else [{RAW_HOST} || 'main/README.md', {RAW_HOST} || 'master/README.md', url] end, ' ') as candidates from u""")
 def github_candidates(spark, sf_dir):
-    return fixture(spark, "urls").select("url_id", F.array_join(t.readme_candidates(F.col("url")), " ").alias("candidates"))
+    return given(spark, sf_dir, "urls").select("url_id", F.array_join(t.readme_candidates(F.col("url")), " ").alias("candidates"))
 
 
 @query(r"select conv_id, turn, regexp_replace(text, 'https?://\S+|www\.\S+', '', 'g') as text from conversations")
@@ -381,14 +346,14 @@ def remove_links(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", t.remove_links(F.col("text")).alias("text"))
 
 
-@query(f"""select id, case when json_valid(x) then x end as payload from (select id, nullif(regexp_extract(regexp_replace(answer, '```(?:json)?', '', 'g'), '(?s)\\{{.*\\}}'), '') as x from {values("answers_json")})""")
+@query(f"""select id, case when json_valid(x) then x end as payload from (select id, nullif(regexp_extract(regexp_replace(answer, '```(?:json)?', '', 'g'), '(?s)\\{{.*\\}}'), '') as x from {given_sql("answers_json")})""")
 def json_payload(spark, sf_dir):
-    return fixture(spark, "answers_json").select("id", t.json_payload(F.col("answer")).alias("payload"))
+    return given(spark, sf_dir, "answers_json").select("id", t.json_payload(F.col("answer")).alias("payload"))
 
 
-@query(f"""select source_id, regexp_replace(regexp_replace({FOLD.format("trim(source_name)")}, '\\.(pdf|docx?|md|txt|html?|json|ya?ml|toml|py|sql)\\s*$', ''), '[^\\p{{L}}\\p{{N}}]', '', 'g') as normalized from {values("catalog")}""")
+@query(f"""select source_id, regexp_replace(regexp_replace({FOLD.format("trim(source_name)")}, '\\.(pdf|docx?|md|txt|html?|json|ya?ml|toml|py|sql)\\s*$', ''), '[^\\p{{L}}\\p{{N}}]', '', 'g') as normalized from {given_sql("catalog")}""")
 def normalized_names(spark, sf_dir):
-    return fixture(spark, "catalog").select("source_id", t.normalized_name(F.col("source_name")).alias("normalized"))
+    return given(spark, sf_dir, "catalog").select("source_id", t.normalized_name(F.col("source_name")).alias("normalized"))
 
 
 # --- chunking ------------------------------------------------------------------------------------------------------------
@@ -419,9 +384,9 @@ def chunk_ids(spark, sf_dir):
     return chunking.chunked(docs).select("source_key", "chunk_index", "parent_id", "chunk_id", "token_count")
 
 
-@query(f"select source_key, doc_pos, page_content as text, array_to_string(list('[Page ' || page || ']' || chr(10) || page_content) over w, chr(10) || chr(10)) as parent_content, min(page) over w as parent_page_start, max(page) over w as parent_page_end from {values('paged')} window w as (partition by source_key order by doc_pos rows between 1 preceding and 1 following)")
+@query(f"select source_key, doc_pos, page_content as text, array_to_string(list('[Page ' || page || ']' || chr(10) || page_content) over w, chr(10) || chr(10)) as parent_content, min(page) over w as parent_page_start, max(page) over w as parent_page_end from {given_sql('paged')} window w as (partition by source_key order by doc_pos rows between 1 preceding and 1 following)")
 def slide_windows(spark, sf_dir):
-    docs = fixture(spark, "paged").withColumn("page_end", F.lit(None).cast("int"))
+    docs = given(spark, sf_dir, "paged").withColumn("page_end", F.lit(None).cast("int"))
     return chunking.slides(docs).select("source_key", "doc_pos", "text", "parent_content", "parent_page_start", "parent_page_end")
 
 
@@ -429,9 +394,9 @@ SPLIT = r"""(select doc_id, [regexp_replace(x, '^[BLANK]+|[BLANK]+$', '', 'g') f
 GLUED = "case when len(p) = 1 then p else list_concat([case when p[1] <> '' then p[1] || {glue} || p[2] else p[2] end], p[3:]) end"
 
 
-@query(f"select doc_id, generate_subscripts(i, 1) - 1 as pos, unnest(i) as item from (select doc_id, {GLUED.format(glue='chr(10)')} as i from {SPLIT.format(pattern=chunking.NUMBERED, source=values('outline'))})")
+@query(f"select doc_id, generate_subscripts(i, 1) - 1 as pos, unnest(i) as item from (select doc_id, {GLUED.format(glue='chr(10)')} as i from {SPLIT.format(pattern=chunking.NUMBERED, source=given_sql('outline'))})")
 def outline_items(spark, sf_dir):
-    return fixture(spark, "outline").select("doc_id", F.posexplode(chunking.numbered_items(F.col("text"))).alias("pos", "item"))
+    return given(spark, sf_dir, "outline").select("doc_id", F.posexplode(chunking.numbered_items(F.col("text"))).alias("pos", "item"))
 
 
 @query(rf"""with recursive n as (select unnest([1, 2, 3]) as doc_id), it as (select doc_id, unnest(range(1, doc_id * 20 + 1)) as i from n),
@@ -444,9 +409,9 @@ def outline_packing(spark, sf_dir):
     return long.select("doc_id", F.posexplode(chunking.packed_items(chunking.numbered_items(F.col("text")))).alias("pos", "item"))
 
 
-@query(f"select doc_id, generate_subscripts(i, 1) - 1 as pos, unnest(i) as section from (select doc_id, {GLUED.format(glue='chr(10) || chr(10)')} as i from {SPLIT.format(pattern='(?m)^#{1,6}[[:space:]]+.+$', source=values('markdown'))})".replace("[[:space:]]", r"\s"))
+@query(f"select doc_id, generate_subscripts(i, 1) - 1 as pos, unnest(i) as section from (select doc_id, {GLUED.format(glue='chr(10) || chr(10)')} as i from {SPLIT.format(pattern='(?m)^#{1,6}[[:space:]]+.+$', source=given_sql('markdown'))})".replace("[[:space:]]", r"\s"))
 def markdown_sections(spark, sf_dir):
-    return fixture(spark, "markdown").select("doc_id", F.posexplode(chunking.markdown_sections(F.col("text"))).alias("pos", "section"))
+    return given(spark, sf_dir, "markdown").select("doc_id", F.posexplode(chunking.markdown_sections(F.col("text"))).alias("pos", "section"))
 
 
 #: Rows worked out by hand: a JSON text's entries, each an indented object of one key.
@@ -464,10 +429,10 @@ def structured_entries(spark, sf_dir):
     return fixture(spark, "json").select("doc_id", F.inline(chunking.structured_entries(F.col("text"), F.lit(False))))
 
 
-@query(rf"""with s as (select doc_id, text, string_split(regexp_replace(text, '(?m)^([A-Za-z_][\w.-]*:)(\s|$)', chr(2) || '\1\2', 'g'), chr(2)) as p from {values('yaml')})
+@query(rf"""with s as (select doc_id, text, string_split(regexp_replace(text, '(?m)^([A-Za-z_][\w.-]*:)(\s|$)', chr(2) || '\1\2', 'g'), chr(2)) as p from {given_sql('yaml')})
 select doc_id, key_path, entry from (select doc_id, regexp_extract(e, '^([A-Za-z_][\w.-]*):', 1) as key_path, regexp_replace(e, '^\s+|\s+$', '', 'g') as entry from (select doc_id, unnest(p[2:]) as e from s where len(p) > 1)) union all select doc_id, 'root', text from s where len(p) = 1""")
 def yaml_entries(spark, sf_dir):
-    return fixture(spark, "yaml").select("doc_id", F.inline(chunking.yaml_entries(F.col("text"))))
+    return given(spark, sf_dir, "yaml").select("doc_id", F.inline(chunking.yaml_entries(F.col("text"))))
 
 
 #: Rows worked out by hand.
@@ -486,10 +451,10 @@ def python_blocks(spark, sf_dir):
     return fixture(spark, "code").select("doc_id", F.posexplode(chunking.python_blocks(t.without_code_header(F.col("text")))).alias("pos", "b")).select("doc_id", "pos", "b.element_type", "b.block")
 
 
-@query(rf"""with p as (select source_key, count(*) as pages, median(len(regexp_extract_all(page_content, '{TOKEN_SQL}')) + 2) as med, sum(len(regexp_extract_all(page_content, '{chunking.NUMBERED}'))) as markers, lower(arg_min(source_type, doc_pos)) as kind, regexp_extract(lower(arg_min(source_name, doc_pos)), '(\.[^.]+)$', 1) as suffix from {values('routed')} group by 1)
+@query(rf"""with p as (select source_key, count(*) as pages, median(len(regexp_extract_all(page_content, '{TOKEN_SQL}')) + 2) as med, sum(len(regexp_extract_all(page_content, '{chunking.NUMBERED}'))) as markers, lower(arg_min(source_type, doc_pos)) as kind, regexp_extract(lower(arg_min(source_name, doc_pos)), '(\.[^.]+)$', 1) as suffix from {given_sql('routed_pages')} group by 1)
 select source_key, case when kind = 'pdf' then case when pages <= 4 and markers >= 3 then 'outline' when pages >= 3 and med <= 300 then 'slides' when markers >= 3 then 'outline' else 'prose' end when suffix = '.md' or kind in ('md', 'markdown') then 'markdown' when suffix = '.py' or kind = 'python' then 'python' when suffix in ('.json', '.yaml', '.yml', '.toml') or kind in ('json', 'yaml', 'toml') then 'structured' else 'prose' end as strategy from p""")
 def chunk_router(spark, sf_dir):
-    return chunking.strategies(fixture(spark, "routed"))
+    return chunking.strategies(given(spark, sf_dir, "routed_pages"))
 
 
 #: Rows worked out by hand for the sources whose chunks are their own parents; slides have their neighbours' texts.
@@ -529,14 +494,14 @@ def bounded_batches(spark, sf_dir):
 
 
 # --- conversations ---------------------------------------------------------------------------------------------------------
-@query(f"select session_id, path, title, version from (select *, coalesce(nullif(updated_at, ''), nullif(saved_at, ''), modified_at) as version, row_number() over (partition by session_id order by coalesce(nullif(updated_at, ''), nullif(saved_at, ''), modified_at) desc, path) as n from {values('saved')} where session_id <> '') where n = 1")
+@query(f"select session_id, path, title, version from (select *, coalesce(nullif(updated_at, ''), nullif(saved_at, ''), modified_at) as version, row_number() over (partition by session_id order by coalesce(nullif(updated_at, ''), nullif(saved_at, ''), modified_at) desc, path) as n from {given_sql('saved')} where session_id <> '') where n = 1")
 def conversation_latest(spark, sf_dir):
-    return history.latest(fixture(spark, "saved")).select("session_id", "path", "title", "version")
+    return history.latest(given(spark, sf_dir, "saved")).select("session_id", "path", "title", "version")
 
 
-@query(f"select session_id, min(coalesce(nullif(created_at, ''), saved_at)) as created_at, count(*) as n_rows from {values('saved')} where session_id <> '' group by 1")
+@query(f"select session_id, min(coalesce(nullif(created_at, ''), saved_at)) as created_at, count(*) as n_rows from {given_sql('saved')} where session_id <> '' group by 1")
 def conversation_upsert(spark, sf_dir):
-    rows = fixture(spark, "saved")
+    rows = given(spark, sf_dir, "saved")
     n = rows.groupBy("session_id").agg(F.count("*").alias("n_rows"))
     return history.upserted(rows.where("path < 'c'"), rows.where("path >= 'c'")).join(n, "session_id").select("session_id", "created_at", "n_rows")
 
@@ -559,9 +524,9 @@ def chat_tail(spark, sf_dir):
     return history.chat_tail(table(spark, sf_dir, "conversations"))
 
 
-@query(f"""select conv_id, coalesce(arg_min(left(replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10), ' '), 60), turn) filter (where role = 'user' and regexp_matches(text, '\\S')), left(max(first_source), 60), '新对话') as title from {values("turns")} group by 1""")
+@query(f"""select conv_id, coalesce(arg_min(left(replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10), ' '), 60), turn) filter (where role = 'user' and regexp_matches(text, '\\S')), left(max(first_source), 60), '新对话') as title from {given_sql("turns")} group by 1""")
 def source_titles(spark, sf_dir):
-    return history.title(fixture(spark, "turns"), first_source="first_source").select("conv_id", "title")
+    return history.title(given(spark, sf_dir, "turns"), first_source="first_source").select("conv_id", "title")
 
 
 # --- questions --------------------------------------------------------------------------------------------------------------
@@ -650,47 +615,47 @@ def resolver_full(spark, sf_dir):
     return found.select("question_id", F.array_join("source_ids", ",").alias("source_ids"), "confidence", F.array_join("candidates", ",").alias("candidates"))
 
 
-@query(f"select id, coalesce(nullif(regexp_replace(coalesce(chunk_id, ''), '^\\s+|\\s+$', '', 'g'), ''), 'content-' || left(sha256(content), 24)) as document_id from {values('ids')}")
+@query(f"select id, coalesce(nullif(regexp_replace(coalesce(chunk_id, ''), '^\\s+|\\s+$', '', 'g'), ''), 'content-' || left(sha256(content), 24)) as document_id from {given_sql('ids')}")
 def document_ids(spark, sf_dir):
-    return fixture(spark, "ids").select("id", t.document_id(F.col("chunk_id"), F.col("content")).alias("document_id"))
+    return given(spark, sf_dir, "ids").select("id", t.document_id(F.col("chunk_id"), F.col("content")).alias("document_id"))
 
 
-@query(f"select id, regexp_replace(name, '[^A-Za-z0-9._-]', '_', 'g') as file_id from {values('files')}")
+@query(f"select id, regexp_replace(name, '[^A-Za-z0-9._-]', '_', 'g') as file_id from {given_sql('files')}")
 def safe_file_ids(spark, sf_dir):
-    return fixture(spark, "files").select("id", t.safe_file_id(F.col("name")).alias("file_id"))
+    return given(spark, sf_dir, "files").select("id", t.safe_file_id(F.col("name")).alias("file_id"))
 
 
-@query(f"""with p as (select question_id, catalog, [x for x in coalesce(source_ids, []::varchar[]) if list_contains(catalog, x)] as a, [x for x in active if list_contains(catalog, x)] as b from {values("plans")})
+@query(f"""with p as (select question_id, catalog, [x for x in coalesce(source_ids, []::varchar[]) if list_contains(catalog, x)] as a, [x for x in active if list_contains(catalog, x)] as b from {given_sql("plans")})
 select question_id, array_to_string(list_distinct_in_order, ',') as source_ids from (select question_id, [u[i] for i in range(1, len(u) + 1) if list_position(u, u[i]) = i] as list_distinct_in_order from (select question_id, case when len(a) > 0 then a when len(b) > 0 then b else catalog end as u from p))""")
 def sources_in_use(spark, sf_dir):
-    return fixture(spark, "plans").select("question_id", F.array_join(planner.sources_in_use(F.col("source_ids"), F.col("active"), F.col("catalog")), ",").alias("source_ids"))
+    return given(spark, sf_dir, "plans").select("question_id", F.array_join(planner.sources_in_use(F.col("source_ids"), F.col("active"), F.col("catalog")), ",").alias("source_ids"))
 
 
-@query(f"""select question_id, case when len(candidates) = 0 then '{planner.UNCLEAR}' else '{planner.CHOOSE}' || array_to_string(['- ' || x for x in candidates], chr(10)) end as answer from {values("plans")}""")
+@query(f"""select question_id, case when len(candidates) = 0 then '{planner.UNCLEAR}' else '{planner.CHOOSE}' || array_to_string(['- ' || x for x in candidates], chr(10)) end as answer from {given_sql("plans")}""")
 def selection_answers(spark, sf_dir):
-    return fixture(spark, "plans").select("question_id", planner.selection_answer(F.col("candidates")).alias("answer"))
+    return given(spark, sf_dir, "plans").select("question_id", planner.selection_answer(F.col("candidates")).alias("answer"))
 
 
 @query(f"""select question_id, case when x = '' then null when {_contains_any("x", R.INVENTORY)} then 'inventory' when {_contains_any("x", R.FULL_TEXT)} then 'full_text' when {_contains_any("x", R.COMPLETE)} and {_contains_any("x", R.SCOPE)} then 'full_text' when {_contains_any("x", R.OVERVIEW)} then 'overview'
-when {_contains_any("x", R.THING)} and {_contains_any("x", R.LISTING)} then 'inventory' when {_contains_any("x", R.THING)} and {_contains_any("x", R.CONTENT)} then 'overview' end as route from (select question_id, {COMPACT.format("question")} as x from {values("questions")})""")
+when {_contains_any("x", R.THING)} and {_contains_any("x", R.LISTING)} then 'inventory' when {_contains_any("x", R.THING)} and {_contains_any("x", R.CONTENT)} then 'overview' end as route from (select question_id, {COMPACT.format("question")} as x from {given_sql("questions")})""")
 def route_keywords(spark, sf_dir):
-    return fixture(spark, "questions").select("question_id", resolver.route(F.col("question")).alias("route"))
+    return given(spark, sf_dir, "questions").select("question_id", resolver.route(F.col("question")).alias("route"))
 
 
 DIGIT = "(case {} when '' then {} when '零' then 0 when '〇' then 0 when '一' then 1 when '二' then 2 when '两' then 2 when '三' then 3 when '四' then 4 when '五' then 5 when '六' then 6 when '七' then 7 when '八' then 8 when '九' then 9 else {} end)"
 
 
-@query(rf"""with m as (select question_id, coalesce(nullif(regexp_extract(question, '(?:{R.ORDINALS[0]}|{R.ORDINALS[1]})', 1), ''), nullif(regexp_extract(question, '(?:{R.ORDINALS[0]}|{R.ORDINALS[1]})', 2), '')) as y from {values("questions")}),
+@query(rf"""with m as (select question_id, coalesce(nullif(regexp_extract(question, '(?:{R.ORDINALS[0]}|{R.ORDINALS[1]})', 1), ''), nullif(regexp_extract(question, '(?:{R.ORDINALS[0]}|{R.ORDINALS[1]})', 2), '')) as y from {given_sql("questions")}),
 o as (select question_id, translate(y, '{t.DIGITS}', '{"0123456789" * 4}') as x from m),
 n as (select question_id, case when regexp_matches(x, '^\d+$') then try_cast(x as integer) when x = '十' then 10 when contains(x, '十') then {DIGIT.format("split_part(x, '十', 1)", 1, 1)} * 10 + {DIGIT.format("split_part(x, '十', 2)", 0, 0)} else {DIGIT.format("x", "null", "null")} end as v from o)
 select question_id, coalesce(case when v > 0 then v - 1 end, -1) as place from n""")
 def ordinal_refs(spark, sf_dir):
-    return fixture(spark, "questions").select("question_id", F.coalesce(resolver.ordinal(F.col("question")), F.lit(-1)).alias("place"))
+    return given(spark, sf_dir, "questions").select("question_id", F.coalesce(resolver.ordinal(F.col("question")), F.lit(-1)).alias("place"))
 
 
-@query(f"""select question_id, coalesce(nullif(regexp_extract(question, '{R.HINTS[0]}', 1), ''), regexp_extract(question, '{R.HINTS[1]}', 1)) as hint, regexp_matches(question, '{R.PRONOUNS}') as pronoun from {values("questions")}""")
+@query(f"""select question_id, coalesce(nullif(regexp_extract(question, '{R.HINTS[0]}', 1), ''), regexp_extract(question, '{R.HINTS[1]}', 1)) as hint, regexp_matches(question, '{R.PRONOUNS}') as pronoun from {given_sql("questions")}""")
 def source_hints(spark, sf_dir):
-    return fixture(spark, "questions").select("question_id", resolver.hint(F.col("question")).alias("hint"), resolver.has_pronoun(F.col("question")).alias("pronoun"))
+    return given(spark, sf_dir, "questions").select("question_id", resolver.hint(F.col("question")).alias("hint"), resolver.has_pronoun(F.col("question")).alias("pronoun"))
 
 
 WIDE = f"translate(question, '{t.DIGITS}', '{'0123456789' * 4}')"
@@ -698,39 +663,39 @@ QN = rf"regexp_replace(regexp_replace({FOLD.format(WIDE)}, '\.(pdf|docx?|md|txt|
 CN = rf"regexp_replace(regexp_replace({FOLD.format('trim(source_name)')}, '\.(pdf|docx?|md|txt|html?|json|ya?ml|toml|py|sql)\s*$', ''), '[^\p{{L}}\p{{N}}]', '', 'g')"
 
 
-@query(f"select question_id, source_id, contains({QN}, {CN}) as contained from {values('questions')}, {values('catalog')}")
+@query(f"select question_id, source_id, contains({QN}, {CN}) as contained from {given_sql('questions')}, {given_sql('catalog')}")
 def resolver_containment(spark, sf_dir):
-    pairs = fixture(spark, "questions").join(F.broadcast(fixture(spark, "catalog")))
+    pairs = given(spark, sf_dir, "questions").join(F.broadcast(given(spark, sf_dir, "catalog")))
     return pairs.select("question_id", "source_id", F.contains(resolver.normalized_question(F.col("question")), t.normalized_name(F.col("source_name"))).alias("contained"))
 
 
-@query(f"""with p as (select question_id, source_id, {QN} as q, {CN} as a from {values('questions')}, {values('catalog')})
+@query(f"""with p as (select question_id, source_id, {QN} as q, {CN} as a from {given_sql('questions')}, {given_sql('catalog')})
 select question_id, source_id, coalesce(max(n), 0) as common from (select question_id, source_id, null::bigint as n from p union all select question_id, source_id, case when contains(q, substr(a, i, n)) then n end from (select *, unnest(range(1, len(a) - n + 2)) as i from (select *, unnest(range(1, len(a) + 1)) as n from p))) group by 1, 2""")
 def resolver_lcs(spark, sf_dir):
-    pairs = fixture(spark, "questions").join(F.broadcast(fixture(spark, "catalog")))
+    pairs = given(spark, sf_dir, "questions").join(F.broadcast(given(spark, sf_dir, "catalog")))
     named = pairs.withColumns({"q": resolver.normalized_question(F.col("question")), "a": t.normalized_name(F.col("source_name"))})
     return named.select("question_id", "source_id", resolver.longest_common(F.col("q"), F.col("a")).alias("common"))
 
 
-@query(f"""with p as (select *, trim(coalesce(operation, '')) as op, trim(coalesce(scope, '')) as sc, [x for x in coalesce(source_ids, []::varchar[]) if list_contains(candidates, x)] as ch, [x for x in resolved if list_contains(catalog, x)] as rs, [x for x in active if list_contains(catalog, x)] as ac from {values("plans")}),
+@query(f"""with p as (select *, trim(coalesce(operation, '')) as op, trim(coalesce(scope, '')) as sc, [x for x in coalesce(source_ids, []::varchar[]) if list_contains(candidates, x)] as ch, [x for x in resolved if list_contains(catalog, x)] as rs, [x for x in active if list_contains(catalog, x)] as ac from {given_sql("plans")}),
 d as (select *, case when len(rs) > 0 then rs else [ch[i] for i in range(1, len(ch) + 1) if list_position(ch, ch[i]) = i] end as pick, op in ('read_source', 'search') as reads from p),
 e as (select *, case when not reads then 'none' when len(rs) > 0 or (len(candidates) > 0 and len(ch) = 0) then 'selected' when sc in ('auto', 'none', 'selected', 'active', 'all') then sc else 'auto' end as sc2, len(pick) = 0 and len(candidates) = 0 as unset from d)
 select question_id, op in ('chat', 'list_sources', 'read_source', 'search') as valid, op as operation, case when reads and sc2 not in ('all', 'active') and unset then 'all' else sc2 end as scope,
 array_to_string(case when not reads then []::varchar[] when sc2 = 'all' then catalog when sc2 = 'active' then case when len(ac) > 0 then ac else catalog end when unset then catalog else pick end, ',') as source_ids,
 case when op = 'search' and trim(coalesce(query, '')) <> '' then trim(query) else question end as query, case when op = 'read_source' then case when read_mode in ('overview', 'full_text') then read_mode else 'overview' end end as read_mode, least(1.0, greatest(0.0, coalesce(try_cast(confidence as double), 0.0)))::double as confidence, trim(coalesce(reason, '')) as reason from e""")
 def plan_validation(spark, sf_dir):
-    return planner.validated(fixture(spark, "plans")).withColumn("source_ids", F.array_join("source_ids", ","))
+    return planner.validated(given(spark, sf_dir, "plans")).withColumn("source_ids", F.array_join("source_ids", ","))
 
 
-@query(f"""with p as (select *, [x for x in resolved if list_contains(catalog, x)] as rs, [x for x in active if list_contains(catalog, x)] as ac, [x for x in candidates if list_contains(catalog, x)] as cn from {values("plans")})
+@query(f"""with p as (select *, [x for x in resolved if list_contains(catalog, x)] as rs, [x for x in active if list_contains(catalog, x)] as ac, [x for x in candidates if list_contains(catalog, x)] as cn from {given_sql("plans")})
 select question_id, case when len(catalog) = 0 then 'chat' else 'search' end as operation, case when len(catalog) > 0 and (len(rs) > 0 or len(cn) > 0) then 'selected' else 'auto' end as scope, array_to_string(case when len(catalog) = 0 then []::varchar[] when len(rs) > 0 then rs when len(cn) > 0 then [] when len(ac) > 0 then ac else catalog end, ',') as source_ids,
 case when len(catalog) = 0 then 'planner fallback without sources' when len(rs) > 0 then 'planner fallback on resolved sources' when len(cn) > 0 then 'planner fallback awaiting source selection' else 'planner fallback on available sources' end as reason from p""")
 def plan_fallback(spark, sf_dir):
-    return planner.fallback(fixture(spark, "plans")).withColumn("source_ids", F.array_join("source_ids", ","))
+    return planner.fallback(given(spark, sf_dir, "plans")).withColumn("source_ids", F.array_join("source_ids", ","))
 
 
 # --- graphs -------------------------------------------------------------------------------------------------------------------
-STATEMENTS = rf"""(select source_name, seq, statement from (select source_name, seq, regexp_replace(regexp_replace(trim(raw, ' ' || chr(9) || chr(13) || chr(10) || '-•·'), '^\d+[.、)]\s*', ''), '^\s+|\s+$', '', 'g') as statement from (select source_name, generate_subscripts(p, 1) - 1 as seq, unnest(p) as raw from (select source_name, string_split_regex(regexp_replace(text, '[ \t]+', ' ', 'g'), '[\n。；;]') as p from {values("notes")}))) where length(statement) between 4 and 160)"""
+STATEMENTS = rf"""(select source_name, seq, statement from (select source_name, seq, regexp_replace(regexp_replace(trim(raw, ' ' || chr(9) || chr(13) || chr(10) || '-•·'), '^\d+[.、)]\s*', ''), '^\s+|\s+$', '', 'g') as statement from (select source_name, generate_subscripts(p, 1) - 1 as seq, unnest(p) as raw from (select source_name, string_split_regex(regexp_replace(text, '[ \t]+', ' ', 'g'), '[\n。；;]') as p from {given_sql("notes")}))) where length(statement) between 4 and 160)"""
 ENTITY = r"regexp_replace(left(regexp_replace(trim(regexp_replace({}, '\s+', ' ', 'g'), ' ：:，,。.；;（）()[]【】'), '^(其中|例如|如|以及|和|与|及)', ''), 50), '^\s+|\s+$', '', 'g')"
 TRIPLES = f"""(with s as {STATEMENTS}, pat as (select * from (values {", ".join(f"({i}, '{p}', '{n}')" for i, (p, n) in enumerate(graph.PATTERNS))}) v(pid, pattern, predicate)),
 m as ({" union all ".join(f"select source_name, seq, statement, {i} as pid, '{n}' as predicate, {ENTITY.format(f'''regexp_extract(statement, '{p}', 1)''')} as subject, {ENTITY.format(f'''regexp_extract(statement, '{p}', 2)''')} as whole from s" for i, (p, n) in enumerate(graph.PATTERNS))}),
@@ -742,51 +707,51 @@ select source_name, seq, statement, subject, predicate, generate_subscripts(obje
 
 @query(f"select * from {STATEMENTS}")
 def kg_statements(spark, sf_dir):
-    return graph.statements(fixture(spark, "notes"))
+    return graph.statements(given(spark, sf_dir, "notes"))
 
 
 @query(f"""with f as (select subject, predicate, object, source_name, min(seq * 1000 + part) as place, arg_min(statement, seq * 1000 + part) as evidence from {TRIPLES} group by 1, 2, 3, 4)
 select row_number() over (order by place, source_name) - 1 as triple_index, subject, predicate, object, source_name, evidence from f order by place, source_name limit 80""")
 def kg_triples(spark, sf_dir):
-    return graph.triples(graph.statements(fixture(spark, "notes")))
+    return graph.triples(graph.statements(given(spark, sf_dir, "notes")))
 
 
-@query(f"""select seq, subject, predicate, object, source_name, evidence from {values("proposed")} where trim(subject) <> '' and trim(predicate) <> '' and trim(object) <> '' and source_name in ('a.md', 'b.md') order by seq limit 3""")
+@query(f"""select seq, subject, predicate, object, source_name, evidence from {given_sql("proposed")} where trim(subject) <> '' and trim(predicate) <> '' and trim(object) <> '' and source_name in ('user.md', 'other.md') order by seq limit 80""")
 def kg_validation(spark, sf_dir):
-    names = spark.createDataFrame([("a.md",), ("b.md",)], "source_name string")
-    return graph.validated(fixture(spark, "proposed"), names, limit=3)
+    names = spark.createDataFrame([("user.md",), ("other.md",)], "source_name string")
+    return graph.validated(given(spark, sf_dir, "proposed"), names)
 
 
-NODES = f"""(with e as (select triple_index, unnest([trim(subject), trim(object)]) as label from {values("triples")} where trim(subject) <> '' and trim(object) <> ''), g as (select label, count(*) as degree, min(triple_index) as first_seen from e group by 1),
+NODES = f"""(with e as (select triple_index, unnest([trim(subject), trim(object)]) as label from {given_sql("triples")} where trim(subject) <> '' and trim(object) <> ''), g as (select label, count(*) as degree, min(triple_index) as first_seen from e group by 1),
 i as (select *, row_number() over (order by degree desc, first_seen, label) - 1 as i, greatest(2, least(14, ceil(sqrt(count(*) over () * 1.8))::int)) as cols from g)
 select 'n' || i as id, label, degree, 150 + 280 * (i % cols) + 70 * ((i // cols) % 2) as x, 110 + 170 * (i // cols) as y, least(36, 20 + 3 * degree) as radius, ['#2563eb', '#059669', '#dc2626', '#7c3aed', '#ea580c', '#0891b2', '#be123c'][(i % 7 + 1)::int] as color from i)"""
-EDGES = f"""(select 'e' || t.triple_index as id, a.id as source, b.id as target, trim(t.predicate) as label, t.source_name, t.evidence from {values("triples")} t join {NODES} a on a.label = trim(t.subject) join {NODES} b on b.label = trim(t.object) where trim(t.predicate) <> '')"""
+EDGES = f"""(select 'e' || t.triple_index as id, a.id as source, b.id as target, trim(t.predicate) as label, t.source_name, t.evidence from {given_sql("triples")} t join {NODES} a on a.label = trim(t.subject) join {NODES} b on b.label = trim(t.object) where trim(t.predicate) <> '')"""
 
 
 @query(f"select * from {NODES}")
 def kg_nodes(spark, sf_dir):
-    return graph.nodes(fixture(spark, "triples"))
+    return graph.nodes(given(spark, sf_dir, "triples"))
 
 
 @query(f"select * from {EDGES}")
 def kg_edges(spark, sf_dir):
-    g = fixture(spark, "triples")
+    g = given(spark, sf_dir, "triples")
     return graph.edges(g, graph.nodes(g))
 
 
-@query(f"select count(distinct label) as n_entities, count(distinct triple_index) as n_relations from (select triple_index, unnest([subject, object]) as label from {values('triples')}) where trim(label) <> ''")
+@query(f"select count(distinct label) as n_entities, count(distinct triple_index) as n_relations from (select triple_index, unnest([subject, object]) as label from {given_sql('triples')}) where trim(label) <> ''")
 def kg_counts(spark, sf_dir):
-    return graph.entity_counts(fixture(spark, "triples"))
+    return graph.entity_counts(given(spark, sf_dir, "triples"))
 
 
 ESCAPE = "replace(replace(replace({}, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), ' ')"
 
 
-@query(f"""with e as (select triple_index, generate_subscripts(x, 1) as side, unnest(x) as label from (select triple_index, [trim(subject), trim(object)] as x from {values("triples")})), f as (select label, min(triple_index * 10 + side) as place from e where label <> '' group by 1), n as (select label, row_number() over (order by place) - 1 as i from f),
-l as (select 0 as kind, i as pos, 'n' || i || ' [label="' || {ESCAPE.format("label")} || '"];' as line from n union all select 1, t.triple_index, 'n' || a.i || ' -> n' || b.i || ' [label="' || {ESCAPE.format("trim(t.predicate)")} || '"];' from {values("triples")} t join n a on a.label = trim(t.subject) join n b on b.label = trim(t.object) where trim(t.predicate) <> '')
+@query(f"""with e as (select triple_index, generate_subscripts(x, 1) as side, unnest(x) as label from (select triple_index, [trim(subject), trim(object)] as x from {given_sql("triples")})), f as (select label, min(triple_index * 10 + side) as place from e where label <> '' group by 1), n as (select label, row_number() over (order by place) - 1 as i from f),
+l as (select 0 as kind, i as pos, 'n' || i || ' [label="' || {ESCAPE.format("label")} || '"];' as line from n union all select 1, t.triple_index, 'n' || a.i || ' -> n' || b.i || ' [label="' || {ESCAPE.format("trim(t.predicate)")} || '"];' from {given_sql("triples")} t join n a on a.label = trim(t.subject) join n b on b.label = trim(t.object) where trim(t.predicate) <> '')
 select 'digraph KnowledgeGraph {{' || chr(10) || 'rankdir=LR;' || chr(10) || 'node [shape=box, style="rounded,filled", fillcolor="#f8fafc", color="#94a3b8"];' || chr(10) || 'edge [color="#64748b"];' || chr(10) || string_agg(line, chr(10) order by kind, pos) || chr(10) || '}}' as dot from l""")
 def kg_dot(spark, sf_dir):
-    return graph.dot(fixture(spark, "triples"))
+    return graph.dot(given(spark, sf_dir, "triples"))
 
 
 @query(f"select distinct id, neighbour from (select source as id, target as neighbour from {EDGES} union all select target, source from {EDGES} union all select source, source from {EDGES} union all select target, target from {EDGES})")
@@ -794,7 +759,7 @@ def kg_neighbours(spark, sf_dir):
     return graph.neighbours(kg_edges(spark, sf_dir))
 
 
-@query(f"select kind, id, label from (select 'node' as kind, id, label from {NODES} where contains(lower(label), 'e') union all select 'relation', id, label from {EDGES} where contains(lower(label || ' ' || source_name || ' ' || evidence), 'e'))")
+@query(f"select kind, id, label from (select 'node' as kind, id, label from {NODES} where contains(lower(label), 'e') union all select 'relation', id, label from {EDGES} where contains(lower(label || ' ' || source_name || ' ' || evidence), 'e')) order by kind, substr(id, 2)::bigint limit 40")
 def kg_search(spark, sf_dir):
     return graph.search(kg_nodes(spark, sf_dir), kg_edges(spark, sf_dir), " E ")
 
@@ -804,9 +769,9 @@ def graph_budget(spark, sf_dir):
     return graph.budgeted(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_pos"), "text"))
 
 
-@query(f"select id, {ENTITY.format('text')} as entity from {values('mixed_text')}")
+@query(f"select id, {ENTITY.format('text')} as entity from {given_sql('mixed_text')}")
 def clean_entity(spark, sf_dir):
-    return fixture(spark, "mixed_text").select("id", t.clean_entity(F.col("text")).alias("entity"))
+    return given(spark, sf_dir, "mixed_text").select("id", t.clean_entity(F.col("text")).alias("entity"))
 
 
 @query("select time_bucket(interval 10 minutes, ts::timestamp) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
