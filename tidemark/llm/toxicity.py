@@ -178,10 +178,10 @@ class Model:
         return score
 
 
-def learned_lexicons(train: DataFrame, folds: int, max_terms: int = 2000, least: int = 6, ratio: float = 8.0) -> list[dict[str, float]]:
+def learned_lexicons(train: DataFrame, folds: int, least: int = 6, ratio: float = 8.0) -> list[dict[str, float]]:
     """Words and beginnings of words ("abcd*") that ``ratio`` times as many toxic as other documents contain, with their log ratio: learned from all rows, and without each fold.
 
-    ``train``: text, label, fold. One aggregation with map-side sums; for each lexicon at most ``max_terms`` terms, by how many toxic documents hold them, come back.
+    ``train``: text, label, fold. One aggregation with map-side sums; all terms that qualify come back, which the bound on labelled rows bounds.
     """
     word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))))
     once = train.where("text is not null").select("label", "fold", word.alias("word"))
@@ -199,7 +199,7 @@ def learned_lexicons(train: DataFrame, folds: int, max_terms: int = 2000, least:
             out.append({})
             continue
         rate = ((F.col(f"toxic{k}") + 0.5) / toxic) / ((F.col(f"n{k}") - F.col(f"toxic{k}") + 0.5) / clean)
-        rows = counts.where(F.col(f"toxic{k}") >= least).withColumn("ratio", rate).where(F.col("ratio") >= ratio).orderBy(F.desc(f"toxic{k}"), "term").limit(max_terms).select("term", F.log("ratio")).collect()
+        rows = counts.where(F.col(f"toxic{k}") >= least).withColumn("ratio", rate).where(F.col("ratio") >= ratio).select("term", F.log("ratio")).collect()
         out.append({t: float(w) for t, w in rows})
     return out
 
