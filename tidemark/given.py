@@ -32,6 +32,7 @@ GIVEN: dict[str, str] = {
     "yaml": f"select doc_id, case doc_id % 3 when 0 then concat('preamble', chr(10), 'name: ', {W[0]}, chr(10), 'items:', chr(10), '  - ', {W[1]}, chr(10), 'nested.key: 1', chr(10)) when 1 then {START.format(60)} else concat('a:', chr(10), 'b_', cast(doc_id as string), ': ', {W[2]}, chr(10), ' c: not top', chr(10), 'd-e: x') end as text from documents",
     "markdown": f"select doc_id, case doc_id % 4 when 0 then concat('# ', {W[0]}, chr(10), {START.format(80)}, chr(10), chr(10), '## 使用', chr(10), {W[1]}) when 1 then concat('lead ', {W[0]}, chr(10), chr(10), '# One', chr(10), 'body', chr(10), '### ', {W[2]}, 'x', chr(10), 'more', chr(10)) when 2 then concat({W[0]}, ' no headings', chr(10), '#notone') else concat('#  Only ', {W[3]}, 'y', chr(10)) end as text from documents",
     "outline": f"select doc_id, case doc_id % 3 when 0 then concat('复习', {W[0]}, chr(10), '1. 第一项', {W[1]}, chr(10), '2、 第二项', chr(10), ' 3) ', {W[2]}, chr(10), '续行') when 1 then concat('第 1．甲', chr(10), '第2.', {W[0]}, 'x', chr(10), '10.丙') else concat('no markers ', {W[0]}, 'x') end as text from documents",
+    "numbered_lines": "select doc_id, concat(" + ", chr(10), ".join(f"'{k}. ', substr(replace(coalesce(text, ''), chr(10), ' '), {120 * k - 119}, 120)" for k in range(1, 25)) + ") as text from documents",
     "paged": f"select source as source_key, doc_id as doc_pos, cast(row_number() over (partition by source order by doc_id) as int) as page, concat('p', {START.format(60)}, 'x') as page_content from documents",
     "routed_pages": f"""select source_key, doc_pos, case k % 7 when 0 then 'a.pdf' when 1 then 'b.pdf' when 2 then 'README.md' when 3 then 'm.py' when 4 then 'c.YAML' when 5 then 'notes.txt' else 'x.bin' end as source_name, case k % 7 when 0 then 'pdf' when 1 then 'PDF' when 2 then 'md' when 3 then 'code' when 4 then 'code' when 5 then 'txt' else 'json' end as source_type,
         page, case when k % 14 in (0, 1) then concat('1. ', {W[0]}, 'x', chr(10), '2. ', {W[1]}, 'x', chr(10), '3. y') else concat('p ', substr(coalesce(text, ''), 1, 1500)) end as page_content

@@ -399,14 +399,12 @@ def outline_items(spark, sf_dir):
     return given(spark, sf_dir, "outline").select("doc_id", F.posexplode(chunking.numbered_items(F.col("text"))).alias("pos", "item"))
 
 
-@query(rf"""with recursive n as (select unnest([1, 2, 3]) as doc_id), it as (select doc_id, unnest(range(1, doc_id * 20 + 1)) as i from n),
-d as (select doc_id, i, i || '. 第' || i || '项复习内容 words of an item that take some room' as item from it),
+@query(rf"""with recursive d as (select doc_id, generate_subscripts(i, 1) as i, unnest(i) as item from (select doc_id, {GLUED.format(glue='chr(10)')} as i from {SPLIT.format(pattern=chunking.NUMBERED, source=given_sql('numbered_lines'))})),
 r as (select doc_id, i, 0 as pos, item as now from d where i = 1
  union all select d.doc_id, d.i, case when len(regexp_extract_all(r.now || chr(10) || d.item, '{TOKEN_SQL}')) + 2 > 360 then r.pos + 1 else r.pos end, case when len(regexp_extract_all(r.now || chr(10) || d.item, '{TOKEN_SQL}')) + 2 > 360 then d.item else r.now || chr(10) || d.item end from r join d on d.doc_id = r.doc_id and d.i = r.i + 1)
 select doc_id, pos::int as pos, arg_max(now, i) as item from r group by 1, 2""")
 def outline_packing(spark, sf_dir):
-    long = spark.range(1, 4).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.col("id") * 20), lambda i: F.concat(i, F.lit(". 第"), i, F.lit("项复习内容 words of an item that take some room"))), "\n").alias("text"))
-    return long.select("doc_id", F.posexplode(chunking.packed_items(chunking.numbered_items(F.col("text")))).alias("pos", "item"))
+    return given(spark, sf_dir, "numbered_lines").select("doc_id", F.posexplode(chunking.packed_items(chunking.numbered_items(F.col("text")))).alias("pos", "item"))
 
 
 @query(f"select doc_id, generate_subscripts(i, 1) - 1 as pos, unnest(i) as section from (select doc_id, {GLUED.format(glue='chr(10) || chr(10)')} as i from {SPLIT.format(pattern='(?m)^#{1,6}[[:space:]]+.+$', source=given_sql('markdown'))})".replace("[[:space:]]", r"\s"))

@@ -1,24 +1,26 @@
 """Queries that write what they read: files, an index, conversations and graphs in a folder of their own, and questions to an engine.
 
-Each has rows worked out by hand as its SQL. The folder is made under ``spark.checkpoint.dir``, which all executors share; only where
+Three scans of small folders and addresses have rows worked out by hand as their SQL. The folder is made under ``spark.checkpoint.dir``, which all executors share; only where
 that is unset, as in a local session, is it a temporary one.
 """
 
 from __future__ import annotations
 
-import io
-import json
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import chunking, history, retrieval
+from tidemark.given import given, given_sql
+from tidemark.operators import chunking, history, resolver, retrieval, vectors
+from tidemark.operators.ranges import stored
+from tidemark.plans import engine as engines
+from tidemark.plans import planner
 from tidemark.plans.engine import Engine, Hooks
-from tidemark.queries import fixture, hand_worked, query
+from tidemark.queries import FUSED, LATIN, ORACLE, RANKINGS, as_documents, as_questions, hand_worked, kg_triples, query, rrf_fusion, table
 from tidemark.sources import scans, sinks
+from tidemark.table_queries import CHUNKS
 
 
 def workspace(spark: SparkSession) -> str:
@@ -29,23 +31,25 @@ def workspace(spark: SparkSession) -> str:
     return f"{(root or tempfile.mkdtemp(prefix='scenario-')).rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def zipped(xml: str) -> bytes:
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        z.writestr("word/document.xml", xml)
-    return out.getvalue()
+#: Documents of a file, and conversations of one.
+TOGETHER = 200
 
 
-DOCX = "<w:p><w:r><w:t>one &amp; more</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl><w:p><w:r><w:tab/><w:t>two</w:t></w:r></w:p>"
-#: A table's start and a tab look like a run's start, so what follows them is taken with its markup as spaces.
-FILES = [(0, "a.txt", "txt", "plain text"), (65536, "b.md", "md", "# head\nbody"), (131072, "c.docx", "docx", "one & more\n     cell\n two")]
+def one_file_a_row(rows: DataFrame, at: str) -> None:
+    """Writes each text (value) as a file of its own."""
+    rows.write.option("maxRecordsPerFile", 1).text(at)
 
 
-@query(hand_worked(FILES, "doc_pos bigint, source_name varchar, source_type varchar, page_content varchar"))
+@query(f"select count(*) as n_documents, sha256(string_agg(text, chr(10) order by doc_id) || chr(10)) as content_sha256 from (select doc_id, coalesce(text, '') as text from documents) group by floor(doc_id / {TOGETHER})")
 def scan_files(spark, sf_dir):
+    """The documents as text files of ``TOGETHER`` each, written and read again."""
     at = workspace(spark)
-    sinks.land_files(spark, {"b.md": b"# head\nbody", "a.txt": b"plain text", "c.docx": zipped(DOCX)}, at)
-    return scans.files(spark, at).select("doc_pos", "source_name", "source_type", "page_content")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).groupBy(F.floor(F.col("doc_id") / TOGETHER).alias("g"))
+    joined = docs.agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("x")).select(F.size("x").alias("n"), F.array_join(F.transform("x", lambda v: v["text"]), "\n").alias("value"))
+    joined = stored(joined)
+    one_file_a_row(joined.select("value"), at)
+    read = scans.files(spark, at).select(F.sha2("page_content", 256).alias("content_sha256"))
+    return read.join(joined.select(F.col("n").cast("long").alias("n_documents"), F.sha2(F.concat("value", F.lit("\n")), 256).alias("content_sha256")), "content_sha256", "left")
 
 
 CODE = [("main.py", "文件: main.py\n\nx = 1\n"), ("sub/notes.md", "文件: sub/notes.md\n\nhi")]
@@ -85,206 +89,144 @@ def scan_addresses(spark, sf_dir):
     return scans.addresses(spark, [" https://github.com/o/r ", "", "https://e.org/x"], _fetch).select("doc_pos", "source", "fetched_url")
 
 
-LANDED = [("after", "c.txt"), ("before", "a.txt"), ("before", "b.md"), ("index after", "")]
-
-
-@query(hand_worked(LANDED, "stage varchar, name varchar"))
+@query("select page_id % 7 as batch, count(*) as n_files, 0 as n_index from pages group by 1")
 def upload_landing(spark, sf_dir):
+    """The pages as uploads in seven batches, each in a folder of its own; a reset leaves an empty index."""
     at = workspace(spark)
-    names = lambda path: [r.name for r in spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name")).collect()]
-    sinks.land_files(spark, {"a.txt": b"a", "b.md": b"b"}, f"{at}/up")
-    before = names(f"{at}/up")
-    _index(spark, f"{at}/index")
-    sinks.land_files(spark, {"c.txt": b"c"}, f"{at}/up", index=f"{at}/index")
-    after = names(f"{at}/up")
+    pages = table(spark, sf_dir, "pages").select((F.col("page_id") % 7).alias("batch"), F.coalesce("html", F.lit("")).alias("value"))
+    pages.write.partitionBy("batch").option("maxRecordsPerFile", 1).text(f"{at}/up")
+    pages.limit(1).write.parquet(f"{at}/index")
     sinks.reset_index(spark, f"{at}/index")
-    rest = names(f"{at}/index") or [""]
-    return spark.createDataFrame([*(("before", n) for n in before), *(("after", n) for n in after), *(("index after", n) for n in rest)], "stage string, name string")
-
-
-SAVED = [("s1", "newer", 1, "first"), ("s2", "other", 0, None)]
+    found = spark.read.format("binaryFile").load(f"{at}/up").select(F.col("batch").cast("long").alias("batch"))
+    n = spark.read.format("binaryFile").load(f"{at}/index").count()
+    return found.groupBy("batch").agg(F.count("*").alias("n_files")).withColumn("n_index", F.lit(n))
 
 
-def _conversations(spark: SparkSession, at: str) -> DataFrame:
-    given = {
-        "a.json": {"session_id": "s1", "title": "older", "created_at": "2026-01-01", "updated_at": "2026-01-01", "messages": [], "source_names": []},
-        "b.json": {"session_id": "s1", "title": "newer", "created_at": "2026-01-02", "updated_at": "2026-01-03", "messages": [{"role": "user", "content": "first"}], "source_names": ["n.pdf"]},
-        "c.json": {"session_id": "s2", "title": "other", "updated_at": "2026-01-02", "messages": [], "source_names": []},
-        "e.json": {"title": "no session"},
-    }
-    sinks.land_files(spark, {k: json.dumps(v).encode() for k, v in given.items()} | {"d.json": b"{broken"}, f"{at}/json")
-    return scans.saved_conversations(spark, f"{at}/json")
-
-
-@query(hand_worked(SAVED, "session_id varchar, title varchar, n_messages integer, first_message varchar"))
+@query("""with t as (select *, row_number() over (partition by conv_id order by turn) as n from conversations)
+select 's' || conv_id as session_id, 'talk ' || conv_id as title, count(*)::int as n_messages, max(text) filter (n = 1) as first_message from t group by conv_id""")
 def scan_saved_conversations(spark, sf_dir):
-    rows = history.latest(_conversations(spark, workspace(spark)))
+    """The conversations as files of saved ones, up to ``TOGETHER`` in a file, an older version of each and a broken file; the latest versions are read."""
+    at = workspace(spark)
+    message = F.struct("turn", "role", F.col("text").alias("content"))
+    talks = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("m"))
+    messages = F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+    session = F.concat(F.lit("s"), "conv_id").alias("session_id")
+    new = talks.select("conv_id", F.to_json(F.struct(session, F.concat(F.lit("talk "), "conv_id").alias("title"), F.lit("2026-01-02").alias("updated_at"), messages.alias("messages"))).alias("j"))
+    old = talks.select("conv_id", F.to_json(F.struct(session, F.lit("older").alias("title"), F.lit("2026-01-01").alias("updated_at"))).alias("j"))
+    files = new.union(old).groupBy(F.floor(F.col("conv_id") / TOGETHER)).agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("value"))
+    one_file_a_row(files.select("value").union(spark.createDataFrame([("{broken",)], "value string")), at)
+    rows = history.latest(scans.saved_conversations(spark, at))
     return rows.select("session_id", "title", F.size("messages").alias("n_messages"), F.get("messages", F.lit(0))["content"].alias("first_message"))
 
 
-KEPT = [("saved", "s1", "newer", "2026-01-01"), ("saved", "s2", "other", None), ("after delete", "s2", "other", None), ("deleted rows", "1", None, None), ("archived", "s1", "newer", "2026-01-01")]
-
-
-@query(hand_worked(KEPT, "stage varchar, session_id varchar, title varchar, created_at varchar"))
+@query(f"""with v as (select *, coalesce(nullif(updated_at, ''), nullif(saved_at, ''), modified_at) as version from {given_sql("saved")} where session_id not in ('', 's1')),
+c as (select session_id, min(coalesce(nullif(created_at, ''), saved_at)) as created_at from v group by 1)
+select session_id, title, created_at from (select *, row_number() over (partition by session_id order by version desc, path) as n from v) join c using (session_id) where n = 1""".replace("select *, row", "select session_id, title, row"))
 def conversation_store(spark, sf_dir):
+    """Conversations saved in two parts, one of them deleted, what is left archived and read again."""
     at = workspace(spark)
-    rows = _conversations(spark, at)
-    sinks.save_conversations(spark, rows.where("title = 'older'"), f"{at}/table")
-    sinks.save_conversations(spark, rows.where("title <> 'older'"), f"{at}/table")
-    pick = lambda stage: [(stage, r.session_id, r.title, r.created_at) for r in spark.read.parquet(f"{at}/table").collect()]
-    saved = pick("saved")
+    rows = given(spark, sf_dir, "saved").withColumns({"messages": F.array(F.struct(F.lit("user").alias("role"), F.lit("x").alias("content"))), "source_names": F.array().cast("array<string>")})
+    sinks.save_conversations(spark, rows.where("path < 'c'"), f"{at}/table")
+    sinks.save_conversations(spark, rows.where("path >= 'c'"), f"{at}/table")
+    sinks.delete_conversation(spark, f"{at}/table", "s1")
     sinks.archive_conversations(spark.read.parquet(f"{at}/table"), f"{at}/archive")
-    n = sinks.delete_conversation(spark, f"{at}/table", "s1")
-    archived = [("archived", r.session_id, r.title, r.created_at) for r in spark.read.json(f"{at}/archive").collect()]
-    return spark.createDataFrame([*saved, *pick("after delete"), ("deleted rows", str(n), None, None), *archived], "stage string, session_id string, title string, created_at string")
-
+    return spark.read.json(f"{at}/archive").select("session_id", "title", "created_at")
 
-TRIPLES = [(0, "直方图", "描述", "灰度分布", "a.md"), (1, "镜头", "包括", "光圈", "b.md")]
 
-
-@query(hand_worked(TRIPLES, "triple_index integer, subject varchar, predicate varchar, object varchar, source_name varchar"))
+@query(ORACLE["kg_triples"])
 def saved_graph(spark, sf_dir):
     at = workspace(spark)
-    rows = spark.createDataFrame([(*x, "quote") for x in TRIPLES], "triple_index int, subject string, predicate string, object string, source_name string, evidence string")
-    sinks.save_graph(rows, at)
-    return scans.saved_graph(spark, at).select("triple_index", "subject", "predicate", "object", "source_name")
+    sinks.save_graph(kg_triples(spark, sf_dir), at)
+    return scans.saved_graph(spark, at).select(F.col("triple_index").cast("long").alias("triple_index"), "subject", "predicate", "object", "source_name", "evidence")
 
 
-def _index(spark: SparkSession, at: str, embed=None) -> None:
-    sinks.write_index(fixture(spark, "routed").where("source_key in ('k2', 'k6', 'k7')"), at, embed)
+def _index(spark: SparkSession, sf_dir: str, at: str, embed=None) -> None:
+    sinks.write_index(as_documents(spark, sf_dir).withColumn("source_key", F.col("source")), at, embed)
 
 
-POSTINGS = [("1", 6, 18.0), ("2", 6, 18.0), ("3", 6, 18.0), ("a", 6, 18.0), ("b", 6, 18.0), ("c", 6, 18.0), ("just", 1, 2.0), ("plain", 1, 1.0), ("prose", 1, 2.0)]
+INDEXED = f"with {CHUNKS}, d as (select chunk_id, {LATIN.format('nfc_normalize(text)')} as w from ch) "
 
 
-@query(f"select term, df, total_length from ({hand_worked([(t, n, 36.0 if n == 6 else x) for t, n, x in POSTINGS], 'term varchar, df bigint, total_length double')})")
+@query(INDEXED + "select term, count(*) as df, sum(dl)::double as total_length from (select distinct chunk_id, len(w) as dl, unnest(w) as term from d) group by 1")
 def index_postings(spark, sf_dir):
     """What a written index says of each term: chunks that have it, and their lengths."""
     at = workspace(spark)
-    _index(spark, at)
+    _index(spark, sf_dir, at)
     return spark.read.parquet(f"{at}/postings").groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").cast("double").alias("total_length"))
 
 
-PARENTS = [("k2", 0, 2), ("k2", 1, 3), ("k2", 2, 3), ("k2", 3, 3), ("k2", 4, 3), ("k2", 5, 2), ("k6", 0, 1), ("k7", 0, 1)]
-
-
-@query(hand_worked(PARENTS, "source_key varchar, chunk_index bigint, pages bigint"))
+@query(f"with {CHUNKS} select source_key, chunk_index, length(parent) as n_chars from ch")
 def index_parents(spark, sf_dir):
-    """How many pages the parent of each chunk of a written index holds."""
+    """How long the parent of each chunk of a written index is."""
     at = workspace(spark)
-    _index(spark, at)
+    _index(spark, sf_dir, at)
     rows = spark.read.parquet(f"{at}/chunks").join(spark.read.parquet(f"{at}/parents"), "parent_id")
-    return rows.select("source_key", F.col("chunk_index").cast("long").alias("chunk_index"), F.greatest(F.lit(1), F.regexp_count("parent_content", F.lit(r"\[Page "))).cast("long").alias("pages"))
+    return rows.select("source_key", F.col("chunk_index").cast("long").alias("chunk_index"), F.char_length("parent_content").cast("long").alias("n_chars"))
 
 
-NEAREST = [("k6", 0, 1), ("k7", 0, 2)]
-
-
-@query(hand_worked(NEAREST, "source_key varchar, chunk_index bigint, rank integer"))
+@query(f"""with {CHUNKS}, c as (select chunk_id, length(text)::double as x from ch), q as (select item_id as query_id, length(text)::double as x from benchmark)
+select query_id, chunk_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from (select query_id, chunk_id, round((q.x * c.x + 36) / (sqrt(q.x * q.x + 36) * sqrt(c.x * c.x + 36)), 6) as score from q, c)) where rank <= 2""")
 def index_vectors(spark, sf_dir):
-    """The chunks of a written index nearest to a short word, by vectors of lengths: "plain" (5), then "just prose" (10)."""
+    """The chunks of a written index nearest to each question, by vectors of lengths."""
     at = workspace(spark)
-    embed = lambda c: F.array(F.length(c).cast("double"), F.lit(6.0))
-    _index(spark, at, embed)
-    asked = spark.createDataFrame([("q", "house")], "query_id string, text string").select("query_id", embed(F.col("text")).alias("embedding"))
-    found = retrieval.dense(asked, scans.vectors(spark, f"{at}/vectors").where("source_key <> 'k2'").select("chunk_id", "embedding"), 2)
-    chunks = spark.read.parquet(f"{at}/chunks").select("chunk_id", "source_key", F.col("chunk_index").cast("long").alias("chunk_index"))
-    return found.join(chunks, "chunk_id").select("source_key", "chunk_index", F.col("rank").cast("int").alias("rank"))
-
+    embed = lambda c: F.array(F.char_length(c).cast("double"), F.lit(6.0))
+    _index(spark, sf_dir, at, embed)
+    return vectors.exact(as_questions(spark, sf_dir).select("query_id", embed(F.col("text")).alias("embedding")), scans.vectors(spark, f"{at}/vectors"), 2)
 
-RERANKED = [("fails", "a", 1), ("fails", "b", 2), ("none", "a", 1), ("none", "b", 2), ("turns", "c", 1), ("turns", "b", 2), ("keeps b", "b", 1)]
 
-
-@query(hand_worked(RERANKED, "hook varchar, chunk_id varchar, rank integer"))
+@query(RANKINGS + FUSED + """, h as (select query_id, chunk_id, rank from fused where rank <= 20),
+k as (select query_id, chunk_id, row_number() over (partition by query_id order by rank) as rank from fused where chunk_id % 2 = 0)
+select 'fails' as hook, query_id, chunk_id, rank from h where rank <= 2 union all select 'none', query_id, chunk_id, rank from h where rank <= 2
+union all select 'turns', query_id, chunk_id, n from (select *, row_number() over (partition by query_id order by rank desc) as n from h) where n <= 2 union all select 'even', query_id, chunk_id, rank from k""")
 def rerank_hooks(spark, sf_dir):
-    """A reranker that fails, one that finds nothing and one that turns the order, each for the best two of three hits; and a filter."""
-    hits = spark.createDataFrame([("q", "a", 0.9, 1), ("q", "b", 0.8, 2), ("q", "c", 0.7, 3)], "query_id string, chunk_id string, score double, rank int")
+    """The fused hits of each question under a reranker that fails, one that finds nothing and one that turns the order; and under a filter."""
+    hits = stored(rrf_fusion(spark, sf_dir))
 
     def broken(rows: DataFrame) -> DataFrame:
         raise OSError("no model")
 
     hooks = {"fails": broken, "none": lambda rows: rows.where("false").withColumn("rerank", F.lit(0.0)), "turns": lambda rows: rows.withColumn("rerank", F.col("rank").cast("double"))}
-    out = retrieval.filtered(hits, lambda rows: rows.where("chunk_id = 'b'")).select(F.lit("keeps b").alias("hook"), "chunk_id", "rank")
+    out = retrieval.filtered(hits, lambda rows: rows.where("chunk_id % 2 = 0")).select(F.lit("even").alias("hook"), "query_id", "chunk_id", "rank")
     for name, hook in hooks.items():
-        out = out.union(retrieval.reranked(hits, hook, n=2).select(F.lit(name), "chunk_id", "rank"))
+        out = out.union(retrieval.reranked(hits, hook, n=2).select(F.lit(name), "query_id", "chunk_id", "rank"))
     return out
 
 
-DOCS = [
-    (0, "/d/镜头.txt", "镜头.txt", "txt", None, "The aperture limits the light that a camera lens lets in. Shutter speed sets the time."),
-    (1, "/d/菜汤.txt", "菜汤.txt", "txt", None, "Soup is cooked from onions and carrots."),
-]
-#: What is asked, and the operation, the scope's names, the evidence and a beginning of the answer that come back.
-ASKED = [
-    ("aperture light", "search", "镜头.txt", "high", "[Source: 镜头.txt | Page: 1 | Chunk: "),
-    ("zzzz qqqq", "search", "", "low", "当前资料依据不足"),
-    ("list", "list_sources", "", "none", "当前已导入 2 个来源：\n\n- 镜头.txt\n- 菜汤.t"),
-    ("chat", "chat", "", "none", "system,user,assistant,user"),
-    ("read 镜头", "read_source", "", "none", "以下为 1 个来源的完整正文：\n\n# 镜头.txt"),
-    ("sum 菜汤", "read_source", "", "none", "SUM Source: 菜汤.txt; Page: 1\nSoup is"),
-    ("broken plan soup", "search", "菜汤.txt", "high", "[Source: 菜汤.txt | Page: 1 | Chunk: "),
-    ("nobody's", "search", "", "none", "无法确定你指的是哪份资料，请明确资料名称后再试。"),
-]
-
-
-@query(hand_worked(ASKED, "question varchar, operation varchar, cited varchar, evidence_level varchar, answer varchar"))
+#: An answer that lists the sources, and one with a line on each.
+LISTED, LINES = f"({ORACLE['source_inventory']})", f"(select string_agg(line, chr(10) order by p) as text from ({ORACLE['source_overview']}) join (select source as name, min(doc_id) as p from documents group by 1) using (name))"
+ASKED = ("list", "overview", "chat", "which src", "zzzzqq xqxqxq")
+
+
+@query(f"""select 'list' as question, 'list_sources' as operation, 'none' as evidence_level, sha256(text) as answer_sha256 from {LISTED}
+union all select 'overview', 'read_source', 'none', sha256(text) from {LINES}
+union all select 'chat', 'chat', 'none', sha256('system,user,assistant,user')
+union all select 'which src', 'search', 'none', sha256('{planner.CHOOSE}' || string_agg('- ' || source, chr(10) order by p)) from (select source, min(doc_id) as p from documents group by 1 order by p limit 5)
+union all select 'zzzzqq xqxqxq', 'search', 'low', sha256('{engines.INSUFFICIENT}')""")
 def engine_answers(spark, sf_dir):
-    """Questions through the whole engine: planned by rules or by a hook whose plan may be unusable, answered by a search, a list, full texts, summaries or a chat."""
-    docs = spark.createDataFrame(DOCS, "doc_pos int, source string, source_name string, source_type string, page int, page_content string")
-    engine = Engine(docs)
-    lens, soup = engine.named(["镜头.txt"]) + engine.named(["菜汤.txt"])
-    plans = {
-        "list": {"operation": "list_sources"}, "chat": {"operation": "chat"}, "read 镜头": {"operation": "read_source", "read_mode": "full_text", "scope": "selected"},
-        "sum 菜汤": {"operation": "read_source", "scope": "selected"}, "broken plan soup": {"operation": "drop tables"},
-    }
+    """Questions to the engine over all documents: planned by a hook, by rules where the hook's plan is unusable, or ambiguous; whole answers are compared."""
+    engine = Engine(as_documents(spark, sf_dir).drop("source_id"))
+    plans = {"list": {"operation": "list_sources"}, "overview": {"operation": "read_source", "scope": "all", "read_mode": "overview"}, "chat": {"operation": "chat"}, "zzzzqq xqxqxq": {"operation": "drop tables"}}
     rows = []
-    for question, *_ in ASKED:
-        hooks = Hooks(plan=(lambda q, ids, tail: plans[q]) if question in plans else None)
-        if question == "chat":
-            hooks.answer = lambda messages: ",".join(role for role, _ in messages)
-        if question.startswith("sum"):
-            hooks.summarise = lambda q, text: f"SUM {text}"
-        engine.hooks = hooks
-        active = {"read 镜头": [lens], "sum 菜汤": [soup]}.get(question)
-        if active:
-            plans[question]["scope"] = "active"
-        if question == "nobody's":
-            unclear = engine.spark.createDataFrame([([],)], "names array<string>")
-            from tidemark.plans import planner
-
-            rows.append((question, "search", "", "none", unclear.select(planner.selection_answer(F.col("names")).alias("a")).first().a))
-            continue
-        found = engine.ask(question, active, [("user", "earlier"), ("assistant", "said")])
-        cited = "" if found.citations is None else ",".join(sorted({r.source_name for r in found.citations.collect()}))
-        rows.append((question, found.operation, cited, found.evidence_level, found.answer))
+    for question in ASKED:
+        engine.hooks = Hooks(plan=(lambda q, ids, tail: plans[q]) if question in plans else None, answer=(lambda messages: ",".join(role for role, _ in messages)) if question == "chat" else None)
+        found = engine.ask(question, None, [("user", "earlier"), ("assistant", "said")])
+        rows.append((question, found.operation, found.evidence_level, found.answer))
     engine.close()
-    wanted = {q: len(a) for q, *_, a in ASKED}
-    return spark.createDataFrame([(q, o, c, e, a[: wanted[q]]) for q, o, c, e, a in rows], "question string, operation string, cited string, evidence_level string, answer string")
+    return spark.createDataFrame(rows, "question string, operation string, evidence_level string, answer string").select("question", "operation", "evidence_level", F.sha2("answer", 256).alias("answer_sha256"))
 
 
-TOOL = [("哪些文件", "inventory", "当前已导入 2 个来源"), ("请输出全文", "full_text", "以下为 2 个来源的完整正文"), ("这些资料主要讲什么", "overview", "- **镜头.txt**："), ("hello", "", "")]
-
-
-@query(hand_worked(TOOL, "question varchar, route varchar, answer varchar"))
+@query(f"""select '哪些文件' as question, 'inventory' as route, sha256(text) as answer_sha256 from {LISTED} union all select '这些资料主要讲什么', 'overview', sha256(text) from {LINES} union all select 'hello', '', sha256('')""")
 def source_tool(spark, sf_dir):
-    """Questions about the sources themselves, by their keywords."""
-    from tidemark.operators import resolver
-
-    engine = Engine(spark.createDataFrame(DOCS, "doc_pos int, source string, source_name string, source_type string, page int, page_content string"))
-    rows = []
-    for question, _, wanted in TOOL:
-        route = spark.createDataFrame([(question,)], "q string").select(resolver.route(F.col("q")).alias("r")).first().r
-        rows.append((question, route or "", engine.source_tool(question)[: len(wanted)]))
+    """Questions about the sources themselves, by their keywords; whole answers are compared."""
+    engine = Engine(as_documents(spark, sf_dir).drop("source_id"))
+    rows = [(q, engine.source_tool(q)) for q in ("哪些文件", "这些资料主要讲什么", "hello")]
     engine.close()
-    return spark.createDataFrame(rows, "question string, route string, answer string")
-
-
-BATCHED = [("a", 0, 2), ("a", 1, 1), ("b", 0, 1)]
+    told = spark.createDataFrame(rows, "question string, answer string")
+    return told.select("question", F.coalesce(resolver.route(F.col("question")), F.lit("")).alias("route"), F.sha2("answer", 256).alias("answer_sha256"))
 
 
-@query(hand_worked(BATCHED, "key varchar, batch integer, parts integer"))
+@query(ORACLE["bounded_batches"].replace("12000", "700"))
 def batches_by_limit(spark, sf_dir):
-    """Parts of 5, 5 and 8 characters in batches of 17 (5 + 7 + 5), and one part over the limit."""
-    parts = spark.createDataFrame([("a", 0, "12345"), ("a", 1, " 12345 "), ("a", 2, "12345678"), ("a", 3, " "), ("b", 0, "x" * 40)], "key string, pos int, text string")
-    found = chunking.bounded_batches(parts, 17)
-    return found.select("key", "batch", (F.regexp_count("text", F.lit("---")) + 1).alias("parts"))
+    """Batches of up to 700 characters: many a key, and parts that are longer themselves."""
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("key"), F.col("doc_id").alias("pos"), "text")
+    return chunking.bounded_batches(docs, 700).select("key", "batch", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
