@@ -35,8 +35,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- inline fixtures ---------------------------------------------------------------------------------------------------
 FIXTURES: dict[str, tuple[str, list[tuple]]] = {
     "questions": ("question_id int, question string", [
-        (1, "请总结 1 基础篇-机器视觉系统.pdf"), (2, "复习大纲主要考哪些内容"), (3, "复习大钢主要考哪些内容"), (4, "第二个文件说了什么"), (5, "看一下第3份资料"),
-        (19, "看一下第３份资料"), (20, "第　２　个文件"), (6, "它里面还有哪些题目"), (7, "基础篇的内容"), (8, "你好，今天天气怎么样"), (9, "有哪些文件？"), (10, "请 输出 全文"), (11, "这些资料主要讲什么"),
+        (1, "帮我概括一下 1 基础篇-机器视觉系统.pdf"), (2, "复习大纲主要考哪些内容"), (3, "复习大钢里重点考什么"), (4, "第二个文件里写了些什么"), (5, "看一下第3份资料"),
+        (19, "看一下第３份资料"), (20, "第　２　个文件"), (6, "它里面还有哪些题目"), (7, "基础篇讲的东西"), (8, "你好，今天天气怎么样"), (9, "有哪些文件？"), (10, "请 输出 全文"), (11, "这些资料主要讲什么"),
         (12, "第十二个文件"), (13, ""), (14, "把文档里的内容全部给我，不要省略"), (15, "上传的资料名称"), (16, "文件内容有什么"), (17, "第二十一份"), (18, "一个图像增强的文件里讲了什么")]),
     "catalog": ("source_pos int, source_id string, source_name string", [
         (0, "s1", "0 入门篇.pdf"), (1, "s2", "1 基础篇-机器视觉系统.pdf"), (2, "s3", "2025-2026-2复习大纲.pdf"), (3, "s4", "图像复原练习.pdf"), (4, "s5", "1 基础篇-图像增强.pdf")]),
