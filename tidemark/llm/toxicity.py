@@ -41,45 +41,64 @@ def plain(word: str) -> str:
 
 
 class Words:
-    """What a word contributes to the features, remembered for the words seen most recently."""
+    """What a word contributes to the features: a row of numbers, remembered for the words seen most recently."""
 
     LIMIT = 100_000
+    COLUMNS = 12  # weight, insult, obfuscated hit, second person, capital word, obfuscated, repeats; upper-case letters, marks, exclamation marks, digits, length
 
     def __init__(self, lexicon: dict[str, float]) -> None:
-        self.lexicon, self.known = lexicon, {}
+        self.lexicon, self.known, self.rows = lexicon, {}, np.zeros((1024, self.COLUMNS))
 
     def weight(self, word: str) -> float:
-        get = self.lexicon.get
-        return max(get(word, 0.0), *(get(f"{word[:n]}*", 0.0) for n in BEGINNINGS if len(word) >= n), 0.0)
+        get, best = self.lexicon.get, self.lexicon.get(word, 0.0)
+        for n in BEGINNINGS:
+            if len(word) < n:
+                break
+            best = max(best, get(word[:n] + "*", 0.0))
+        return max(best, 0.0)
 
     def look(self, raw: str) -> tuple:
-        """(weight, insult, obfuscated hit, second person, capital word, obfuscated, repeats)"""
         low = raw.lower()
+        upper = 0 if raw == low else sum(map(str.isupper, raw))
+        capital = len(raw) > 2 and upper > 0 and raw.isupper()
         bare = low.strip("\"'.,;:!?()[]{}<>-…*#%&$|")
-        clear = plain(bare)
+        repeats = REPEAT.search(bare) is not None
         weight = self.weight(bare)
-        hidden = 0.0 if weight or clear == bare else self.weight(clear)
-        odd = bare.isalpha() is False and any(map(str.isalpha, bare)) and len(bare) > 2 and (bool(re.search(r"\w[^\w\s'’-]+\w", bare)) or bool(re.search(r"[^\W\d_]\d+[^\W\d_]", bare)))
-        out = (max(weight, hidden), bare in INSULT_SET or clear in INSULT_SET, hidden > 0 or (clear != bare and clear in INSULT_SET), bare in SECOND_PERSON, len(raw) > 2 and raw.isupper(), odd, bool(REPEAT.search(bare)))
+        if bare.isalpha() and not repeats:  # nothing in it stands for something else
+            said = (weight, bare in INSULT_SET, False, bare in SECOND_PERSON, capital, False, False)
+        else:
+            clear = plain(bare)
+            hidden = 0.0 if weight or clear == bare else self.weight(clear)
+            odd = bare.isalpha() is False and any(map(str.isalpha, bare)) and len(bare) > 2 and (bool(re.search(r"\w[^\w\s'’-]+\w", bare)) or bool(re.search(r"[^\W\d_]\d+[^\W\d_]", bare)))
+            said = (max(weight, hidden), bare in INSULT_SET or clear in INSULT_SET, hidden > 0 or (clear != bare and clear in INSULT_SET), bare in SECOND_PERSON, capital, odd, repeats)
+        if raw.isalpha():
+            return *said, upper, 0, 0, 0, len(raw)
+        return *said, upper, len(MARKS.findall(raw)), raw.count("!"), sum(map(raw.count, "0123456789")), len(raw)
+
+    def seen(self, tokens: list[str]) -> np.ndarray:
+        """A row for each token."""
         if len(self.known) >= self.LIMIT:
             self.known.clear()
-        self.known[raw] = out
-        return out
+        new = list(set(tokens).difference(self.known))
+        if new:
+            first = len(self.known)
+            while first + len(new) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[first : first + len(new)] = [self.look(t) for t in new]
+            self.known.update(zip(new, range(first, first + len(new)), strict=True))
+        return self.rows[np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))]
 
     def features(self, text: str | None) -> list[float]:
         tokens = (text or "").split()
         n = len(tokens)
         if not n:
             return [0.0] * len(FEATURES)
-        known, look = self.known, self.look
-        seen = [known.get(t) or look(t) for t in tokens]
-        at = [i for i, x in enumerate(seen) if x[0] or x[1]]
-        weights = [seen[i][0] for i in at]
-        letters = sum(map(len, tokens))
-        upper = sum(map(str.isupper, text)) if not text.islower() else 0
-        marks = letters - len(MARKS.sub("", text))
-        near = sum(any(seen[j][3] for j in range(max(0, i - 5), min(n, i + 6))) for i in at)
-        return [len(at) / n, sum(weights) / n, max(weights, default=0.0), float(min(len(at), 5)), sum(seen[i][1] for i in at) / n, sum(x[2] for x in seen) / n, near / n, sum(x[3] for x in seen) / n, upper / letters, sum(x[4] for x in seen) / n, marks / letters, text.count("!") / n, sum(map(text.count, "0123456789")) / letters, sum(x[5] for x in seen) / n, sum(x[6] for x in seen) / n, float(np.log1p(n)), letters / n]
+        m = self.seen(tokens)
+        weight, insults, hidden, you, capital, odd, repeats, upper, marks, exclaim, digits, letters = m.sum(0).tolist()
+        at = np.flatnonzero((m[:, 0] != 0) | (m[:, 1] != 0))
+        before = np.concatenate([[0.0], np.cumsum(m[:, 3])])
+        near = float((before[np.minimum(n, at + 6)] > before[np.maximum(0, at - 5)]).sum())
+        return [len(at) / n, weight / n, float(m[:, 0].max()), float(min(len(at), 5)), insults / n, hidden / n, near / n, you / n, upper / letters, capital / n, marks / letters, exclaim / n, digits / letters, odd / n, repeats / n, float(np.log1p(n)), letters / n]
 
 
 INSULT_SET = frozenset(INSULTS)
