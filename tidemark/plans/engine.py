@@ -61,14 +61,15 @@ class Engine:
         self.records = sources.source_records(docs, session).persist()
         self.docs = sources.attach_sources(docs, self.records)
         if index is None:
-            self.chunks = chunking.chunked(self.docs.withColumn("source_key", F.col("source_id"))).persist()
+            self.chunks, self.parents = chunking.chunk_tables(self.docs.withColumn("source_key", F.col("source_id")))
+            self.chunks = self.chunks.persist()
             self.postings = retrieval.postings(self.chunks, False, *PLACE).persist()
             self.lengths = retrieval.lengths(self.chunks, False, *PLACE).persist()
             embed = self.hooks.embed
             self.vectors = None if embed is None else self.chunks.select("chunk_id", "source_key", embed(F.col("text")).alias("embedding")).persist()
         else:
             read = lambda name: self.spark.read.parquet(f"{index.rstrip('/')}/{name}")
-            self.chunks = read("chunks").join(read("parents"), "parent_id", "left")
+            self.chunks, self.parents = read("chunks"), read("parents")
             self.postings, self.lengths = read("postings"), read("lengths")
             self.vectors = None if self.hooks.embed is None else read("vectors")
 
@@ -90,11 +91,11 @@ class Engine:
             near = retrieval.dense(asked, within(self.vectors).select("chunk_id", "embedding"))
             ranked = ranked.unionByName(near.select("query_id", F.lit(0).alias("ranking"), "rank", "chunk_id"))
         hits = retrieval.filtered(retrieval.reranked(retrieval.fused(ranked), self.hooks.rerank), self.hooks.keep).where(F.col("rank") <= SETTINGS.final_n)
-        grown = retrieval.expanded(hits, scoped)
+        grown = retrieval.expanded(hits, scoped, parents=self.parents)
         names = self.records.select(F.col("source_id").alias("source_key"), "source_name")
-        meta = scoped.select("chunk_id", "source_key", "source_id", "text", "parent_content", "page_start", "page_end", "parent_page_start", "parent_page_end").join(F.broadcast(names), "source_key")
+        meta = scoped.select("chunk_id", "source_key", "source_id", "text", "parent_id", "page_start", "page_end", "parent_page_start", "parent_page_end").join(F.broadcast(names), "source_key")
         parent = F.col("role") == "parent"
-        rows = grown.join(meta, "chunk_id").select("query_id", "seq", "chunk_id", "role", "cost", "source_id", "source_name", F.col("source_name").alias("source"), F.lit(None).cast("int").alias("page"), F.when(parent, F.coalesce("parent_page_start", "page_start")).otherwise(F.col("page_start")).alias("page_start"), F.when(parent, F.coalesce("parent_page_end", "page_end")).otherwise(F.col("page_end")).alias("page_end"), F.when(parent, F.col("parent_content")).otherwise(F.col("text")).alias("text"))
+        rows = grown.join(meta, "chunk_id").join(self.parents, "parent_id", "left").select("query_id", "seq", "chunk_id", "role", "cost", "source_id", "source_name", F.col("source_name").alias("source"), F.lit(None).cast("int").alias("page"), F.when(parent, F.coalesce("parent_page_start", "page_start")).otherwise(F.col("page_start")).alias("page_start"), F.when(parent, F.coalesce("parent_page_end", "page_end")).otherwise(F.col("page_end")).alias("page_end"), F.when(parent, F.col("parent_content")).otherwise(F.col("text")).alias("text"))
         return hits, rows
 
     def named(self, names: list[str]) -> list[str]:

@@ -21,18 +21,18 @@ def write_index(docs: DataFrame, path: str, embed=None) -> dict[str, str]:
     if full.isEmpty():
         raise ValueError("there is no text to index")
     spark = docs.sparkSession
-    chunks, parents = chunking.index_tables(chunking.chunked(full))
+    chunks, parents = chunking.chunk_tables(full)
     staged = _staged(path)
     places = {name: f"{path.rstrip('/')}/{name}" for name in ("chunks", "parents", "postings", "lengths", *(["vectors"] if embed is not None else []))}
-    chunks.write.mode("overwrite").parquet(f"{staged}/chunks")
+    chunks.write.mode("overwrite").option("compression", "zstd").parquet(f"{staged}/chunks")
     written = spark.read.parquet(f"{staged}/chunks")
-    parents.write.mode("overwrite").parquet(f"{staged}/parents")
+    parents.write.mode("overwrite").option("compression", "zstd").parquet(f"{staged}/parents")
     place = ("source_key", "doc_pos", "chunk_index")
     # sorted by term, so that a query's terms are looked for in few row groups
-    retrieval.postings(written, False, *place).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{staged}/postings")
-    retrieval.lengths(written, False, *place).write.mode("overwrite").parquet(f"{staged}/lengths")
+    retrieval.postings(written, False, *place).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").option("compression", "zstd").parquet(f"{staged}/postings")
+    retrieval.lengths(written, False, *place).write.mode("overwrite").option("compression", "zstd").parquet(f"{staged}/lengths")
     if embed is not None:
-        written.select("chunk_id", "source_key", embed(F.col("text")).alias("embedding")).write.mode("overwrite").parquet(f"{staged}/vectors")
+        written.select("chunk_id", "source_key", embed(F.col("text")).alias("embedding")).write.mode("overwrite").option("compression", "zstd").parquet(f"{staged}/vectors")
     _swapped(spark, staged, path)
     return places
 
