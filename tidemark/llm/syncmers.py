@@ -20,7 +20,8 @@ from pyspark.sql.window import Window
 
 INNER = 3
 REACH = 6
-SYMBOL = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]|[^\s\p{IsHan}\p{IsHiragana}\p{IsKatakana}]{1,3}"
+#: Three ASCII characters of a word are tried first, which is what the rest gives for them too, without looks at scripts.
+SYMBOL = r"[!-~]{3}|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]|[^\s\p{IsHan}\p{IsHiragana}\p{IsKatakana}]{1,3}"
 
 
 def inner_values(text: Column, inner: int = INNER) -> Column:
@@ -69,8 +70,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def aligned(a: Column, b: Column) -> Column:
-    """How many anchors two texts have in common at the same place."""
-    at = lambda x: F.transform(x, lambda v: F.struct(v["at"].alias("at"), v["hash"].alias("hash")))
+    """How many anchors two texts have in common at the same place. As strings, which are intersected by a hash set; structs would be compared each with each."""
+    at = lambda x: F.transform(x, lambda v: F.concat(v["at"].cast("string"), F.lit(":"), v["hash"].cast("string")))
     return F.size(F.array_intersect(at(a), at(b))).cast("long")
 
 
