@@ -69,3 +69,12 @@ def test_an_upsert_rewrites_only_the_buckets_that_it_touches(spark, tmp_path):
     assert store.put(spark.createDataFrame([], schema), path, "id", 32) == 0
     want = {f"k{i}": f"v{i}" for i in range(200) if i != 9} | {"k7": "new", None: "no key"}
     assert {r.id: r.text for r in store.rows(spark, path).collect()} == want
+
+
+def test_a_budget_gathers_no_text_beyond_it(spark):
+    from tidemark.operators import graph
+
+    rows = spark.createDataFrame([(None, "n" * 5), (3, "c" * 10), (1, "a" * 10), (2, " "), (2, "b" * 10), (9, "z" * 50)], "source_pos int, text string")
+    assert [(r.source_pos, r.text) for r in graph.budgeted(rows, 18).orderBy("source_pos").collect()] == [(None, "nnnnn"), (1, "a" * 10), (2, "bbb")]
+    assert [(r.source_pos, r.text) for r in graph.budgeted(rows, 4).collect()] == [(None, "nnnn")]
+    assert graph.budgeted(rows.where("source_pos = 2 and text = ' '"), 4).count() == 0

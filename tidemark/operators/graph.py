@@ -139,8 +139,14 @@ def search(found: DataFrame, linked: DataFrame, needle: str, limit: int = 40) ->
 def budgeted(texts: DataFrame, budget: int = SETTINGS.graph_text) -> DataFrame:
     """source_pos, text: as much of the sources' texts (source_pos, text) in order as the budget of characters allows.
 
-    Each text adds a character, so only the first ``budget`` texts can matter and only they are ordered.
+    Each text adds a character, so only the first ``budget`` texts can matter. Their places and lengths alone are ordered first, to find the last place
+    that counts; only texts up to there are gathered.
     """
-    head = texts.where(t.filled(F.col("text"))).orderBy("source_pos").limit(budget)
+    full = texts.where(t.filled(F.col("text")))
+    running = Window.orderBy("source_pos").rowsBetween(Window.unboundedPreceding, -1)
+    first = full.select("source_pos", F.length("text").alias("n")).orderBy("source_pos").limit(budget)
+    last = first.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0))).where(F.col("before") < budget).agg(F.max("source_pos")).first()[0]
+    near = F.col("source_pos").isNull() if last is None else F.col("source_pos").isNull() | (F.col("source_pos") <= F.lit(last))
+    head = full.where(near).orderBy("source_pos").limit(budget)
     before = F.coalesce(F.sum(F.length("text")).over(Window.orderBy("source_pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return head.withColumn("left", F.lit(budget) - before).where("left > 0").select("source_pos", F.substring("text", F.lit(1), F.col("left").cast("int")).alias("text"))
