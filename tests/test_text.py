@@ -11,3 +11,12 @@ def test_a_reference_without_its_semicolon_stays(spark, tmp_path):
     got = {r.page_id: r.text for r in QUERIES["html_to_text"](spark, str(tmp_path)).collect()}
     assert got == {1: 'a & b "©" c &am', 2: "a &amp", 3: None}
     assert spark.createDataFrame([("a &amp",)], "x string").select(t.html_to_text(F.col("x")).alias("y")).first().y == "a &"
+
+
+def test_blank_pages_are_no_sections(spark):
+    from tidemark.operators import sources
+
+    rows = [(i, "s", "s", "txt", None, x, None) for i, x in enumerate([" \n", None, "a  b", "　\t", "c\r\n\n\n\nd"])]
+    docs = spark.createDataFrame(rows, "doc_pos int, source string, source_name string, source_type string, page int, page_content string, source_id string")
+    assert [(r.section, r.content) for r in sources.sections(docs).orderBy("section").collect()] == [(0, "a b"), (1, "c\n\nd")]
+    assert [(r.n_sections, r.excerpt) for r in sources.profiles(docs).collect()] == [(2, "a b c d")]

@@ -78,7 +78,8 @@ def attach_sources(docs: DataFrame, records: DataFrame) -> DataFrame:
 def sections(docs: DataFrame) -> DataFrame:
     """source_key, section (0-based order), page, content: the non-empty pages of each source, numbered pages first."""
     key = t.first_filled(F.col("source_id"), source_name(docs))
-    rows = docs.select(key.alias("source_key"), source_name(docs).alias("name"), F.col("page").try_cast("int").alias("page"), "doc_pos", t.full_text(F.col("page_content")).alias("content")).where("content <> ''")
+    # what is left of a page is empty where it has white space only: asked of the page, so that its text is made once
+    rows = docs.where(t.filled(F.col("page_content"))).select(key.alias("source_key"), source_name(docs).alias("name"), F.col("page").try_cast("int").alias("page"), "doc_pos", t.full_text(F.col("page_content")).alias("content"))
     order = Window.partitionBy("source_key").orderBy(F.col("page").asc_nulls_last(), "doc_pos")
     return rows.withColumn("section", F.row_number().over(order) - 1)
 
@@ -86,7 +87,7 @@ def sections(docs: DataFrame) -> DataFrame:
 def profiles(docs: DataFrame, excerpt: int = SETTINGS.excerpt) -> DataFrame:
     """source_key, name, n_sections, excerpt. Each section adds a character at least, so no more sections than characters are gathered for the excerpt."""
     parts = sections(docs)
-    totals = docs.groupBy(t.first_filled(F.col("source_id"), source_name(docs)).alias("source_key")).agg(F.min_by(source_name(docs), "doc_pos").alias("name"), F.count(F.when(t.full_text(F.col("page_content")) != "", 1)).alias("n_sections"))
+    totals = docs.groupBy(t.first_filled(F.col("source_id"), source_name(docs)).alias("source_key")).agg(F.min_by(source_name(docs), "doc_pos").alias("name"), F.count(F.when(t.filled(F.col("page_content")), 1)).alias("n_sections"))
     head = parts.where(F.col("section") < excerpt).withColumn("content", F.substring("content", 1, 2 * excerpt))
     gathered = head.groupBy("source_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "content"))), lambda x: x["content"]), "\n").alias("joined"))
     cut = F.substring(t.clean_text(F.col("joined")), 1, excerpt)
