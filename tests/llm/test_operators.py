@@ -212,6 +212,17 @@ def test_pieces_equal_the_librarys_and_decode_again(spark, docs, model_file):
     assert all(r.back == (None if r.text is None else r.text.replace("▁", " ")) for r in back)
 
 
+def test_units_that_come_again_are_encoded_once(model_file, monkeypatch):
+    v = pieces.Vocabulary.load(model_file)
+    encoded, merged = [], v.merged
+    monkeypatch.setattr(v, "merged", lambda units: encoded.extend(units) or merged(units))
+    monkeypatch.setattr(pieces.Vocabulary, "CACHE", 12)
+    texts = ["common " + " ".join(f"w{10 * k + i}q" for i in range(8)) for k in range(6)]
+    once = [v.encode([x])[0] for x in texts]
+    assert encoded.count("▁common") == 1 and len(encoded) == 6 * 8 + 1
+    assert once == pieces.Vocabulary.load(model_file).encode(texts)
+
+
 def test_viterbi_finds_the_best_path():
     v = pieces.Vocabulary(["<unk>", "a", "b", "ab", "ba", "aba", "bb"], [0.0, -2.0, -2.5, -3.0, -3.2, -4.0, -9.0], [False] + [True] * 6, {}, {}, 0, frozenset(), False, False, False)
     rnd = random.Random(2)

@@ -37,6 +37,13 @@ TOGETHER = 512
 SCHEMA = "ids array<int>, n_pieces int"
 
 
+def without(x: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """The matrix without one column of each row."""
+    kept = np.ones(x.shape, bool)
+    kept[np.arange(len(x)), column] = False
+    return x[kept].reshape(len(x), -1) if len(x) else x
+
+
 @dataclass
 class Vocabulary:
     """Pieces by number, from a model file's own list."""
@@ -52,6 +59,7 @@ class Vocabulary:
     prefix: bool
     squeeze: bool  # remove surplus spaces
     cache: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    before: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -73,13 +81,20 @@ class Vocabulary:
         self.alphabet = frozenset(c for i in usable for c in self.pieces[i])
         self.longest = max((len(self.pieces[i]) for i in usable), default=1)
         keys = np.concatenate([self.prefix_hashes(self.codes([self.pieces[i]]), len(self.pieces[i])) for i in usable] or [np.zeros(0, np.uint64)])
-        order = np.argsort(keys)
-        self.keys, self.ids = keys[order], np.array(usable, np.int64)[order]
+        order = np.argsort(keys, kind="stable")
+        keys, ids = keys[order], np.array(usable, np.int64)[order]
+        # keys are spread evenly: those that share their first bits are few, and stand from one place on
+        shared = np.bincount((keys >> self.SHIFT).astype(np.int64), minlength=1 << 20)
+        self.first, self.deep = np.cumsum(shared) - shared, int(shared.max())
+        self.keys, self.ids = np.r_[keys, np.full(self.deep, ~np.uint64(0))], np.r_[ids, np.full(self.deep, -1)]
         self.value = np.array(self.scores, float)
+        self.merge_rank = np.append(self.value, -np.inf)  # of no piece, -1, too
         letters = "".join(sorted(re.escape(c) for c in self.alphabet - {SPACE}))
         self.unit = re.compile(f"{SPACE}*[{letters}]+|{SPACE}+|[^{SPACE}{letters}]+" if letters else "(?s).+")
         self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.control else " ⁇ ".encode() if i == self.unknown else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
 
+    SHIFT = np.uint64(44)
+
     @staticmethod
     def codes(units: list[str]) -> np.ndarray:
         return np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).reshape(len(units), -1).astype(np.uint64)
@@ -94,8 +109,12 @@ class Vocabulary:
 
     def probe(self, h: np.ndarray) -> np.ndarray:
         """Numbers of the pieces with these hashes, -1 where there is none."""
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, self.ids[at], -1)
+        at = self.first[(h >> self.SHIFT).astype(np.int64)]
+        out = np.full(h.shape, -1)
+        for _ in range(self.deep):
+            out = np.where((self.keys[at] == h) & (out < 0), self.ids[at], out)
+            at = at + 1
+        return out
 
     def viterbi(self, units: list[str]) -> list[tuple[int, ...]]:
         """Best-scored pieces of units of one length; a character without a piece costs more than any piece and is the unknown piece."""
@@ -128,50 +147,38 @@ class Vocabulary:
         """Pieces of units of one length by merging each unit's best, leftmost pair until none is left."""
         codes = self.codes(units)
         n, length = codes.shape
-        ends = np.tile(np.arange(1, length + 1), (n, 1))  # where the symbol ends
-        count, live = np.full(n, length), np.arange(n)
-        begin = np.tile(np.arange(length), (n, 1))
         sums = np.zeros((n, length + 1), np.uint64)  # polynomial sums: any substring's hash in one step
         power = np.cumprod(np.array([1] + [0x9E3779B97F4A7C15] * length, np.uint64))
         for k in range(length):
             sums[:, k + 1] = sums[:, k] * np.uint64(0x9E3779B97F4A7C15) + codes[:, k] + np.uint64(1)
 
-        def pair_rank(rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        def pieces(rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             size = right - left
-            h = mixed(sums[rows, right] - sums[rows, left] * power[size] + size.astype(np.uint64))
-            found = self.probe(h)
-            return np.where(found >= 0, self.value[found], -np.inf)
-
-        rank = np.full((n, max(1, length - 1)), -np.inf)
-        if length > 1:
-            rows = np.repeat(np.arange(n), length - 1)
-            rank[:, :] = pair_rank(rows, begin[:, :-1].ravel(), ends[:, 1:].ravel()).reshape(n, length - 1)
-        columns = np.arange(length)
-        while len(live) and length > 1:
-            k = rank[live].argmax(1)
-            going = rank[live, k] > -np.inf
-            live, k = live[going], k[going]
-            if not len(live):
-                break
-            # the pair (k, k + 1) becomes one symbol: what stands to the right moves one place left
-            move = columns[None, :] > k[:, None]
-            ends_next = np.concatenate([ends[live][:, 1:], np.full((len(live), 1), length)], 1)
-            begin_next = np.concatenate([begin[live][:, 1:], np.full((len(live), 1), length)], 1)
-            take_end = columns[None, :] >= k[:, None]
-            ends[live] = np.where(take_end, ends_next, ends[live])
-            begin[live] = np.where(move, begin_next, begin[live])
-            rank_next = np.concatenate([rank[live][:, 1:], np.full((len(live), 1), -np.inf)], 1)
-            rank[live] = np.where(move[:, : rank.shape[1]], rank_next, rank[live])
-            count[live] -= 1
-            for side in (k - 1, k):
-                ok = (side >= 0) & (side + 1 < count[live])
-                rows, col = live[ok], side[ok]
-                rank[rows, col] = pair_rank(rows, begin[rows, col], ends[rows, col + 1])
-                gone = (side >= 0) & (side + 1 >= count[live])
-                rank[live[gone], np.minimum(side[gone], rank.shape[1] - 1)] = -np.inf
-        number, out = self.number, []
-        for unit, c, b, e in zip(units, count.tolist(), begin.tolist(), ends.tolist(), strict=True):
-            out.append(tuple(number.get(unit[b[i] : e[i]], self.unknown) for i in range(c)))
+            return self.probe(mixed(sums[rows, right] - sums[rows, left] * power[size] + size.astype(np.uint64)))
+
+        def pair_rank(rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            return self.merge_rank[pieces(rows, left, right)]
+
+        # a round merges one pair of each unit that still has one, so those units always have equally many symbols; symbol i reaches from edge i to edge i + 1
+        out: list[tuple[int, ...]] = [()] * n
+        live, edge = np.arange(n), np.tile(np.arange(length + 1), (n, 1))
+        rank = pair_rank(live[:, None], edge[:, :-2], edge[:, 2:])
+        while len(live):
+            size = edge.shape[1] - 1
+            k = rank.argmax(1) if size > 1 else np.zeros(len(live), int)
+            going = rank[np.arange(len(live)), k] > -np.inf if size > 1 else np.zeros(len(live), bool)
+            if not going.all():
+                rows, e = live[~going], edge[~going]
+                found = pieces(rows[:, None], e[:, :-1], e[:, 1:])
+                for i, ids in zip(rows.tolist(), np.where(found >= 0, found, self.unknown).tolist(), strict=True):
+                    out[i] = tuple(ids)
+                live, edge, rank, k = live[going], edge[going], rank[going], k[going]
+            rows = np.arange(len(live))
+            edge, rank = without(edge, k + 1), without(rank, k)
+            row, side = np.concatenate([rows, rows]), np.concatenate([k - 1, k])
+            ok = (side >= 0) & (side < size - 2)
+            row, side = row[ok], side[ok]
+            rank[row, side] = pair_rank(live[row], edge[row, side], edge[row, side + 2])
         return out
 
     def merged_long(self, unit: str) -> tuple[int, ...]:
@@ -205,14 +212,17 @@ class Vocabulary:
             return tuple(self.bytes_at[b] for b in unit.encode())
         return (self.unknown,) * len(unit)
 
-    CACHE = 200_000
+    CACHE = 100_000
 
     def encode_units(self, units: set[str]) -> None:
-        """Makes the cache hold these units; it is emptied when it would grow beyond its size, never in between."""
-        new = units - self.cache.keys()
-        if len(self.cache) + len(new) > self.CACHE:
-            self.cache.clear()
-            new = units
+        """Makes the cache hold these units. When it would grow beyond its size, it becomes the one before, in place of that, from which units that come again are taken over."""
+        cache = self.cache
+        new = [u for u in units if u not in cache]
+        if len(cache) + len(new) > self.CACHE:
+            self.before, self.cache, new = cache, {}, list(units)
+        before, cache = self.before, self.cache
+        cache.update([(u, before[u]) for u in new if u in before])
+        new = [u for u in new if u not in cache]
         by_length: dict[int, list[str]] = {}
         for u in new:
             if u[0] not in self.alphabet:
@@ -245,6 +255,10 @@ class Vocabulary:
             return None
         if len(ids) and not 0 <= min(ids) <= max(ids) < len(self.raw):
             raise ValueError("a piece number that the model lacks")
+        return self.joined(ids)
+
+    def joined(self, ids: list[int]) -> str:
+        """``decode`` of numbers that ``encode`` gave."""
         text = b"".join(map(self.raw.__getitem__, ids)).decode(errors="replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
@@ -282,7 +296,7 @@ def round_trip(column: Column, model_file: str) -> Column:
 
         def score(texts: list[str | None]) -> pd.DataFrame:
             ids = v.encode(texts)
-            back = [v.decode(x) for x in ids]
+            back = [None if x is None else v.joined(x) for x in ids]
             exact = [None if t is None else b == (t.replace(SPACE, " ") if not v.squeeze else re.sub(" +", " ", t).strip(" ")) for t, b in zip(texts, back, strict=True)]
             return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "n_pieces": pd.array([None if x is None else len(x) for x in ids], "Int32"), "decoded": pd.Series(back, dtype=object), "exact": pd.Series(exact, dtype=object)})
 
