@@ -53,6 +53,14 @@ def test_containing_equals_contains(spark):
     assert got == sorted((i, k) for i, needle in needles for k, text in texts if needle is not None and text is not None and needle in text)
 
 
+def test_an_index_of_one_search_holds_only_its_runs(spark):
+    t = spark.createDataFrame([(1, "abcdefgh"), (2, "xbcdx"), (3, "zzzz"), (4, None)], "id int, text string")
+    n = spark.createDataFrame([(1, "bcd"), (2, "defg"), (3, "z"), (4, None), (5, "qqq")], "needle_id int, needle string")
+    index = grams.postings(t, n)
+    assert sorted((r.gram, r.id) for r in index.collect()) == [("bcd", 1), ("bcd", 2), ("def", 1), ("efg", 1)]
+    assert sorted(map(tuple, grams.containing(n, t, index).collect())) == [(1, 1), (1, 2), (2, 1), (3, 3)]
+
+
 def versions_of(path):
     return {d: {f: os.path.getmtime(f"{path}/{d}/{f}") for f in os.listdir(f"{path}/{d}") if f.endswith(".parquet")} for d in os.listdir(path) if d.startswith("bucket=")}
 

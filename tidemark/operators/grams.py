@@ -16,9 +16,10 @@ def grams(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(...))"), F.lit(1)))  # linear, where substrings by place are not
 
 
-def postings(texts: DataFrame) -> DataFrame:
-    """gram, id of ``texts`` (id, text): to be written once, by gram."""
-    return texts.select("id", F.explode(grams(F.col("text"))).alias("gram"))
+def postings(texts: DataFrame, needles: DataFrame | None = None) -> DataFrame:
+    """gram, id of ``texts`` (id, text): to be written once, by gram. With ``needles`` (needle) only their grams, for an index of one search: most runs of a text are in none."""
+    rows = texts.select("id", F.explode(grams(F.col("text"))).alias("gram"))
+    return rows if needles is None else rows.join(small(needles.select(F.explode(grams(F.col("needle"))).alias("gram")).distinct()), "gram", "left_semi")
 
 
 def containing(needles: DataFrame, texts: DataFrame, index: DataFrame, rarest: int = RAREST) -> DataFrame:
