@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -223,6 +224,50 @@ def test_units_that_come_again_are_encoded_once(model_file, monkeypatch):
     assert once == pieces.Vocabulary.load(model_file).encode(texts)
 
 
+def test_units_that_are_known_are_kept_as_numbers_and_not_as_objects(model_file):
+    """Of 40,000 distinct words a worker keeps less than 100 bytes each; as strings and tuples in a dictionary they took some 500."""
+    v = pieces.Vocabulary.load(model_file)
+    texts = [" ".join(f"{chr(97 + k % 26)}q{k:x}z{k % 977}" for k in range(a, a + 400)) for a in range(0, 40_000, 400)]
+    v.encode(["warm up"])
+    tracemalloc.start()
+    try:
+        for t in texts:
+            v.encode([t])
+        kept, _ = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert kept < 4_000_000
+
+
+def test_units_of_all_lengths_kinds_and_windows_equal_the_librarys(model_file, monkeypatch):
+    import sentencepiece
+
+    lib, v = sentencepiece.SentencePieceProcessor(model_file=model_file), pieces.Vocabulary.load(model_file)
+    rnd = random.Random(7)
+    texts = ["".join(rnd.choice("aeth inor\né漢🙂▁Ð") for _ in range(n)) for n in range(300)]
+    texts += ["".join(rnd.choice("aethinor") for _ in range(n)) + rnd.choice(["", " ", "漢" * 70, " " * 80]) for n in range(140)] * 2
+    texts += [None, "", " ", "漢", "x" * 64, "x" * 65, "x" * 64, None]
+    want = [None if t is None else lib.encode(t) for t in texts]
+    for window, cache in ((1 << 18, 200_000), (50, 200_000), (1, 40), (1000, 1)):
+        monkeypatch.setattr(pieces, "WINDOW", window)
+        monkeypatch.setattr(pieces.Vocabulary, "CACHE", cache)
+        assert v.encode(texts) == want
+    ids, at = v.flat(texts)
+    assert v.joined(ids, at) == [(t or "").replace("▁", " ") for t in texts]
+
+
+def test_characters_that_are_no_piece_themselves_are_merged_into_pieces():
+    """"b" is in "ab" only; equal scores go to the leftmost pair."""
+    v = pieces.Vocabulary(["<unk>", "a", "c", "ab", "ca", "cc", "ac"], [0.0, -1.0, -2.0, -3.0, -4.0, -5.0, -5.0], [False] + [True] * 6, {}, {}, 0, frozenset(), True, False, False)
+    assert v.encode(["ab", "b", "cab", "ccc", "acc", "bb", "x", ""]) == [[3], [0], [2, 3], [5, 2], [6, 2], [0, 0], [0], []]
+    assert all(tuple(v.encode([u])[0]) == v.merged_long(u) for u in ("ab", "cabcab", "ccacc", "accab", "bca"))
+
+
+def test_unigram_units_are_told_apart_and_encoded():
+    v = pieces.Vocabulary(["<unk>", "a", "b", "ab", "▁a", "<0x63>"], [0.0, -2.0, -2.5, -3.0, -1.0, 0.0], [False] + [True] * 4 + [False], {99: 5}, {5: 99}, 0, frozenset(), False, True, True)
+    assert v.encode(["ab  ab", "c", None, "a" * 70 + " ab"]) == [[4, 2, 4, 2], [0, 5], None, [4] + [1] * 69 + [4, 2]]
+
+
 def test_viterbi_finds_the_best_path():
     v = pieces.Vocabulary(["<unk>", "a", "b", "ab", "ba", "aba", "bb"], [0.0, -2.0, -2.5, -3.0, -3.2, -4.0, -9.0], [False] + [True] * 6, {}, {}, 0, frozenset(), False, False, False)
     rnd = random.Random(2)
