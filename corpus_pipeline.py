@@ -54,10 +54,10 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Rows are judged each by its own text, whatever its id; texts without a hit stay as they are, null and empty ones too.
     """
     name = fresh("hit", docs)
-    found = docs.withColumn(name, decontamination.contamination(F.col("text"), table(spark, sf_dir, "benchmark")))
+    found = docs.withColumn(name, decontamination.contamination(F.col("text"), table(spark, sf_dir, "benchmark"), cut=True))
     hit = F.col(name)
     left = found.where((hit["n_hit"] == 0) | (hit["n_hit"] < hit["n_words"]))
-    text = decontamination.without_spans(F.col("text"), hit["spans"])
+    text = F.coalesce(hit["left"], "text")
     return left.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 

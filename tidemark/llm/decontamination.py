@@ -24,6 +24,7 @@ from tidemark.llm.texts import cuts, hashes, rolled, small_batches
 #: A-Z to a-z; every other ASCII character that is no letter or digit to a space.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 SCHEMA = "n_words long, n_hit long, spans array<int>, item_ids array<string>"
+CUT_SCHEMA = f"{SCHEMA}, left string"
 
 
 class Windows:
@@ -60,7 +61,18 @@ class Windows:
                         yield k, n, item
 
 
-def scan(texts: list[str | None], before: list, windows: Windows) -> pd.DataFrame:
+def without(text: str, edges: list[int]) -> str:
+    """The text without the words of the spans and what stands between the words of one span."""
+    raw = text.encode()
+    at = [m.span() for m in re.finditer(rb"[^ ]+", raw.translate(TABLE))]
+    keep, last = [], 0
+    for a, b in zip(edges[::2], edges[1::2], strict=True):
+        keep.append(raw[last : at[a][0]])
+        last = at[b - 1][1]
+    return b"".join([*keep, raw[last:]]).decode(errors="ignore")
+
+
+def scan(texts: list[str | None], before: list, windows: Windows, cut: bool = False) -> pd.DataFrame:
     split = [(x or "").encode().translate(TABLE).split() for x in texts]
     tokens = [w for x in split for w in x]
     lengths = np.array([len(x) for x in split], np.int64)
@@ -80,40 +92,44 @@ def scan(texts: list[str | None], before: list, windows: Windows) -> pd.DataFram
                 own[a:b] = True
             items[i].update(before[i]["item_ids"])
         edges = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0]))))
-        out.append((n, int(own.sum()), edges.tolist(), sorted(items[i])))
-    return pd.DataFrame(out, columns=["n_words", "n_hit", "spans", "item_ids"])
+        spans = edges.tolist()
+        out.append((n, int(own.sum()), spans, sorted(items[i]), *([without(texts[i], spans) if spans else None] if cut else [])))
+    return pd.DataFrame(out, columns=["n_words", "n_hit", "spans", "item_ids", *(["left"] if cut else [])])
 
 
-def _in_slices(values: list, known: list, windows: Windows) -> Iterator[pd.DataFrame]:
+def _in_slices(values: list, known: list, windows: Windows, cut: bool) -> Iterator[pd.DataFrame]:
     if not values:
-        yield scan(values, known, windows)
+        yield scan(values, known, windows, cut)
     for a, b in cuts(values):
-        yield scan(values[a:b], known[a:b], windows)
+        yield scan(values[a:b], known[a:b], windows, cut)
 
 
-def _first(shared, size: int):
-    @F.pandas_udf(SCHEMA)
+def _first(shared, size: int, cut: bool):
+    @F.pandas_udf(CUT_SCHEMA if cut else SCHEMA)
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         windows = Windows(shared.value, size)
         for texts in batches:
-            yield from _in_slices(texts.tolist(), [], windows)
+            yield from _in_slices(texts.tolist(), [], windows, cut)
 
     return apply.asNondeterministic()
 
 
-def _later(shared, size: int):
-    @F.pandas_udf(SCHEMA)
+def _later(shared, size: int, cut: bool):
+    @F.pandas_udf(CUT_SCHEMA if cut else SCHEMA)
     def apply(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
         windows = Windows(shared.value, size)
         for texts, before in batches:
-            yield from _in_slices(texts.tolist(), before.to_dict("records"), windows)
+            yield from _in_slices(texts.tolist(), before.to_dict("records"), windows, cut)
 
     return apply.asNondeterministic()
 
 
-def contamination(column: Column, benchmark: DataFrame, size: int = 10, block_words: int = 500_000) -> Column:
+def contamination(column: Column, benchmark: DataFrame, size: int = 10, block_words: int = 500_000, cut: bool = False) -> Column:
     """A struct (n_words, n_hit, spans, item_ids) for each text; spans are pairs of word numbers (from, until).
 
+    With ``cut`` there is also ``left``, the text without its spans as of ``without_spans``, null where there are none: so
+    one Python worker does both, and Spark, which keeps workers for later stages, keeps half as many.
+
     The test windows go to the executors in blocks of ``block_words`` words at most (some 60 MB with
     their index; a single longer item is a block of its own). A benchmark within one block, the usual case,
     costs one pass over the texts and no shuffle; a larger one costs a further pass per block, each adding to
@@ -133,7 +149,8 @@ def contamination(column: Column, benchmark: DataFrame, size: int = 10, block_wo
     blocks.append(context.broadcast(block))
     found = None
     for shared in blocks:
-        found = _first(shared, size)(column) if found is None else _later(shared, size)(column, found)
+        last = cut and shared is blocks[-1]
+        found = _first(shared, size, last)(column) if found is None else _later(shared, size, last)(column, found)
     return found
 
 
@@ -142,17 +159,6 @@ def without_spans(column: Column, spans: Column) -> Column:
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for text, edges in zip(texts, spans, strict=True):
-            if text is not None and edges is not None and len(edges):
-                raw = text.encode()
-                at = [m.span() for m in re.finditer(rb"[^ ]+", raw.translate(TABLE))]
-                keep, last = [], 0
-                for a, b in zip(edges[::2], edges[1::2], strict=True):
-                    keep.append(raw[last : at[a][0]])
-                    last = at[b - 1][1]
-                text = b"".join([*keep, raw[last:]]).decode(errors="ignore")
-            out.append(text)
-        return pd.Series(out, dtype=object)
+        return pd.Series([without(t, edges) if t is not None and edges is not None and len(edges) else t for t, edges in zip(texts, spans, strict=True)], dtype=object)
 
     return cut(column, spans)
