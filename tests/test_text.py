@@ -20,3 +20,11 @@ def test_blank_pages_are_no_sections(spark):
     docs = spark.createDataFrame(rows, "doc_pos int, source string, source_name string, source_type string, page int, page_content string, source_id string")
     assert [(r.section, r.content) for r in sources.sections(docs).orderBy("section").collect()] == [(0, "a b"), (1, "c\n\nd")]
     assert [(r.n_sections, r.excerpt) for r in sources.profiles(docs).collect()] == [(2, "a b c d")]
+
+
+def test_texts_are_stripped_as_by_python_and_only_their_ends_are_looked_at(spark):
+    spaces = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+    texts = [None, "", " ", "".join(spaces), *(f"{c}a{c}b{c}" for c in spaces), "\u200bx\u200b", "\U0001d4b3 \r\n"]
+    stripped = spark.createDataFrame([(x,) for x in texts], "x string").select("x", t.strip(F.col("x")).alias("y"))
+    assert all(r.y == (None if r.x is None else r.x.strip()) for r in stripped.collect())
+    assert "regexp_replace" not in stripped._jdf.queryExecution().analyzed().toString()

@@ -85,7 +85,9 @@ class Engine:
         """(hits with their metadata, expanded context) for a batch of ``questions`` (query_id, text)."""
         within = lambda table: table.where(F.col("source_key").isin(source_ids)) if source_ids else table
         scoped = within(self.chunks).withColumn("source_id", F.col("source_key"))
-        ranked = retrieval.bm25_indexed(questions, within(self.postings), retrieval.totals(within(self.lengths)), place=PLACE[1:]).select("query_id", F.lit(1).alias("ranking"), "rank", "chunk_id")
+        lengths, packed = within(self.lengths), "block" in self.postings.columns  # as written ones are
+        found = retrieval.bm25_indexed(questions, self.postings if packed else within(self.postings), retrieval.totals(lengths), place=PLACE[1:], chunks=lengths.drop("source_key") if packed else None)
+        ranked = found.select("query_id", F.lit(1).alias("ranking"), "rank", "chunk_id")
         if self.vectors is not None:
             asked = questions.select("query_id", self.hooks.embed(F.col("text")).alias("embedding"))
             near = retrieval.dense(asked, within(self.vectors).select("chunk_id", "embedding"))

@@ -152,7 +152,8 @@ def index_postings(spark, sf_dir):
     """What a written index says of each term: chunks that have it, and their lengths."""
     at = workspace(spark)
     _index(spark, sf_dir, at)
-    return spark.read.parquet(f"{at}/postings").groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").cast("double").alias("total_length"))
+    held = F.aggregate("dl", F.lit(0).cast("long"), lambda s, x: s + x)
+    return spark.read.parquet(f"{at}/postings").groupBy("term").agg(F.sum(F.size("dl")).alias("df"), F.sum(held).cast("double").alias("total_length"))
 
 
 @query(f"with {CHUNKS} select source_key, chunk_index, length(parent) as n_chars from ch")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as t
-from tidemark.operators import chunking, graph, history, retrieval
+from tidemark.functions import tokens
+from tidemark.operators import chunking, graph, history
 from tidemark.sources import scans
 
 
@@ -24,13 +25,14 @@ def write_index(docs: DataFrame, path: str, embed=None) -> dict[str, str]:
     chunks, parents = chunking.chunk_tables(full)
     staged = _staged(path)
     places = {name: f"{path.rstrip('/')}/{name}" for name in ("chunks", "parents", "postings", "lengths", *(["vectors"] if embed is not None else []))}
-    chunks.write.mode("overwrite").option("compression", "zstd").parquet(f"{staged}/chunks")
+    # a number for each chunk: postings name it so
+    chunks.withColumn("no", F.monotonically_increasing_id()).write.mode("overwrite").option("compression", "zstd").parquet(f"{staged}/chunks")
     written = spark.read.parquet(f"{staged}/chunks")
     parents.write.mode("overwrite").option("compression", "zstd").parquet(f"{staged}/parents")
-    place = ("source_key", "doc_pos", "chunk_index")
-    # sorted by term, so that a query's terms are looked for in few row groups
-    retrieval.postings(written, False, *place).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").option("compression", "zstd").parquet(f"{staged}/postings")
-    retrieval.lengths(written, False, *place).write.mode("overwrite").option("compression", "zstd").parquet(f"{staged}/lengths")
+    # each file is sorted by term, so that a query's terms are looked for in few of its pages; no posting is shuffled
+    tokens.packed_postings(written).sortWithinPartitions("term", "block").write.mode("overwrite").option("compression", "zstd").parquet(f"{staged}/postings")
+    lengths = tokens.known_counts(written, ("no", "chunk_id", "source_key", "doc_pos", "chunk_index"), F.col("text"), spark.sparkContext.broadcast({})).drop("ids", "tf")
+    lengths.write.mode("overwrite").option("compression", "zstd").parquet(f"{staged}/lengths")
     if embed is not None:
         written.select("chunk_id", "source_key", embed(F.col("text")).alias("embedding")).write.mode("overwrite").option("compression", "zstd").parquet(f"{staged}/vectors")
     _swapped(spark, staged, path)
