@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.given import given, given_sql
-from tidemark.operators import chunking, history, resolver, retrieval, vectors
+from tidemark.operators import chunking, history, resolver, retrieval
 from tidemark.operators.ranges import stored
 from tidemark.plans import engine as engines
 from tidemark.plans import planner
@@ -172,7 +172,7 @@ def index_vectors(spark, sf_dir):
     at = workspace(spark)
     embed = lambda c: F.array(F.char_length(c).cast("double"), F.lit(6.0))
     _index(spark, sf_dir, at, embed)
-    return vectors.exact(as_questions(spark, sf_dir).select("query_id", embed(F.col("text")).alias("embedding")), scans.vectors(spark, f"{at}/vectors"), 2)
+    return retrieval.dense(as_questions(spark, sf_dir).select("query_id", embed(F.col("text")).alias("embedding")), scans.vectors(spark, f"{at}/vectors").drop("source_key"), 2)
 
 
 @query(RANKINGS + FUSED + """, h as (select query_id, chunk_id, rank from fused where rank <= 20),
